@@ -1,0 +1,545 @@
+"""The ten operators against brute force on the small tables and on hand-made hard rows."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+import xxhash
+
+import public_tokenizers
+from textloom.llm import fingerprints, language_id, lattice_dedup, mixing, packing, quality, queries, simhash, substring_dedup, token_store, tokens, url_filter
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, seed string"
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+LONG = " ".join(f"w{i % 97}x{i * i % 1013}" for i in range(30_000))
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, columns of clashing names."""
+    rows = [
+        (5, None, None, None, None, "a", None), (6, "", "en", "s", 0, None, "x"), (7, LONG, "en", "s", len(LONG), "a", "b"), (8, LONG + " end", "en", "s", 9, "a", "b"),
+        (9, "one two", "en", None, 7, "a", "b"), (9, "one two", "en", None, 7, "a", "b"), (None, "no id here", "de", "t", 3, "a", "b"), (10, " \t\n", "en", "s", 3, "a", "b"),
+        (11, "One TWO", None, "s", 7, "a", "b"), (12, "été ça 日本 \u00a0 x", "fr", "t", 7, "a", "b"), (13, "it's  <|endoftext|>\n\n  we'll \x1c go", "en", "t", 7, "a", "b"),
+    ]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+def table(path, name):
+    return pq.read_table(f"{path}/{name}.parquet").to_pylist()
+
+
+def rows_of(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def all_words(text):
+    return WORD.findall((text or "").encode())
+
+
+def union(n_or_ids, pairs):
+    parent = {i: i for i in n_or_ids}
+
+    def top(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: top(i) for i in parent}
+
+
+# --- 1
+
+
+def brute_repeats(docs, size=50):
+    low = {}
+    every = [(d["doc_id"], all_words(d["text"])) for d in docs]
+    for doc_id, w in every:
+        if doc_id is not None:
+            for i in range(len(w) - size + 1):
+                key = b" ".join(w[i : i + size])
+                low[key] = min(low.get(key, doc_id), doc_id)
+    out = []
+    for doc_id, w in every:
+        gone = set()
+        for i in range(len(w) - size + 1) if doc_id is not None else ():
+            if low[b" ".join(w[i : i + size])] < doc_id:
+                gone.update(range(i, i + size))
+        kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((doc_id, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("batches", [1, 3, 5])
+def test_op1(spark, sf, batches):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = Counter(tuple(r) for r in substring_dedup.remove_repeats(docs, batches).collect())
+    want = brute_repeats(table(sf, "documents"))
+    assert got == want and sum(x[2] for x in want) > 1000
+
+
+def test_op1_hard(spark, hard):
+    got = Counter(tuple(r) for r in substring_dedup.remove_repeats(hard).collect())
+    assert got == brute_repeats([r.asDict() for r in hard.collect()])
+    text = {r["doc_id"]: r["kept_text"] for r in substring_dedup.remove_repeats(hard, text_out=True).collect()}
+    assert text[8] == "" or text[8] == "end"
+    assert substring_dedup.remove_repeats(hard.limit(0)).count() == 0
+
+
+def test_op1_compaction(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    index, hits = substring_dedup.FingerprintIndex(spark, fan_in=1), []
+    for k in range(4):
+        part = docs.where(f"doc_id >= {50 * k} and doc_id < {50 * k + 50}")
+        hits += index.add(part, docs.where(f"doc_id < {50 * k}") if k else None).collect()
+        assert len(index.runs["seed"]) == 1 and len(index.runs["window"]) == 1
+    one = substring_dedup.FingerprintIndex(spark).add(docs, None).collect()
+    assert sorted(map(tuple, hits)) == sorted(map(tuple, one))
+
+
+# --- 2
+
+
+def test_op2(spark, sf01):
+    got = rows_of(queries.op2_language_id(spark, sf01))
+    want = {d["doc_id"]: d for d in table(sf01, "documents")}
+    assert len(got) == len(want)
+    held = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    assert np.mean([r["lang_pred"] == want[r["doc_id"]]["lang"] for r in held]) >= 0.97
+    assert all(0 <= r["score"] <= 1 for r in got)
+    accepted = [r for r in held if r["accepted"]]
+    assert len(accepted) > 0.9 * len(held)
+
+
+def test_op2_hard(spark, hard):
+    model = language_id.train(hard)
+    got = {r["doc_id"]: r for r in language_id.identify(hard, model).collect()}
+    assert [got[k]["lang_pred"] for k in (5, 6, 10)] == ["und"] * 3
+    assert got[7]["lang_pred"] in ("en", "de", "fr")
+    assert language_id.identify(hard, language_id.train(hard.limit(0))).where("lang_pred <> 'und'").count() == 0
+    assert language_id.identify(hard.limit(0), model).count() == 0
+
+
+# --- 3
+
+
+def shingles(text, n=5):
+    w = all_words(text)
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def check_fingerprints(got, docs):
+    order = sorted((d for d in docs if d["doc_id"] is not None), key=lambda d: -d["doc_id"])
+    by = {r["doc_id"]: r for r in got}
+    errors = []
+    for d, after in zip(order, [*order[1:], order[0]], strict=True):
+        t, nxt, r = d["text"] or "", after["text"] or "", by[d["doc_id"]]
+        edit = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edit.encode()).hexdigest())
+        a, b, c = shingles(t), shingles(edit), shingles(nxt)
+        errors += [abs(len(a & b) / len(a | b) - r["near_edited"]), abs(len(a & c) / len(a | c) - r["near_next"])]
+    assert np.mean(errors) < 0.02 and max(errors) < 0.15
+
+
+def test_op3(spark, sf):
+    docs = table(sf, "documents")
+    got = rows_of(queries.op3_document_fingerprints(spark, sf))
+    assert len(got) == len(docs)
+    check_fingerprints(got, docs)
+    by_text = defaultdict(set)
+    texts = {d["doc_id"]: d["text"] for d in docs}
+    for r in got:
+        by_text[texts[r["doc_id"]]].add(r["fingerprint"])
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_op3_hard(spark, hard):
+    got = rows_of(fingerprints.fingerprint_documents(hard))
+    assert len(got) == hard.count()
+    unique = [r.asDict() for r in hard.dropDuplicates(["doc_id"]).collect()]
+    check_fingerprints(rows_of(fingerprints.fingerprint_documents(hard.dropDuplicates(["doc_id"]))), unique)
+    assert fingerprints.fingerprint_documents(hard.limit(0)).count() == 0
+
+
+def test_op3_densified_bits_are_unbiased():
+    import pyarrow as pa
+
+    from textloom.llm._text import text_buffers
+
+    rng = np.random.default_rng(1)
+    errors = []
+    for _ in range(60):
+        common, a, b = (["".join(map(chr, rng.integers(97, 123, 9))) for _ in range(k)] for k in (40, 15, 20))
+        x, y = " ".join(common + a), " ".join(common + b)
+        sx, sy = shingles(x), shingles(y)
+        s = fingerprints.sketch(*text_buffers(pa.array([x, y])))
+        same = fingerprints.unpacked(fingerprints.packed(s)[0])
+        assert (same == s[0]).all()
+        errors.append(fingerprints.likeness(s[0], s[1]) - len(sx & sy) / len(sx | sy))
+    assert abs(np.mean(errors)) < 0.02
+
+
+# --- 4 and 9
+
+
+def library(name):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.encode_special_tokens = True
+    return lambda text, end: [*t.encode(text or "", add_special_tokens=False).ids, end]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+
+
+def test_pack_round_trip():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 3, 4, 5, 1000):
+        v = (rng.integers(0, 1 << 32, n) >> rng.integers(0, 32, n)).astype(np.uint32)
+        assert (token_store.unpack(*token_store.pack(v), n) == v).all()
+
+
+@pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_units_equal_whole_texts(sf, hard, name, kind):
+    texts = [d["text"] for d in table(sf, "documents")] + [r["text"] or "" for r in hard.collect()]
+    texts += ["a  b\t\tc \n d\r\n\u2003e \u00a0f", "  lead", "trail  ", "x\n\n\ny", "İI Σς ΑΣ ﬁ e\u0301 12 345", "don't 'S 'll' ve", "\u0085a\u2028b", " ", "\n \n"]
+    whole, encoder = library(name), tokens.UnitEncoder(public_tokenizers.path(name), kind)
+    ids, offsets = tokens.with_end(*encoder.encode(texts), 2)
+    for i, t in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == whole(t, 2), t[:80]
+
+
+@pytest.mark.parametrize("which", ["sf", "hard"])
+def test_op4(spark, sf, hard, which):
+    docs = table(sf, "documents") if which == "sf" else [r.asDict() for r in hard.collect()]
+    df = spark.read.parquet(f"{sf}/documents.parquet") if which == "sf" else hard
+    got = sorted(map(tuple, token_store.store_documents(df, public_tokenizers.path("byte_bpe_50k.json")).collect()), key=lambda r: r[1])
+    encode, want, at = library("byte_bpe_50k.json"), [], 0
+    for d in sorted(docs, key=lambda d: (d["doc_id"] is not None, d["doc_id"] or 0)):
+        ids = encode(d["text"], 2)
+        want.append((d["doc_id"], at, len(ids), crc(ids)))
+        at += len(ids)
+    assert got == want
+    assert token_store.store_documents(hard.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def check_pieces(got, docs, limit=2048):
+    encode = library("word_bpe_49k.json")
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in got:
+        pieces[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for d in docs:
+        ids, at = encode(d["text"], 1), 0
+        for p in sorted(pieces[d["doc_id"]], key=lambda p: p["start"]):
+            assert p["start"] == at and p["doc_tokens"] == len(ids) and p["length"] > 0
+            assert p["ids_crc32"] == crc(ids[at : at + p["length"]])
+            at += p["length"]
+        assert at == len(ids)
+    padding = total = 0
+    for s in sequences.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at <= limit and len(s) <= packing.SEGMENTS
+        padding += 0 if at & (at - 1) == 0 else limit - at
+        total += at
+    assert padding <= 0.01 * total + limit
+
+
+def test_op9(spark, sf):
+    check_pieces(rows_of(queries.op9_packing(spark, sf)), table(sf, "documents"))
+
+
+def test_op9_hard(spark, hard):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    unique = hard.dropDuplicates(["doc_id"])
+    check_pieces(rows_of(packing.pack_documents(unique, path)), [r.asDict() for r in unique.collect()])
+    assert packing.pack_documents(hard, path).count() >= hard.count()
+    assert packing.pack_documents(hard.limit(0), path).count() == 0
+
+
+def test_packer_keeps_all_limits():
+    rng = np.random.default_rng(2)
+    used, done = defaultdict(lambda: [0, 0, 0.0]), Counter()
+    sizes = {i: (int(n), int(n * s)) for i, (n, s) in enumerate(zip(rng.integers(1, 900, 500), rng.random(500), strict=True))}
+
+    def place(example, start, length, sequence, offset):
+        u = used[sequence]
+        u[0] += length
+        u[1] += 1
+        u[2] += length * sizes[example][1] / sizes[example][0]
+        done[example] += length
+
+    p = packing.Packer(place, 512, 6, 200)
+    p.add([(i, n, heavy) for i, (n, heavy) in sizes.items()])
+    assert all(a <= 512 and b <= 6 and c <= 200.001 for a, b, c in used.values())
+    assert all(done[i] == n for i, (n, _) in sizes.items())
+
+
+# --- 5
+
+
+def check_mix(got, block, period):
+    counts = Counter((r["source"], r["block"]) for r in got)
+    assert all(n <= block for n in counts.values())
+    slots = {}
+    for r in got:
+        assert slots.setdefault(r["slot"], (r["source"], r["block"])) == (r["source"], r["block"])
+        assert r["release"] <= r["slot"] < r["deadline"]
+    return slots
+
+
+def test_op5(spark, sf01):
+    docs = spark.read.parquet(f"{sf01}/documents.parquet")
+    got = rows_of(mixing.mix(docs, block=4))
+    assert Counter(r["doc_id"] for r in got) == Counter(d["doc_id"] for d in table(sf01, "documents"))
+    check_mix(got, 4, mixing.PERIOD)
+
+
+def test_op5_deviation_is_below_one_block(spark):
+    weights = spark.createDataFrame([("a", 5.0), ("b", 3.0), ("c", 1.3), ("d", 0.7), ("gone", 9.0)], "source string, weight double")
+    docs = spark.range(4000).selectExpr("id as doc_id", "case when id < 2000 then 'a' when id < 3000 then 'b' when id < 3600 then 'c' else 'd' end as source")
+    got = rows_of(mixing.mix(docs, weights, block=5, period=100))
+    slots = check_mix(got, 5, 100)
+    share = {r["source"]: r["share"] / 100 for r in mixing.shares(weights.where("source <> 'gone'"), 100).collect()}
+    last = {s: max(k for k, v in slots.items() if v[0] == s) for s in share}
+    done = Counter()
+    for t in range(min(last.values())):
+        done[slots[t][0]] += 1
+        assert all(abs(done[s] - share[s] * (t + 1)) < 1 for s in share)
+
+
+def test_op5_hard(spark, hard):
+    got = rows_of(mixing.mix(hard))
+    assert len(got) == hard.count() and {r["source"] for r in got} == {"", "s", "t"}
+    assert mixing.mixed(hard).columns == hard.columns and mixing.mixed(hard).count() == hard.count()
+    assert mixing.mix(hard.limit(0)).count() == 0
+
+
+# --- 6
+
+
+def test_op6(spark, sf01):
+    got = {r["doc_id"]: r for r in rows_of(queries.op6_quality_classifier(spark, sf01))}
+    labels = {r["doc_id"]: r["quality"] == 1 and r["toxic"] == 0 for r in table(sf01, "labels")}
+    assert len(got) == 1000
+    good = [got[d]["accepted"] for d, ok in labels.items() if ok]
+    bad = [not got[d]["accepted"] for d, ok in labels.items() if not ok]
+    assert np.mean(good) >= 0.99 and np.mean(bad) >= 0.6
+    chosen = sum(r["selected"] for r in got.values())
+    assert chosen == int(0.5 * sum(r["accepted"] for r in got.values()))
+    keys = sorted((r["gumbel_key"] for r in got.values() if r["accepted"]), reverse=True)
+    assert all(r["selected"] == (r["accepted"] and r["gumbel_key"] >= keys[chosen - 1]) for r in got.values())
+
+
+def test_op6_hard(spark, hard):
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 1), (None, 1, 0), (9, None, None), (7, 1, None), (12, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.classify(hard, labels).count() == hard.count()
+    model = quality.train(hard, labels)
+    assert quality.kept(hard, model).columns == hard.columns
+    assert quality.classify(hard, labels.limit(0)).where("not accepted").count() == 0
+    assert quality.classify(hard.limit(0), labels).count() == 0
+
+
+# --- 7
+
+
+def brute_vectors(rows, least=0.98):
+    use = {}
+    for r in rows:
+        e = r["embedding"]
+        if r["label"] is not None and e is not None and all(x is not None and np.isfinite(x) for x in e) and any(e):
+            x = np.array(e, dtype=np.float64) / max(map(abs, e))
+            use[r["vec_id"]] = (r["label"], x / np.linalg.norm(x))
+    ids = sorted(use)
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if use[a][0] == use[b][0] and len(use[a][1]) == len(use[b][1]) and use[a][1] @ use[b][1] >= least]
+    return pairs, union([r["vec_id"] for r in rows], pairs)
+
+
+def test_op7(spark, sf01):
+    rows = table(sf01, "embeddings")
+    pairs, component = brute_vectors(rows)
+    links = Counter(x for p in pairs for x in p)
+    got = rows_of(queries.op7_embedding_near_dedup(spark, sf01))
+    assert len(got) == len(rows)
+    assert sum(r["n_links"] for r in got) >= 0.95 * sum(links.values())
+    assert all(r["n_links"] <= links[r["vec_id"]] for r in got)
+    assert np.mean([r["component_id"] == component[r["vec_id"]] for r in got]) >= 0.99
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+
+
+def test_op7_hard(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(16)
+    rows = [(i, (base + 0.03 * rng.standard_normal(16)).tolist(), 1, "x") for i in range(40)]
+    rows += [(100 + i, base.tolist(), 1, "x") for i in range(30)] + [(200, None, 1, "x"), (201, [0.0] * 16, 1, "x"), (202, [float("nan")] * 16, 1, "x"), (203, base.tolist(), None, "x"), (204, base.tolist(), 2, "x"), (205, [1.0, None], 1, "x"), (206, [1e200, 1e-200], 1, "x"), (207, [1e190, 0.0], 1, "x"), (208, [], 1, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, component string")
+    pairs, component = brute_vectors([dict(zip(df.columns, r, strict=True)) for r in rows])
+    links = Counter(x for p in pairs for x in p)
+    for chunk in (4096, 16):
+        monkeypatch.setattr(lattice_dedup, "CHUNK", chunk)
+        got = rows_of(lattice_dedup.near_vectors(df))
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {r[0]: (links[r[0]], component[r[0]]) for r in rows}
+    assert lattice_dedup.near_vectors(df.limit(0)).count() == 0
+
+
+def test_e8_is_nearest():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((200, 8)) * 3
+    y = lattice_dedup.nearest_e8(x)
+    for v in lattice_dedup.MINIMAL:
+        assert (((x - y) ** 2).sum(1) <= ((x - y - v) ** 2).sum(1) + 1e-9).all()
+    assert len(lattice_dedup.MINIMAL) == 240
+
+
+# --- 8
+
+
+def simhash_of(text, width=3):
+    w = [x.lower() if x.isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in all_words(text)]
+    if not w:
+        return 0
+    grams = [b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))]
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_simhash(docs):
+    fp = [(d["doc_id"], simhash_of(d["text"])) for d in docs]
+    pairs = [(a, b) for i, (a, x) in enumerate(fp) for b, y in fp[i + 1 :] if a is not None and b is not None and (x ^ y).bit_count() <= 2]
+    component = union([a for a, _ in fp if a is not None], pairs)
+    return Counter((a, f"{x:016x}", component.get(a)) for a, x in fp)
+
+
+@pytest.mark.parametrize("pair_bucket", [16, 1])
+def test_op8(spark, sf, hard, monkeypatch, pair_bucket):
+    monkeypatch.setattr(simhash, "PAIR_BUCKET", pair_bucket)
+    got = Counter(map(tuple, queries.op8_simhash_near_dedup(spark, sf).collect()))
+    assert got == brute_simhash(table(sf, "documents"))
+    assert Counter(map(tuple, simhash.near_duplicates(hard).collect())) == brute_simhash([r.asDict() for r in hard.collect()])
+    assert simhash.near_duplicates(hard.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("pair_bucket", [10_000, 1])
+def test_op8_links_are_exact(spark, monkeypatch, pair_bucket):
+    monkeypatch.setattr(simhash, "PAIR_BUCKET", pair_bucket)
+    rng = np.random.default_rng(6)
+    fps = set()
+    for _ in range(12):
+        x = int(rng.integers(0, 1 << 63)) * 2 + 1
+        for _ in range(25):
+            y = x
+            for b in rng.choice(64, int(rng.integers(0, 5)), replace=False):
+                y ^= 1 << int(b)
+            fps.add(y)
+    fps = sorted(np.array(sorted(fps), dtype=np.uint64).view(np.int64).tolist())
+    want = union(fps, [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2])
+    got = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()
+    assert union(fps, [tuple(r) for r in got]) == want
+
+
+def test_op8_stage_catches_copies(spark, sf01, hard):
+    docs = table(sf01, "documents")
+    sets = {d["doc_id"]: shingles((d["text"] or "").lower()) for d in docs}
+    seen = defaultdict(list)
+    for d, s in sets.items():
+        for x in s:
+            seen[x].append(d)
+    near = {p for v in seen.values() if len(v) < 60 for i, a in enumerate(v) for p in [(a, b) for b in v[i + 1 :]]}
+    near = [(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r["component_id"] for r in rows_of(simhash.similar(spark.read.parquet(f"{sf01}/documents.parquet")))}
+    assert np.mean([got[a] == got[b] for a, b in near]) >= 0.95
+    left = simhash.one_of_each(hard)
+    assert left.columns == hard.columns and {r["doc_id"] for r in left.collect()} >= {None, 7, 9}
+    assert simhash.one_of_each(hard.limit(0)).count() == 0
+
+
+# --- 10
+
+
+def test_op10_hard(spark):
+    urls = [None, "", "no scheme", "http://", "http://NET", "http://net/", "http://a.Net/x?y=/z", "https://a.example.net/en/1", "https://example.net/e", "http://x.example.com/de/a#b", "ftp://org/fr/", "http://notnet/", "http://net.org/fr/x", "http://a.org/fr?x", "x://y://z.net/", "http://a.net:80/", "http://net\n/x", "http://net./"]
+    pages = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(urls)] + [(1, "", "h", "v"), (None, "http://a.net/", "h", "v")], "page_id long, url string, host string, verdict string")
+    rules = spark.createDataFrame([(h, p, v) for v, h, p in queries.RULES], "host string, path string, verdict string")
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas().astype({"page_id": "Int64"}))
+    want = Counter(con.execute(queries.OP10_SQL).fetchall())
+    got = Counter(tuple(r) for r in url_filter.judge(pages, rules).collect())
+    assert got == want
+    assert url_filter.judge(pages.limit(0), rules).count() == 0
+    assert url_filter.judge(pages, rules.limit(0)).where("rule is not null").count() == 0
+
+
+def test_op10_nested_rules(spark):
+    rng = np.random.default_rng(7)
+    hosts = [".".join(rng.choice(["a", "b", "ab", "a-b"], k)) for k in (1, 1, 2, 2, 3, 3, 3) for _ in range(6)]
+    paths = ["/", "/a", "/a/", "/a/b", ""]
+    rules = sorted({(str(h), str(rng.choice(paths)), str(rng.choice(["allow", "block"]))) for h in hosts[:25]})
+    pages = [(i, f"http://{h}{p}", "x") for i, (h, p) in enumerate((h, p) for h in hosts for p in ("", "/", "/a", "/ab", "/a/b/c", "/c?a"))]
+    want = {}
+    for i, url, _ in pages:
+        host, path = re.match(r".*?://([^/?#]*)([^?#]*)", url).groups()
+        fits = [(len(h + p), len(h), v == "block", h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want[i] = max(fits)[3:] if fits else (None, "allow")
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in got} == want
+
+
+# --- SQL and pipeline
+
+
+def test_sql(spark, sf):
+    con = duckdb.connect()
+    for name in ("documents", "pages"):
+        con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, sf)
+        want = con.execute(sql)
+        columns = [c[0] for c in want.description]
+        assert Counter(want.fetchall()) == Counter(map(tuple, df.select(*columns).collect())) and sorted(columns) == sorted(df.columns)
+
+
+def test_pipeline(spark, sf01):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf01}/documents.parquet")
+    counts = [docs.count()]
+    from textloom.llm import _scratch
+
+    for name, stage in corpus_pipeline.STAGES:
+        out = _scratch.written(stage(spark, docs, sf01), name)
+        if name != "packing":
+            assert out.schema == docs.schema
+        docs = out
+        counts.append(docs.count())
+    assert counts[0] > counts[1] > counts[2] >= counts[3] == counts[4]
+    assert counts[1] > 0.8 * counts[0]
+    assert corpus_pipeline.run(spark, sf01).agg({"length": "sum"}).first()[0] > 100_000
+
+
+def test_pipeline_hard(spark, hard, sf, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(7, 1, 0), (8, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for start in (hard, hard.limit(0)):
+        docs = start
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            out.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}")
+            if name != "packing":
+                assert docs.columns == hard.columns
