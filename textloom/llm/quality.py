@@ -17,8 +17,9 @@ from textloom.llm._text import SPACE, blocks, mix, powers, words
 WORDS, SHAPES, PRIOR = 1 << 17, 1 << 12, 4.0
 #: At most so many labelled documents are used: half of them for the target model, half to calibrate.
 SAMPLE = 20_000
-#: Words of a log ratio below this count as evidence on their own.
-STRONG = -1.0
+#: Words count as evidence on their own if at least so many rejected documents of the sample have them, and their log
+#: ratio of good to rejected documents is below this.
+STRONG_DOCS, STRONG = 3, -1.5
 
 _CLASS = np.zeros(256, dtype=np.uint8)  # 0 control, 1 lower, 2 upper, 3 digit, 4 punctuation of prose, 5 symbol
 _CLASS[33:127] = 5
@@ -64,71 +65,81 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class Model:
-    """Log ratios of target to raw by bucket, and the calibrated least mean and least strong evidence of what stays."""
+    """Log ratios of target to raw by bucket, the strong evidence of words against a document, and the calibrated least
+    mean and least sum of evidence of what stays. A text is allowed ``allowance`` of evidence a word, as what chance
+    brings grows with its length."""
 
     words: np.ndarray
     shapes: np.ndarray
+    evidence: np.ndarray
     least_mean: float = -np.inf
     least_strong: float = -np.inf
+    allowance: float = 0.0
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(mean log ratio of a document's words and shapes, sum of its words' strong negative ones)."""
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(mean log ratio of a document's words and shapes, sum of its words' strong evidence, number of words)."""
         word, shape, first = features(data, offsets)
         n = len(offsets) - 1
         mean, strong = np.zeros(n), np.zeros(n)
         size = np.diff(first)
         some = np.flatnonzero(size)
         if len(some):
-            r = self.words[word]
             at = first[:-1][some]
-            mean[some] = np.add.reduceat(r + self.shapes[shape], at, dtype=np.float64) / size[some]
-            strong[some] = np.add.reduceat(np.where(r < STRONG, r, 0), at, dtype=np.float64)
-        return mean, strong
+            mean[some] = np.add.reduceat(self.words[word] + self.shapes[shape], at, dtype=np.float64) / size[some]
+            strong[some] = np.add.reduceat(self.evidence[word], at, dtype=np.float64)
+        return mean, strong, size
 
-    def keeps(self, mean: np.ndarray, strong: np.ndarray) -> np.ndarray:
-        return (mean >= self.least_mean) & (strong >= self.least_strong)
+    def keeps(self, mean: np.ndarray, strong: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (mean >= self.least_mean) & (strong + self.allowance * size >= self.least_strong)
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    """(bucket, raw, target) sums over all documents; docs: (text, role), role 1 for the target's sample."""
+    """(bucket, raw, target, good, bad): n-grams of all documents and of the target's sample; documents of the good and
+    the rejected sample that have a word. docs: (text, role), role 1 good, 3 rejected, else not of the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, WORDS + SHAPES), dtype=np.int64)
+        size = WORDS + SHAPES
+        total = np.zeros((4, size), dtype=np.int64)
         for batch in batches:
-            role = np.array(batch.column(1).to_pylist()) == 1
+            role = np.array(batch.column(1).to_pylist())
             for lo, hi, data, offsets in blocks(batch.column(0)):
                 word, shape, first = features(data, offsets)
-                mine = np.repeat(role[lo:hi], np.diff(first))
-                total[0] += np.bincount(word, minlength=WORDS + SHAPES) + np.bincount(shape + WORDS, minlength=WORDS + SHAPES)
-                if mine.any():
-                    total[1] += np.bincount(word[mine], minlength=WORDS + SHAPES) + np.bincount(shape[mine] + WORDS, minlength=WORDS + SHAPES)
+                total[0] += np.bincount(word, minlength=size) + np.bincount(shape + WORDS, minlength=size)
+                for k in np.flatnonzero((role[lo:hi] == 1) | (role[lo:hi] == 3)):
+                    own, form = word[first[k] : first[k + 1]], shape[first[k] : first[k + 1]]
+                    if role[lo + k] == 1:
+                        np.add.at(total[1], own, 1)
+                        np.add.at(total[1], form + WORDS, 1)
+                    total[2 if role[lo + k] == 1 else 3][np.unique(own)] += 1
         some = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0][some]), pa.array(total[1][some])], ["bucket", "raw", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(t[some]) for t in total]], ["bucket", "raw", "target", "good", "bad"])
 
-    parts = docs.mapInArrow(run, "bucket long, raw long, target long")
-    return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    parts = docs.mapInArrow(run, "bucket long, raw long, target long, good long, bad long")
+    return parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", "target", "good", "bad")])
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: float = 0.9995) -> Model:
     """The model of good (quality 1, not toxic) against raw text.
 
     The raw model counts every document. The target model counts good ones of a sample of at most SAMPLE labelled
-    documents, chosen by a hash of their ids; the sample's other half calibrates, so that a share ``keep`` of its good
-    documents passes each of the two thresholds. Without good labelled documents nothing is rejected. A document
+    documents, chosen by a hash of their ids; three quarters of it. Words of these that good documents hardly have, but
+    rejected ones do, are evidence on their own: a few of them in a long text would vanish in its mean. The sample's last
+    quarter calibrates, so that a share ``keep`` of its good documents passes each of the two thresholds. Without good labelled documents nothing is rejected. A document
     labelled more than once is good if all its labels say so; labels without a doc_id don't count.
     """
     good = F.min(((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int"))
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(good.alias("good"))
     order = F.xxhash64("doc_id", F.lit(6))
     marks = marks.withColumn("h", order).orderBy("h", "doc_id").limit(SAMPLE)
-    marks = marks.select("doc_id", "good", F.when(F.pmod("h", F.lit(2)) == 0, F.when(F.col("good") == 1, 1).otherwise(0)).otherwise(2).alias("role"))
+    marks = marks.select("doc_id", "good", F.when(F.pmod("h", F.lit(4)) > 0, F.when(F.col("good") == 1, 1).otherwise(3)).otherwise(2).alias("role"))
     marks = _scratch.written(marks, "quality-sample")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     marked = text.join(F.broadcast(marks), "doc_id", "left")  # at most SAMPLE rows
     sums = _counts(marked.select("text", F.coalesce("role", F.lit(0)).alias("role"))).collect()  # a row for each bucket
-    raw, target = np.zeros(WORDS + SHAPES), np.zeros(WORDS + SHAPES)
+    raw, target, good, bad = np.zeros((4, WORDS + SHAPES))
     for r in sums:
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
+        raw[r["bucket"]], target[r["bucket"]], good[r["bucket"]], bad[r["bucket"]] = r["raw"], r["target"], r["good"], r["bad"]
+    sizes = {r["role"]: r["n"] for r in marks.groupBy("role").agg(F.count("*").alias("n")).collect()}
 
     def ratio(part: slice) -> np.ndarray:
         if not target[part].sum():
@@ -136,29 +147,33 @@ def train(docs: DataFrame, labels: DataFrame, keep: float = 0.9995) -> Model:
         expected = raw[part] * (target[part].sum() / raw[part].sum())
         return np.log((target[part] + PRIOR) / (expected + PRIOR))
 
-    model = Model(ratio(slice(0, WORDS)), ratio(slice(WORDS, None)))
+    odds = np.log((good[:WORDS] + 1) / (sizes.get(1, 0) + 2)) - np.log((bad[:WORDS] + 1) / (sizes.get(3, 0) + 2))
+    odds = np.where((odds < STRONG) & (bad[:WORDS] >= STRONG_DOCS), odds, 0.0)
+    model = Model(ratio(slice(0, WORDS)), ratio(slice(WORDS, None)), odds)
+    model.words[0] = model.evidence[0] = 0  # words without letters
     if not target.any():
         return model
-    held = scored(marked.where("role = 2").select("doc_id", "text", "good"), model, ["doc_id", "good"]).where("good = 1").select("mean", "strong").collect()
+    held = scored(marked.where("role = 2").select("doc_id", "text", "good"), model, ["doc_id", "good"]).where("good = 1").select("mean", "strong", "n_words").collect()
     if held:
-        # of n held documents the thresholds may reject (1 - keep) n, and lie a margin below the least that stays
-        mean, strong = (np.sort([r[k] for r in held]) for k in ("mean", "strong"))
+        # of n held documents each threshold may reject (1 - keep) n, and lies a margin below the least that stays
+        mean, strong, size = (np.array([r[k] for r in held], dtype=np.float64) for k in ("mean", "strong", "n_words"))
+        model.allowance = float(-4 * strong.sum() / max(1.0, size.sum()))
         at = int((1 - keep) * len(held))
-        model.least_mean, model.least_strong = mean[at] - 0.02, strong[at] - 0.5
+        model.least_mean, model.least_strong = np.sort(mean)[at] - 0.02, np.sort(strong + model.allowance * size)[at] - 0.5
     return model
 
 
 def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """columns, then mean, strong and accepted, of every row of docs by its whole text."""
+    """columns, then mean, strong, n_words and accepted, of every row of docs by its whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.scores(data, offsets) for _, _, data, offsets in blocks(batch.column(len(columns)))]
-            mean, strong = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(mean), pa.array(strong), pa.array(model.keeps(mean, strong))], [*columns, "mean", "strong", "accepted"])
+            mean, strong, size = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(mean), pa.array(strong), pa.array(size.astype(np.int64)), pa.array(model.keeps(mean, strong, size))], [*columns, "mean", "strong", "n_words", "accepted"])
 
     own = docs.select(*columns, F.col("text").cast("string").alias("text"))
-    schema = own.select(*columns).schema.add("mean", "double").add("strong", "double").add("accepted", "boolean")
+    schema = own.select(*columns).schema.add("mean", "double").add("strong", "double").add("n_words", "long").add("accepted", "boolean")
     return own.mapInArrow(run, schema)
 
 
@@ -211,7 +226,7 @@ def resample(scores: DataFrame, k: int, strength: float = 20.0, seed: int = 6) -
 
 
 def classify(docs: DataFrame, labels: DataFrame, share: float = 0.5) -> DataFrame:
-    """(doc_id, score, strong, accepted, log_weight, gumbel_key, selected) of every document.
+    """(doc_id, score, strong, n_words, accepted, log_weight, gumbel_key, selected) of every document.
 
     score is the mean log ratio, strong the sum of strong evidence against; accepted is the classifier's decision;
     selected is the Gumbel top-k draw of a share of the accepted documents. A text without words scores 0 and is
