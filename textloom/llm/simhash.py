@@ -207,25 +207,31 @@ def _chain_keys(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both[0] | start, both[1]
 
 
+#: Rows of a run up to which all its pairs are compared side by side with those of other runs.
+SHORT_RUN = 32
+
+
 def _run_edges(key: np.ndarray, f: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links (Hamming distance up to most) within each run of equal keys; linear in rows."""
     label, n = np.arange(len(key)), len(key)
-    src: list[np.ndarray] = []
-    dst: list[np.ndarray] = []
     last = np.concatenate([np.flatnonzero(key[1:] != key[:-1]), [n - 1]])
+    first = np.concatenate([[0], last[:-1] + 1])
     end = last[np.searchsorted(last, label)] + 1
-    for d in range(1, int((end - label).max(initial=1))):
-        i = np.flatnonzero(label + d < end) if d == 1 else i[i + d < end[i]]
+    i, found = label, [(np.zeros(0, np.int64),) * 2]
+    for d in range(1, SHORT_RUN):
+        i = i[(i + d < end[i]) & ((d <= 8) | (end[i] - first[np.searchsorted(last, i)] <= SHORT_RUN))]
         if not len(i):
             break
         ok = np.bitwise_count(f[i] ^ f[i + d]).sum(axis=1, dtype=np.int32) <= most
-        # a row needs few links downwards: what is joined already through a nearer row stays out
-        src.append(i[ok])
-        dst.append(i[ok] + d)
-        if sum(map(len, src)) > 4 * n:
-            label = _joined(label, np.concatenate(src), np.concatenate(dst))
-            src, dst = [], []
-    label = _joined(label, np.concatenate(src), np.concatenate(dst)) if src else label
+        found.append((i[ok], i[ok] + d))
+    label = _joined(label, *(np.concatenate([p[k] for p in found]) for k in (0, 1)))
+    for a, z in zip(first.tolist(), (last + 1).tolist(), strict=True):
+        if z - a > SHORT_RUN:  # the largest component so far is whole: each other row is compared with all
+            names, sizes = np.unique(label[a:z], return_counts=True)
+            rest = np.flatnonzero(label[a:z] != names[sizes.argmax()]) + a
+            hits = [(np.full(len(h), r), h) for r in rest.tolist() for h in [np.flatnonzero(np.bitwise_count(f[a:z] ^ f[r]).sum(axis=1, dtype=np.int32) <= most) + a]]
+            if hits:
+                label[a:z] = a + _joined(label[a:z] - a, *(np.concatenate([h[k] for h in hits]) - a for k in (0, 1)))
     moved = np.flatnonzero(label != np.arange(n))
     return node[moved], node[label[moved]]
 
