@@ -543,3 +543,16 @@ def test_pipeline_hard(spark, hard, sf, tmp_path):
             docs = spark.read.parquet(f"{tmp_path}/{name}")
             if name != "packing":
                 assert docs.columns == hard.columns
+
+
+def test_units_of_random_texts(sf):
+    """Texts of characters at which cuts could go wrong, many in one block."""
+    rng = np.random.default_rng(9)
+    alphabet = list("aZ'st.,!-*#%$&|_(9") + [" "] * 5 + ["\n", "\t", "\r", "é", "ß", "×", "÷", "ÿ", "Ā", "日", "́", " ", " ", "\x1c", "\x0b", "\x0c", "\x00", "²", "İ", "Σ"]
+    texts = ["".join(rng.choice(alphabet, int(rng.integers(0, 30)))) for _ in range(1500)]
+    texts += ["".join(rng.choice(alphabet[:27], int(rng.integers(0, 40)))) for _ in range(1500)]
+    for name, kind in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
+        whole, encoder = library(name), tokens.UnitEncoder(public_tokenizers.path(name), kind)
+        ids, offsets = tokens.with_end(*encoder.encode(texts), 2)
+        for i, t in enumerate(texts):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == whole(t, 2), repr(t)

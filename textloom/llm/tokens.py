@@ -4,34 +4,63 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
-#: What no pre-token of the vocabularies crosses: white space runs, and words with the one space before them.
-UNIT = {"byte": re.compile(r" ?\S+|\s+(?!\S)|\s+"), "word": re.compile(r"\S+")}
-#: Control characters that Python's \\s takes for white space and the library doesn't: such texts are encoded directly.
-ODD = re.compile("[\x1c-\x1f]")
+from textloom.llm._text import word_hashes, words
+
+#: Units whose borders every pre-token keeps: a run of Latin letters before white space or a mark, other runs without
+#: white space, and white space as the byte-level vocabulary cuts it (there a word carries the one space before it).
+_LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+_PLAIN = rf"{_LATIN}(?=[\s.,;:!?|*#%&$]|\Z)"
+UNIT = {"byte": re.compile(rf" ?{_PLAIN}| ?\S+|\s+(?!\S)|\s+"), "word": re.compile(rf"{_PLAIN}|\S+")}
+WORD = re.compile(rf" ?{_LATIN}\Z")
+#: White space beyond ASCII: such texts are cut by the patterns instead of by bytes.
+ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Control characters that Python takes for white space and the library doesn't: such texts are one unit.
+DIRECT, DIRECT_MARK = re.compile("[\x1c-\x1f]"), "\x1c"
+#: By byte: 1 a mark that _PLAIN may stand before, 2 an ASCII letter, 3 the second byte of a letter of U+00C0 to U+00FF.
+KIND = np.zeros(256, dtype=np.uint8)
+KIND[[ord(c) for c in ".,;:!?|*#%&$"]] = 1
+KIND[65:91] = KIND[97:123] = 2
+KIND[128:192] = 3
+KIND[[0x97, 0xB7]] = 0
 #: Units that a worker keeps.
-KEPT = 300_000
+KEPT = 600_000
 
 
-class UnitEncoder:
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes in order for those
+    from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+LETTERS = _byte_letters()
+
+
+class UnitEncoder(dict):
     """Encodes texts unit by unit; equal to encoding them whole, as no pre-token crosses a unit's border.
 
     kind: "byte" for a byte-level vocabulary whose words carry the space before them, "word" for one that drops white
-    space. Each distinct unit is encoded once by the library and kept, up to KEPT units.
+    space and case. As a dict it numbers the units seen, up to KEPT. A new unit of plain letters is one pre-token and goes
+    to the library's model directly, any other through the whole library.
     """
 
     _own: dict[tuple[str, str], UnitEncoder] = {}
 
     def __init__(self, path: str, kind: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model, self.lower = self.library.model, kind == "word"
         self.unit = UNIT[kind].findall
-        self.clear()
+        self.forget()
 
     @classmethod
     def of(cls, path: str, kind: str) -> UnitEncoder:
@@ -40,49 +69,113 @@ class UnitEncoder:
             cls._own[path, kind] = cls(path, kind)
         return cls._own[path, kind]
 
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.at, self.size = np.zeros(1 << 20, dtype=np.uint16), np.zeros(1 << 16, dtype=np.int64), 0
-
-    def _learn(self, new: list[str]) -> None:
-        for unit, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            own = found.ids
-            while self.size + len(own) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            k = len(self.number)
-            if k + 2 > len(self.at):
-                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-            self.ids[self.size : self.size + len(own)] = own
-            self.size += len(own)
-            self.at[k + 1] = self.size
-            self.number[unit] = k
+    def forget(self) -> None:
+        self.clear()
+        self.hashed: dict[int, int] = {}
+        self.ids, self.at, self.size = array("H"), array("q"), array("q")
+
+    def __missing__(self, unit: str) -> int:
+        if unit[:1] == DIRECT_MARK:  # a whole text
+            found = self.library.encode(unit[1:], add_special_tokens=False).ids
+            return self._add(None, found)
+        plain = WORD.match(unit)
+        if plain and self.lower and (low := unit.lower()) != unit:
+            self[unit] = k = self[low]
+            return k
+        if plain:
+            found = [t.id for t in self.model.tokenize(unit if unit.isascii() and self.lower else "".join(LETTERS[b] for b in unit.encode()))]
+        else:
+            found = self.library.encode(unit, add_special_tokens=False).ids
+        return self._add(unit, found)
+
+    def _add(self, unit: str | None, found: list[int]) -> int:
+        k = len(self.at)
+        if unit is not None:
+            self[unit] = k
+        self.at.append(len(self.ids))
+        self.size.append(len(found))
+        self.ids.extend(found)
+        return k
+
+    def _codes(self, text: str) -> np.ndarray:
+        own = self.unit(text)
+        return np.fromiter(map(self.__getitem__, own), dtype=np.int64, count=len(own))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids as uint16, offsets) of the texts."""
-        if len(self.number) > KEPT:
-            self.clear()
-        counts, units, direct = np.zeros(len(texts), dtype=np.int64), [], {}
-        for i, text in enumerate(texts):
-            if ODD.search(text):
-                direct[i] = self.library.encode(text, add_special_tokens=False).ids
-                continue
-            own = self.unit(text)
-            counts[i] = len(own)
-            units += own
-        number = self.number
-        new = [u for u in dict.fromkeys(units) if u not in number]
-        if new:
-            self._learn(new)
-        code = np.fromiter(map(number.__getitem__, units), dtype=np.int64, count=len(units))
-        size = self.at[code + 1] - self.at[code]
+        if len(self) > KEPT:
+            self.forget()
+        plain = [not ODD.search(t) for t in texts]
+        codes, first = self._block_codes([t if ok else "" for t, ok in zip(texts, plain, strict=True)])
+        if not all(plain):
+            codes = [codes[first[i] : first[i + 1]] if ok else np.array([self[DIRECT_MARK + t]]) if DIRECT.search(t) else self._codes(t) for i, (t, ok) in enumerate(zip(texts, plain, strict=True))]
+            first = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
+            codes = np.concatenate(codes)
+        if not len(codes):
+            return np.zeros(0, np.uint16), np.zeros(len(texts) + 1, np.int64)
+        size, at = np.frombuffer(self.size, dtype=np.int64)[codes], np.frombuffer(self.at, dtype=np.int64)[codes]
         total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(self.at[code] - total[:-1], size) + np.arange(total[-1])]
-        edge = np.concatenate([[0], np.cumsum(counts)])
-        offsets = total[edge]
-        if direct:
-            parts = [np.array(direct[i], dtype=np.uint16) if i in direct else ids[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
-            ids, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        return ids, offsets
+        ids = np.frombuffer(self.ids, dtype=np.uint16)[np.repeat(at - total[:-1], size) + np.arange(total[-1])] if total[-1] else np.zeros(0, np.uint16)
+        return ids, total[first]
+
+    def _block_codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(unit numbers, first unit of each text and the total) by numpy: units are cut and hashed as bytes, and only the
+        distinct ones of a block become strings."""
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        starts, ends, first = words(data, offsets)
+        # marks at a word's end, after a Latin letter, are a unit of their own
+        kind = KIND[data]
+        mark_run = np.maximum.accumulate(np.where(kind == 1, 0, np.arange(1, len(data) + 1)))  # end of the last non-mark
+        core = np.maximum(mark_run[ends - 1], starts)
+        before = core - 1
+        latin = (core > starts) & (core < ends) & ((kind[before] == 2) | (core - 2 >= starts) & (data[before - 1] == 0xC3) & (kind[before] == 3))
+        core = np.where(latin, core, ends)
+        spaced = starts.copy()
+        spaces = [np.zeros(0, np.int64)] * 2
+        if not self.lower:
+            inside = np.ones(len(data) + 1, dtype=bool)
+            inside[offsets] = False
+            lead = (starts > 0) & inside[starts] & (data[starts - 1] == 32)
+            spaced = starts - lead
+            spaces = self._space_units(data, offsets, starts, ends, spaced)
+        tail = np.flatnonzero(latin)
+        begin = np.concatenate([spaced, core[tail], spaces[0]])
+        end = np.concatenate([core, ends[tail], spaces[1]])
+        order = np.argsort(begin, kind="stable")
+        begin, end = begin[order], end[order]
+        distinct, where, inverse = np.unique(word_hashes(data, begin, end, 4), return_index=True, return_inverse=True)
+        get, whole, found = self.hashed.get, data.tobytes(), np.empty(len(distinct), dtype=np.int64)
+        for i, (h, k) in enumerate(zip(distinct.tolist(), where.tolist(), strict=True)):
+            code = get(h)
+            if code is None:
+                code = self.hashed[h] = self[whole[begin[k] : end[k]].decode()]
+            found[i] = code
+        return found[inverse], np.searchsorted(begin, offsets)
+
+    @staticmethod
+    def _space_units(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, spaced: np.ndarray) -> list[np.ndarray]:
+        """[starts, ends] of the white space that no word takes along: what lies between the words of a text, less the
+        space before a word. If a word follows at once, the last character is a unit of its own."""
+        taken = np.zeros(len(data) + 1, dtype=np.int8)
+        taken[spaced] += 1
+        taken[ends] -= 1
+        free = np.cumsum(taken[:-1]) == 0
+        begin, end = free.copy(), free.copy()
+        begin[1:] &= ~free[:-1]
+        end[:-1] &= ~free[1:]
+        some = offsets[:-1] < offsets[1:]
+        at, last = offsets[:-1][some], offsets[1:][some] - 1
+        begin[at], end[last] = free[at], free[last]
+        low, high = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        follows = np.zeros(len(data) + 1, dtype=bool)
+        follows[starts] = True
+        follows[offsets] = False
+        one = follows[high] & (high - low > 1)
+        return [np.concatenate([low, high[one] - 1]), np.concatenate([np.where(one, high - 1, high), high[one]])]
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
