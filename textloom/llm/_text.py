@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _U = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -31,7 +31,7 @@ def _odd(seed: int) -> int:
     return int(mix(np.array([seed * 2 + 1], dtype=np.uint64))[0]) | 1
 
 
-@lru_cache(maxsize=16)
+@lru_cache(maxsize=8)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     def run(b: int) -> np.ndarray:
         out = np.full(n, b, dtype=np.uint64)

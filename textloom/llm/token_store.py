@@ -118,7 +118,7 @@ def write(docs: DataFrame, to: str, path: str, kind: str = "byte", end: int = 2)
 
 def read(spark: SparkSession, at: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document of a store, decoded from its files. start counts the ids of
-    all documents before it: by a running sum over the blocks' totals, which are one row for each MB of text."""
+    all documents before it: by a running sum over the blocks' totals, which are two rows for each MB of text."""
     blocks = spark.read.schema("part int, block long, docs array<long>, sizes array<long>, n long, control binary, data binary").parquet(f"{at}/blocks")
     ids = np.array(spark.read.schema("ids array<int>").parquet(f"{at}/ranks").first()["ids"], dtype="<u4")
     parts = blocks.groupBy("part").agg(F.sum("n").alias("n"))
@@ -146,7 +146,7 @@ def store_documents(docs: DataFrame, path: str, kind: str = "byte", end: int = 2
     """(doc_id, start, n_tokens, ids_crc32) of every document, from a store written to the shared folder and read back.
 
     A null or empty text has the end id alone; rows of a null doc_id come first; repeated doc_ids follow each other; an
-    empty table gives no rows. Texts are tokenized whole, in blocks of about 1 MB of whole documents.
+    empty table gives no rows. Texts are tokenized whole, in blocks of about half a MB of whole documents.
     """
     at = _scratch.new_path(docs.sparkSession, "token-store")
     write(docs, at, path, kind, end)
