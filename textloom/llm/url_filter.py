@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a sorted sweep's partition.
-SWEEP_ROWS = 50_000
+#: Rows of a sorted sweep's partition, and at least so many for each rule, whose boundaries every partition has.
+SWEEP_ROWS, ROWS_PER_RULE = 1_000, 10
 
 
 def host_of(url: Column) -> Column:
@@ -62,16 +62,17 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     once, the blocking one first; a null url has an empty host and path and fits only a rule of an empty host, of which
     there is none; an empty table gives no rows.
 
-    Pages are salted by page_id into partitions of about SWEEP_ROWS, each of which merges its sorted keys with the sorted
+    Pages are salted by page_id into partitions of about SWEEP_ROWS or more, each of which merges its sorted keys with the sorted
     boundaries of the rules; a host with very many pages is so spread evenly. Only page_id and url are read.
     """
-    if rules.count() > 100_000:
+    known = rules.count()
+    if known > 100_000:
         raise ValueError("more than 100,000 rules")
     order = Window.partitionBy("host", "path").orderBy(F.col("verdict").desc())
     rules = rules.where("host <> ''").withColumn("n", F.row_number().over(order)).where("n = 1")
     rules = rules.select("path", "verdict", F.concat("host", "path").alias("rule"), host_key(F.col("host")).alias("prefix"), F.length(F.concat("host", "path")).alias("long"), F.length("host").alias("host_long"))
     steps = _boundaries(rules)
-    salts = max(1, -(-pages.count() // SWEEP_ROWS))
+    salts = max(1, -(-pages.count() // max(SWEEP_ROWS, ROWS_PER_RULE * known)))
     own = pages.select("page_id", F.col("url").cast("string").alias("url"))
     own = own.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.monotonically_increasing_id().alias("row"))
     own = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "row"), F.lit(salts)).cast("int"))
