@@ -468,6 +468,21 @@ def test_op8_stage_catches_copies(spark, sf01, hard):
     assert simhash.one_of_each(hard.limit(0)).count() == 0
 
 
+def test_op8_stage_keeps_links_of_large_buckets(spark, monkeypatch):
+    """Over 20,000 rows share a bucket; planted pairs meet only there, and differ in the segments that follow."""
+    rng = np.random.default_rng(8)
+    f = rng.integers(0, 1 << 63, (20_200, 4), dtype=np.uint64) * np.uint64(2)
+    f[:, 0] = f[:, 0] & np.uint64((1 << 44) - 1) | np.uint64(0xABCDE << 44)
+    other = f[:20].copy()
+    for seg in [*range(5, 62, 4), 63]:
+        other[:, seg // 16] ^= np.uint64(1 << 60 - 4 * (seg % 16))
+    every = np.concatenate([f, other]).view(np.int64).tolist()
+    made = spark.createDataFrame([(i, *x) for i, x in enumerate(every)], "doc_id long, f0 long, f1 long, f2 long, f3 long")
+    monkeypatch.setattr(simhash, "wide_fingerprints", lambda docs, width: made)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(None).collect()}
+    assert got == {i: i if i < len(f) else i - len(f) for i in range(len(every))}
+
+
 # --- 10
 
 

@@ -157,8 +157,6 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 #: The wide fingerprint of the pipeline's stage: 64 segments of 4 bits; a chain of CHAIN segments is a bucket's key.
 WIDE_BITS, SEGMENT_BITS, CHAIN = 256, 4, 5
-#: Rows of a bucket beyond which its key takes CHAIN further segments.
-HOT_BUCKET = 20_000
 
 
 def _wide(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
@@ -193,26 +191,25 @@ def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long")
 
 
-def _chain_keys(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 64) keys: from each of the 64 segments on the ring, CHAIN consecutive ones; and the CHAIN after them."""
+def _chain_keys(f: np.ndarray) -> np.ndarray:
+    """(n, 64) keys: from each of the 64 segments on the ring, CHAIN consecutive ones."""
     bits = np.unpackbits(f.astype(">u8").view(np.uint8).reshape(len(f), 32), axis=1).reshape(len(f), 64, 4)
     seg = (bits * np.array([8, 4, 2, 1], dtype=np.uint8)).sum(axis=2, dtype=np.uint64)
-    both = []
-    for first in (0, CHAIN):
-        key = np.zeros((len(f), 64), dtype=np.uint64)
-        for k in range(first, first + CHAIN):
-            key = key << np.uint64(4) | np.roll(seg, -k, axis=1)
-        both.append(key)
-    start = np.arange(64, dtype=np.uint64) << np.uint64(4 * CHAIN)
-    return both[0] | start, both[1]
+    key = np.zeros((len(f), 64), dtype=np.uint64)
+    for k in range(CHAIN):
+        key = key << np.uint64(4) | np.roll(seg, -k, axis=1)
+    return key | np.arange(64, dtype=np.uint64) << np.uint64(4 * CHAIN)
 
 
 #: Rows of a run up to which all its pairs are compared side by side with those of other runs.
 SHORT_RUN = 32
+#: Links found in a long run that are held before they are joined.
+HELD_LINKS = 1 << 18
 
 
 def _run_edges(key: np.ndarray, f: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links (Hamming distance up to most) within each run of equal keys; linear in rows."""
+    """A spanning forest of the links (Hamming distance up to most) within each run of equal keys: linear in rows where
+    they are copies of each other, else the square of those outside the largest component, in bounded memory."""
     label, n = np.arange(len(key)), len(key)
     last = np.concatenate([np.flatnonzero(key[1:] != key[:-1]), [n - 1]])
     first = np.concatenate([[0], last[:-1] + 1])
@@ -226,16 +223,29 @@ def _run_edges(key: np.ndarray, f: np.ndarray, node: np.ndarray, most: int) -> t
         found.append((i[ok], i[ok] + d))
     label = _joined(label, *(np.concatenate([p[k] for p in found]) for k in (0, 1)))
     for a, z in zip(first.tolist(), (last + 1).tolist(), strict=True):
-        if z - a > SHORT_RUN:  # the largest component so far is whole: each other row is compared with all
-            names, sizes = np.unique(label[a:z], return_counts=True)
-            rest = np.flatnonzero(label[a:z] != names[sizes.argmax()]) + a
-            hits = [(np.full(len(h), r), h) for r in rest.tolist() for h in [np.flatnonzero(np.bitwise_count(f[a:z] ^ f[r]).sum(axis=1, dtype=np.int32) <= most) + a]]
-            if hits:
-                label[a:z] = a + _joined(label[a:z] - a, *(np.concatenate([h[k] for h in hits]) - a for k in (0, 1)))
+        if z - a > SHORT_RUN:
+            label[a:z] = a + _whole_run(label[a:z] - a, f[a:z], most)
     moved = np.flatnonzero(label != np.arange(n))
     return node[moved], node[label[moved]]
 
 
+def _whole_run(label: np.ndarray, f: np.ndarray, most: int) -> np.ndarray:
+    """Labels after every link of one run: the largest component so far is whole, each row outside it is compared with
+    all rows. A row that has come into that component by others' links needs no comparison of its own."""
+    names, sizes = np.unique(label, return_counts=True)
+    inside = names[sizes.argmax()]
+    rows, hits, held = np.flatnonzero(label != inside).tolist(), [], 0
+    for k, r in enumerate(rows):
+        if label[r] != label[inside]:
+            near = np.flatnonzero(np.bitwise_count(f ^ f[r]).sum(axis=1, dtype=np.int32) <= most)
+            hits.append((np.full(len(near), r), near))
+            held += len(near)
+        if hits and (held > HELD_LINKS or k == len(rows) - 1):
+            label = _joined(label, *(np.concatenate([h[i] for h in hits]) for i in (0, 1)))
+            hits, held = [], 0
+    return label
+
+
 def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels (smallest row of each component) after also joining the rows a and b pairwise."""
     while True:
@@ -257,8 +267,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
     A similarity J of two sets of shingles means an angle of acos(2J / (1 + J)) between their vectors, and so that share
     of 256 SimHash bits differs. Fingerprints that share the bits of CHAIN consecutive segments, anywhere on the ring
     of 64, meet in a bucket and get the full Hamming check there. Equal fingerprints are one class from the start.
-    Buckets are sorted runs; within a run only a spanning forest leaves a task. A bucket of over HOT_BUCKET rows is
-    divided by the following CHAIN segments of the ring.
+    Buckets are sorted runs of any size, all of whose pairs count; within a run only a spanning forest leaves a task.
     """
     most = int(WIDE_BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.5) + 3
     table = _scratch.written(wide_fingerprints(docs, width), "simhash-wide")
@@ -270,17 +279,12 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
                 x = np.stack([part.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(4)], axis=1)
-                key, more = _chain_keys(x)
+                key = _chain_keys(x)
                 at = np.repeat(np.arange(len(x)), 64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(more.ravel().view(np.int64)), *[part.column(k).take(pa.array(at)) for k in range(5)]], ["key", "more", *f, "node"])
-
-    keyed = classes.select(*f, "node").mapInArrow(keys, "key long, more long, f0 long, f1 long, f2 long, f3 long, node long")
-    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BUCKET)
-    # a hot key has over HOT_BUCKET rows of a 64th of all, so there are few; the set is checked all the same
-    hot = _scratch.written(hot, "simhash-hot")
-    keyed = keyed.join(F.broadcast(hot) if hot.count() < 100_000 else hot, "key", "left")
-    key = F.when(F.col("n").isNull(), F.col("key")).otherwise(F.xxhash64("key", "more"))
-    runs = keyed.select(key.alias("key"), *f, "node").repartition("key").sortWithinPartitions("key")
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *[part.column(k).take(pa.array(at)) for k in range(5)]], ["key", *f, "node"])
+
+    keyed = classes.select(*f, "node").mapInArrow(keys, "key long, f0 long, f1 long, f2 long, f3 long, node long")
+    runs = keyed.repartition("key").sortWithinPartitions("key")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
