@@ -1,7 +1,9 @@
 """Properties, hand-computed values and expected failures of the operators."""
 
+import difflib
 import json
 import math
+import re
 import zipfile
 from collections import Counter
 
@@ -227,6 +229,27 @@ def test_text_measures(spark):
     assert got == {1: [("R", 1, 2), ("M", 3, 3)], 2: []}
 
 
+def test_alignment_equals_difflib(monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(textmeasures._Matcher, "STEPS", 0)
+    for n in (0, 1, 2, 5, 20, 60, 120):
+        for letters in ("a", "ab", "abcdefgh"):
+            for _ in range(20):
+                a = list(rng.choice(list(letters), n))
+                b = [x for x in a if rng.random() > 0.2] if rng.random() < 0.7 else list(rng.choice(list(letters), n + 3))
+                assert textmeasures._Matcher(None, a, b, autojunk=False).get_opcodes() == difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+
+def test_word_edits_of_long_texts(spark, sf):
+    from textloom.plans import statistics  # noqa: F401
+    from textloom.plans.registry import QUERIES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    changed = {r["doc_id"] for r in docs if r["text"] and re.search(r"\b(of|le|der) ", r["text"])}
+    assert any(len(r["text"]) >= 3000 for r in docs if r["doc_id"] in changed)
+    assert set(values(QUERIES["l06_word_edits"](spark, sf), "text_id")) == changed
+
+
 def test_files(spark, tmp_path):
     d = str(tmp_path)
     for name, raw in (("1_cefr_A1_level_2_grade_5.txt", "﻿hé\0llo".encode()), ("2_cefr_B2_level_11_grade_9.txt", "né".encode("cp1252")), ("3_cefr_C1_level_13_grade_1.txt", "wide".encode("utf-16"))):

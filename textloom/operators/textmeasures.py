@@ -58,8 +58,53 @@ def chunks(df: DataFrame, text: str = "text", most: int = 45) -> DataFrame:
     return rows.withColumn("w", w).select("doc_id", "sentence", F.posexplode(cut).alias("chunk", "c")).select("doc_id", "sentence", "chunk", F.size("c").alias("words"))
 
 
+class _Matcher(difflib.SequenceMatcher):
+    """difflib's alignment, without junk, where words that occur often don't make its steps quadratic."""
+
+    #: Steps of difflib's search for each word of both sides, beyond which the linear search takes its place.
+    STEPS = 32
+
+    def find_longest_match(self, alo: int = 0, ahi: int | None = None, blo: int = 0, bhi: int | None = None) -> difflib.Match:
+        ahi, bhi = len(self.a) if ahi is None else ahi, len(self.b) if bhi is None else bhi
+        if sum(len(self.b2j.get(w, ())) for w in self.a[alo:ahi]) <= self.STEPS * (ahi - alo + bhi - blo):
+            return super().find_longest_match(alo, ahi, blo, bhi)
+        # a suffix automaton of b: states' lengths, links, moves and first ends
+        size, link, moves, end, last = [0], [-1], [{}], [-1], 0
+        for j in range(blo, bhi):
+            w, now, p = self.b[j], len(size), last
+            size.append(size[last] + 1), link.append(0), moves.append({}), end.append(j)
+            while p >= 0 and w not in moves[p]:
+                moves[p][w] = now
+                p = link[p]
+            if p >= 0:
+                q = moves[p][w]
+                if size[q] == size[p] + 1:
+                    link[now] = q
+                else:
+                    twin = len(size)
+                    size.append(size[p] + 1), link.append(link[q]), moves.append(dict(moves[q])), end.append(end[q])
+                    while p >= 0 and moves[p].get(w) == q:
+                        moves[p][w] = twin
+                        p = link[p]
+                    link[q] = link[now] = twin
+            last = now
+        # the longest run that ends at each word of a; of equal ones the first in a, then in b, as in difflib
+        best, state, length = (alo, blo, 0), 0, 0
+        for i in range(alo, ahi):
+            w = self.a[i]
+            while state and w not in moves[state]:
+                state = link[state]
+                length = size[state]
+            if w in moves[state]:
+                state, length = moves[state][w], length + 1
+            if length > best[2]:
+                best = (i + 1 - length, end[state] + 1 - length, length)
+        return difflib.Match(*best)
+
+
 def align(pairs: DataFrame) -> DataFrame:
     """(text_id, edits): untyped edits (M, U, R with spans of words) of original to corrected; equal texts have none.
+    Whole texts of any length; opcodes are difflib's.
 
     The alignment is Python in Arrow batches; the roll-up of edits is plain expressions (describe.text_rollup)."""
     schema = "text_id long, edits array<struct<operation string, start long, stop long, corrected_start long, corrected_stop long, original string, corrected string>>"
@@ -70,7 +115,7 @@ def align(pairs: DataFrame) -> DataFrame:
             out = []
             for a, b in zip(pdf["original"], pdf["corrected"], strict=True):
                 x, y = (a or "").split(), (b or "").split()
-                ops = difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if a != b else []
+                ops = _Matcher(None, x, y, autojunk=False).get_opcodes() if a != b else []
                 out.append([(names[op], i, j, k, m, " ".join(x[i:j]), " ".join(y[k:m])) for op, i, j, k, m in ops if op != "equal"])
             yield pd.DataFrame({"text_id": pdf["text_id"], "edits": out})
 

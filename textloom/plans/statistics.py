@@ -596,7 +596,7 @@ def l05(spark, sf):
 
 @query("l06_word_edits")
 def l06(spark, sf):
-    d = table(spark, sf, "documents").where("length(text) < 3000")
+    d = table(spark, sf, "documents")
     pairs = d.select(F.col("doc_id").alias("text_id"), F.col("text").alias("original"), F.regexp_replace("text", r"\b(of|le|der) ", "").alias("corrected"))
     found = textmeasures.align(pairs).select("text_id", F.explode("edits").alias("e")).select("text_id", F.concat(F.col("e.operation"), F.lit(":OTHER")).alias("error_type"), "e.start", "e.stop")
     return describe.text_rollup(found)
