@@ -1,6 +1,7 @@
 """Properties, hand-computed values and expected failures of the operators."""
 
 import difflib
+import inspect
 import json
 import math
 import re
@@ -219,6 +220,45 @@ def test_additive_model_learns_and_decomposes(spark):
     assert additive.dummy(df, "y", "classifier").where("score = 1").first()["output"] in ("hi", "lo")
 
 
+def test_smoothing_rounds_step_by_few_runs_of_bins():
+    rng = np.random.default_rng(2)
+    x = rng.random((500, 1))
+    x[::9] = np.nan
+    y = np.nan_to_num(3 * x[:, 0], nan=7)
+
+    def scores(**more):
+        t = additive.fit_arrays(x, y, ["a"], None, bins=32, **more)
+        return t[(t["feature"] == "a") & (t["bin"] > 0)]["score"].round(12).nunique()
+
+    assert scores(rounds=4) > additive.LEAVES
+    assert scores(rounds=1, smoothing=1) == additive.LEAVES < scores(rounds=1, smoothing=0)
+    flat = np.full((30, 1), 2.0)
+    assert len(additive.fit_arrays(flat, y[:30], ["a"], None, rounds=8))
+
+
+@pytest.mark.parametrize("name", ["k01_k03_additive_classifier", "k01_additive_regressor", "k06_models_of_all_feature_sets", "j06_transfer_to_unseen_tasks", "e44_e45_e46_bootstrap_accuracy"])
+def test_queries_run_the_whole_operator(spark, sf, monkeypatch, name):
+    """200 rounds and 128 bins of a model, 2,000 draws of a bootstrap."""
+    from textloom.plans import pipelines, statistics  # noqa: F401
+    from textloom.plans.registry import QUERIES
+
+    seen = []
+
+    def noted(f):
+        def run(*args, **more):
+            bound = inspect.signature(f).bind(*args, **more)
+            bound.apply_defaults()
+            seen.append({k: bound.arguments[k] for k in ("rounds", "bins", "draws") if k in bound.arguments})
+            return f(*args, **more)
+
+        return run
+
+    monkeypatch.setattr(additive, "fit", noted(additive.fit))
+    monkeypatch.setattr(resample, "bootstrap_weights", noted(resample.bootstrap_weights))
+    QUERIES[name](spark, sf)
+    assert seen == [{"draws": 2000}] if name.startswith("e44") else seen == [{"rounds": 200, "bins": 128}]
+
+
 def test_text_measures(spark):
     df = frame(spark, [(1, "The cat. The dog!\n- one\n2) " + "w " * 100), (2, ""), (3, None)], "doc_id long, text string")
     c = textmeasures.chunks(df).where("doc_id = 1").orderBy("sentence", "chunk").collect()

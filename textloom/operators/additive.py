@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BINS, RATE, ROUNDS = 128, 0.04, 200
+#: Parts into which a smoothing round cuts a feature's bins.
+LEAVES = 3
 TERMS = "model string, feature string, bin int, low double, output string, score double"
 
 
@@ -17,9 +19,10 @@ def _edges(x: np.ndarray, bins: int) -> np.ndarray:
     return np.unique(np.quantile(some, np.arange(1, bins) / bins)) if len(some) else np.zeros(0)
 
 
-def fit_arrays(x: np.ndarray, y: np.ndarray, names: list[str], outputs: list[str] | None, rounds: int = ROUNDS, rate: float = RATE, bins: int = BINS) -> pd.DataFrame:
+def fit_arrays(x: np.ndarray, y: np.ndarray, names: list[str], outputs: list[str] | None, rounds: int = ROUNDS, rate: float = RATE, bins: int = BINS, smoothing: int | None = None) -> pd.DataFrame:
     """The terms of a model: cyclic boosting, each step the mean (or Newton) step of every bin of one feature, shrunk by
-    rate. outputs: the classes of a classifier with balanced class weights, None for a regressor. Bin 0 is missing; the
+    rate. The first ``smoothing`` rounds (min(50, rounds // 4) if not given) step by LEAVES runs of bins between random
+    cuts instead, the missing bin apart, which sets the broad shape first. outputs: the classes of a classifier with balanced class weights, None for a regressor. Bin 0 is missing; the
     intercept is the feature ''."""
     n, f = x.shape
     edges = [_edges(x[:, j], bins) for j in range(f)]
@@ -36,7 +39,9 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, names: list[str], outputs: list[str
         y = y.astype(float)
         weight, start = np.ones(n), np.array([y.mean()])
     z = np.tile(start, (n, 1))
-    for _ in range(rounds):
+    smoothing = min(50, rounds // 4) if smoothing is None else smoothing
+    rng = np.random.default_rng(0)
+    for done in range(rounds):
         for j in range(f):
             if outputs:
                 p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -47,6 +52,10 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, names: list[str], outputs: list[str
             size = len(edges[j]) + 2
             g = np.stack([np.bincount(binned[j], grad[:, c], size) for c in range(k)], axis=1)
             h = np.stack([np.bincount(binned[j], hess[:, c], size) for c in range(k)], axis=1)
+            if done < smoothing:
+                cuts = np.sort(rng.choice(np.arange(2, size), min(LEAVES - 1, size - 2), replace=False))
+                leaf = np.concatenate([[0], 1 + np.searchsorted(cuts, np.arange(1, size), "right")])
+                g, h = (np.stack([np.bincount(leaf, s[:, c])[leaf] for c in range(k)], axis=1) for s in (g, h))
             step = rate * g / (h + 1.0)
             scores[j] += step
             z += step[binned[j]]

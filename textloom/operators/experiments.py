@@ -55,7 +55,7 @@ def fit_all(rows: DataFrame, models: dict[str, list[str]], label: str, kind: str
     return terms.unionByName(additive.dummy(rows, label, kind))
 
 
-def transfer(rows: DataFrame, features: list[str], rounds: int = 30, bins: int = 32) -> DataFrame:
+def transfer(rows: DataFrame, features: list[str], rounds: int = additive.ROUNDS, bins: int = additive.BINS) -> DataFrame:
     """(direction, part, n, mae, rmse, r2): regressors trained without one half of the tasks, in both directions, scored
     on validation texts of tasks they have and have not seen."""
     folds = resample.task_folds(rows).select("level", "topic", (F.col("fold") <= 4).alias("low"))

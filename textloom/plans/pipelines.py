@@ -32,7 +32,7 @@ def j06(spark, sf):
 def k06(spark, sf):
     rows = resample.with_split(frame(spark, sf)).where("split = 'train'")
     sets = {"all": list(FEATURES), "no_length": [f for f in FEATURES if "basic" not in f]}
-    terms = experiments.fit_all(rows, sets, "level", "regressor", rounds=10, bins=16)
+    terms = experiments.fit_all(rows, sets, "level", "regressor")
     return terms.groupBy("model").agg(F.countDistinct("feature").alias("features"), F.count("*").alias("terms"))
 
 

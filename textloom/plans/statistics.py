@@ -374,7 +374,7 @@ def e42(spark, sf):
 @query("e44_e45_e46_bootstrap_accuracy")
 def e44(spark, sf):
     test = predictions(spark, sf).where("split = 'test'")
-    cells = resample.bootstrap_cells(test, resample.bootstrap_weights(test, 200), "level", "predicted_level")
+    cells = resample.bootstrap_cells(test, resample.bootstrap_weights(test), "level", "predicted_level")
     draws = cells.groupBy("draw").agg((F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
     return resample.interval(draws.withColumn("metric", F.lit("accuracy")), "accuracy", ["metric"])
 
@@ -518,7 +518,7 @@ def jobs(spark, sf):
 @query("k01_k03_additive_classifier")
 def k01(spark, sf):
     features = [f for f in FEATURES if "price" not in f]
-    terms = additive.fit(jobs(spark, sf), features, "cefr_level", "classifier", rounds=30, bins=32)
+    terms = additive.fit(jobs(spark, sf), features, "cefr_level", "classifier")
     test = resample.with_split(frame(spark, sf)).where("split = 'test'")
     p = additive.predict(test, features, terms)
     best = p.groupBy("text_id").agg(F.max_by("output", F.struct("probability", "output")).alias("predicted"), F.max("probability").alias("probability"))
@@ -527,7 +527,7 @@ def k01(spark, sf):
 
 @query("k01_additive_regressor")
 def k01b(spark, sf):
-    terms = additive.fit(jobs(spark, sf), list(FEATURES), "level", "regressor", rounds=30, bins=32)
+    terms = additive.fit(jobs(spark, sf), list(FEATURES), "level", "regressor")
     test = resample.with_split(frame(spark, sf)).where("split = 'test'")
     p = additive.predict(test, list(FEATURES), terms).select("text_id", S.clamp(F.col("score"), 1.0, 15.0).alias("p"))
     return metrics.regression_scores(test.join(p, "text_id"), "level", "p")
