@@ -169,6 +169,39 @@ def test_neighbour_information_tells_signal_from_noise(spark):
     assert abs(got["signal"]["mi"] - math.log(3)) < 0.05 and got["noise"]["mi"] < 0.06 and got["flat"]["mi"] == 0
 
 
+def neighbours_by_hand(x, y, k=3):
+    """Ross's estimator by comparing every pair of rows."""
+    psi = lambda n: sum(1 / i for i in range(1, int(n))) - 0.5772156649015329
+    use = [i for i in range(len(x)) if (y == y[i]).sum() > 1]
+    parts = []
+    for i in use:
+        own = y == y[i]
+        kk = min(k, own.sum() - 1)
+        d = np.sort(np.abs(x[own] - x[i]))[kk]
+        m = sum(abs(x[j] - x[i]) < d or x[j] == x[i] for j in use)
+        parts.append(psi(kk) - psi(own.sum()) - psi(max(1, m)))
+    return max(0.0, psi(len(use)) + np.mean(parts)) if use and x.min() < x.max() else 0.0
+
+
+def test_neighbour_information_equals_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    made = {
+        "smooth": lambda i: i % 4 + rng.normal(), "tied": lambda i: float((i % 4 + rng.integers(0, 9)) // 2), "tenths": lambda i: (i % 4 - rng.integers(0, 30)) / 10,
+        "wide": lambda i: (i % 4 + 1) * 10.0 ** rng.integers(-12, 12) * rng.choice([-1, 1]), "flat": lambda i: 2.0,
+    }
+    rows = [(f, i, 99 if i == 5 else 50 if i in (6, 7) else i % 4, float(v(i))) for f, v in made.items() for i in range(240)]
+    got = {r["feature"]: r for r in information.neighbour_information(frame(spark, rows, "feature string, text_id long, level int, value double")).collect()}
+    for f in made:
+        x, y = (np.array([r[c] for r in rows if r[0] == f]) for c in (3, 2))
+        assert got[f]["n"] == 240 and math.isclose(got[f]["mi"], neighbours_by_hand(x, y), abs_tol=1e-9)
+
+
+def test_neighbour_information_of_many_rows_is_of_all(spark):
+    long = spark.range(210_000).selectExpr("'f' as feature", "id as text_id", "cast(id % 2 as int) as level", "cast(id + 1000000 * (id % 2) as double) as value")
+    r = information.neighbour_information(long).first()
+    assert r["n"] == 210_000 and math.isclose(r["mi"], math.log(2), abs_tol=1e-3)
+
+
 def test_tolerant_rank_keeps_the_first_of_a_run_as_anchor(spark):
     df = frame(spark, [("a", 1.0), ("b", 1.0 - 5e-10), ("c", 1.0 - 1.5e-9), ("d", 0.5)], "feature string, score double")
     assert {r["feature"]: r["rank"] for r in information.tolerant_rank(df).collect()} == {"a": 1, "b": 1, "c": 3, "d": 4}

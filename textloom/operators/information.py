@@ -72,60 +72,74 @@ def binned_information(long: DataFrame, target: str = "level", bins: int = 20) -
     return part.groupBy("feature").agg(F.greatest(F.lit(0.0), F.sum("m")).alias("mi"))
 
 
-def neighbour_information(long: DataFrame, target: str = "level", k: int = 3, most: int = 200_000) -> DataFrame:
+def _psi(n: Column) -> Column:
+    """Digamma of a whole number of 1 or more: its sum below 20, then its series, to about 1e-13."""
+    small = F.array(*[F.lit(sum(1 / i for i in range(1, m)) - 0.5772156649015329) for m in range(1, 20)])
+    x = n.cast("double")
+    series = F.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    return F.when(n < 20, F.get(small, (n - 1).cast("int"))).otherwise(series)
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Doubles as whole numbers of the same order, and back (as their bits)."""
+    bits = x.view(np.int64)
+    return bits ^ (bits >> 63 & 0x7FFFFFFFFFFFFFFF)
+
+
+@F.pandas_udf(T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))
+def _reach(value: pd.Series, distance: pd.Series) -> pd.DataFrame:
+    """The least and greatest double less than distance from value by a rounded difference (value itself for 0), by
+    bisection of all doubles: value +- distance alone would round."""
+    x, d = value.to_numpy(float), distance.to_numpy(float)
+    out = []
+    for sign in (-1.0, 1.0):
+        y = sign * x + 0.0
+        inside, outside = _ordered(y), _ordered(np.full(len(y), np.inf))
+        while (outside - inside != 1).any():
+            mid = (inside & outside) + ((inside ^ outside) >> 1)
+            near = _ordered(mid).view(float) - y < d
+            inside, outside = np.where(near, mid, inside), np.where(near, outside, np.maximum(mid, inside + 1))
+        out.append(np.where(d > 0, sign * _ordered(inside).view(float) + 0.0, x))
+    return pd.DataFrame({"low": out[0], "high": out[1]})
+
+
+def neighbour_information(long: DataFrame, target: str = "level", k: int = 3) -> DataFrame:
     """(feature, n, mi, normalised) by Ross's nearest-neighbour estimator of a continuous value and a class, in nats,
     at least 0, normalised by the class's entropy and at most 1; constants score 0.
 
-    One task for each feature, on sorted numpy arrays. At most ``most`` rows of a feature are taken, those of the least
-    hash of (value, target, text); classes of one row are left out as the estimator asks. Equal values are distances 0."""
-    rows = long.where(F.col("value").isNotNull() & F.col(target).isNotNull()).select("feature", "text_id", "value", F.col(target).alias("y"))
-    total = rows.groupBy("feature").agg(F.count("*").alias("_n"))
-    rate = F.lit(float(most)) / F.col("_n")
-    rows = rows.join(total, "feature").where((rate >= 1) | (F.pmod(F.xxhash64("text_id"), F.lit(1 << 40)) / float(1 << 40) < rate))
-
-    def psi(n: np.ndarray) -> np.ndarray:
-        table = np.concatenate([[0.0], np.cumsum(1 / np.arange(1, n.max() + 1))])
-        return table[n - 1] - 0.5772156649015329
-
-    def within(order: np.ndarray, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
-        """How many of the sorted values lie within the radius of each x; x +- radius alone would round."""
-        low, high = np.searchsorted(order, x - radius, "left"), np.searchsorted(order, x + radius, "right")
-        pad = np.concatenate([[-np.inf], order, [np.inf]])
-        while (off := pad[high] - x > radius).any():
-            high = high - off
-        while (off := pad[high + 1] - x <= radius).any():
-            high = high + off
-        while (off := x - pad[low + 1] > radius).any():
-            low = low + off
-        while (off := x - pad[low] <= radius).any():
-            low = low - off
-        return high - low
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["value"].to_numpy(float), pdf["y"].to_numpy()
-        p = np.unique(y, return_counts=True)[1] / len(y)
-        h = float(-(p * np.log(p)).sum())
-        mi = 0.0
-        if x.min() < x.max():
-            radius, ks, sizes, use = np.zeros(len(x)), np.zeros(len(x), int), np.zeros(len(x), int), np.zeros(len(x), bool)
-            for c in np.unique(y):
-                at = np.flatnonzero(y == c)
-                if len(at) < 2:
-                    continue
-                at = at[np.argsort(x[at], kind="stable")]
-                v, kk = x[at], min(k, len(at) - 1)
-                d = np.full((len(v), 2 * kk), np.inf)
-                for j in range(1, kk + 1):
-                    d[j:, 2 * j - 2] = v[j:] - v[:-j]
-                    d[:-j, 2 * j - 1] = v[j:] - v[:-j]
-                radius[at], ks[at], sizes[at], use[at] = np.nextafter(np.sort(d, axis=1)[:, kk - 1], 0), kk, len(at), True
-            order = np.sort(x[use])
-            m = within(order, x[use], radius[use])
-            if use.any():
-                mi = max(0.0, float(psi(np.array([use.sum()]))[0] + psi(ks[use]).mean() - psi(sizes[use]).mean() - psi(np.maximum(m, 1)).mean()))
-        return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "n": [len(x)], "mi": [mi], "normalised": [min(1.0, mi / h) if h > 0 else 0.0]})
-
-    return rows.select("feature", "value", "y").groupBy("feature").applyInPandas(one, "feature string, n long, mi double, normalised double")
+    All rows count, at every size: they become distinct (value, class) counts, windows give each the distance of its k-th
+    neighbour in its class, and a running count over a feature's distinct values and ends of neighbourhoods how many rows
+    lie nearer. Classes of one row are left out as the estimator asks. Equal values are distances 0."""
+    rows = long.where(F.col("value").isNotNull() & F.col(target).isNotNull())
+    cell = rows.groupBy("feature", F.col("value").cast("double").alias("value"), F.col(target).alias("y")).agg(F.count("*").alias("c"))
+    size = cell.groupBy("feature", "y").agg(F.sum("c").alias("size"), F.min("value").alias("low"), F.max("value").alias("high"))
+    n = F.sum("size").cast("double")
+    whole = size.groupBy("feature").agg(
+        F.sum("size").alias("n"), (F.log(n) - F.sum(F.col("size") * F.log(F.col("size").cast("double"))) / n).alias("h"), (F.min("low") < F.max("high")).alias("varies")
+    )
+    line = Window.partitionBy("feature", "y").orderBy("value")
+    every = Window.partitionBy("feature", "y")
+    near = [F.struct(F.lit(0.0).alias("d"), (F.col("c") - 1).alias("c"))]
+    for j in range(1, k + 1):
+        near.append(F.struct((F.col("value") - F.lag("value", j).over(line)).alias("d"), F.lag("c", j).over(line).alias("c")))
+        near.append(F.struct((F.lead("value", j).over(line) - F.col("value")).alias("d"), F.lead("c", j).over(line).alias("c")))
+    used = cell.withColumn("size", F.sum("c").over(every)).withColumn("near", F.array(*near)).where("size >= 2")
+    used = used.withColumn("kk", F.least(F.lit(k).cast("long"), F.col("size") - 1)).withColumn("near", F.array_sort(F.filter("near", lambda x: x.d.isNotNull())))
+    reached = """aggregate(near, named_struct('seen', 0L, 'd', cast(null as double)), (a, x) -> named_struct('seen', a.seen + x.c,
+        'd', if(a.seen < kk and a.seen + x.c >= kk, x.d, a.d)), a -> a.d)"""
+    used = used.select("feature", "y", "value", "c", "size", "kk", _reach("value", F.expr(reached)).alias("r"))
+    ends = F.explode(F.array(*[F.struct(key.alias("key"), F.lit(kind).alias("kind")) for kind, key in enumerate((F.col("r.low"), F.col("value"), F.col("r.high")))]))
+    events = used.select("feature", "y", "value", "c", "size", "kk", ends.alias("e")).select("*", "e.key", "e.kind")
+    order = Window.partitionBy("feature").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    events = events.withColumn("below", F.sum(F.when(F.col("kind") == 1, F.col("c")).otherwise(F.lit(0))).over(order))
+    # the count up to a neighbourhood's end less the one before it
+    inside = F.sum(F.when(F.col("kind") == 2, F.col("below")).otherwise(-F.col("below"))).alias("m")
+    m = events.where("kind <> 1").groupBy("feature", "y", "value", "c", "size", "kk").agg(inside)
+    part = F.col("c") * (_psi(F.col("kk")) - _psi(F.col("size")) - _psi(F.greatest(F.col("m"), F.lit(1))))
+    total = m.groupBy("feature").agg(F.sum("c").alias("of"), F.sum(part).alias("parts"))
+    mi = F.when(F.col("varies") & (F.col("of") > 0), F.greatest(F.lit(0.0), _psi(F.col("of")) + F.col("parts") / F.col("of"))).otherwise(F.lit(0.0))
+    out = whole.join(total, "feature", "left").select("feature", "n", mi.alias("mi"), "h")
+    return out.select("feature", "n", "mi", F.when(F.col("h") > 0, F.least(F.lit(1.0), F.col("mi") / F.col("h"))).otherwise(F.lit(0.0)).alias("normalised"))
 
 
 def tolerant_rank(scores: DataFrame, score: str = "score") -> DataFrame:
