@@ -323,6 +323,29 @@ def test_op5_deviation_is_below_one_block(spark):
         assert all(abs(done[s] - share[s] * (t + 1)) < 1 for s in share)
 
 
+@pytest.mark.parametrize("n, period", [(20, 1000), (500, 1000), (2000, 1000), (12_000, 1000)])
+def test_op5_shares_follow_the_weights(spark, n, period):
+    """A hot source of a third of the weight, and one of none."""
+    weight = {f"s{i:05}": 1.0 + i % 3 for i in range(n)}
+    weight["hot"] = sum(weight.values()) / 2
+    weights = spark.createDataFrame([*weight.items(), ("none", 1e-12)], "source string, weight double")
+    share = {r["source"]: r["share"] for r in mixing.shares(weights, period).collect()}
+    total, whole = sum(share.values()), sum(weight.values())
+    assert share["none"] == 1 and min(share.values()) == 1
+    assert all(abs(share[s] - w / whole * (total - 1)) < 1 for s, w in weight.items())
+
+
+def test_op5_deviation_from_the_weights(spark):
+    weight = {f"s{i:02}": 1.0 for i in range(19)} | {"hot": 9.5}
+    weights = spark.createDataFrame([*weight.items()], "source string, weight double")
+    docs = spark.range(9000).selectExpr("id as doc_id", "case when id < 3000 then 'hot' else concat('s', lpad(cast(id % 19 as string), 2, '0')) end as source")
+    slots = check_mix(rows_of(mixing.mix(docs, weights, block=4)), 4, mixing.PERIOD)
+    done = Counter()
+    for t in range(1000):
+        done[slots[t][0]] += 1
+        assert all(abs(done[s] - w / 28.5 * (t + 1)) < 2 for s, w in weight.items())
+
+
 def test_op5_hard(spark, hard):
     got = rows_of(mixing.mix(hard))
     assert len(got) == hard.count() and {r["source"] for r in got} == {"", "s", "t"}
