@@ -121,6 +121,35 @@ def test_op2(spark, sf01):
     assert len(accepted) > 0.9 * len(held)
 
 
+def test_op2_learns_every_language(spark, monkeypatch):
+    """One of 12 languages has 150 documents of 44,150, about three quarters of them for training; all others 4,000."""
+    docs = spark.range(44_150).selectExpr("id as doc_id", "case when id < 150 then 'rare' else concat('l', id % 11) end as lang", "concat('w', id) as text")
+    drawn = []
+    monkeypatch.setattr(language_id, "fit", lambda texts, langs: drawn.extend(langs))
+    language_id.train(docs)
+    found = Counter(drawn)
+    rare = docs.where("lang = 'rare'").where(~language_id.held_out(docs["doc_id"])).count()
+    assert len(found) == 12 and found["rare"] == rare and sum(found.values()) == language_id.SAMPLE
+    assert max(found.values()) - min(n for k, n in found.items() if k != "rare") <= 1
+    drawn.clear()
+    language_id.train(spark.range(9000).selectExpr("id as doc_id", "concat('l', id % 1500) as lang", "'x' as text"))
+    assert len(set(drawn)) == 1500 and len(drawn) <= language_id.SAMPLE
+    drawn.clear()
+    language_id.train(spark.range(4000).selectExpr("id % 2 + 1 as doc_id", "concat('l', id % 2) as lang", "'x' as text"))
+    assert len(set(drawn)) == 2
+
+
+def test_op2_tells_more_languages_than_dimensions():
+    rng = np.random.default_rng(4)
+    vocabulary = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for _ in range(20)]
+    texts, langs = zip(*((" ".join(rng.choice(vocabulary[k], 30)), f"l{k:02}") for _ in range(40) for k in rng.permutation(20)), strict=True)
+    model = language_id.fit(list(texts), list(langs))
+    assert model.table.shape[1] == language_id.DIM
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    best = model.logits(data, offsets).argmax(axis=1)
+    assert np.mean([model.languages[b] == x for b, x in zip(best, langs, strict=True)]) > 0.95
+
+
 def test_op2_hard(spark, hard):
     model = language_id.train(hard)
     got = {r["doc_id"]: r for r in language_id.identify(hard, model).collect()}

@@ -9,13 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.llm._text import blocks
 
 #: Hash buckets and dimensions of the embeddings; lengths in bytes of the subwords.
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (3, 4)
-#: At most so many labelled documents are drawn for training, spread evenly over the languages, and languages learned.
-SAMPLE, LANGUAGES = 2400, 1000
+#: At most so many labelled documents are drawn for training, spread evenly over the languages.
+SAMPLE = 2400
 UNDETERMINED = "und"
 
 #: Letters as they are, A-Z lower-cased, any other ASCII byte as a space.
@@ -52,25 +53,28 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
 
 @dataclass
 class Model:
-    """languages and, for each bucket, its embedding's share of every language's logit. temperature and floor are the
-    calibration: probabilities are those of logits / temperature, and below floor a prediction is not accepted."""
+    """languages and, for each bucket, its embedding's share of every language's logit; with more languages than DIM the
+    embedding itself, and head, which turns the mean of these into logits. temperature and floor are the calibration:
+    probabilities are those of logits / temperature, and below floor a prediction is not accepted."""
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     floor: float = 0.0
+    head: np.ndarray | None = None
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
-        total, count = np.zeros((n, len(self.languages)), dtype=np.float64), np.zeros(n)
+        total, count = np.zeros((n, self.table.shape[1]), dtype=np.float64), np.zeros(n)
         for bucket, first in subwords(data, offsets):
             size = np.diff(first)
             some = np.flatnonzero(size)
             if len(some):
                 total[some] += np.add.reduceat(self.table[bucket], first[:-1][some], axis=0, dtype=np.float64)
                 count[some] += size[some]
-        return total / np.maximum(count, 1)[:, None] + self.bias
+        mean = total / np.maximum(count, 1)[:, None]
+        return (mean if self.head is None else mean @ self.head) + self.bias
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -137,7 +141,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 4.0,
             w -= now * (x.T @ p)
             b -= now * 0.1 * p.sum(axis=0)
             np.add.at(e, bucket, -now * 16 * share[:, None] * np.repeat(back, size, axis=0))
-    model = Model(names, (e @ w).astype(np.float32), b)
+    model = Model(names, (e @ w).astype(np.float32), b) if len(names) <= DIM else Model(names, e.astype(np.float32), b, head=w)
     if test.any():
         held = [t for t, out in zip(texts, test, strict=True) if out]
         logits = np.concatenate([model.logits(d, o) for _, _, d, o in blocks(pa.array(held, pa.large_string()))])
@@ -159,18 +163,36 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def quotas(counts: dict[str, int], sample: int) -> dict[str, int]:
+    """How many documents of each language are learned from: as even as the counts allow, what a rare language leaves going
+    to the others, ``sample`` in all. Every language has one at least, so more than ``sample`` languages get one each."""
+    out, left = {}, sample
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(1, left // (len(counts) - k)))
+        left -= out[lang]
+    return out
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model from at most ``sample`` labelled documents that are not held out, whole, chosen by a hash of their ids and
-    spread evenly over the languages. None where no document has a language."""
+    """A model from at most ``sample`` labelled documents that are not held out (one of each language where there are more
+    languages), whole, those of the least hashes of their ids in each language, as evenly as the counts allow: every
+    language with a labelled document is learned. None where no document has a language."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in known.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()}
+    known = known.select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    quota = sample // len(counts) or 1
-    rates = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.1 * quota / n)))])
+    quota = quotas(counts, sample)
+    # about twice the quota, and 20 more, of each language by hash; of these the least hashes
+    rates = known.sparkSession.createDataFrame([(k, q, min(1.0, (2 * q + 20) / counts[k])) for k, q in quota.items()], "lang string, quota long, rate double")
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    rows = known.where(F.col("lang").isin(list(counts))).where(chance < rates[F.col("lang")]).select(F.col("lang").cast("string").alias("lang"), "text", chance.alias("c")).orderBy("c", "text").limit(sample).collect()
-    rows = rows or known.select("lang", "text").limit(sample).collect()
+    some = known.join(F.broadcast(rates), "lang").withColumn("c", chance).where("c < rate")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("c", "doc_id", "text"))
+    rows = some.withColumn("place", place).where("place <= quota").orderBy("c", "lang", "text").select("lang", "text").collect()
+    # a language whose documents all have the same few ids may have no hash below its rate
+    missing = sorted(set(counts) - {r["lang"] for r in rows})
+    if missing:
+        rows += known.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min("text").alias("text")).orderBy("lang").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
