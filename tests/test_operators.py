@@ -162,6 +162,27 @@ def test_gain_of_a_clean_split(spark):
     assert got["k"]["gain"] == 0 and got["k"]["threshold"] is None
 
 
+def test_merged_ranking_ranks_every_feature_by_both(spark, sf):
+    from textloom.plans import statistics
+    from textloom.plans.registry import QUERIES
+
+    def gain(x, y):
+        h = lambda v: -sum(c / len(v) * math.log2(c / len(v)) for c in Counter(v.tolist()).values())
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        least = max(2, math.ceil(0.005 * len(x)))
+        return max((h(y) - i / len(x) * h(y[:i]) - (len(x) - i) / len(x) * h(y[i:]) for i in range(least, len(x) - least + 1) if x[i] > x[i - 1]), default=0.0)
+
+    got = {r["feature"]: r for r in QUERIES["e25_g03_merged_ranking"](spark, sf).collect()}
+    wide = [r for r in statistics.frame(spark, sf).collect()]
+    assert set(got) == set(statistics.FEATURES)
+    for f in statistics.FEATURES:
+        x, y = (np.array([r[c] for r in wide if r[f] is not None]) for c in (f, "level"))
+        assert math.isclose(got[f]["ig"], gain(x.astype(float).round(6), y), abs_tol=2e-6)
+    by = sorted(got.values(), key=lambda r: -r["ig"])
+    assert [r["ig_rank"] for r in by] == list(range(1, 7))
+
+
 def test_neighbour_information_tells_signal_from_noise(spark):
     rng = np.random.default_rng(0)
     rows = [("signal", i, i % 3, i % 3 + rng.normal() / 10) for i in range(600)] + [("noise", i, i % 3, rng.normal()) for i in range(600)] + [("flat", i, i % 3, 1.0) for i in range(600)]
