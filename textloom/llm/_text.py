@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 19
+#: Bytes that are hashed at once.
+CHUNK = 1 << 16
 _U = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -31,8 +33,7 @@ def _odd(seed: int) -> int:
     return int(mix(np.array([seed * 2 + 1], dtype=np.uint64))[0]) | 1
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power_table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     def run(b: int) -> np.ndarray:
         out = np.full(n, b, dtype=np.uint64)
         out[0] = 1
@@ -42,9 +43,14 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return run(base), run(pow(base, -1, 1 << 64))
 
 
+_kept_powers = lru_cache(maxsize=8)(_power_table)
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(BLOCK + (BLOCK >> 2), 1 << max(0, n - 1).bit_length())
-    p, q = _powers(base, size)
+    """The first n powers of base and of its inverse. Only tables of up to CHUNK are kept."""
+    if n > CHUNK + 1:
+        return _power_table(base, n)
+    p, q = _kept_powers(base, CHUNK + 1)
     return p[:n], q[:n]
 
 
@@ -91,24 +97,42 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit polynomial hash of each slice of the bytes, finalised."""
-    base = _odd(seed)
-    p, q = powers(base, len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_byte_codes(seed)[data] * p[:-1], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * q[starts])
+    """A 64-bit polynomial hash of each slice of the bytes, finalised. Slices are in ascending order and apart; those of
+    CHUNK bytes are hashed at once, so that memory beyond the result depends on the longest slice alone."""
+    base, codes = _odd(seed), _byte_codes(seed)
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        upto = max(int(np.searchsorted(ends, low + CHUNK, side="right")), at + 1)
+        n = int(ends[upto - 1]) - low
+        p, q = powers(base, n + 1)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(codes[data[low : low + n]] * p[:-1], out=sums[1:])
+            first = starts[at:upto] - low
+            out[at:upto] = mix((sums[ends[at:upto] - low] - sums[first]) * q[first])
+        at = upto
+    return out
 
 
 def gram_hashes(codes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """The hash of every n consecutive codes, across documents as well: the caller drops what crosses a border."""
-    if len(codes) < n:
+    """The hash of every n consecutive codes, across documents as well: the caller drops what crosses a border. It is
+    the polynomial of the codes, put together from those of 1, 2, 4, ... codes."""
+    m = len(codes) - n + 1
+    if m <= 0:
         return np.zeros(0, np.uint64)
-    p, q = powers(_odd(seed + 1000), len(codes) + 1)
+    base = _odd(seed + 1000)
+    total, have, width, h = np.zeros(m, dtype=np.uint64), 0, 1, codes
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-        np.cumsum(codes * p[:-1], out=sums[1:])
-        return mix((sums[n:] - sums[:-n]) * q[: len(codes) - n + 1])
+        while True:
+            if n & width:
+                total += h[have : have + m] * _U(pow(base, have, 1 << 64))
+                have += width
+            if have == n:
+                return mix(total)
+            h = h[:-width] + h[width:] * _U(pow(base, width, 1 << 64))
+            width *= 2
 
 
 def gram_starts(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
