@@ -9,9 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.llm import _scratch
 from textloom.llm._text import BLOCK, blocks, mix, shingle_sets, text_buffers, word_hashes, words
+from textloom.llm.token_store import in_ranges
 
 BINS, BITS, WIDTH = 512, 4, 5
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -79,74 +81,96 @@ def _sketches(texts: list[str]) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros((0, BINS), np.uint8)
 
 
-def in_descending_ranges(docs: DataFrame, per_part: int = 8 << 20) -> tuple[DataFrame, int]:
-    """(part, doc_id, text, extra): documents dealt to ranges of doc_id, descending and sorted within a range. The first
-    document of the following range comes along as a range's last row (extra), so every row's next document lies beside
-    it; after the last range follows the first. Only the ranges' bounds, a few longs for each, reach the driver."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    parts = _scratch.parts_for(spark, size, per_part)
-    cuts = docs.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts).alias("c")).first()["c"] if parts > 1 else []
-    cuts = sorted(set(cuts or []), reverse=True)
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    part = F.size(F.filter(bounds, lambda c: F.col("doc_id") <= c)) if cuts else F.lit(0)
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(part)
-    ranged = docs.withColumn("part", part.cast("int"))
-    tops = {r["part"]: r["top"] for r in ranged.where("doc_id is not null").groupBy("part").agg(F.max("doc_id").alias("top")).collect()}
-    used = sorted(tops)
-    before = {part: used[i - 1] for i, part in enumerate(used)}
-    if not used:
-        return ranged.withColumn("extra", F.lit(False)), parts
-    to = F.create_map(*[x for p in used for x in (F.lit(tops[p]).cast("long"), F.lit(before[p]))])
-    copies = F.when(F.col("doc_id").isin(list(tops.values())), F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("extra")), F.struct(to[F.col("doc_id")].cast("int").alias("part"), F.lit(True).alias("extra")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("extra"))))
-    out = ranged.withColumn("x", F.explode(copies)).select("x.part", "doc_id", "text", "x.extra")
-    return out.repartition(parts, "part").sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last()), parts
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document.
+def _results(rows: list[tuple[int | None, str, str]]) -> list[pa.Array]:
+    """RESULT's columns for rows of doc_id, text and the next document's text."""
+    ids, texts, after = (list(x) for x in zip(*rows, strict=True))
+    new = [edited(a, b) for a, b in zip(texts, after, strict=True)]
+    one, two = _sketches(texts), _sketches(new)
+    three = np.empty_like(one)
+    same = [i for i in range(len(rows) - 1) if after[i] is texts[i + 1]]
+    rest = sorted(set(range(len(rows))) - set(same))
+    three[same] = one[np.array(same, dtype=np.int64) + 1]
+    three[rest] = _sketches([after[i] for i in rest])
+    sha = [hashlib.sha256(t.encode()).hexdigest() for t in new]
+    return [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha), pa.array(packed(one)), pa.array(packed(two)), pa.array(likeness(one, two)), pa.array(likeness(one, three))]
 
-    The fingerprint packs the low BITS bits of BINS one-permutation MinHash values of the whole text's 5-word shingles.
-    The next document is the one of next smaller doc_id, after the last the first. A null text is empty; texts without
-    words share one fingerprint; repeated doc_ids follow each other in any order; with one document it is its own next;
-    rows of a null doc_id come last, each next to itself; an empty table gives no rows.
-    """
-    ranges, _ = in_descending_ranges(docs)
+
+def _paired(pairs: DataFrame) -> DataFrame:
+    """RESULT for rows of (doc_id, text, after)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, object, str] | None = None  # the row whose next one is still to come
-        rows: list[tuple[object, str, str]] = []
-
-        def done() -> pa.RecordBatch:
-            ids, texts, after = (list(x) for x in zip(*rows, strict=True))
-            new = [edited(a, b) for a, b in zip(texts, after, strict=True)]
-            one, two = _sketches(texts), _sketches(new)
-            three = np.empty_like(one)
-            same = [i for i in range(len(rows) - 1) if after[i] is texts[i + 1]]
-            rest = sorted(set(range(len(rows))) - set(same))
-            three[same] = one[np.array(same, dtype=np.int64) + 1]
-            three[rest] = _sketches([after[i] for i in rest])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new]), pa.array(packed(one)), pa.array(packed(two)), pa.array(likeness(one, two)), pa.array(likeness(one, three))],
-                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            )
-
-        size = 0
         for batch in batches:
-            for part, doc_id, text, extra in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0] == part:
-                    rows.append((held[1], held[2], text))
-                    size += len(held[2])
-                held = None if extra else (part, doc_id, text)
-                if doc_id is None:
-                    rows.append((None, text, text))
-                    held = None
+            rows, size = [], 0
+            for k in range(batch.num_rows):
+                rows.append(tuple(c[k].as_py() for c in batch.columns))
+                size += len(rows[-1][1]) + len(rows[-1][2])
+                if size >= BLOCK or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays(_results(rows), NAMES)
+                    rows, size = [], 0
+
+    return pairs.select("doc_id", "text", "after").mapInArrow(run, RESULT)
+
+
+NAMES = [x.split()[0] for x in RESULT.split(", ")]
+
+
+def _neighbours(ranges: DataFrame) -> DataFrame:
+    """RESULT and ``border`` (null), for every row of the ranges but the last of each; for each range a row of nulls with
+    border: its part, its first row's text, its last row's doc_id and text, whose next one begins another range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, top, last, rows, size = None, "", None, [], 0
+
+        def done(border: dict | None = None) -> pa.RecordBatch:
+            cols = _results(rows) if rows else [pa.nulls(0, f) for f in KINDS]
+            if border:
+                cols = [pa.concat_arrays([c.cast(k), pa.nulls(1, k)]) for c, k in zip(cols, KINDS, strict=True)]
+            kind = pa.struct([("part", pa.int32()), ("top", pa.string()), ("doc_id", pa.int64()), ("text", pa.string())])
+            return pa.RecordBatch.from_arrays([*cols, pa.array([None] * len(rows) + [border] * bool(border), kind)], [*NAMES, "border"])
+
+        for batch in batches:
+            for own, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last and own == part:
+                    rows.append((*last, text))
+                    size += len(last[1])
+                elif last:
+                    yield done({"part": part, "top": top, "doc_id": last[0], "text": last[1]})
+                    rows, size = [], 0
+                if own != part:
+                    part, top = own, text
+                last = doc_id, text
                 if size >= BLOCK:
                     yield done()
                     rows, size = [], 0
-        if rows:
-            yield done()
+        if last:
+            yield done({"part": part, "top": top, "doc_id": last[0], "text": last[1]})
+
+    return ranges.mapInArrow(run, f"{RESULT}, border struct<part: int, top: string, doc_id: bigint, text: string>")
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return ranges.select("part", "doc_id", "text", "extra").mapInArrow(run, schema)
+
+KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+
+
+def fingerprint_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document.
+
+    The fingerprint packs the low BITS bits of BINS one-permutation MinHash values of the whole text's 5-word shingles.
+    The next document is the one of next smaller doc_id, after the last the first. A null text is empty; texts without
+    words share one fingerprint; repeated doc_ids follow each other in any order; with one document it is its own next;
+    rows of a null doc_id are outside the order, each next to itself; an empty table gives no rows.
+
+    Documents are dealt to sorted ranges, so a document's next one lies beside it but at a range's end: the ends, one row
+    for each range, are paired with the ranges' first texts afterwards.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = _scratch.written(_neighbours(in_ranges(own.where("doc_id is not null"), descending=True)), "fingerprints")
+    ends = found.where("border is not null").select("border.*")
+    # numbers of ranges only; texts are joined to them
+    order = Window.partitionBy(F.lit(0)).orderBy("part")
+    follows = ends.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order)).alias("next"))
+    pairs = ends.join(follows, "part").join(ends.select(F.col("part").alias("next"), F.col("top").alias("after")), "next")
+    alone = own.where("doc_id is null").select("doc_id", "text", F.col("text").alias("after"))
+    return found.where("border is null").drop("border").unionAll(_paired(pairs)).unionAll(_paired(alone))

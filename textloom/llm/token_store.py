@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.llm import _scratch
-from textloom.llm._text import BLOCK
+from textloom.llm._text import blocks
 from textloom.llm.tokens import UnitEncoder, with_end
 
 #: By control byte: the bytes of its four values.
@@ -28,13 +28,16 @@ LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of uint32 values."""
-    v = values.astype("<u4")
-    size = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    four = np.zeros(-(-len(v) // 4) * 4, dtype=np.uint8)
-    four[: len(v)] = size - 1
-    control = four.reshape(-1, 4) @ np.array([1, 4, 16, 64], dtype=np.uint8)
-    mine = np.arange(4) < size[:, None]
-    return control.astype(np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 4)[mine].tobytes()
+    v = np.ascontiguousarray(values, dtype="<u4")
+    most = int(v.max(initial=0))
+    size = np.zeros(-(-len(v) // 4) * 4, dtype=np.uint8)  # bytes beyond the first
+    wide = 1
+    while most >> 8 * wide:
+        size[: len(v)] += v >= 1 << 8 * wide
+        wide += 1
+    control = size[::4] | size[1::4] << 2 | size[2::4] << 4 | size[3::4] << 6
+    mine = np.arange(wide, dtype=np.uint8) <= size[: len(v), None]
+    return control.tobytes(), v.view(np.uint8).reshape(-1, 4)[:, :wide][mine].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -42,49 +45,44 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     size = LENGTHS[np.frombuffer(control, dtype=np.uint8)].ravel()[:n]
     at = np.cumsum(size) - size
     raw = np.frombuffer(data, dtype=np.uint8)
-    raw = np.concatenate([raw, np.zeros(4, np.uint8)])
-    out = np.zeros(n, dtype=np.uint32)
-    for k in range(4):
-        out |= np.where(size > k, raw[at + k], 0).astype(np.uint32) << np.uint32(8 * k)
+    out = raw[at].astype(np.uint32)
+    for k in range(1, int(size.max(initial=1))):
+        longer = np.flatnonzero(size > k)
+        out[longer] |= raw[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
+def _list(values: np.ndarray | pa.Array) -> pa.Array:
+    """One row that lists the values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values) if isinstance(values, np.ndarray) else values)
+
+
 def _tokenized(docs: DataFrame, path: str, kind: str, end: int) -> DataFrame:
     """(part, block, docs, sizes, ids): token ids of blocks of documents, ids as little-endian uint16 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, block, held, size, part = UnitEncoder.of(path, kind), 0, [], 0, None
-
-        def done() -> pa.RecordBatch:
-            ids, offsets = with_end(*encoder.encode([t for _, t in held]), end)
-            counts = np.bincount(ids)
-            seen = np.flatnonzero(counts)
-            cols = [[part], [block], [[d for d, _ in held]], [np.diff(offsets).tolist()], [ids.astype("<u2").tobytes()], [seen.tolist()], [counts[seen].tolist()]]
-            kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "block", "docs", "sizes", "ids", "seen", "counts"])
-
+        encoder, block = UnitEncoder.of(path, kind), 0  # a task has one part
         for batch in batches:
-            for own, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (own != part or size >= BLOCK):
-                    yield done()
-                    block, held, size = block + 1, [], 0
-                part = own
-                held.append((doc_id, text))
-                size += len(text)
-        if held:
-            yield done()
+            for lo, hi, data, offsets in blocks(batch.column(2)):
+                ids, offsets = with_end(*encoder.encode_block(data, offsets), end)
+                counts = np.bincount(ids)
+                seen = np.flatnonzero(counts)
+                cols = [batch.column(0).slice(lo, 1), pa.array([block], pa.int64()), _list(batch.column(1).slice(lo, hi - lo)), _list(np.diff(offsets)), pa.array([ids.astype("<u2").tobytes()], pa.binary()), _list(seen.astype(np.int32)), _list(counts[seen])]
+                yield pa.RecordBatch.from_arrays(cols, ["part", "block", "docs", "sizes", "ids", "seen", "counts"])
+                block += 1
 
     schema = "part int, block long, docs array<long>, sizes array<long>, ids binary, seen array<int>, counts array<long>"
     return docs.mapInArrow(run, schema)
 
 
-def in_ranges(docs: DataFrame, per_part: int = 8 << 20) -> DataFrame:
-    """(part, doc_id, text) dealt to ascending ranges of doc_id and sorted within them; null ids first, a null text empty."""
+def in_ranges(docs: DataFrame, descending: bool = False, per_part: int = 32 << 20) -> DataFrame:
+    """(part, doc_id, text) dealt to ranges of doc_id and sorted within them, ascending with null ids first or descending
+    with null ids last; a null text is empty. Rows of one id go in any order, so that many of them are many ranges."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    parts = _scratch.parts_for(spark, size, per_part)
-    return docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    parts = _scratch.parts_for(spark, _scratch.size_of(docs), per_part)
+    order = [F.col("doc_id").desc_nulls_last() if descending else F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    return docs.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
 
 def write(docs: DataFrame, to: str, path: str, kind: str = "byte", end: int = 2) -> None:
@@ -105,7 +103,7 @@ def write(docs: DataFrame, to: str, path: str, kind: str = "byte", end: int = 2)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(4)[i].as_py(), dtype="<u2")
+                ids = np.frombuffer(batch.column(4)[i].as_buffer(), dtype="<u2")
                 control, data = pack(rank[ids])
                 one = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([*one.columns[:4], pa.array([len(ids)], pa.int64()), pa.array([control], pa.binary()), pa.array([data], pa.binary())], ["part", "block", "docs", "sizes", "n", "control", "data"])
@@ -132,11 +130,11 @@ def read(spark: SparkSession, at: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                sizes, start, n, control, data = (batch.column(k)[i].as_py() for k in range(1, 6))
-                raw = ids[unpack(control, data, n)].tobytes()
-                edge = np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))])
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).flatten(), pa.array(edge[:-1] + start), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                start, n, control, data = (batch.column(k)[i].as_py() for k in range(2, 6))
+                raw, sizes = memoryview(ids[unpack(control, data, n)].tobytes()), batch.column(1).slice(i, 1).flatten()
+                edge = np.concatenate([[0], np.cumsum(sizes.to_numpy())])
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip((4 * edge[:-1]).tolist(), (4 * edge[1:]).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).flatten(), pa.array(edge[:-1] + start), sizes, pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     with_start = blocks.join(F.broadcast(starts) if small else starts, ["part", "block"]).select("docs", "sizes", "start", "n", "control", "data")
     return with_start.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -4,62 +4,73 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 
 import numpy as np
+import pyarrow as pa
 
-from textloom.llm._text import word_hashes, words
+from textloom.llm._text import text_buffers, word_hashes, words
 
-#: Units whose borders every pre-token keeps: a run of Latin letters before white space or a mark, other runs without
-#: white space, and white space as the byte-level vocabulary cuts it (there a word carries the one space before it).
-_LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
-_PLAIN = rf"{_LATIN}(?=[\s.,;:!?|*#%&$]|\Z)"
-UNIT = {"byte": re.compile(rf" ?{_PLAIN}| ?\S+|\s+(?!\S)|\s+"), "word": re.compile(rf"{_PLAIN}|\S+")}
-WORD = re.compile(rf" ?{_LATIN}\Z")
-#: White space beyond ASCII: such texts are cut by the patterns instead of by bytes.
+#: Texts with other white space than ASCII's, or with control characters that one side takes for it: they go whole to the
+#: library.
 ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Control characters that Python takes for white space and the library doesn't: such texts are one unit.
-DIRECT, DIRECT_MARK = re.compile("[\x1c-\x1f]"), "\x1c"
-#: By byte: 1 a mark that _PLAIN may stand before, 2 an ASCII letter, 3 the second byte of a letter of U+00C0 to U+00FF.
+#: Bytes that each such character has one of: a control character, or the first of several bytes.
+ODD_BYTE = np.zeros(256, dtype=bool)
+ODD_BYTE[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: By byte: 1 a mark at which a word that ends in a Latin letter is cut, 2 an ASCII letter, 3 the second byte of a letter of
+#: U+00C0 to U+00FF (after LEAD).
 KIND = np.zeros(256, dtype=np.uint8)
 KIND[[ord(c) for c in ".,;:!?|*#%&$"]] = 1
 KIND[65:91] = KIND[97:123] = 2
 KIND[128:192] = 3
 KIND[[0x97, 0xB7]] = 0
+LEAD = 0xC3
 #: Units that a worker keeps.
 KEPT = 600_000
 
 
-def _byte_letters() -> dict[int, str]:
-    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes in order for those
-    from U+0100 on."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+class _Grown:
+    """An array that takes more at its end in amortised linear time."""
 
+    def __init__(self, dtype: type):
+        self.data, self.size = np.zeros(1 << 12, dtype=dtype), 0
 
-LETTERS = _byte_letters()
+    def extend(self, more: np.ndarray) -> None:
+        upto = self.size + len(more)
+        if upto > len(self.data):
+            self.data = np.concatenate([self.data[: self.size], np.zeros(max(upto, 2 * len(self.data)) - self.size, self.data.dtype)])
+        self.data[self.size : upto] = more
+        self.size = upto
 
 
-class UnitEncoder(dict):
+def _slices(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each slice, one slice after the other."""
+    total = np.cumsum(size)
+    out = np.repeat(first - (total - size), size)
+    out += np.arange(len(out))
+    return out
+
+
+class UnitEncoder:
     """Encodes texts unit by unit; equal to encoding them whole, as no pre-token crosses a unit's border.
 
     kind: "byte" for a byte-level vocabulary whose words carry the space before them, "word" for one that drops white
-    space and case. As a dict it numbers the units seen, up to KEPT. A new unit of plain letters is one pre-token and goes
-    to the library's model directly, any other through the whole library.
+    space and case. A unit is a run without white space, cut before the marks at its end where these follow a Latin
+    letter, or a run of white space as the byte-level vocabulary cuts it. Up to KEPT units seen are kept with their bytes
+    and ids, found by a hash and compared byte by byte; new ones go to the library, many in one call.
     """
 
     _own: dict[tuple[str, str], UnitEncoder] = {}
 
     def __init__(self, path: str, kind: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model, self.lower = self.library.model, kind == "word"
-        self.unit = UNIT[kind].findall
+        self.lower = kind == "word"
+        #: ids that end a word, or else those that begin with a space or a line feed
+        self.border = np.zeros(1 << 16, dtype=bool)
+        self.border[[i for t, i in self.library.get_vocab().items() if (t.endswith("</w>") if self.lower else t[:1] in "\u0120\u010a")]] = True
         self.forget()
 
     @classmethod
@@ -70,66 +81,100 @@ class UnitEncoder(dict):
         return cls._own[path, kind]
 
     def forget(self) -> None:
-        self.clear()
-        self.hashed: dict[int, int] = {}
-        self.ids, self.at, self.size = array("H"), array("q"), array("q")
-
-    def __missing__(self, unit: str) -> int:
-        if unit[:1] == DIRECT_MARK:  # a whole text
-            found = self.library.encode(unit[1:], add_special_tokens=False).ids
-            return self._add(None, found)
-        plain = WORD.match(unit)
-        if plain and self.lower and (low := unit.lower()) != unit:
-            self[unit] = k = self[low]
-            return k
-        if plain:
-            found = [t.id for t in self.model.tokenize(unit if unit.isascii() and self.lower else "".join(LETTERS[b] for b in unit.encode()))]
-        else:
-            found = self.library.encode(unit, add_special_tokens=False).ids
-        return self._add(unit, found)
-
-    def _add(self, unit: str | None, found: list[int]) -> int:
-        k = len(self.at)
-        if unit is not None:
-            self[unit] = k
-        self.at.append(len(self.ids))
-        self.size.append(len(found))
-        self.ids.extend(found)
-        return k
-
-    def _codes(self, text: str) -> np.ndarray:
-        own = self.unit(text)
-        return np.fromiter(map(self.__getitem__, own), dtype=np.int64, count=len(own))
+        self.hashes, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted by hash
+        self.bytes, self.byte_at, self.byte_size = _Grown(np.uint8), _Grown(np.int64), _Grown(np.int64)
+        self.ids, self.at, self.size = _Grown(np.uint16), _Grown(np.int64), _Grown(np.int64)
+        self.blocks = _Grown(np.int32)  # in which a unit was met
+
+    def _forget_rare(self) -> None:
+        """Drops the units that were met in one block only."""
+        keep = np.flatnonzero(self.blocks.data[: self.blocks.size] > 1)
+        hashes, codes = self.hashes, self.codes
+        ids, at, size, data, byte_at, byte_size = self.ids.data, self.at.data[keep], self.size.data[keep], self.bytes.data, self.byte_at.data[keep], self.byte_size.data[keep]
+        self.forget()
+        if len(keep) > KEPT // 2:
+            return
+        new = np.full(len(hashes), -1, dtype=np.int32)
+        new[keep] = np.arange(len(keep))
+        own = new[codes] >= 0
+        self.hashes, self.codes = hashes[own], new[codes[own]]
+        self.ids.extend(ids[_slices(at, size)])
+        self.at.extend(np.cumsum(size) - size)
+        self.size.extend(size)
+        self.bytes.extend(data[_slices(byte_at, byte_size)])
+        self.byte_at.extend(np.cumsum(byte_size) - byte_size)
+        self.byte_size.extend(byte_size)
+        self.blocks.extend(np.ones(len(keep), np.int32))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids as uint16, offsets) of the texts."""
-        if len(self) > KEPT:
-            self.forget()
-        plain = [not ODD.search(t) for t in texts]
-        codes, first = self._block_codes([t if ok else "" for t, ok in zip(texts, plain, strict=True)])
-        if not all(plain):
-            codes = [codes[first[i] : first[i + 1]] if ok else np.array([self[DIRECT_MARK + t]]) if DIRECT.search(t) else self._codes(t) for i, (t, ok) in enumerate(zip(texts, plain, strict=True))]
-            first = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
-            codes = np.concatenate(codes)
-        if not len(codes):
-            return np.zeros(0, np.uint16), np.zeros(len(texts) + 1, np.int64)
-        size, at = np.frombuffer(self.size, dtype=np.int64)[codes], np.frombuffer(self.at, dtype=np.int64)[codes]
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = np.frombuffer(self.ids, dtype=np.uint16)[np.repeat(at - total[:-1], size) + np.arange(total[-1])] if total[-1] else np.zeros(0, np.uint16)
-        return ids, total[first]
-
-    def _block_codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(unit numbers, first unit of each text and the total) by numpy: units are cut and hashed as bytes, and only the
-        distinct ones of a block become strings."""
-        raw = [t.encode() for t in texts]
-        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        return self.encode_block(*text_buffers(pa.array(texts, pa.large_string())))
+
+    def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids as uint16, offsets) of the texts of a block, bytes between offsets."""
+        if len(self.hashes) > KEPT:
+            self._forget_rare()
+        n = len(offsets) - 1
+        odd = []
+        if (maybe := np.flatnonzero(ODD_BYTE[data])).size:
+            raw = data.tobytes()
+            odd = [i for i in np.unique(np.searchsorted(offsets, maybe, side="right") - 1).tolist() if ODD.search(raw[offsets[i] : offsets[i + 1]].decode())]
+        found = self._block_codes(data, offsets)
+        if found is None:  # two units of one hash
+            odd, found = range(n), (np.zeros(0, np.int64), np.zeros(n + 1, np.int64))
+        codes, first = found
+        size = self.size.data[codes]
+        to = np.concatenate([[0], np.cumsum(size)])[first]
+        ids = self.ids.data[_slices(self.at.data[codes], size)]
+        if not len(odd):
+            return ids, to
+        texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in odd]
+        whole = {i: e.ids for i, e in zip(odd, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True)}
+        parts = [np.array(whole[i], dtype=np.uint16) if i in whole else ids[to[i] : to[i + 1]] for i in range(n)]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Enters new units, slices of data with the given distinct hashes in ascending order."""
+        kind = KIND[data]
+        lead = np.concatenate([data[:-1] == LEAD, [False]]) & (np.concatenate([kind[1:], [0]]) == 3)
+        letter = (kind == 2) | lead | np.concatenate([[False], lead[:-1]])
+        others = np.concatenate([[0], np.cumsum(~letter)])
+        raw = data.tobytes()
+        at, size, known = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64), np.zeros(len(begin), dtype=bool)
+        # plain ones are one pre-token each; where they begin shows by their space, or a line feed instead, or the end before
+        spaced = data[begin] == 32
+        these = np.flatnonzero(others[end] == others[begin + spaced])
+        glue = [" " if self.lower else "" if x else "\n" for x in spaced[these].tolist()]
+        text = "".join([g + raw[a:b].decode() for g, a, b in zip(glue, begin[these].tolist(), end[these].tolist(), strict=True)])
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint16)
+        first = np.flatnonzero(np.concatenate([[True], self.border[ids[:-1]]]) if self.lower else self.border[ids]) if len(ids) else np.zeros(0, np.int64)
+        if len(first) == len(these):
+            line = np.zeros(len(these), np.int64) if self.lower else 1 - spaced[these]
+            at[these], size[these], known[these] = self.ids.size + first + line, np.diff(first, append=len(ids)) - line, True
+            self.ids.extend(ids)
+        rest = np.flatnonzero(~known)
+        found = [e.ids for e in self.library.encode_batch_fast([raw[begin[k] : end[k]].decode() for k in rest.tolist()], add_special_tokens=False)]
+        size[rest] = [len(x) for x in found]
+        at[rest] = self.ids.size + np.cumsum(size[rest]) - size[rest]
+        self.ids.extend(np.array([i for x in found for i in x], dtype=np.uint16))
+        code = np.arange(len(begin), dtype=np.int32) + np.int32(self.at.size)
+        self.at.extend(at)
+        self.size.extend(size)
+        self.blocks.extend(np.zeros(len(at), np.int32))
+        self.byte_at.extend(np.cumsum(end - begin) - (end - begin) + self.bytes.size)
+        self.byte_size.extend(end - begin)
+        self.bytes.extend(data[_slices(begin, end - begin)])
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.codes = np.insert(self.hashes, place, hashes), np.insert(self.codes, place, code)
+
+    def _block_codes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(unit numbers, first unit of each text and the total); None if two units that differ have the same hash."""
         if not len(data):
-            return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+            return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
         starts, ends, first = words(data, offsets)
         # marks at a word's end, after a Latin letter, are a unit of their own
         kind = KIND[data]
-        mark_run = np.maximum.accumulate(np.where(kind == 1, 0, np.arange(1, len(data) + 1)))  # end of the last non-mark
+        mark_run = np.maximum.accumulate(np.where(kind == 1, 0, np.arange(1, len(data) + 1, dtype=np.int32 if len(data) < 1 << 30 else np.int64)))  # end of the last non-mark
         core = np.maximum(mark_run[ends - 1], starts)
         before = core - 1
         latin = (core > starts) & (core < ends) & ((kind[before] == 2) | (core - 2 >= starts) & (data[before - 1] == 0xC3) & (kind[before] == 3))
@@ -147,14 +192,25 @@ class UnitEncoder(dict):
         end = np.concatenate([core, ends[tail], spaces[1]])
         order = np.argsort(begin, kind="stable")
         begin, end = begin[order], end[order]
-        distinct, where, inverse = np.unique(word_hashes(data, begin, end, 4), return_index=True, return_inverse=True)
-        get, whole, found = self.hashed.get, data.tobytes(), np.empty(len(distinct), dtype=np.int64)
-        for i, (h, k) in enumerate(zip(distinct.tolist(), where.tolist(), strict=True)):
-            code = get(h)
-            if code is None:
-                code = self.hashed[h] = self[whole[begin[k] : end[k]].decode()]
-            found[i] = code
-        return found[inverse], np.searchsorted(begin, offsets)
+        h = word_hashes(data, begin, end, 4)
+        order = np.argsort(h)
+        ranked = h[order]
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        distinct, where = ranked[new], order[new]
+        inverse = np.empty(len(h), dtype=np.int32)
+        inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+        place = np.searchsorted(self.hashes, distinct)
+        new = np.ones(len(distinct), dtype=bool) if not len(self.hashes) else self.hashes[np.minimum(place, len(self.hashes) - 1)] != distinct
+        if new.any():
+            self._learn(distinct[new], data, begin[where[new]], end[where[new]])
+            place = np.searchsorted(self.hashes, distinct)
+        codes = self.codes[place]
+        self.blocks.data[codes] += 1
+        codes = codes[inverse]
+        size = end - begin
+        if (self.byte_size.data[codes] != size).any() or (self.bytes.data[_slices(self.byte_at.data[codes], size)] != data[_slices(begin, size)]).any():
+            return None
+        return codes, np.searchsorted(begin, offsets)
 
     @staticmethod
     def _space_units(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, spaced: np.ndarray) -> list[np.ndarray]:
@@ -163,7 +219,7 @@ class UnitEncoder(dict):
         taken = np.zeros(len(data) + 1, dtype=np.int8)
         taken[spaced] += 1
         taken[ends] -= 1
-        free = np.cumsum(taken[:-1]) == 0
+        free = np.cumsum(taken[:-1], dtype=np.int8) == 0
         begin, end = free.copy(), free.copy()
         begin[1:] &= ~free[:-1]
         end[:-1] &= ~free[1:]
