@@ -95,6 +95,18 @@ def test_op1_hard(spark, hard):
     assert substring_dedup.remove_repeats(hard.limit(0)).count() == 0
 
 
+def test_op1_rows_of_one_id(spark):
+    """Different and equal texts of one doc_id are each judged by their own words, in any batch."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (5, f"{b} {a}"), (5, " ".join(f"s{i}" for i in range(55))), (6, " ".join(f"t{i}" for i in range(70))), (5, f"{c} {d}"), (5, f"{c} x {d}"), (5, f"{c} {d}"), (7, d), (7, f"{d} {d}"), (None, a), (9, " ".join(["w"] * 400)), (10, " ".join(["w"] * 90)), (8, c)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, row int").repartition(4)
+    for batches in (1, 2, 4):
+        got = Counter(tuple(r) for r in substring_dedup.remove_repeats(docs, batches).collect())
+        assert got == brute_repeats([{"doc_id": i, "text": t} for i, t in rows])
+    left = Counter((r["doc_id"], r["text"], r["row"]) for r in substring_dedup.without_repeats(docs).collect())
+    assert left == Counter([(i, t, 1) for i, t in rows if i not in (5, 7, 8, 10)] + [(5, b, 1)] + [(5, t, 1) for i, t in rows[1:] if i == 5 and a not in t])
+
+
 def test_op1_compaction(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     index, hits = substring_dedup.FingerprintIndex(spark, fan_in=1), []
@@ -200,6 +212,20 @@ def test_op3_hard(spark, hard):
     assert fingerprints.fingerprint_documents(hard.limit(0)).count() == 0
 
 
+def test_op3_null_ids_and_ranges(spark, monkeypatch):
+    """A null id is beside the order; every document's next one is found across ranges, whatever their number."""
+    rows = [(i, f"text {i} " + " ".join(f"{i}w{k}" for k in range(i % 7 * 5))) for i in range(1, 40)] + [(None, "a null id")] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for parts in (1, 4, 60):
+        monkeypatch.setattr(fingerprints._scratch, "parts_for", lambda *_, parts=parts: parts)
+        got = rows_of(fingerprints.fingerprint_documents(docs))
+        check_fingerprints([r for r in got if r["doc_id"] is not None], [{"doc_id": i, "text": t} for i, t in rows])
+        assert len(got) == len(rows) and all(r["near_next"] == 1 for r in got if r["doc_id"] is None)
+    for n in (1, 2):
+        one = spark.createDataFrame(rows[:n], "doc_id long, text string")
+        check_fingerprints(rows_of(fingerprints.fingerprint_documents(one)), [{"doc_id": i, "text": t} for i, t in rows[:n]])
+
+
 def test_op3_densified_bits_are_unbiased():
     import pyarrow as pa
 
@@ -520,6 +546,30 @@ def test_op8_stage_catches_copies(spark, sf01, hard):
     assert simhash.one_of_each(hard.limit(0)).count() == 0
 
 
+def test_op8_stage_tells_texts_of_one_id_apart(spark):
+    """Only the row whose own text is like one of a smaller doc_id goes; columns may have any name."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(1, a, 0), (5, f"{a} end", 1), (5, b, 2), (6, c, 3), (7, f"{b} end", 4), (None, a, 5), (6, c, 6)]
+    names = ["_gone", "gone_id", "node", "row", "component_id", "f0"]
+    docs = spark.createDataFrame([(*r, *r[2:] * 5) for r in rows], f"doc_id long, text string, {', '.join(n + ' int' for n in names)}").repartition(3)
+    left = simhash.one_of_each(docs)
+    assert left.columns == docs.columns and sorted(r["gone_id"] for r in left.collect()) == [0, 2, 3, 5, 6]
+
+
+def test_stages_take_any_column_names(spark, sf):
+    names = ["_row", "_slot", "_offset", "row", "slot", "doc", "_doc", "_text", "starts", "rest", "kept_text", "_gone"]
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for k, n in enumerate(names):
+        docs = docs.withColumn(n, docs["doc_id"] * 100 + k)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns[-len(names) :] == names
+    rows = rows_of(docs)
+    assert len(rows) > 100 and all(r[n] == r["doc_id"] * 100 + k for r in rows for k, n in enumerate(names))
+
+
 def test_op8_stage_keeps_links_of_large_buckets(spark, monkeypatch):
     """Over 20,000 rows share a bucket; planted pairs meet only there, and differ in the segments that follow."""
     rng = np.random.default_rng(8)

@@ -77,6 +77,14 @@ def parts_for(spark: SparkSession, n_bytes: int, per_part: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // per_part))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as docs need to have no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def size_of(docs: DataFrame) -> int:
     """Bytes of docs by the optimizer's statistics, which take compressed files as they are; only where it knows none, by
     a pass over the texts. It chooses numbers of partitions only."""

@@ -180,15 +180,17 @@ def _wide(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, f0..f3): the 256-bit SimHash of each whole text's width-word shingles."""
+    """(doc_id, row, f0..f3): the 256-bit SimHash of each whole text's width-word shingles; row, a hash of the text, tells
+    texts of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_wide(data, offsets, width) for _, _, data, offsets in blocks(batch.column(1))]
+            found = [_wide(data, offsets, width) for _, _, data, offsets in blocks(batch.column(2))]
             f = np.concatenate(found).view(np.int64) if found else np.zeros((0, 4), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(f[:, k])) for k in range(4)]], ["doc_id", "f0", "f1", "f2", "f3"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(np.ascontiguousarray(f[:, k])) for k in range(4)]], ["doc_id", "row", "f0", "f1", "f2", "f3"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, row long, f0 long, f1 long, f2 long, f3 long")
 
 
 def _chain_keys(f: np.ndarray) -> np.ndarray:
@@ -262,7 +264,7 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) by links at a Jaccard similarity of about ``similarity`` or more of width-word shingles.
+    """(doc_id, row, component_id) by links at a Jaccard similarity of about ``similarity`` or more of width-word shingles.
 
     A similarity J of two sets of shingles means an angle of acos(2J / (1 + J)) between their vectors, and so that share
     of 256 SimHash bits differs. Fingerprints that share the bits of CHAIN consecutive segments, anywhere on the ring
@@ -270,9 +272,10 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
     Buckets are sorted runs of any size, all of whose pairs count; within a run only a spanning forest leaves a task.
     """
     most = int(WIDE_BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.5) + 3
-    table = _scratch.written(wide_fingerprints(docs, width), "simhash-wide")
     f = ["f0", "f1", "f2", "f3"]
-    classes = _scratch.written(table.where("doc_id is not null").groupBy(*f).agg(F.min("doc_id").alias("node")), "simhash-class")
+    # a class's node is a hash of its fingerprint: a doc_id can have several texts, and so be the smallest of several classes
+    table = _scratch.written(wide_fingerprints(docs, width).withColumn("node", F.xxhash64(*f)), "simhash-wide")
+    classes = _scratch.written(table.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("low"), *[F.min(c).alias(c) for c in f]), "simhash-class")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,11 +310,16 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
             yield done(pa.Table.from_batches(held))
 
     graph = _graph.components(runs.mapInArrow(edges, "src long, dst long"))
-    found = classes.join(graph, "node", "left").select(*f, F.coalesce("component", "node").alias("component_id"))
-    return table.join(found, f, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = classes.select("node", "low").join(graph, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    found = named.join(least, "component").select("node", "component_id")
+    return table.join(found, "node", "left").select(*[c for c in table.columns if c in ("doc_id", "row")], F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without the documents whose component has a smaller doc_id. Rows of a null doc_id stay."""
-    out = similar(docs, width, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(out, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs without the rows whose component has a smaller doc_id; of texts of one doc_id each goes or stays by itself.
+    Rows of a null doc_id stay; texts without words are like each other. An empty table gives no rows."""
+    doc_id, row = _scratch.free_name(docs, "gone_id"), _scratch.free_name(docs, "gone_row")
+    out = similar(docs, width, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id), F.col("row").alias(row)).distinct()
+    same = (F.col("doc_id").cast("long") == F.col(doc_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(row))
+    return docs.join(out, same, "left_anti")
