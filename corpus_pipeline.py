@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from textloom.llm import _scratch, mixing, packing, quality, simhash, substring_dedup
 
@@ -24,14 +23,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 or more words that a document of smaller doc_id has go; a document of which nothing is left goes."""
-    found = substring_dedup.remove_repeats(docs, text_out=True)
-    changed = found.where("n_removed > 0").select(F.col("doc_id").alias("_doc"), F.col("kept_text").alias("_text")).dropDuplicates(["_doc"])
-    out = docs.join(changed, F.col("doc_id") == F.col("_doc"), "left")
-    out = out.where(F.col("_doc").isNull() | (F.col("_text") != ""))
-    text = F.when(F.col("_doc").isNull(), F.col("text")).otherwise(F.col("_text"))
-    columns = [text.alias("text") if c == "text" else F.when(F.col("_doc").isNull(), F.col(c)).otherwise(F.length("_text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    """Passages of 50 or more words that a document of smaller doc_id has go; a document of which nothing is left goes.
+    Null and empty texts and rows of a null doc_id stay; rows of one doc_id are each judged by their own text."""
+    return substring_dedup.without_repeats(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
