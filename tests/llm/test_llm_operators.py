@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -475,6 +476,27 @@ def test_op7_hard(spark, monkeypatch):
     assert lattice_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_op7_finds_planted_pairs(spark, monkeypatch):
+    """Pairs at a cosine of 0.981 among random vectors, in several dimensions and with cells of one or more points."""
+    rng = np.random.default_rng(13)
+    rows, planted = [], {}
+    for label, size in enumerate((16, 64, 128)):
+        a, r = rng.standard_normal((2, 400, size))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        r -= (r * a).sum(axis=1, keepdims=True) * a
+        b = 0.981 * a + np.sqrt(1 - 0.981**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+        for k in range(400):
+            i = 10_000 * label + 2 * k
+            planted[i] = label
+            rows += [(i, a[k].tolist(), label), (i + 1, (3 * b[k]).tolist(), label)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    for points in (1, 2, 3):
+        monkeypatch.setattr(lattice_dedup, "points_for", lambda n, points=points: points)
+        got = {r["vec_id"]: r for r in rows_of(lattice_dedup.near_vectors(df))}
+        for label in range(3):
+            assert np.mean([got[i]["n_links"] == 1 and got[i + 1]["component_id"] == i for i, own in planted.items() if own == label]) >= 0.95
+
+
 def test_e8_is_nearest():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((200, 8)) * 3
@@ -512,9 +534,10 @@ def test_op8(spark, sf, hard, monkeypatch, pair_bucket):
     assert simhash.near_duplicates(hard.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("pair_bucket", [10_000, 1])
-def test_op8_links_are_exact(spark, monkeypatch, pair_bucket):
+@pytest.mark.parametrize("pair_bucket, pair_part", [(10_000, 4096), (1, 4096), (1, 1), (1, 40)])
+def test_op8_links_are_exact(spark, monkeypatch, pair_bucket, pair_part):
     monkeypatch.setattr(simhash, "PAIR_BUCKET", pair_bucket)
+    monkeypatch.setattr(simhash, "PAIR_PART", pair_part)
     rng = np.random.default_rng(6)
     fps = set()
     for _ in range(12):
@@ -530,6 +553,19 @@ def test_op8_links_are_exact(spark, monkeypatch, pair_bucket):
     assert union(fps, [tuple(r) for r in got]) == want
 
 
+def test_op8_bucket_of_very_many(spark):
+    """100,000 fingerprints share a segment: chains of two segments keep apart all but the few near ones."""
+    rng = np.random.default_rng(12)
+    fps = np.unique(rng.integers(0, 1 << 42, 100_000, dtype=np.uint64) | np.uint64(5 << 42))
+    near = fps[::1000] ^ np.uint64(1 << 30) ^ np.uint64(1 << 3)
+    every = np.unique(np.concatenate([fps, near]))
+    frame = spark.createDataFrame(pd.DataFrame({"fp": every.view(np.int64)}))
+    got = {(r["src"], r["dst"]) if r["src"] < r["dst"] else (r["dst"], r["src"]) for r in simhash.links(frame).collect()}
+    planted = {tuple(sorted(p)) for p in zip(fps[::1000].view(np.int64).tolist(), near.view(np.int64).tolist(), strict=True)}
+    assert planted <= got and len(got) < 2 * len(planted)
+    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 2 for a, b in got)
+
+
 def test_op8_stage_catches_copies(spark, sf01, hard):
     docs = table(sf01, "documents")
     sets = {d["doc_id"]: shingles((d["text"] or "").lower()) for d in docs}

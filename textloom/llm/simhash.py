@@ -17,8 +17,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bits of the three segments of a fingerprint, from the highest.
 SEGMENTS = (22, 21, 21)
-#: Fingerprints in a segment's bucket up to which their pairs are joined; larger buckets take the other exact way.
-PAIR_BUCKET = 16
+#: Fingerprints in a segment's bucket up to which their pairs are joined; larger buckets are split by the next segment.
+#: Pairs in such a part up to which they are joined.
+PAIR_BUCKET, PAIR_PART = 16, 4096
 
 
 def _fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
@@ -104,8 +105,11 @@ def links(fps: DataFrame) -> DataFrame:
 
     Pigeonring filter: with three segments on a ring and 2 bits to differ in, some segment starts a chain whose first
     segment differs in 0 bits, first two in at most 1 and all three in at most 2. Fingerprints meet in the bucket of a
-    shared segment, are pruned by the chain from there, and only then checked in full. Buckets of more than
-    PAIR_BUCKET fingerprints (near copies of each other) are linked in linear time by their 1-bit neighbourhoods.
+    shared segment, are pruned by the chain from there, and only then checked in full. A bucket of more than PAIR_BUCKET is
+    split by the chain's second step: each of its fingerprints visits the part of its own next segment and those of one bit
+    less or more, so that only chains of two segments within their budget meet, and buckets may grow with the corpus. What
+    still meets many others there are copies but for the last segment's bits: where a part has more than PAIR_PART pairs,
+    they are checked in linear time by their 1-bit neighbourhoods.
     """
     shifts = _segments()
     key = F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << n) - 1)).alias("val")) for i, (s, n) in enumerate(shifts)]))
@@ -122,18 +126,36 @@ def links(fps: DataFrame) -> DataFrame:
             ok = ok & (total <= (step + 1) * 2 // 3)
         return ok
 
-    near = small.alias("a").join(small.alias("b"), (F.col("a.seg") == F.col("b.seg")) & (F.col("a.val") == F.col("b.val")) & (F.col("a.fp") < F.col("b.fp")))
     passed = F.when(F.col("a.seg") == 0, chain(0)).when(F.col("a.seg") == 1, chain(1)).otherwise(chain(2))
-    near = near.where(passed).where(F.bit_count(x) <= 2).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return pairs.where(passed).where(F.bit_count(x) <= 2).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
+
+    same = (F.col("a.seg") == F.col("b.seg")) & (F.col("a.val") == F.col("b.val"))
+    near = checked(small.alias("a").join(small.alias("b"), same & (F.col("a.fp") < F.col("b.fp"))))
     big = keyed.join(grouped.where(F.col("n") > PAIR_BUCKET).drop("n"), ["seg", "val"]).select("seg", "val", "fp")
 
+    def visits(i: int):
+        s, n = shifts[(i + 1) % 3]
+        own = F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << n) - 1))
+        return F.array(*[F.struct(own.bitwiseXOR(F.lit(flip)).alias("next"), F.lit(flip == 0).alias("home")) for flip in (0, *(1 << k for k in range(n)))])
+
+    visit = F.explode(F.when(F.col("seg") == 0, visits(0)).when(F.col("seg") == 1, visits(1)).otherwise(visits(2))).alias("v")
+    probes = big.select("seg", "val", "fp", visit).select("seg", "val", "v.next", "v.home", "fp")
+    part = ["seg", "val", "next"]
+    counts = probes.groupBy(*part).agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where("homes > 0 and n > 1")
+    few = probes.join(counts.where(F.col("n") * F.col("homes") <= PAIR_PART).select(*part), part)
+    met = same & (F.col("a.next") == F.col("b.next")) & (F.col("a.fp") != F.col("b.fp"))
+    near = near.unionAll(checked(few.where("home").alias("a").join(few.alias("b"), met)))
+    many = probes.join(counts.where(F.col("n") * F.col("homes") > PAIR_PART).select(*part), part)
+
     def run(key, table):
         own = table.column("fp").to_numpy().view(np.uint64)
         found = list(_flip_edges(own, key[0].as_py(), max(1, len(own) // 200_000)))
         src, dst = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
         return pa.table({"src": pa.array(src.view(np.int64)), "dst": pa.array(dst.view(np.int64))})
 
-    return near.unionAll(big.groupBy("seg", "val").applyInArrow(run, "src long, dst long"))
+    return near.unionAll(many.groupBy(*part).applyInArrow(run, "src long, dst long"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -223,7 +245,7 @@ def _run_edges(key: np.ndarray, f: np.ndarray, node: np.ndarray, most: int) -> t
             break
         ok = np.bitwise_count(f[i] ^ f[i + d]).sum(axis=1, dtype=np.int32) <= most
         found.append((i[ok], i[ok] + d))
-    label = _joined(label, *(np.concatenate([p[k] for p in found]) for k in (0, 1)))
+    label = joined(label, *(np.concatenate([p[k] for p in found]) for k in (0, 1)))
     for a, z in zip(first.tolist(), (last + 1).tolist(), strict=True):
         if z - a > SHORT_RUN:
             label[a:z] = a + _whole_run(label[a:z] - a, f[a:z], most)
@@ -243,12 +265,12 @@ def _whole_run(label: np.ndarray, f: np.ndarray, most: int) -> np.ndarray:
             hits.append((np.full(len(near), r), near))
             held += len(near)
         if hits and (held > HELD_LINKS or k == len(rows) - 1):
-            label = _joined(label, *(np.concatenate([h[i] for h in hits]) for i in (0, 1)))
+            label = joined(label, *(np.concatenate([h[i] for h in hits]) for i in (0, 1)))
             hits, held = [], 0
     return label
 
 
-def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels (smallest row of each component) after also joining the rows a and b pairwise."""
     while True:
         x, y = label[a], label[b]
