@@ -11,9 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import _graph, _scratch
+from textloom.llm._runs import by_runs, joined
 
-#: Tables, neighbouring cells that a vector also visits in each, cells to a unit of length, rows of a cell's chunk.
-TABLES, PROBES, SCALE, CHUNK = 3, 4, 7.0, 4096
+#: By lattice points that name a cell together: tables, neighbouring cells that a vector also visits in each, and the length
+#: in the lattice that two vectors at the threshold have between them on average. Each choice finds over 0.99 of the pairs
+#: at a cosine of 0.98, in 16, 64 and 128 dimensions.
+PLANS = {1: (3, 4, 0.5), 2: (6, 8, 0.4), 3: (10, 16, 0.4)}
+#: Cells over which one lattice point spreads vectors, about; vectors of a label to a cell from which a point more names it.
+SPREAD, DENSE = 3000, 64
+#: Rows of a cell's chunk; rows of a run up to which its pairs are compared side by side with those of other runs.
+CHUNK, SHORT_RUN = 4096, 32
 
 
 def _minimal() -> np.ndarray:
@@ -44,18 +51,33 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
     return np.where((((x - a) ** 2).sum(axis=1) <= ((x - b) ** 2).sum(axis=1))[:, None], a, b)
 
 
-def cells(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = 8) -> np.ndarray:
-    """(n, tables, 1 + probes) codes: in each table a unit vector's own cell, then the neighbours nearest to it."""
+def points_for(vectors: int) -> int:
+    """Lattice points to a cell's name, so that of so many vectors of a label few share a cell by chance."""
+    return min(max(PLANS), max(1, int(np.ceil(np.log(max(1, vectors) / DENSE) / np.log(SPREAD)))))
+
+
+def cells(x: np.ndarray, similarity: float, points: int = 1, seed: int = 8) -> np.ndarray:
+    """(n, tables, 1 + probes) codes: in each table a unit vector's own cell, then the neighbours nearest to it. A cell is
+    named by the lattice points of ``points`` projections; a neighbour has another one in one of them. The scale follows
+    from the threshold: two vectors at it differ by a set length in the lattice, whatever their dimensions."""
+    tables, probes, apart = PLANS[points]
     rng = np.random.default_rng(seed)
-    out = np.empty((len(x), tables, 1 + probes), dtype=np.int64)
+    n, size = x.shape
+    scale = apart / np.sqrt(max(2 * (1 - similarity), 1e-9) * min(8, size) / size)
+    out = np.empty((n, tables, 1 + probes), dtype=np.int64)
     for t in range(tables):
-        to = np.linalg.qr(rng.standard_normal((x.shape[1], 8) if x.shape[1] >= 8 else (8, 8)))[0][: x.shape[1]]
-        code = rng.integers(1, 1 << 62, 8)
-        y = x @ to * scale + rng.random(8)
-        own = nearest_e8(y)
-        near = np.argsort(-((y - own) @ MINIMAL.T), axis=1, kind="stable")[:, :probes]
-        every = np.concatenate([own[:, None], own[:, None] + MINIMAL[near]], axis=1)
-        out[:, t] = ((2 * every).astype(np.int64) * code).sum(axis=2)
+        near, step, base = [], [], np.zeros(n, dtype=np.int64)
+        for _ in range(points):
+            to = np.linalg.qr(rng.standard_normal((max(size, 8), 8)))[0][:size]
+            code = rng.integers(1, 1 << 62, 8)
+            y = x @ to * scale + rng.random(8)
+            own = nearest_e8(y)
+            base += ((2 * own).astype(np.int64) * code).sum(axis=1)
+            near.append((y - own) @ MINIMAL.T)
+            step.append(((2 * MINIMAL).astype(np.int64) * code).sum(axis=1))
+        first = np.argsort(-np.concatenate(near, axis=1), axis=1, kind="stable")[:, :probes]
+        out[:, t, 0] = base
+        out[:, t, 1:] = base[:, None] + np.concatenate(step)[first]
     return out
 
 
@@ -78,32 +100,37 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.98) -> DataFrame:
     linked directly, equal copies included; component_id is the smallest vec_id that links reach. A null vec_id has no
     component; repeated rows of a vec_id are copies of one vector; an empty table gives no rows.
 
-    Equal vectors are one class, which carries its size. Each class visits its own cell and PROBES neighbours in TABLES
-    tables; in a cell, those whose own cell it is meet all its visitors. A pair counts in the first cell in which it
-    meets, so that no pair leaves a task: only each class's number of links and a spanning forest do. A cell of over
-    CHUNK rows is dealt out as pairs of chunks.
+    Equal vectors are one class, which carries its size. Each class visits its own cell and its neighbours in each table
+    (PLANS); in a cell, those whose own cell it is meet all its visitors. A pair counts in the first cell in which it
+    meets, so that no pair leaves a task: only each class's number of links and a spanning forest do. Cells are sorted
+    runs; one of over CHUNK rows is dealt out as pairs of chunks.
     """
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("e").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("e", lambda x: x != 0)
     good = own.where(usable)
     classes = _scratch.written(good.groupBy("label", "e").agg(F.min("vec_id").alias("cid"), F.count("*").alias("size")), "vector-classes")
+    most = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    points = points_for(most)
+    tables, probes, _ = PLANS[points]
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = batch.column(1).value_lengths().to_numpy()
             for n in np.unique(lengths):
-                part = batch.filter(pa.array(lengths == n))
-                x = part.column(1).flatten().to_numpy().reshape(-1, n)
-                x = x / np.abs(x).max(axis=1, keepdims=True)  # no square overflows or vanishes
-                unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-                c = cells(unit)
-                m, visits = len(x), TABLES * (1 + PROBES)
-                at = np.repeat(np.arange(m), visits)
-                rows = [part.column(0).take(pa.array(at)), pa.array(np.full(len(at), n, np.int32)), pa.array(np.tile(np.repeat(np.arange(TABLES, dtype=np.int32), 1 + PROBES), m)), pa.array(c.reshape(-1))]
-                rows += [pa.array(np.tile(np.arange(1 + PROBES) == 0, m * TABLES)), part.column(2).take(pa.array(at)), part.column(3).take(pa.array(at))]
-                rows += [pa.array([r.tobytes() for r in unit], pa.binary()).take(pa.array(at)), pa.array([r.tobytes() for r in c], pa.binary()).take(pa.array(at))]
-                yield pa.RecordBatch.from_arrays(rows, ["label", "n", "t", "cell", "home", "cid", "size", "x", "c"])
+                every = batch.filter(pa.array(lengths == n))
+                for lo in range(0, every.num_rows, 1024):
+                    part = every.slice(lo, 1024)
+                    x = part.column(1).flatten().to_numpy().reshape(-1, n)
+                    x = x / np.abs(x).max(axis=1, keepdims=True)  # no square overflows or vanishes
+                    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+                    c = cells(unit, similarity, points)
+                    m, visits = len(x), tables * (1 + probes)
+                    at = np.repeat(np.arange(m), visits)
+                    rows = [part.column(0).take(pa.array(at)), pa.array(np.full(len(at), n, np.int32)), pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), 1 + probes), m)), pa.array(c.reshape(-1))]
+                    rows += [pa.array(np.tile(np.arange(1 + probes) == 0, m * tables)), part.column(2).take(pa.array(at)), part.column(3).take(pa.array(at))]
+                    rows += [pa.array([r.tobytes() for r in unit], pa.binary()).take(pa.array(at)), pa.array([r.tobytes() for r in c], pa.binary()).take(pa.array(at))]
+                    yield pa.RecordBatch.from_arrays(rows, ["label", "n", "t", "cell", "home", "cid", "size", "x", "c"])
 
     visits = classes.select("label", "e", "cid", "size").mapInArrow(visit, "label long, n int, t int, cell long, home boolean, cid long, size long, x binary, c binary")
     key = ["label", "n", "t", "cell"]
@@ -111,41 +138,58 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.98) -> DataFrame:
     pieces = F.ceil(F.col("m") / CHUNK).cast("int")
     dealt = visits.join(counts.select(*key, pieces.alias("k")), key).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
-
-    def meet(key, table):
-        _, n, t, cell, lo, hi = (k.as_py() for k in key)
-        x = np.frombuffer(b"".join(table.column("x").to_pylist()), dtype=np.float64).reshape(-1, n)
-        c = np.frombuffer(b"".join(table.column("c").to_pylist()), dtype=np.int64).reshape(-1, TABLES, 1 + PROBES)
-        home, cid, size, mine = (table.column(k).to_numpy() for k in ("home", "cid", "size", "mine"))
-        rows, links = len(x), np.zeros(len(x), dtype=np.int64)
-        label = np.arange(rows)
-        for a in range(0, rows, 1024):
-            near = x[a : a + 1024] @ x.T >= similarity
-            near &= home[a : a + 1024, None] | home[None, :]
-            i, j = np.nonzero(near)
-            i += a
-            keep = (i < j) & ((mine[i] != mine[j]) if lo != hi else True)
+    run_key = [*key, "lo", "hi"]
+    runs = dealt.repartition(*run_key).sortWithinPartitions(*run_key).select(*run_key, "home", "cid", "size", "mine", "x", "c")
+
+    def of_length(rows: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``meet`` on the runs of each length of vectors."""
+        n, end = rows.column("n").to_numpy(), np.append(first[1:], rows.num_rows)
+        cuts = [0, *(np.flatnonzero(n[first][1:] != n[first][:-1]) + 1).tolist(), len(first)]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            yield from meet(rows.slice(first[a], end[z - 1] - first[a]), first[a:z] - first[a])
+
+    def meet(rows: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Links of whole runs, all of vectors of one length."""
+        _, n, t, cell, lo, hi, home, cid, size, mine = (rows.column(k).to_numpy() for k in range(10))
+        x = np.frombuffer(b"".join(rows.column("x").to_pylist()), dtype=np.float64).reshape(len(n), -1)
+        c = np.frombuffer(b"".join(rows.column("c").to_pylist()), dtype=np.int64).reshape(len(n), tables, 1 + probes)
+        end = np.append(first[1:], len(n))
+        run = np.repeat(np.arange(len(first)), end - first)
+        links, name = np.zeros(len(n), dtype=np.int64), np.arange(len(n))
+
+        def linked(i: np.ndarray, j: np.ndarray) -> None:
+            nonlocal name
+            keep = (home[i] | home[j]) & ((lo[i] == hi[i]) | (mine[i] != mine[j]))
+            i, j = i[keep], j[keep]
+            swap = cid[i] > cid[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            table_of, cell_of = _first_meeting(c[i], c[j])
+            keep = (table_of == t[i]) & (cell_of == cell[i])
             i, j = i[keep], j[keep]
-            for b in range(0, len(i), 1 << 16):
-                p, q = i[b : b + (1 << 16)], j[b : b + (1 << 16)]
-                swap = cid[p] > cid[q]
-                p, q = np.where(swap, q, p), np.where(swap, p, q)
-                table_of, cell_of = _first_meeting(c[p], c[q])
-                first = (table_of == t) & (cell_of == cell)
-                p, q = p[first], q[first]
-                np.add.at(links, p, size[q])
-                np.add.at(links, q, size[p])
-                while True:  # join the labels of p and q
-                    u, v = label[p], label[q]
-                    if (u == v).all():
-                        break
-                    np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
-                    while (label != label[label]).any():
-                        label = label[label]
-        some = np.flatnonzero((links > 0) | (label != np.arange(rows)))
-        return pa.table({"cid": cid[some], "links": links[some], "to": cid[label[some]]})
-
-    found = dealt.select(*key, "lo", "hi", "home", "cid", "size", "mine", "x", "c").groupBy(*key, "lo", "hi").applyInArrow(meet, "cid long, links long, to long")
+            np.add.at(links, i, size[j])
+            np.add.at(links, j, size[i])
+            name = joined(name, i, j)
+
+        i = np.flatnonzero((end - first)[run] <= SHORT_RUN)
+        for d in range(1, SHORT_RUN):
+            i = i[i + d < end[run[i]]]
+            for a in range(0, len(i), 1 << 14):
+                p = i[a : a + (1 << 14)]
+                near = np.einsum("ij,ij->i", x[p], x[p + d]) >= similarity
+                linked(p[near], p[near] + d)
+        for k in np.flatnonzero(end - first > SHORT_RUN).tolist():
+            a, z = int(first[k]), int(end[k])
+            for b in range(a, z, 1024):
+                i, j = np.nonzero(x[b : min(b + 1024, z)] @ x[a:z].T >= similarity)
+                i, j = i + b, j + a
+                later = i < j
+                i, j = i[later], j[later]
+                for q in range(0, len(i), 1 << 16):
+                    linked(i[q : q + (1 << 16)], j[q : q + (1 << 16)])
+        some = np.flatnonzero((links > 0) | (name != np.arange(len(n))))
+        yield pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(links[some]), pa.array(cid[name[some]])], ["cid", "links", "to"])
+
+    found = runs.mapInArrow(lambda batches: by_runs(batches, len(run_key), of_length), "cid long, links long, to long")
     found = _scratch.written(found, "vector-links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     graph = _graph.components(found.select(F.col("cid").alias("src"), F.col("to").alias("dst")))

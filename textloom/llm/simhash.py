@@ -11,15 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import _graph, _scratch
+from textloom.llm._runs import by_runs, joined
 from textloom.llm._text import blocks, mix, shingle_sets, word_hashes, words
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bits of the three segments of a fingerprint, from the highest.
 SEGMENTS = (22, 21, 21)
-#: Fingerprints in a segment's bucket up to which their pairs are joined; larger buckets are split by the next segment.
-#: Pairs in such a part up to which they are joined.
-PAIR_BUCKET, PAIR_PART = 16, 4096
+#: Fingerprints of a segment's bucket up to which it is not split; those of a run up to which its pairs are compared; those
+#: whose neighbourhoods are in memory at once.
+PAIR_BUCKET, PAIR_PART, FLIPPED = 16, 64, 200_000
 
 
 def _fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
@@ -78,26 +79,54 @@ def _segments() -> list[tuple[int, int]]:
     return out
 
 
-def _flip_edges(fps: np.ndarray, seg: int, slices: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Edges that connect exactly the fingerprints of one bucket at 2 or fewer differing bits. Two of them lie within
-    2 bits if and only if some value lies within 1 bit of both; outside the shared segment that is one of 44 values
-    for each fingerprint. All that share a value link with each other, so linking them to their smallest suffices."""
+def _flip_pairs(fps: np.ndarray, seg: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places that connect exactly the fingerprints, equal in a segment, at 2 or fewer differing bits. Two of them
+    lie within 2 bits if and only if some value lies within 1 bit of both; outside the segment that is one of 44 values
+    for each fingerprint. All that share a value link with each other, so linking them to the first suffices."""
     shift, n = _segments()[seg]
     free = [np.uint64(1) << np.uint64(b) for b in range(64) if not shift <= b < shift + n]
+    slices = max(1, len(fps) // FLIPPED)
     for part in range(slices):
         keys, owners = [], []
         for flip in [np.uint64(0), *free]:
             key = fps ^ flip
-            mine = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(slices) == part if slices > 1 else slice(None)
+            mine = np.flatnonzero((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(slices) == part) if slices > 1 else np.arange(len(fps))
             keys.append(key[mine])
-            owners.append(fps[mine])
+            owners.append(mine)
         key, owner = np.concatenate(keys), np.concatenate(owners)
-        order = np.lexsort((owner, key))
+        order = np.argsort(key, kind="stable")
         key, owner = key[order], owner[order]
-        head = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        low = owner[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))] if len(key) else owner
-        pairs = np.unique(np.stack([low[low != owner], owner[low != owner]]), axis=1)
-        yield pairs[0], pairs[1]
+        head = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))
+        yield owner[head], owner
+
+
+def _chain_links(rows: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links within each run of fingerprints that share a segment (and perhaps half of the next): of
+    short runs all pairs are pruned by the chain from that segment and then checked in full."""
+    seg, fp = rows.column("seg").to_numpy(), rows.column("fp").to_numpy().view(np.uint64)
+    n = len(fp)
+    end = np.append(first[1:], n)
+    to, short = np.repeat(end, end - first), np.repeat(end - first <= PAIR_PART, end - first)
+    places = np.array(_segments(), dtype=np.uint64)
+    masks = (np.uint64(1) << places[:, 1]) - np.uint64(1) << places[:, 0]
+    label, i = np.arange(n), np.flatnonzero(short)
+    for d in range(1, PAIR_PART):
+        i = i[i + d < to[i]]
+        if not len(i):
+            break
+        x = fp[i] ^ fp[i + d]
+        one = np.bitwise_count(x & masks[(seg[i] + 1) % 3])
+        ok = (x & masks[seg[i]] == 0) & (one <= 1) & (one + np.bitwise_count(x & masks[(seg[i] + 2) % 3]) <= 2)
+        label = joined(label, i[ok], i[ok] + d)
+    for a, z in zip(first.tolist(), end.tolist(), strict=True):
+        if z - a > PAIR_PART:
+            own = np.arange(z - a)
+            for p, q in _flip_pairs(fp[a:z], int(seg[a])):
+                own = joined(own, p, q)
+            label[a:z] = a + own
+    moved = np.flatnonzero(label != np.arange(n))
+    fp = fp.view(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[label[moved]])], ["src", "dst"])
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -105,57 +134,25 @@ def links(fps: DataFrame) -> DataFrame:
 
     Pigeonring filter: with three segments on a ring and 2 bits to differ in, some segment starts a chain whose first
     segment differs in 0 bits, first two in at most 1 and all three in at most 2. Fingerprints meet in the bucket of a
-    shared segment, are pruned by the chain from there, and only then checked in full. A bucket of more than PAIR_BUCKET is
-    split by the chain's second step: each of its fingerprints visits the part of its own next segment and those of one bit
-    less or more, so that only chains of two segments within their budget meet, and buckets may grow with the corpus. What
-    still meets many others there are copies but for the last segment's bits: where a part has more than PAIR_PART pairs,
-    they are checked in linear time by their 1-bit neighbourhoods.
+    shared segment, are pruned by the chain from there, and only then checked in full. As two that differ in at most 1 bit
+    of the next segment share its first or its second half, a bucket of more than PAIR_BUCKET is split by both halves, so
+    buckets may grow with the corpus. What still meets more than PAIR_PART others there are near copies of each other, for
+    which a check by their 1-bit neighbourhoods takes linear time. Only a spanning forest leaves a task.
     """
     shifts = _segments()
-    key = F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << n) - 1)).alias("val")) for i, (s, n) in enumerate(shifts)]))
-    keyed = fps.select("fp", key.alias("k")).select("fp", "k.seg", "k.val")
-    grouped = keyed.groupBy("seg", "val").agg(F.count("*").alias("n")).where("n > 1")
-    small = keyed.join(grouped.where(F.col("n") <= PAIR_BUCKET), ["seg", "val"]).select("seg", "val", "fp")
-    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-
-    def chain(start: int):  # cumulative differences after one, two and three segments
-        total, ok = F.lit(0), F.lit(True)
-        for step in range(3):
-            s, n = shifts[(start + step) % 3]
-            total = total + F.bit_count(F.shiftrightunsigned(x, s).bitwiseAND(F.lit((1 << n) - 1)))
-            ok = ok & (total <= (step + 1) * 2 // 3)
-        return ok
-
-    passed = F.when(F.col("a.seg") == 0, chain(0)).when(F.col("a.seg") == 1, chain(1)).otherwise(chain(2))
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        return pairs.where(passed).where(F.bit_count(x) <= 2).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
-
-    same = (F.col("a.seg") == F.col("b.seg")) & (F.col("a.val") == F.col("b.val"))
-    near = checked(small.alias("a").join(small.alias("b"), same & (F.col("a.fp") < F.col("b.fp"))))
-    big = keyed.join(grouped.where(F.col("n") > PAIR_BUCKET).drop("n"), ["seg", "val"]).select("seg", "val", "fp")
 
-    def visits(i: int):
-        s, n = shifts[(i + 1) % 3]
-        own = F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << n) - 1))
-        return F.array(*[F.struct(own.bitwiseXOR(F.lit(flip)).alias("next"), F.lit(flip == 0).alias("home")) for flip in (0, *(1 << k for k in range(n)))])
+    def of(i: int):
+        s, n = shifts[i % 3]
+        return F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << n) - 1))
 
-    visit = F.explode(F.when(F.col("seg") == 0, visits(0)).when(F.col("seg") == 1, visits(1)).otherwise(visits(2))).alias("v")
-    probes = big.select("seg", "val", "fp", visit).select("seg", "val", "v.next", "v.home", "fp")
-    part = ["seg", "val", "next"]
-    counts = probes.groupBy(*part).agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where("homes > 0 and n > 1")
-    few = probes.join(counts.where(F.col("n") * F.col("homes") <= PAIR_PART).select(*part), part)
-    met = same & (F.col("a.next") == F.col("b.next")) & (F.col("a.fp") != F.col("b.fp"))
-    near = near.unionAll(checked(few.where("home").alias("a").join(few.alias("b"), met)))
-    many = probes.join(counts.where(F.col("n") * F.col("homes") > PAIR_PART).select(*part), part)
-
-    def run(key, table):
-        own = table.column("fp").to_numpy().view(np.uint64)
-        found = list(_flip_edges(own, key[0].as_py(), max(1, len(own) // 200_000)))
-        src, dst = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-        return pa.table({"src": pa.array(src.view(np.int64)), "dst": pa.array(dst.view(np.int64))})
-
-    return near.unionAll(many.groupBy(*part).applyInArrow(run, "src long, dst long"))
+    key = F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), of(i).alias("val"), of(i + 1).alias("next")) for i in range(3)]))
+    keyed = fps.select("fp", key.alias("k")).select("fp", "k.*")
+    grouped = keyed.groupBy("seg", "val").agg(F.count("*").alias("n")).where("n > 1")
+    halves = F.array(F.struct(F.lit(0).alias("half"), F.shiftright("next", 11).alias("part")), F.struct(F.lit(1).alias("half"), F.col("next").bitwiseAND(F.lit((1 << 11) - 1)).alias("part")))
+    whole = F.array(F.struct(F.lit(-1).alias("half"), F.lit(0).cast("long").alias("part")))
+    dealt = keyed.join(grouped, ["seg", "val"]).select("seg", "val", F.explode(F.when(F.col("n") > PAIR_BUCKET, halves).otherwise(whole)).alias("h"), "fp").select("seg", "val", "h.half", "h.part", "fp")
+    run = ["seg", "val", "half", "part"]
+    return dealt.repartition(*run).sortWithinPartitions(*run).mapInArrow(lambda b: by_runs(b, len(run), _chain_links), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -231,22 +228,23 @@ SHORT_RUN = 32
 HELD_LINKS = 1 << 18
 
 
-def _run_edges(key: np.ndarray, f: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links (Hamming distance up to most) within each run of equal keys: linear in rows where
-    they are copies of each other, else the square of those outside the largest component, in bounded memory."""
-    label, n = np.arange(len(key)), len(key)
-    last = np.concatenate([np.flatnonzero(key[1:] != key[:-1]), [n - 1]])
-    first = np.concatenate([[0], last[:-1] + 1])
-    end = last[np.searchsorted(last, label)] + 1
+def _run_edges(first: np.ndarray, f: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links (Hamming distance up to most) within each run, of which first are the first rows:
+    linear in rows where they are copies of each other, else the square of those outside the largest component, in bounded
+    memory."""
+    n = len(f)
+    label, end = np.arange(n), np.append(first[1:], n)
+    size = np.repeat(end - first, end - first)
+    to = np.repeat(end, end - first)
     i, found = label, [(np.zeros(0, np.int64),) * 2]
     for d in range(1, SHORT_RUN):
-        i = i[(i + d < end[i]) & ((d <= 8) | (end[i] - first[np.searchsorted(last, i)] <= SHORT_RUN))]
+        i = i[(i + d < to[i]) & ((d <= 8) | (size[i] <= SHORT_RUN))]
         if not len(i):
             break
         ok = np.bitwise_count(f[i] ^ f[i + d]).sum(axis=1, dtype=np.int32) <= most
         found.append((i[ok], i[ok] + d))
     label = joined(label, *(np.concatenate([p[k] for p in found]) for k in (0, 1)))
-    for a, z in zip(first.tolist(), (last + 1).tolist(), strict=True):
+    for a, z in zip(first.tolist(), end.tolist(), strict=True):
         if z - a > SHORT_RUN:
             label[a:z] = a + _whole_run(label[a:z] - a, f[a:z], most)
     moved = np.flatnonzero(label != np.arange(n))
@@ -270,21 +268,6 @@ def _whole_run(label: np.ndarray, f: np.ndarray, most: int) -> np.ndarray:
     return label
 
 
-def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels (smallest row of each component) after also joining the rows a and b pairwise."""
-    while True:
-        x, y = label[a], label[b]
-        low, high = np.minimum(x, y), np.maximum(x, y)
-        keep = low != high
-        if not keep.any():
-            return label
-        a, b, low, high = a[keep], b[keep], low[keep], high[keep]
-        label = label.copy()
-        np.minimum.at(label, high, low)
-        while (label != label[label]).any():
-            label = label[label]
-
-
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, row, component_id) by links at a Jaccard similarity of about ``similarity`` or more of width-word shingles.
 
@@ -311,27 +294,12 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
     keyed = classes.select(*f, "node").mapInArrow(keys, "key long, f0 long, f1 long, f2 long, f3 long, node long")
     runs = keyed.repartition("key").sortWithinPartitions("key")
 
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def done(table: pa.Table) -> pa.RecordBatch:
-            col = [table.column(k).to_numpy() for k in range(6)]
-            src, dst = _run_edges(col[0], np.stack([c.view(np.uint64) for c in col[1:5]], axis=1), col[5], most)
-            return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+    def edges(rows: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        col = [rows.column(k).to_numpy() for k in range(6)]
+        src, dst = _run_edges(first, np.stack([c.view(np.uint64) for c in col[1:5]], axis=1), col[5], most)
+        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
-        for batch in batches:
-            key = batch.column(0).to_numpy()
-            if not len(key):
-                continue
-            cut = int(np.searchsorted(key, key[-1]))  # the last run may go on in the next batch
-            if cut or (held and held[-1].column(0)[-1].as_py() != key[0]):
-                yield done(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield done(pa.Table.from_batches(held))
-
-    graph = _graph.components(runs.mapInArrow(edges, "src long, dst long"))
+    graph = _graph.components(runs.mapInArrow(lambda b: by_runs(b, 1, edges), "src long, dst long"))
     named = classes.select("node", "low").join(graph, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
     found = named.join(least, "component").select("node", "component_id")
