@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,12 @@ def bucketed(df: DataFrame, name: str, keys: list[str], parts: int, placed: bool
     return table
 
 
+def placed(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """df dealt to ``parts`` partitions by a hash of keys, sorted by them and kept on the executors' disks until unpersist():
+    joins and groups by keys exchange nothing, and what a lost executor had is computed again."""
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys).persist(StorageLevel.DISK_ONLY)
+
+
 def drop_bucketed(spark: SparkSession, table: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {table}")
     drop(spark, f"{shared_dir(spark)}/{table}")

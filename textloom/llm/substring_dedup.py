@@ -163,7 +163,7 @@ class FingerprintIndex:
             both = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key], "full_outer")
             keys = [F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in key]
             if kind == "seed":  # an older run's document is the first
-                merged = both.select(*keys, F.coalesce("a.first", "b.first").alias("first"), (F.coalesce("a.shared", F.lit(False)) | F.coalesce("b.shared", F.lit(False))).alias("shared"))
+                merged = both.select(*keys, F.coalesce("a.first", "b.first").alias("first"), (F.coalesce("a.shared", F.lit(False)) | F.coalesce("b.shared", F.lit(False))).alias("shared"), F.lit(False).alias("alone"))
             else:
                 merged = both.select(*keys, F.coalesce("a.doc_id", "b.doc_id").alias("doc_id"))
         self.runs[kind] = []
@@ -179,46 +179,47 @@ class FingerprintIndex:
     def add(self, batch: DataFrame, history: DataFrame | None, last: bool = False) -> DataFrame:
         """(doc_id, row, at): starts of windows of batch whose words also start in a document of smaller doc_id, in the
         batch or in the index. batch, history: (doc_id, text), perhaps with row, of the new and of all indexed documents;
-        doc_ids of the batch are larger than those of the history. last: no batch follows, runs are not merged."""
+        doc_ids of the batch are larger than those of the history. last: no batch follows, so windows and merged runs are not
+        written."""
         batch, history = _numbered(batch), None if history is None else _numbered(history)
-        scratch = [_scratch.bucketed(_seed_rows(batch, self.window, self.seed), "seeds", ["seed"], self.parts)]
-        rows = self.spark.table(scratch[0])
+        rows = _scratch.placed(_seed_rows(batch, self.window, self.seed), ["seed"], self.parts)
         state = rows.groupBy("seed").agg(F.min(F.struct("doc_id", "row")).alias("low"), (F.min(F.struct("doc_id", "row")) < F.max(F.struct("doc_id", "row"))).alias("several"))
         first, was = F.lit(None).cast("struct<doc_id:bigint,row:bigint>"), F.lit(False)
         for k, run in enumerate(self.runs["seed"]):
             past = self.spark.table(run).select("seed", F.col("first").alias(f"first{k}"), F.col("shared").alias(f"shared{k}"))
             state = state.join(past, "seed", "left")
             first, was = F.coalesce(first, f"first{k}"), was | F.coalesce(f"shared{k}", F.lit(False))
-        state = state.select("seed", "low", first.alias("first"), was.alias("was"), (F.col("several") | first.isNotNull()).alias("shared"))
-        scratch.append(_scratch.bucketed(state, "seed-state", ["seed"], self.parts, placed=True))
-        state = self.spark.table(scratch[1])
-        news = F.col("first").isNull() | (F.col("shared") & ~F.col("was"))
-        self._write("seed", state.where(news).select("seed", F.coalesce("first", "low").alias("first"), "shared"))
-        shared = state.where("shared")
-        need = rows.join(shared.select("seed"), "seed").select("doc_id", "row", "seed")
-        text = batch
+        # a run has all of its batch's seeds; alone: one historical document had it until now
+        shared = F.col("several") | first.isNotNull()
+        state = state.select("seed", F.coalesce(first, "low").alias("first"), shared.alias("shared"), (first.isNotNull() & ~was).alias("alone"))
+        self._write("seed", state)
+        state = self.spark.table(self.runs["seed"][-1]).where("shared")
+        need = rows.join(state.select("seed"), "seed").select("doc_id", "row", "seed")
+        text, path = batch, None
         if history is not None:
-            old = shared.where("first is not null and not was").select("first.doc_id", "first.row", "seed")
+            old = state.where("alone").select("first.doc_id", "first.row", "seed")
             need = need.unionAll(old)
             path, ids = _scratch.written_at(old.select("doc_id", "row").distinct(), "first-docs")
             # broadcast only a checked, small set of ids
             text = text.unionAll(history.select(*text.columns).join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, ["doc_id", "row"], "left_semi").select(*text.columns))
         need = need.groupBy("doc_id", "row").agg(F.collect_list("seed").alias("seeds"))  # as many as a text's words at most
-        scratch.append(_scratch.bucketed(_window_rows(text.join(need, ["doc_id", "row"]), self.window, self.seed), "windows", ["w", "v"], self.parts))
-        found = self.spark.table(scratch[2])
+        found = _scratch.placed(_window_rows(text.join(need, ["doc_id", "row"]), self.window, self.seed), ["w", "v"], self.parts)
         low = found.where("not sure").groupBy("w", "v").agg(F.min("doc_id").alias("low"))
         least = F.col("low")
         for k, run in enumerate(self.runs["window"]):
             low = low.join(self.spark.table(run).select("w", "v", F.col("doc_id").alias(f"low{k}")), ["w", "v"], "left")
             least = F.least(least, F.col(f"low{k}"))
-        self._write("window", low.select("w", "v", least.alias("doc_id")))
-        low = self.spark.table(self.runs["window"][-1]).withColumnRenamed("doc_id", "low")
-        at = F.explode(F.concat(F.when(F.col("at").isNull(), F.array().cast("array<int>")).otherwise(F.array("at")), F.coalesce("more", F.array().cast("array<int>")))).alias("at")
-        hit = found.where("not sure").join(low, ["w", "v"]).where("doc_id > low").select("doc_id", "row", at)
-        hit = _scratch.written(hit.unionAll(found.where("sure").select("doc_id", "row", at)), "repeats")
-        for table in scratch:
-            _scratch.drop_bucketed(self.spark, table)
-        if history is not None:
+        low = low.select("w", "v", least.alias("low"))
+        if not last:
+            self._write("window", low.withColumnRenamed("low", "doc_id"))
+            low = self.spark.table(self.runs["window"][-1]).withColumnRenamed("doc_id", "low")
+        none = F.array().cast("array<int>")
+        at = F.explode(F.concat(F.when(F.col("at").isNull(), none).otherwise(F.array("at")), F.coalesce("more", none))).alias("at")
+        hit = found.join(low, ["w", "v"], "left").where("sure or doc_id > low").select("doc_id", "row", at)
+        hit = _scratch.written(hit.hint("rebalance"), "repeats")
+        rows.unpersist()
+        found.unpersist()
+        if path:
             _scratch.drop(self.spark, path)
         if not last:
             self.compact("seed")
@@ -272,6 +273,7 @@ def _split(docs: DataFrame, batches: int, window: int, rest: bool) -> DataFrame:
     parts = min(_scratch.parts_for(spark, size or 0, PER_BUCKET), _scratch.MOST_BUCKETS)
     numbered = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text", *(["rest"] if rest else []))
     whole = spark.table(_scratch.bucketed(numbered, "documents", ["doc_id", "row"], parts))
+    _scratch.release(spark)
     texts = whole.where("doc_id is not null").select("doc_id", "row", "text")
     cuts = [None, *dict.fromkeys(cuts or []), None] if batches > 1 else [None, None]
     index, found = FingerprintIndex(spark, window, fan_in=1, parts=parts), None
