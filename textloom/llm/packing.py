@@ -89,11 +89,13 @@ def _powers(length: int) -> list[int]:
     return [1 << b for b in range(length.bit_length() - 1, -1, -1) if length >> b & 1]
 
 
-def pack_documents(docs: DataFrame, path: str, end: int = 1, tokens: int = TOKENS, segments: int = SEGMENTS) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end: int = 1, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, bearing: str | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece of every document.
 
     A document's ids are its whole text's, by the library's vocabulary at ``path``, and ``end`` after them; all but a
-    document's first bear loss. Every id lies in exactly one piece. Each task packs its own documents from pools of
+    document's first bear loss, or of instruction data the share that the column ``bearing`` says (0 to 1; null: all but
+    the first), spread over the document. Every id lies in exactly one piece, and no sequence has more than ``loss``
+    loss-bearing tokens, ``segments`` pieces or ``tokens`` ids. Each task packs its own documents from pools of
     POOL, without a shuffle; sequences are full but for a task's last, which is dealt out to sequences of lengths that
     are powers of two, as those need no padding, and sequences that the segments' limit ends. A null or empty text is
     the end id alone; a null doc_id and repeated rows are packed like any; an empty table gives no rows.
@@ -120,7 +122,7 @@ def pack_documents(docs: DataFrame, path: str, end: int = 1, tokens: int = TOKEN
             rows.extend((*row[:5], task + 2 * row[5], row[6]) for row, _ in opened)
             opened.clear()
 
-        packer = Packer(place, tokens, segments)
+        packer = Packer(place, tokens, segments, loss)
 
         def done() -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True))
@@ -143,7 +145,8 @@ def pack_documents(docs: DataFrame, path: str, end: int = 1, tokens: int = TOKEN
                     for k in range(at, upto):
                         pool[k] = (part.column(0)[k].as_py(), wide[4 * offsets[k - at] : 4 * offsets[k - at + 1]])
                     at = upto
-                packer.add([(k, len(raw) // 4, len(raw) // 4 - 1) for k, (_, raw) in pool.items()])
+                share = [None] * len(pool) if bearing is None else part.column(2).to_pylist()
+                packer.add([(k, n, n - 1 if share[k] is None else int(min(max(share[k], 0.0), 1.0) * n)) for k, (_, raw) in pool.items() for n in [len(raw) // 4]])
                 if rows:
                     yield done()
         if opened:
@@ -163,4 +166,5 @@ def pack_documents(docs: DataFrame, path: str, end: int = 1, tokens: int = TOKEN
             yield done()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, schema)
+    own = [F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))]
+    return docs.select(*own, *([F.nanvl(F.col(bearing).cast("double"), F.lit(None).cast("double"))] if bearing else [])).mapInArrow(run, schema)
