@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from textloom.plans import pipelines, relational, statistics  # noqa: F401
+from textloom.plans import files, pipelines, relational, statistics  # noqa: F401
 from textloom.plans.registry import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -1,30 +1,100 @@
-"""Command line: list the queries, run one into Parquet, or show its plan.
-
-    python -m textloom list
-    python -m textloom run NAME TABLES OUT
-    python -m textloom explain NAME TABLES
-"""
+"""Command line: the registered queries, and the steps of an analysis over a folder of tables into a run's folder."""
 
 from __future__ import annotations
 
+import argparse
 import sys
 
-from textloom.plans import pipelines, relational, statistics  # noqa: F401  (they register their queries)
+from textloom import workflow
+from textloom.plans import files, pipelines, relational, statistics  # noqa: F401  (they register their queries)
 from textloom.plans.registry import QUERIES
 from textloom.session import session
 
 
+def _parser() -> argparse.ArgumentParser:
+    top = argparse.ArgumentParser(prog="python -m textloom", description=__doc__)
+    commands = top.add_subparsers(dest="command", required=True)
+    commands.add_parser("list", help="the registered queries")
+    for name, text in (("query", "run a query into Parquet"), ("explain", "show a query's plan")):
+        p = commands.add_parser(name, help=text)
+        p.add_argument("name", choices=sorted(QUERIES), metavar="NAME")
+        p.add_argument("tables")
+        if name == "query":
+            p.add_argument("out")
+
+    def step(name: str, text: str, *steps: str) -> argparse.ArgumentParser:
+        p = commands.add_parser(name, help=text)
+        if steps:
+            p.add_argument("step", choices=steps)
+        p.add_argument("tables")
+        p.add_argument("out")
+        p.add_argument("--rounds", type=int, default=200)
+        p.add_argument("--bins", type=int, default=128)
+        p.add_argument("--top-k", type=int, default=200)
+        p.add_argument("--folds", type=int, default=10)
+        return p
+
+    p = step("dataframe", "build the wide frame")
+    for flag in ("metadata-only", "csv", "csv-only", "overwrite"):
+        p.add_argument(f"--{flag}", action="store_true")
+    for method in ("mi", "ig"):
+        p = step(method, "score all features")
+        p.add_argument("--restart", action="store_true")
+        p.add_argument("--relabel", action="store_true")
+    p = step("workflow", "a step of an analysis", "run", "prepare", "rank", "train", "report", "summarize", "final-test")
+    p.add_argument("--task", choices=sorted(workflow.TASKS), action="append")
+    p.add_argument("--experiments", nargs="+")
+    step("pipeline", "all steps of an analysis")
+    step("cv", "cross-validation", "prepare", "run", "status", "summarize").add_argument("--job")
+    step("validity", "validity checks", "topic", "length", "tasks")
+    step("tables", "written summaries")
+    return top
+
+
 def main(args: list[str]) -> int:
-    match args:
-        case ["list"]:
-            print("\n".join(QUERIES))
-        case ["run", name, tables, out] if name in QUERIES:
-            QUERIES[name](session(), tables).write.mode("overwrite").parquet(out)
-        case ["explain", name, tables] if name in QUERIES:
-            QUERIES[name](session(), tables).explain("formatted")
-        case _:
-            print(__doc__)
-            return 2
+    a = _parser().parse_args(args)
+    if a.command == "list":
+        print("\n".join(QUERIES))
+        return 0
+    spark = session()
+    if a.command == "query":
+        QUERIES[a.name](spark, a.tables).write.mode("overwrite").parquet(a.out)
+        return 0
+    if a.command == "explain":
+        QUERIES[a.name](spark, a.tables).explain("formatted")
+        return 0
+    run = workflow.Run(spark, a.tables, a.out, a.rounds, a.bins, a.top_k, a.folds)
+    match a.command, getattr(a, "step", None):
+        case "dataframe", _:
+            workflow.dataframe(run, a.metadata_only, a.csv, a.csv_only, a.overwrite)
+        case ("mi" | "ig") as method, _:
+            workflow.score(run, method, a.restart, a.relabel)
+        case "workflow", "prepare":
+            workflow.prepare(run)
+        case "workflow", "rank":
+            workflow.rank(run)
+        case "workflow", "train":
+            workflow.train(run, a.task or list(workflow.TASKS), a.experiments)
+        case "workflow", "report":
+            workflow.report(run)
+        case "workflow", "summarize":
+            workflow.summarize(run)
+        case "workflow", "final-test":
+            workflow.final_test(run)
+        case ("workflow", "run") | ("pipeline", _):
+            workflow.whole(run)
+        case "cv", "prepare":
+            workflow.cv_prepare(run)
+        case "cv", "run":
+            workflow.cv_run(run, a.job)
+        case "cv", "status":
+            workflow.cv_status(run).show(truncate=False)
+        case "cv", "summarize":
+            workflow.cv_summarize(run)
+        case "validity", check:
+            workflow.validity(run, check)
+        case "tables", _:
+            workflow.tables(run)
     return 0
 
 

@@ -118,14 +118,15 @@ def feature_token(name: Column) -> Column:
 
 
 def operation(error_type: Column) -> Column:
-    head = F.split(error_type, ":")[0]
+    """By what precedes the first colon, in any case."""
+    head = F.upper(F.split(error_type, ":")[0])
     return F.when(head == "M", "missing").when(head == "U", "unnecessary").when(head == "R", "replacement").otherwise("other")
 
 
 def family(error_type: Column) -> Column:
-    """What follows the operation, OTHER for unknown operations or nothing after it."""
-    rest = F.regexp_extract(error_type, r"^[MUR]:(.+)$", 1)
-    return F.when(rest != "", rest).otherwise(F.lit("OTHER"))
+    """The second of the parts between colons in capitals, whatever the operation; OTHER where it is missing or empty."""
+    part = F.upper(F.get(F.split(error_type, ":"), F.lit(1)))
+    return F.when(part != "", part).otherwise(F.lit("OTHER"))
 
 
 def column_part(name: Column, part: int) -> Column:

@@ -89,12 +89,12 @@ def fit(jobs: DataFrame, features: list[str], label: str, kind: str, rounds: int
 def contributions(rows: DataFrame, features: list[str], terms: DataFrame) -> DataFrame:
     """(text_id, model, feature, output, score): the exact parts of every text's scores, by lookup of each value's bin.
 
-    terms are a few hundred rows for each feature of a model (bounded by bins, features and outputs), so they are
-    broadcast; a value's bin is the last whose lower edge is at or below it."""
+    Terms are a few hundred rows for each feature of a model; whether they are small enough to broadcast is left to adaptive
+    execution, which knows their size. A value's bin is the last whose lower edge is at or below it."""
     steps = terms.where("feature <> ''").groupBy("model", "feature", "output").agg(F.array_sort(F.collect_list(F.struct("bin", "low", "score"))).alias("bins"))
     long = rows.unpivot(["text_id"], features, "feature", "value")
     hit = F.expr("if(value is null or isnan(value), bins[0].score, element_at(filter(bins, b -> b.bin > 0 and b.low <= value), -1).score)")
-    return long.join(F.broadcast(steps), "feature").select("text_id", "model", "feature", "output", hit.alias("score"))
+    return long.join(steps, "feature").select("text_id", "model", "feature", "output", hit.alias("score"))
 
 
 def predict(rows: DataFrame, features: list[str], terms: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def predict(rows: DataFrame, features: list[str], terms: DataFrame) -> DataFrame
     model's outputs (1 for a regressor's one)."""
     base = terms.where("feature = ''").select("model", "output", F.col("score").alias("base"))
     total = contributions(rows, features, terms).groupBy("text_id", "model", "output").agg(F.sum("score").alias("s"))
-    out = total.join(F.broadcast(base), ["model", "output"]).select("text_id", "model", "output", (F.col("base") + F.col("s")).alias("score"))
+    out = total.join(base, ["model", "output"]).select("text_id", "model", "output", (F.col("base") + F.col("s")).alias("score"))
     w = Window.partitionBy("text_id", "model")
     e = F.exp(F.col("score") - F.max("score").over(w))
     return out.withColumn("probability", e / F.sum(e).over(w))

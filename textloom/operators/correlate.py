@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from textloom.functions import scalars as S
+from textloom.functions.ranges import running
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -31,15 +35,14 @@ def correlations(long: DataFrame, target: str = "level") -> DataFrame:
     """(feature, n, pearson, spearman) of each feature with the target over the rows where the feature is there; the
     target is ranked anew on these rows.
 
-    Ranks come from distinct values: a feature's rows are first summed to its distinct values and targets, so that a
-    window never holds more rows of a feature than it has distinct values, and ties need no pass of their own."""
+    Ranks come from distinct values, summed over ranges of them: a window never holds more than the distinct values of
+    one range of a feature, and ties need no pass of their own."""
     rows = long.where(F.col("value").isNotNull() & F.col(target).isNotNull())
     cells = rows.groupBy("feature", "value", target).agg(F.count("*").alias("c"))
 
     def ranks(column: str) -> DataFrame:
         n = cells.groupBy("feature", column).agg(F.sum("c").alias("k"))
-        before = F.sum("k").over(Window.partitionBy("feature").orderBy(column)) - F.col("k")
-        return n.select("feature", column, (before + (F.col("k") + 1) / 2.0).alias(f"rank_{column}"))
+        return running(n, ["feature"], column, ["k"]).select("feature", column, (F.col("k_upto") - F.col("k") + (F.col("k") + 1) / 2.0).alias(f"rank_{column}"))
 
     ranked = cells.join(ranks("value"), ["feature", "value"]).join(ranks(target), ["feature", target])
 
@@ -80,19 +83,53 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p", q: str = "q", *by: str) -
 
 
 def pair_correlations(long: DataFrame, key: str = "text_id") -> DataFrame:
-    """(a, b, n, r) for features a < b over the texts that have both: one join of a text's values with each other, so
-    rows grow with the square of the features of a text, not of texts."""
-    rows = long.where("value is not null").select(key, "feature", "value")
-    one, two = rows.select(key, F.col("feature").alias("a"), F.col("value").alias("x")), rows.select(key, F.col("feature").alias("b"), F.col("value").alias("y"))
-    return one.join(two, key).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), pearson(F.col("x"), F.col("y")).alias("r"))
+    """(a, b, n, r) for features a < b over the texts that have both (one value for each text and feature).
+
+    Every task sums its texts' values, less each feature's mean, into the matrices from which all pairs' correlations
+    follow, and gives these: rows grow with the square of the features and the number of tasks, not with the texts. Features
+    are few thousands; their names and means are literals of the plan."""
+    rows = long.where("value is not null").select(key, "feature", F.col("value").cast("double").alias("value"))
+    known = rows.groupBy("feature").agg(F.avg("value").alias("centre")).orderBy("feature").collect()
+    names = [r["feature"] for r in known]
+    place = rows.sparkSession.createDataFrame([(r["feature"], i, r["centre"]) for i, r in enumerate(known)], "feature string, i int, centre double")
+    own = rows.join(F.broadcast(place), "feature").groupBy(key).agg(F.collect_list("i").alias("at"), F.collect_list(F.col("value") - F.col("centre")).alias("x"))
+    size = len(names)
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sx, sxx, sxy = np.zeros((4, size, size))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                row = np.repeat(np.arange(part.num_rows), part.column(0).value_lengths().to_numpy())
+                x, there = np.zeros((2, part.num_rows, size))
+                at = part.column(0).flatten().to_numpy()
+                x[row, at] = part.column(1).flatten().to_numpy()
+                there[row, at] = 1
+                n += there.T @ there
+                sx += x.T @ there
+                sxx += (x * x).T @ there
+                sxy += x.T @ x
+        for i in range(size):
+            j = np.flatnonzero(n[i] > 0)
+            j = j[j > i]
+            cols = [np.full(len(j), i), j, n[i, j], sx[i, j], sx[j, i], sxx[i, j], sxx[j, i], sxy[i, j]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    sums = own.select("at", "x").mapInArrow(gram, "i long, j long, n double, sx double, sy double, sxx double, syy double, sxy double")
+    total = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    vx, vy = (F.col("n") * F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}") for c in "xy")
+    varies = (vx > 1e-12 * F.col("n") * F.col("sxx")) & (vy > 1e-12 * F.col("n") * F.col("syy"))  # what rounding leaves of 0
+    r = F.when(varies, S.clamp((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(F.when(varies, vx)) / F.sqrt(F.when(varies, vy)), -1.0, 1.0))
+    name = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
+    return total.select(F.get(name, F.col("i").cast("int")).alias("a"), F.get(name, F.col("j").cast("int")).alias("b"), F.col("n").cast("long").alias("n"), r.alias("r"))
 
 
 def rank_values(long: DataFrame) -> DataFrame:
     """long with value replaced by its average rank within the feature; nulls go."""
     rows = long.where("value is not null")
-    n = rows.groupBy("feature", "value").agg(F.count("*").alias("k"))
-    before = F.sum("k").over(Window.partitionBy("feature").orderBy("value")) - F.col("k")
-    return rows.join(n.select("feature", "value", (before + (F.col("k") + 1) / 2.0).alias("rank")), ["feature", "value"]).drop("value").withColumnRenamed("rank", "value")
+    n = running(rows.groupBy("feature", "value").agg(F.count("*").alias("k")), ["feature"], "value", ["k"])
+    rank = (F.col("k_upto") - F.col("k") + (F.col("k") + 1) / 2.0).alias("rank")
+    return rows.join(n.select("feature", "value", rank), ["feature", "value"]).drop("value").withColumnRenamed("rank", "value")
 
 
 def length_dependence(long: DataFrame, words: DataFrame, least: float = 0.3) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions import scalars as S
 from textloom.operators import additive, metrics, resample
-from textloom.sources import writers
+from textloom.sources import files, writers
 
 JOBS = "job_id string, kind string, task string, algorithm string, family string, fold int, depends_on string, cost double"
 
@@ -70,7 +69,7 @@ def transfer(rows: DataFrame, features: list[str], rounds: int = additive.ROUNDS
 
 def seal(runs: dict[str, DataFrame], path: str) -> None:
     """Freezes the digests of all runs before any test label is read; a seal is never written twice."""
-    if os.path.exists(path):
+    if files.exists(path):
         raise FileExistsError(path)
     writers.write_manifest(runs, path)
 
@@ -83,10 +82,7 @@ def check_seal(runs: dict[str, DataFrame], path: str) -> None:
 
 def complete(path: str, config: dict) -> bool:
     """Whether a run of this configuration is recorded as finished."""
-    if not os.path.exists(path):
-        return False
-    with open(path, encoding="utf-8") as f:
-        return json.load(f).get("config") == json.loads(json.dumps(config))
+    return files.exists(path) and json.loads(files.get(path)).get("config") == json.loads(json.dumps(config))
 
 
 def record(path: str, config: dict, minutes: float) -> None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from textloom.functions import scalars as S
+from textloom.functions.ranges import following, running
 
 
 def entropy(df: DataFrame, target: str) -> DataFrame:
@@ -30,34 +29,41 @@ def information_gain(long: DataFrame, target: str = "level", fraction: float = 0
     """(feature, n, gain, normalised, threshold, low_mean, high_mean) of the best binary split of each feature, by
     entropy in bits; both sides hold at least max(2, ceil(fraction n)) rows; ties go to the lowest threshold.
 
-    Values first become distinct (value, class) counts; cumulative counts give both sides of every split. Needs as many
-    rows as a feature has distinct values times classes."""
+    Values first become distinct (value, class) counts; cumulative counts, summed over ranges of values, give both sides of
+    every split. Needs as many rows as a feature has distinct values times classes."""
     rows = long.where(F.col("value").isNotNull() & F.col(target).isNotNull()).withColumn("y", F.col(target).cast("double"))
     cell = rows.groupBy("feature", "value", "y").agg(F.count("*").alias("c"))
     classes = cell.select("feature", "y").distinct()
     grid = cell.select("feature", "value").distinct().join(classes, "feature").join(cell, ["feature", "value", "y"], "left").fillna(0, ["c"])
-    left = F.sum("c").over(Window.partitionBy("feature", "y").orderBy("value"))
-    total = F.sum("c").over(Window.partitionBy("feature", "y"))
-    grid = grid.withColumn("l", left).withColumn("t", total).withColumn("r", F.col("t") - F.col("l"))
+    grid = running(grid, ["feature", "y"], "value", ["c"]).withColumnsRenamed({"c_upto": "l", "c_all": "t"}).withColumn("r", F.col("t") - F.col("l"))
     xlx = lambda c: F.sum(F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c).cast("double"))).otherwise(F.lit(0.0)))
     side = grid.groupBy("feature", "value").agg(*[F.sum(c).alias(f"n{c}") for c in "ltr"], *[xlx(c).alias(f"x{c}") for c in "ltr"], *[F.sum(F.col(c) * F.col("y")).alias(f"s{c}") for c in "lr"])
-    side = side.withColumn("next", F.lead("value").over(Window.partitionBy("feature").orderBy("value")))
+    side = following(side, ["feature"], "value", "next")
     n = F.col("nt").cast("double")
     side = side.withColumn("h", _h(F.col("nt"), F.col("xt")))
     gain = F.col("h") - F.col("nl") / n * _h(F.col("nl"), F.col("xl")) - F.col("nr") / n * _h(F.col("nr"), F.col("xr"))
     least = F.greatest(F.lit(2.0), F.ceil(F.lit(fraction) * n))
     side = side.withColumn("gain", F.greatest(F.lit(0.0), F.round(gain, 12))).withColumn("threshold", (F.col("value") + F.col("next")) / 2)
     split = side.where(F.col("next").isNotNull() & (F.col("nl") >= least) & (F.col("nr") >= least) & (F.col("gain") > 0))
-    best = split.withColumn("k", F.row_number().over(Window.partitionBy("feature").orderBy(F.col("gain").desc(), "threshold"))).where("k = 1")
+    first = F.struct("gain", -F.col("threshold"))
+    best = split.groupBy("feature").agg(F.max_by(F.struct(*split.columns[1:]), first).alias("b")).select("feature", "b.*")
     best = best.select("feature", "gain", F.when(F.col("h") > 0, F.col("gain") / F.col("h")).alias("normalised"), "threshold", (F.col("sl") / F.col("nl")).alias("low_mean"), (F.col("sr") / F.col("nr")).alias("high_mean"))
     every = rows.groupBy("feature").agg(F.count("*").alias("n"))
     return every.join(best, "feature", "left").fillna(0.0, ["gain", "normalised"])
 
 
 def quantile_bins(long: DataFrame, bins: int = 20) -> DataFrame:
-    """long with ``bin``: 0 for a null value, else 1 plus the number of distinct quantile edges at or below the value."""
-    cuts = F.percentile("value", F.array(*[F.lit(k / bins) for k in range(bins + 1)]))
-    edges = long.where("value is not null").groupBy("feature").agg(F.array_distinct(cuts).alias("edges"))
+    """long with ``bin``: 0 for a null value, else 1 plus the number of distinct quantile edges at or below the value. The
+    edges are exact quantiles, found by running counts over ranges of a feature's distinct values."""
+    cells = long.where("value is not null").groupBy("feature", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("c"))
+    cells = running(cells, ["feature"], "value", ["c"])
+    # the k-th of bins cuts lies at place k / bins (n - 1) of the sorted values, between two of them
+    place = lambda k: (k if isinstance(k, Column) else F.lit(k)).cast("double") / bins * (F.col("c_all") - 1)
+    ends = [F.struct(F.lit(k).alias("k"), end(place(k)).cast("long").alias("at")) for k in range(bins + 1) for end in (F.floor, F.ceil)]
+    mine = F.filter(F.array(*ends), lambda x: (x["at"] < F.col("c_upto")) & (x["at"] >= F.col("c_upto") - F.col("c")))
+    found = cells.select("feature", "value", "c_all", F.explode(mine).alias("x")).groupBy("feature", "x.k").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.max(place(F.col("x.k"))).alias("place"))
+    cut = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((F.ceil("place") - F.col("place")) * F.col("low") + (F.col("place") - F.floor("place")) * F.col("high"))
+    edges = found.groupBy("feature").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("k", cut.alias("cut")))), lambda x: x["cut"])).alias("edges"))
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     joined = long.join(edges, "feature", "left")
     count = F.size(F.filter(F.coalesce(inner, F.array().cast("array<double>")), lambda e: e <= F.col("value"))) + 1
@@ -130,8 +136,8 @@ def neighbour_information(long: DataFrame, target: str = "level", k: int = 3) ->
     used = used.select("feature", "y", "value", "c", "size", "kk", _reach("value", F.expr(reached)).alias("r"))
     ends = F.explode(F.array(*[F.struct(key.alias("key"), F.lit(kind).alias("kind")) for kind, key in enumerate((F.col("r.low"), F.col("value"), F.col("r.high")))]))
     events = used.select("feature", "y", "value", "c", "size", "kk", ends.alias("e")).select("*", "e.key", "e.kind")
-    order = Window.partitionBy("feature").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    events = events.withColumn("below", F.sum(F.when(F.col("kind") == 1, F.col("c")).otherwise(F.lit(0))).over(order))
+    events = events.withColumn("own", F.when(F.col("kind") == 1, F.col("c")).otherwise(F.lit(0)))
+    events = running(events, ["feature"], "key", ["own"], ["kind"]).withColumnRenamed("own_upto", "below")
     # the count up to a neighbourhood's end less the one before it
     inside = F.sum(F.when(F.col("kind") == 2, F.col("below")).otherwise(-F.col("below"))).alias("m")
     m = events.where("kind <> 1").groupBy("feature", "y", "value", "c", "size", "kk").agg(inside)
@@ -144,19 +150,17 @@ def neighbour_information(long: DataFrame, target: str = "level", k: int = 3) ->
 
 def tolerant_rank(scores: DataFrame, score: str = "score") -> DataFrame:
     """scores with rank: of equal scores the same, where a score is equal to the first of its run if it is within 1e-9 of
-    it in proportion or 1e-15 in size. A sequence over one row for each feature."""
-    schema = T.StructType([*scores.schema.fields, T.StructField("rank", T.IntegerType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, "feature"], ascending=[False, True], ignore_index=True)
-        ranks, anchor, rank = [], None, 0
-        for i, v in enumerate(pdf[score]):
-            if anchor is None or not math.isclose(v, anchor, rel_tol=1e-9, abs_tol=1e-15):
-                anchor, rank = v, i + 1
-            ranks.append(rank)
-        return pdf.assign(rank=ranks)
-
-    return scores.groupBy().applyInPandas(run, schema)
+    it in proportion or 1e-15 in size. A fold over the distinct scores, best first, of which there are
+    no more than features."""
+    line = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), "k")))
+    near = "coalesce(abs(x.s - a.top) <= greatest(1e-9D * greatest(abs(x.s), abs(a.top)), 1e-15D), false)"
+    ranks = F.expr(
+        f"""aggregate(line, named_struct('top', cast(null as double), 'rank', 0L, 'n', 0L, 'out', cast(array() as array<struct<s: double, rank: bigint>>)),
+              (a, x) -> named_struct('top', if({near}, a.top, x.s), 'rank', if({near}, a.rank, a.n + 1), 'n', a.n + x.k,
+                'out', concat(a.out, array(named_struct('s', x.s, 'rank', if({near}, a.rank, a.n + 1))))), a -> a.out)"""
+    )
+    found = scores.groupBy(score).agg(F.count("*").alias("k")).agg(line.alias("line")).select(F.explode(ranks).alias("r"))
+    return scores.join(found.select((-F.col("r.s")).alias(score), F.col("r.rank").cast("int").alias("rank")), score)
 
 
 def ranking(mi: DataFrame, ig: DataFrame, k: int = 200) -> DataFrame:

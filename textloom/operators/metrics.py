@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from textloom.functions import scalars as S
@@ -157,12 +159,18 @@ def t_tail(t: float, df: int) -> float:
     return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
 
 
+@F.pandas_udf(T.DoubleType())
+def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    """The two-sided p of t, null for a null t; one value for each comparison."""
+    return pd.Series([None if pd.isna(x) else t_tail(float(x), int(k)) for x, k in zip(t, df, strict=True)], dtype="float64")
+
+
 def transfer_gap(scores: DataFrame) -> DataFrame:
     """(model, gap, extra): seen minus unseen, averaged over both directions, and that less the main model's gap."""
     per = scores.groupBy("model", "direction").agg(F.max(F.when(F.col("part") == "seen", F.col("value"))).alias("s"), F.max(F.when(F.col("part") == "unseen", F.col("value"))).alias("u"))
     gap = per.groupBy("model").agg(F.avg(F.col("s") - F.col("u")).alias("gap"))
-    main = gap.where("model = 'main'").select(F.col("gap").alias("_main"))
-    return gap.join(F.broadcast(main)).select("model", "gap", (F.col("gap") - F.col("_main")).alias("extra"))
+    main = F.max(F.when(F.col("model") == "main", F.col("gap"))).over(Window.partitionBy(F.lit(0)))  # a row for each model
+    return gap.select("model", "gap", (F.col("gap") - main).alias("extra"))
 
 
 def fifths(rows: DataFrame, group: str, order: str, tie: str) -> DataFrame:

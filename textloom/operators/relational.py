@@ -63,10 +63,28 @@ def context(features: DataFrame, exact: DataFrame, general: DataFrame, default:
     return features.join(F.broadcast(exact), "feature", "left").join(F.broadcast(general), "source", "left").select("feature", "source", F.coalesce("exact_label", "general_label", F.lit(default)).alias("label"))
 
 
-def feature_sets(features: dict[str, list[str]], drops: dict[str, set[str]], definitions: dict[str, tuple[list[str], list[str]]]) -> dict[str, list[str]]:
-    """Experiments by name: ordered features of some groups less those on some lists."""
-    out = {}
-    for name, (groups, lists) in definitions.items():
-        gone = set().union(*(drops[x] for x in lists))
-        out[name] = [f for g in groups for f in features[g] if f not in gone]
-    return out
+def merge_parts(done: DataFrame, parts: list[DataFrame], key: str, needed: list[str]) -> DataFrame:
+    """done and, of the keys that it lacks, the rows of the parts that came in since: those whose ``needed`` columns are all
+    there (others of a broken part are salvaged), of several the one of the latest part."""
+    every = reduce(DataFrame.unionByName, [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)])
+    whole = every.dropna(subset=[key, *needed])
+    new = whole.join(done.select(key), key, "left_anti")
+    return done.unionByName(latest(new, key, ["_part"]).drop("_part").select(*done.columns))
+
+
+#: The experiments of features by name: what a feature's flags must be. The names and what they include.
+FEATURE_SETS = {
+    "complexity": "kind = 'complexity'", "accuracy": "kind = 'accuracy'", "combined": "kind in ('complexity', 'accuracy')", "combined_plus_error_composition": "kind in ('complexity', 'accuracy', 'composition')",
+    "complexity_without_length_features": "kind = 'complexity' and not direct", "combined_without_length_features": "kind in ('complexity', 'accuracy') and not direct",
+    "complexity_without_length_correlated_features": "kind = 'complexity' and not direct and not correlated", "combined_without_length_correlated_features": "kind in ('complexity', 'accuracy') and not direct and not correlated",
+    "combined_without_duplicate_features": "kind in ('complexity', 'accuracy') and not duplicate", "combined_without_length_and_duplicate_features": "kind in ('complexity', 'accuracy') and not direct and not duplicate",
+    "combined_without_length_correlated_and_duplicate_features": "kind in ('complexity', 'accuracy') and not direct and not correlated and not duplicate", "one_source": "kind = 'complexity' and one_source",
+    "training_mutual_information_features": "mi", "training_information_gain_features": "ig", "length_only": "direct",
+}
+
+
+def feature_sets(features: DataFrame, rules: dict[str, str] = FEATURE_SETS) -> DataFrame:
+    """(name, feature) of every experiment, from a row for each feature with its flags: kind, direct, correlated, duplicate
+    (the lists of length-dependent and of duplicate features), one_source, mi and ig (chosen by a ranking of training rows)."""
+    names = F.filter(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
+    return features.select(F.explode(names).alias("name"), "feature")

@@ -72,22 +72,35 @@ def hash_sample(texts: DataFrame, n: int, key: str) -> DataFrame:
     return texts.withColumn("_digest", F.md5(F.col(key).cast("string"))).orderBy("_digest", key).limit(n).drop("_digest")
 
 
-def bootstrap_weights(learners: DataFrame, draws: int = 2000, seed: int = 42) -> DataFrame:
-    """(draw, learner_id, weight): how often each draw has a learner.
+#: Learners of a block of the bootstrap.
+BLOCK = 1024
 
-    A multinomial draw of as many learners as there are is, learner by learner, close to independent Poisson(1) counts;
-    these come from a generator seeded by (seed, learner), so that no draw has to hold all learners, tasks can be run
-    again, and every model sees the same draws. Rows of weight 0 are left out."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                ids = pdf["learner_id"].to_numpy()[lo : lo + 256]
-                w = np.stack([np.random.default_rng([seed, int(i) & (1 << 63) - 1]).poisson(1.0, draws) for i in ids])
-                at, draw = np.nonzero(w)
-                yield pd.DataFrame({"draw": draw, "learner_id": ids[at], "weight": w[at, draw]})
+def bootstrap_weights(learners: DataFrame, draws: int = 2000, seed: int = 42) -> DataFrame:
+    """(draw, learner_id, weight): how often each draw has a learner: as many learners as there are, with replacement.
+
+    An exact multinomial draw in two steps: how many of a draw fall to each block of about BLOCK learners, and which of its
+    learners these are. Both come from generators seeded by the draw and the block, so every task draws the same numbers
+    for the blocks, tasks can be run again, and every model sees the same draws. Rows of weight 0 are left out."""
+    ids = learners.select(F.col("learner_id").cast("long").alias("learner_id")).distinct()
+    blocks = max(1, -(-ids.count() // BLOCK))
+    own = ids.withColumn("block", F.pmod(F.xxhash64("learner_id"), F.lit(blocks)))
+    sizes = np.zeros(blocks, dtype=np.int64)  # a number for each block
+    for r in own.groupBy("block").agg(F.count("*").alias("n")).collect():
+        sizes[r["block"]] = r["n"]
+    total = int(sizes.sum())
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        block, members = int(key[0]), np.sort(pdf["learner_id"].to_numpy())
+        out = []
+        for draw in range(draws):
+            share = int(np.random.default_rng([seed, draw]).multinomial(total, sizes / total)[block])
+            w = np.random.default_rng([seed, draw, block + 1]).multinomial(share, np.full(len(members), 1 / len(members)))
+            some = np.flatnonzero(w)
+            out.append(pd.DataFrame({"draw": draw, "learner_id": members[some], "weight": w[some]}))
+        return pd.concat(out)
 
-    return learners.select(F.col("learner_id").cast("long").alias("learner_id")).distinct().mapInPandas(run, "draw int, learner_id long, weight long")
+    return own.groupBy("block").applyInPandas(run, "draw int, learner_id long, weight long")
 
 
 def multinomial_weights(learners: DataFrame, draws: int, seed: int = 42) -> DataFrame:

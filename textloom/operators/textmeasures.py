@@ -32,6 +32,24 @@ def lexical(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+#: Constructs that a regular expression can find in lower-cased words, as a stand-in for a parser's.
+CONSTRUCTS = {
+    "articles": r"\b(?:the|a|an)\b", "of_phrases": r"\bof [a-z]+", "coordination": r"\b(?:and|or|but)\b", "passive_like": r"\b(?:is|are|was|were) [a-z]+ed\b",
+    "progressive_like": r"\b(?:am|is|are|was|were) [a-z]+ing\b", "perfect_like": r"\b(?:has|have|had) [a-z]+ed\b", "modals": r"\b(?:can|could|may|might|must|shall|should|will|would)\b", "comparatives": r"\b(?:more|less) [a-z]+ than\b",
+    "to_infinitives": r"\bto [a-z]+", "relatives": r"\b(?:who|which|that)\b", "negations": r"\b(?:not|never|no)\b", "adverbs": r"\b[a-z]+ly\b",
+}
+
+
+def construct_rates(df: DataFrame, constructs: dict[str, str] = CONSTRUCTS, text: str = "text") -> DataFrame:
+    """(doc_id, word_count, total_annotations, unique_constructs, a rate for each 100 words of each construct): any number of
+    patterns in one pass over a text's words, joined by one space."""
+    w = df.select("doc_id", words(F.col(text)).alias("w")).select("doc_id", F.size("w").alias("word_count"), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("t"))
+    n = w.select("doc_id", "word_count", *[F.regexp_count("t", F.lit(p)).alias(k) for k, p in constructs.items()])
+    total = sum((F.col(k) for k in constructs), F.lit(0))
+    kinds = sum(((F.col(k) > 0).cast("int") for k in constructs), F.lit(0))
+    return n.select("doc_id", "word_count", total.alias("total_annotations"), kinds.alias("unique_constructs"), *[S.per_hundred(F.col(k), F.col("word_count")).alias(k) for k in constructs])
+
+
 def per_ten_thousand(df: DataFrame, counts: list[str], words: str = "nwords") -> DataFrame:
     """df with its counts for each 10,000 words; null for a text without words."""
     return df.withColumns({c: S.ratio(F.col(c) * 10_000, F.col(words)) for c in counts})

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.operators import additive, experiments, resample
+from textloom.functions import scalars as S
+from textloom.operators import experiments, relational, resample
 from textloom.plans.registry import query
-from textloom.plans.relational import _scratch
+from textloom.plans.relational import SHARES, _scratch, feature_flags
 from textloom.sources import readers, writers
-from textloom.sources.adapters import FEATURES, TEXTS, frame, table, texts
+from textloom.sources.adapters import FEATURES, TEXTS, edits, frame, table, texts
 from textloom.streaming import incremental
 
 GRID = "SELECT f.family, k.fold FROM (VALUES ('all'), ('top_200')) AS f(family) CROSS JOIN (VALUES (0), (1), (2)) AS k(fold)"
@@ -28,20 +29,31 @@ def j06(spark, sf):
     return experiments.transfer(frame(spark, sf), list(FEATURES))
 
 
+def all_models(spark, sf, label: str, algorithm: str):
+    """Models of the fifteen sets of features and their baseline."""
+    rows = resample.with_split(frame(spark, sf).join(operation_shares(spark, sf), "text_id", "left")).where("split = 'train'")
+    sets: dict[str, list[str]] = {}
+    for r in relational.feature_sets(feature_flags(spark, sf)).orderBy("name", "feature").collect():
+        sets.setdefault(r["name"], []).append(r["feature"])
+    terms = experiments.fit_all(rows, sets, label, algorithm)
+    return terms.groupBy("model").agg(F.countDistinct(F.when(F.col("feature") != "", F.col("feature"))).alias("features"), F.count("*").alias("terms"))
+
+
 @query("k06_models_of_all_feature_sets")
 def k06(spark, sf):
-    rows = resample.with_split(frame(spark, sf)).where("split = 'train'")
-    sets = {"all": list(FEATURES), "no_length": [f for f in FEATURES if "basic" not in f]}
-    terms = experiments.fit_all(rows, sets, "level", "regressor")
-    return terms.groupBy("model").agg(F.countDistinct("feature").alias("features"), F.count("*").alias("terms"))
+    return all_models(spark, sf, "level", "regressor")
+
+
+@query("k06_classifiers_of_all_feature_sets")
+def k06b(spark, sf):
+    return all_models(spark, sf, "cefr_level", "classifier")
 
 
-@query("b10_model_bundle", "SELECT 'm' AS model, 3::BIGINT AS terms")
-def b10(spark, sf):
-    path = _scratch(spark) + "/model"
-    rows = [("m", "", 0, None, "value", 1.0), ("m", "f", 1, float("-inf"), "value", 0.5), ("m", "f", 2, 3.0, "value", -0.5)]
-    writers.write_parquet(spark.createDataFrame(rows, additive.TERMS), path)
-    return spark.read.parquet(path).groupBy("model").agg(F.count("*").alias("terms"))
+def operation_shares(spark, sf):
+    """(text_id, shares of each operation among the text's edits)."""
+    op = S.operation(F.col("error_type"))
+    count = [(F.count_if(op == name.removeprefix("accuracy__edits__share_")) / F.count("*")).alias(name) for name in SHARES]
+    return edits(spark, sf).groupBy("text_id").agg(*count)
 
 
 @query("b13_a17_csv_export_and_tolerant_read", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_mktsegment FROM customer")
@@ -77,10 +89,11 @@ def m02(spark, sf):
     return _done(spark, w, "complete").select(F.col("window.start").alias("day"), "event_type", "n")
 
 
-@query("m03_stream_first_seen_keys", "SELECT count(DISTINCT user_id) AS users FROM events")
+@query("m03_stream_first_seen_keys", "SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events")
 def m03(spark, sf):
-    s = _stream(spark, sf).select("user_id", "ts")
-    return _done(spark, incremental.first_seen(s, "user_id", "ts", "36500 days"), "append").agg(F.count("*").alias("users"))
+    """Each user's first event of a day: a key is kept for two days after it, so state is bounded."""
+    s = _stream(spark, sf).select("user_id", "ts", F.to_date("ts").alias("day"))
+    return _done(spark, incremental.first_seen(s, ["user_id", "day"], "ts", "2 days"), "append").select("user_id", "day")
 
 
 @query("p22_job_status", f"WITH {TEXTS}, s AS (SELECT level, count(*) AS texts, count(*) FILTER (WHERE topic < 4) AS done FROM texts GROUP BY 1) SELECT level, texts, done, CASE WHEN done = texts THEN 'done' WHEN done > 0 THEN 'running' ELSE 'waiting' END AS status FROM s", n="level")

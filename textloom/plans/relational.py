@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.functions import scalars as S
 from textloom.operators import describe, relational, resample
@@ -15,9 +19,16 @@ from textloom.sources import readers, writers
 from textloom.sources.adapters import EDITS, FEATURES, FRAME, LONG, PREDICTED, TEXTS, edits, frame, long_frame, measurements, predictions, table, texts
 
 
+@lru_cache(maxsize=1)
+def _own() -> str:
+    path = tempfile.mkdtemp(prefix="textloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def _scratch(spark: SparkSession) -> str:
     """A new folder name where all executors can write: below spark.checkpoint.dir, or a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own()
     return f"{base.rstrip('/')}/plans-{uuid.uuid4().hex}"
 
 
@@ -244,9 +255,15 @@ def c23(spark, sf):
     return table(spark, sf, "part").select("p_type", S.feature_token(F.concat(F.lit("% "), "p_type", F.lit("/ "), "p_brand", F.lit("!"))).alias("token")).distinct()
 
 
-@query("c24_error_families", f"WITH {EDITS} SELECT error_type, CASE split_part(error_type, ':', 1) WHEN 'M' THEN 'missing' WHEN 'U' THEN 'unnecessary' ELSE 'replacement' END AS operation, split_part(error_type, ':', 2) AS family, count(*) AS n FROM edits GROUP BY ALL")
+#: Forms of error types beside those of the edits: three parts, small letters, unknown operations, missing parts.
+TYPE_FORMS = ["R:VERB:TENSE", "m:noun", "X:NOUN", "M", "U:", "", "other", "u:Punct:x"]
+
+
+@query("c24_error_families", f"WITH {EDITS}, t AS (SELECT error_type FROM edits UNION ALL SELECT unnest({TYPE_FORMS})) SELECT error_type, CASE upper(split_part(error_type, ':', 1)) WHEN 'M' THEN 'missing' WHEN 'U' THEN 'unnecessary' WHEN 'R' THEN 'replacement' ELSE 'other' END AS operation, coalesce(nullif(upper(split_part(error_type, ':', 2)), ''), 'OTHER') AS family, count(*) AS n FROM t GROUP BY ALL")
 def c24(spark, sf):
-    return edits(spark, sf).groupBy("error_type").agg(F.count("*").alias("n")).select("error_type", S.operation(F.col("error_type")).alias("operation"), S.family(F.col("error_type")).alias("family"), "n")
+    more = spark.createDataFrame([(x,) for x in TYPE_FORMS], "error_type string")
+    t = edits(spark, sf).select("error_type").unionByName(more).groupBy("error_type").agg(F.count("*").alias("n"))
+    return t.select("error_type", S.operation(F.col("error_type")).alias("operation"), S.family(F.col("error_type")).alias("family"), "n")
 
 
 @query("c25_tool_dimensions", f"WITH {LONG} SELECT CASE split_part(feature, '__', 2) WHEN 'basic' THEN 'length' WHEN 'price' THEN 'lexis' ELSE 'accuracy' END AS dimension, count(value) AS n FROM long GROUP BY 1")
@@ -398,8 +415,24 @@ def h03(spark, sf):
     return edits(spark, sf).select("error_type").distinct()
 
 
-@query("h04_feature_set_algebra", "SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{f}')" for s, f in [("all", f) for f in FEATURES] + [("no length", f) for f in FEATURES if "basic" not in f] + [("accuracy only", f) for f in FEATURES if f.startswith("accuracy")]) + ") AS t(name, feature)")
+#: Operations whose shares among a text's errors are the composition features.
+SHARES = ["accuracy__edits__share_missing", "accuracy__edits__share_unnecessary", "accuracy__edits__share_replacement", "accuracy__edits__share_other"]
+FLAGS = f"""{LONG}, score AS (SELECT feature, abs(corr(value, level)) AS s FROM long WHERE value IS NOT NULL GROUP BY 1), top AS (SELECT feature, row_number() OVER (ORDER BY s DESC, feature) AS best, row_number() OVER (ORDER BY s, feature) AS worst FROM score),
+flags AS (SELECT feature, split_part(feature, '__', 1) AS kind, ends_with(feature, 'n_lines') AS direct, ends_with(feature, 'sum_qty') OR ends_with(feature, 'total_errors') AS correlated, ends_with(feature, 'open_errors') AS duplicate, contains(feature, '__price__') AS one_source, best <= 2 AS mi, worst <= 2 AS ig FROM top
+  UNION ALL SELECT unnest({SHARES}), 'composition', false, false, false, false, false, false)"""
+
+
+def feature_flags(spark, sf):
+    long = long_frame(spark, sf).where("value is not null")
+    score = long.groupBy("feature").agg(F.abs(F.corr("value", F.col("level").cast("double"))).alias("s"))
+    w = Window.partitionBy(F.lit(0))  # a row for each feature
+    top = score.select("feature", F.row_number().over(w.orderBy(F.col("s").desc(), "feature")).alias("best"), F.row_number().over(w.orderBy("s", "feature")).alias("worst"))
+    f = F.col("feature")
+    flags = top.select(f, S.column_part(f, 0).alias("kind"), f.endswith("n_lines").alias("direct"), (f.endswith("sum_qty") | f.endswith("total_errors")).alias("correlated"), f.endswith("open_errors").alias("duplicate"), f.contains("__price__").alias("one_source"), (F.col("best") <= 2).alias("mi"), (F.col("worst") <= 2).alias("ig"))
+    no = [F.lit(False).alias(c) for c in ("direct", "correlated", "duplicate", "one_source", "mi", "ig")]
+    return flags.unionByName(spark.createDataFrame([(x,) for x in SHARES], "feature string").select("feature", F.lit("composition").alias("kind"), *no))
+
+
+@query("h04_feature_set_algebra", f"WITH {FLAGS} " + " UNION ALL ".join(f"SELECT '{name}' AS name, feature FROM flags WHERE {rule}" for name, rule in relational.FEATURE_SETS.items()))
 def h04(spark, sf):
-    groups = {g: [f for f in FEATURES if f.startswith(g)] for g in ("complexity", "accuracy")}
-    sets = relational.feature_sets(groups, {"length": {f for f in FEATURES if "basic" in f}}, {"all": (["complexity", "accuracy"], []), "no length": (["complexity", "accuracy"], ["length"]), "accuracy only": (["accuracy"], [])})
-    return spark.createDataFrame([(k, f) for k, v in sets.items() for f in v], "name string, feature string")
+    return relational.feature_sets(feature_flags(spark, sf))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import scalars as S
-from textloom.operators import additive, correlate, describe, information, metrics, resample, textmeasures
+from textloom.operators import additive, correlate, describe, information, metrics, relational, resample, textmeasures
 from textloom.plans.registry import query
 from textloom.sources.adapters import BANDS5, EDITS, FEATURES, FRAME, LONG, PREDICTED, TEXTS, edits, frame, long_frame, predictions, table, texts
 
@@ -170,6 +170,11 @@ g AS (SELECT feature, min(level) FILTER (WHERE prevalence > 0) AS first_observed
 SELECT *, CASE WHEN first_observed IS NULL THEN 'never observed' WHEN sustained_from IS NOT NULL THEN 'sustained' WHEN first_common IS NOT NULL THEN 'common, not sustained' ELSE 'observed, not common' END AS status FROM g"""
 
 
+def _named_progression(cut: float, name: str) -> str:
+    body, last = _progression(cut).rsplit("\nSELECT", 1)
+    return f"{body}, {name} AS (SELECT{last})"
+
+
 @query("f13_progression_70", f"WITH {USAGE}, {_progression(70)}", n="first_observed first_common sustained_from drops insufficient")
 def f13(spark, sf):
     return describe.progression(usage(spark, sf), 70.0)
@@ -203,17 +208,20 @@ best AS (SELECT * FROM ok WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY
 ig AS (SELECT a.feature, a.n, coalesce(gain, 0) AS gain, coalesce(CASE WHEN h > 0 THEN gain / h END, 0) AS normalised, threshold, sl / nl AS low_mean, sr / nr AS high_mean FROM (SELECT feature, count(*) AS n FROM base GROUP BY 1) a LEFT JOIN best USING (feature))"""
 
 
-def whole_features(spark, sf):
-    return long_frame(spark, sf).where(F.col("feature").rlike("n_lines|errors|sum_qty"))
+def rounded(spark, sf):
+    """The long frame with values rounded to six decimals: averages of equal sums differ in their last digits by the order of
+    rows, true differences are over 1e-4."""
+    return long_frame(spark, sf).withColumn("value", F.round("value", 6))
 
 
-def _whole(sql: str) -> str:
-    return sql.replace("FROM long WHERE value IS NOT NULL", "FROM long WHERE value IS NOT NULL AND regexp_matches(feature, 'n_lines|errors|sum_qty')")
+def _six(sql: str) -> str:
+    """sql over values rounded to six decimals."""
+    return sql.replace(LONG, LONG + ", six AS (SELECT * REPLACE (round(value, 6) AS value) FROM long)", 1).replace("FROM long WHERE value IS NOT NULL", "FROM six WHERE value IS NOT NULL").replace("FROM long LEFT JOIN edges", "FROM six LEFT JOIN edges").replace("SELECT long.*", "SELECT six.*")
 
 
-@query("e22_f14_information_gain", f"WITH {_whole(_gain('level'))} SELECT * FROM ig", d="gain normalised threshold low_mean high_mean")
+@query("e22_f14_information_gain", f"WITH {_six(_gain('level'))} SELECT * FROM ig", d="gain normalised threshold low_mean high_mean")
 def e22(spark, sf):
-    return information.information_gain(whole_features(spark, sf))
+    return information.information_gain(rounded(spark, sf))
 
 
 def _bins(count: int = 20) -> str:
@@ -225,21 +233,27 @@ part AS (SELECT feature, c, sum(c) OVER (PARTITION BY feature) AS n, sum(c) OVER
 mi AS (SELECT feature, greatest(0, sum(c / n * ln(c * n / (x * y)))) AS mi FROM part GROUP BY 1)"""
 
 
-@query("e23_binned_mutual_information", f"WITH {_bins()} SELECT feature, mi FROM mi WHERE regexp_matches(feature, 'n_lines|errors|sum_qty')", d="mi")
+@query("e23_binned_mutual_information", f"WITH {_six(_bins())} SELECT feature, mi FROM mi", d="mi")
 def e23(spark, sf):
-    return information.binned_information(long_frame(spark, sf)).where(F.col("feature").rlike("n_lines|errors|sum_qty"))
+    return information.binned_information(rounded(spark, sf))
+
 
+BAND_OF = "list_position([" + ",".join(repr(b) for b in BANDS5) + "], cefr_level)"
 
-@query("e24_training_gain_for_bands", f"WITH {_whole(_gain('list_position([' + ','.join(repr(b) for b in BANDS5) + '], cefr_level)'))} SELECT feature, gain FROM ig", d="gain")
+
+@query("e24_training_gain_for_bands", f"WITH {_six(_gain(BAND_OF))} SELECT feature, gain FROM ig", d="gain")
 def e24(spark, sf):
-    rows = whole_features(spark, sf).withColumn("band", S.band_index(F.col("cefr_level")))
+    rows = rounded(spark, sf).withColumn("band", S.band_index(F.col("cefr_level")))
     return information.information_gain(rows, "band").select("feature", "gain")
 
 
-@query("e25_g03_merged_ranking")
+RANKS = f"""{_six(_bins())}, {_six(_gain('level')).replace(_six(LONG) + ', ', '', 1).replace('cell AS', 'cell2 AS').replace('FROM cell)', 'FROM cell2)').replace('LEFT JOIN cell ON cell.feature = v.feature AND cell.value = v.value AND cell.y = k.y', 'LEFT JOIN cell2 ON cell2.feature = v.feature AND cell2.value = v.value AND cell2.y = k.y')},
+ranked AS (SELECT feature, mi, gain AS ig, row_number() OVER (ORDER BY mi DESC, feature) AS mi_rank, row_number() OVER (ORDER BY gain DESC, feature) AS ig_rank FROM mi JOIN ig USING (feature))"""
+
+
+@query("e25_g03_merged_ranking", f"WITH {RANKS} SELECT *, CASE WHEN mi_rank <= 3 AND ig_rank <= 3 THEN 'Both' WHEN mi_rank <= 3 THEN 'MI only' WHEN ig_rank <= 3 THEN 'IG only' ELSE 'Neither' END AS selected FROM ranked", d="mi ig")
 def e25(spark, sf):
-    # averages of equal sums differ in their last digits by the order of rows; true differences are over 1e-4
-    long = long_frame(spark, sf).withColumn("value", F.round("value", 6))
+    long = rounded(spark, sf)
     return information.ranking(information.binned_information(long), information.information_gain(long), 3)
 
 
@@ -406,11 +420,21 @@ def e48(spark, sf):
     return d.where("model <> 'a'").join(base, "draw").groupBy("model").agg(F.avg(F.col("value") - F.col("base")).alias("gain"), F.stddev_samp(F.col("value") - F.col("base")).alias("sd"))
 
 
-@query("e49_corrected_resampled_t", f"WITH {FOLDS}, d AS (SELECT a.value - b.value - 3 AS d FROM scores a JOIN scores b USING (fold) WHERE a.model = 'B1' AND b.model = 'A2') SELECT count(*) AS k, avg(d) AS mean, avg(d) / sqrt((1.0 / count(*) + 100.0 / 900) * var_samp(d)) AS t, count(*) - 1 AS df FROM d", d="mean t")
-def e49(spark, sf):
+def fold_differences(spark, sf):
     s = fold_scores(spark, sf)
     a, b = s.where("model = 'B1'").select("fold", F.col("value").alias("x")), s.where("model = 'A2'").select("fold", F.col("value").alias("y"))
-    return metrics.corrected_t(a.join(b, "fold").select((F.col("x") - F.col("y") - 3).alias("d")), 900, 100)
+    return a.join(b, "fold").select((F.col("x") - F.col("y") - 3).alias("d"))
+
+
+@query("e49_corrected_resampled_t", f"WITH {FOLDS}, d AS (SELECT a.value - b.value - 3 AS d FROM scores a JOIN scores b USING (fold) WHERE a.model = 'B1' AND b.model = 'A2') SELECT count(*) AS k, avg(d) AS mean, avg(d) / sqrt((1.0 / count(*) + 100.0 / 900) * var_samp(d)) AS t, count(*) - 1 AS df FROM d", d="mean t")
+def e49(spark, sf):
+    return metrics.corrected_t(fold_differences(spark, sf), 900, 100)
+
+
+@query("e49_p_of_corrected_t", f"WITH {FOLDS}, d AS (SELECT a.value - b.value - 3 AS d FROM scores a JOIN scores b USING (fold) WHERE a.model = 'B1' AND b.model = 'A2'), t AS (SELECT atan(abs(avg(d) / sqrt((1.0 / count(*) + 100.0 / 900) * var_samp(d))) / sqrt(7)) AS a FROM d) SELECT 7 AS df, 1 - 2 / pi() * (a + sin(a) * (cos(a) + 2.0 / 3 * pow(cos(a), 3) + 8.0 / 15 * pow(cos(a), 5))) AS p FROM t", d="p", n="df")
+def e49p(spark, sf):
+    """Eight folds: for 7 degrees of freedom the tail has a closed form."""
+    return metrics.corrected_t(fold_differences(spark, sf), 900, 100).select("df", metrics.t_p(F.col("t"), F.col("df")).alias("p"))
 
 
 SEEN = PREDICTED + ", seen AS (SELECT CASE WHEN level % 2 = 0 THEN 'main' ELSE 'short' END AS model, CASE WHEN learner_id % 2 = 0 THEN 'first' ELSE 'second' END AS direction, CASE WHEN topic < 4 THEN 'seen' ELSE 'unseen' END AS part, avg(CASE WHEN level = predicted_level THEN 1.0 ELSE 0 END) AS value FROM predicted GROUP BY ALL)"
@@ -488,9 +512,13 @@ def j01(spark, sf):
     return resample.with_split(texts(spark, sf)).select("text_id", "learner_id", "split")
 
 
-@query("j02_split_validation", "SELECT * FROM (VALUES ('learner in several splits', 0::BIGINT), ('label with under two texts', 0::BIGINT), ('missing split', 0::BIGINT)) AS t(problem, n)")
+@query("j02_split_validation", f"""WITH {PREDICTED}, dealt AS (SELECT *, CASE WHEN text_id % 50 = 0 THEN 'train' WHEN cefr_level = 'C1' AND split = 'test' AND text_id % 300 > 0 THEN 'validation' ELSE split END AS wrong FROM predicted)
+SELECT 'learner in several splits' AS problem, count(*) AS n FROM (SELECT learner_id FROM dealt GROUP BY 1 HAVING count(DISTINCT wrong) > 1) UNION ALL SELECT 'label with under two texts', count(*) FROM (SELECT wrong, cefr_level FROM dealt GROUP BY ALL HAVING count(*) < 2) UNION ALL SELECT 'missing split', 3 - count(DISTINCT wrong) FROM dealt""")
 def j02(spark, sf):
-    return resample.split_problems(resample.with_split(texts(spark, sf)))
+    """Splits with planted faults: some texts are dealt by themselves instead of by their learner."""
+    rows = resample.with_split(texts(spark, sf))
+    wrong = F.when(F.col("text_id") % 50 == 0, "train").when((F.col("cefr_level") == "C1") & (F.col("split") == "test") & (F.col("text_id") % 300 > 0), "validation").otherwise(F.col("split"))
+    return resample.split_problems(rows.withColumn("split", wrong))
 
 
 @query("j03_grouped_folds")
@@ -518,7 +546,7 @@ def jobs(spark, sf):
 
 @query("k01_k03_additive_classifier")
 def k01(spark, sf):
-    features = [f for f in FEATURES if "price" not in f]
+    features = list(FEATURES)
     terms = additive.fit(jobs(spark, sf), features, "cefr_level", "classifier")
     test = resample.with_split(frame(spark, sf)).where("split = 'test'")
     p = additive.predict(test, features, terms)
@@ -582,17 +610,25 @@ def l03(spark, sf):
     return textmeasures.per_ten_thousand(frame(spark, sf).select("text_id", F.col(ERRORS).alias("errors"), F.col(QTY).alias("nwords")), ["errors"]).drop("nwords")
 
 
-@query("l04_incremental_merge", "SELECT doc_id, lang FROM documents")
+L04 = """WITH p AS (SELECT doc_id, 1 AS part, upper(lang) AS lang FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 2, CASE WHEN doc_id % 7 > 0 THEN lang || '2' END FROM documents WHERE doc_id % 5 = 0),
+latest AS (SELECT doc_id, lang FROM p WHERE lang IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY part DESC) = 1)
+SELECT doc_id, lang FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, lang FROM latest WHERE doc_id % 3 <> 0"""
+
+
+@query("l04_incremental_merge", L04)
 def l04(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang")
-    done = d.where("doc_id % 3 = 0")
-    return done.unionByName(d.join(done.select("doc_id"), "doc_id", "left_anti"))
+    parts = [d.where("doc_id % 2 = 0").withColumn("lang", F.upper("lang")), d.where("doc_id % 5 = 0").withColumn("lang", F.when(F.col("doc_id") % 7 > 0, F.concat("lang", F.lit("2"))))]
+    return relational.merge_parts(d.where("doc_id % 3 = 0"), parts, "doc_id", ["lang"])
+
+
+L05 = f"""WITH {W}, t AS (SELECT doc_id, len(w) AS words, ' ' || array_to_string(w, ' ') || ' ' AS t FROM w), c AS (SELECT doc_id, words, {', '.join(f"len(regexp_extract_all(t, '{p}')) AS {k}" for k, p in textmeasures.CONSTRUCTS.items())} FROM t)
+SELECT doc_id, words AS word_count, {' + '.join(textmeasures.CONSTRUCTS)} AS total_annotations, {' + '.join(f'({k} > 0)::INT' for k in textmeasures.CONSTRUCTS)} AS unique_constructs, {', '.join(f'CASE WHEN words > 0 THEN 100.0 * {k} / words ELSE 0 END AS {k}' for k in textmeasures.CONSTRUCTS)} FROM c WHERE words IS NOT NULL"""
 
 
-@query("l05_pattern_rates", f"WITH {W}, c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x IN ('the', 'of', 'and'))) AS k FROM w) SELECT doc_id, CASE WHEN n <> 0 THEN 100.0 * k / n ELSE 0 END AS rate FROM c", d="rate")
+@query("l05_pattern_rates", L05, d=" ".join(textmeasures.CONSTRUCTS), n="word_count total_annotations unique_constructs")
 def l05(spark, sf):
-    w = table(spark, sf, "documents").select("doc_id", textmeasures.words(F.col("text")).alias("w"))
-    return w.select("doc_id", S.per_hundred(F.size(F.filter("w", lambda x: x.isin("the", "of", "and"))), F.size("w")).alias("rate"))
+    return textmeasures.construct_rates(table(spark, sf, "documents").where("text is not null"))
 
 
 @query("l06_word_edits")

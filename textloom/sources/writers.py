@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import csv
 import hashlib
+import io
 import json
-import os
 import xml.etree.ElementTree as ET
 import zipfile
 from xml.sax.saxutils import escape
@@ -13,6 +13,8 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.sources import files
+
 #: Rows that a driver-side report may have.
 REPORT_ROWS = 100_000
 
@@ -26,6 +28,36 @@ def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
     df.write.mode("overwrite").option("header", True).option("compression", compression).csv(path)
 
 
+def write_csv_chunks(df: DataFrame, path: str, rows: int = 50_000) -> None:
+    """CSV parts of at most ``rows`` rows each, written as they come."""
+    df.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", rows).csv(path)
+
+
+def write_texts(df: DataFrame, path: str, name: str, text: str) -> None:
+    """One file for each text below a folder of its name; every task writes those of its rows."""
+    df.select(F.col(name).cast("string").alias("filename"), F.coalesce(F.col(text), F.lit("")).alias("value")).write.mode("overwrite").partitionBy("filename").text(path)
+
+
+def with_deviations(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """df with each metric's ``<metric>_standard_deviation``, where it has one, right after the metric; null where the metric
+    is."""
+    out = []
+    for c in df.columns:
+        of = c.removesuffix("_standard_deviation")
+        if of != c and of in metrics:
+            continue
+        out.append(F.col(c))
+        if c in metrics and f"{c}_standard_deviation" in df.columns:
+            out.append(F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), F.col(f"{c}_standard_deviation")).alias(f"{c}_standard_deviation"))
+    return df.select(*out)
+
+
+def write_by_output(contributions: DataFrame, path: str) -> None:
+    """A table of features for each output of a model (band or level), the largest contribution first."""
+    rows = contributions.select("output", F.col("feature").alias("feature_name"), F.col("mean_absolute").alias("contribution"))
+    rows.repartition("output").sortWithinPartitions("output", F.col("contribution").desc(), "feature_name").write.mode("overwrite").partitionBy("output").parquet(path)
+
+
 def small(df: DataFrame) -> list[dict]:
     rows = df.limit(REPORT_ROWS + 1).collect()
     if len(rows) > REPORT_ROWS:
@@ -33,25 +65,17 @@ def small(df: DataFrame) -> list[dict]:
     return [r.asDict() for r in rows]
 
 
-def _replace(path: str, data: bytes) -> None:
-    with open(path + ".tmp", "wb") as f:
-        f.write(data)
-    os.replace(path + ".tmp", path)
-
-
 def write_report_csv(df: DataFrame, path: str) -> None:
     """One file with a byte-order mark, put in place at once."""
-    import io
-
     out = io.StringIO()
     w = csv.DictWriter(out, df.columns, lineterminator="\n")
     w.writeheader()
     w.writerows(small(df))
-    _replace(path, out.getvalue().encode("utf-8-sig"))
+    files.put(path, out.getvalue().encode("utf-8-sig"))
 
 
 def write_json(value: object, path: str) -> None:
-    _replace(path, (json.dumps(value, indent=1, ensure_ascii=False, sort_keys=True) + "\n").encode())
+    files.put(path, (json.dumps(value, indent=1, ensure_ascii=False, sort_keys=True) + "\n").encode())
 
 
 def write_counts_xml(counts: DataFrame, path: str) -> None:
@@ -62,7 +86,7 @@ def write_counts_xml(counts: DataFrame, path: str) -> None:
         band.set("count", str(int(band.get("count")) + r["n"]))
         ET.SubElement(band, "level", name=str(r["level"]), count=str(r["n"]))
     ET.indent(root)
-    _replace(path, ET.tostring(root, encoding="utf-8", xml_declaration=True))
+    files.put(path, ET.tostring(root, encoding="utf-8", xml_declaration=True))
 
 
 def _cell(v: object, digits: int) -> str:
@@ -91,17 +115,18 @@ def write_xlsx(df: DataFrame, path: str) -> str:
         return '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>' + "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in table) + "</sheetData></worksheet>"
 
     main, rel, pkg = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "http://schemas.openxmlformats.org/package/2006"
-    files = {
+    parts = {
         "[Content_Types].xml": f'<Types xmlns="{pkg}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/></Types>',
         "_rels/.rels": f'<Relationships xmlns="{pkg}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
         "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="table" sheetId="1" r:id="r1"/><sheet name="provenance" sheetId="2" state="hidden" r:id="r2"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{pkg}/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Type="{rel}/worksheet" Target="worksheets/sheet2.xml"/></Relationships>',
         "xl/worksheets/sheet1.xml": sheet(rows), "xl/worksheets/sheet2.xml": sheet([["sha256", digest]]),
     }
-    with zipfile.ZipFile(path + ".tmp", "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in files.items():
+    book = io.BytesIO()
+    with zipfile.ZipFile(book, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
             z.writestr(name, text)
-    os.replace(path + ".tmp", path)
+    files.put(path, book.getvalue())
     return digest
 
 
@@ -118,6 +143,5 @@ def write_manifest(tables: dict[str, DataFrame], path: str) -> None:
 
 def verify_manifest(tables: dict[str, DataFrame], path: str) -> list[str]:
     """The names of the tables that are not as the manifest says."""
-    with open(path, encoding="utf-8") as f:
-        known = json.load(f)
+    known = json.loads(files.get(path))
     return [k for k, v in tables.items() if known.get(k) != {"digest": digest_of(v), "columns": v.columns}]

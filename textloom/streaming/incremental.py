@@ -14,9 +14,9 @@ def rows_of(spark: SparkSession, folder: str, schema: str, files: int = 100) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def first_seen(stream: DataFrame, key: str, time: str, late: str = "1 day") -> DataFrame:
-    """The stream without rows of a key seen before, within the watermark."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+def first_seen(stream: DataFrame, key: str | list[str], time: str, late: str = "1 day") -> DataFrame:
+    """The stream without rows of a key seen before, within the watermark: a key is forgotten ``late`` after its event."""
+    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key] if isinstance(key, str) else key)
 
 
 def running_counts(stream: DataFrame, by: list[str]) -> DataFrame:
@@ -28,14 +28,19 @@ def windowed(stream: DataFrame, time: str, by: list[str], size: str, late: str)
     return stream.withWatermark(time, late).groupBy(F.window(time, size), *by).agg(F.count("*").alias("n"))
 
 
-def process(stream: DataFrame, work: Callable[[DataFrame], DataFrame], ok: str, failed: str, checkpoint: str) -> StreamingQuery:
-    """Runs ``work`` on every batch and appends its result to ``ok``; a batch whose work fails goes to ``failed`` with the
-    reason and does not stop the stream. A restarted query goes on after the last finished batch."""
+def process(stream: DataFrame, work: Callable[[DataFrame], DataFrame], ok: str, failed: str, checkpoint: str, tries: int = 3) -> StreamingQuery:
+    """Runs ``work`` on every batch and adds its result to ``ok``, trying at most ``tries`` times; a batch whose work fails
+    each time goes to ``failed`` with the last reason and the number of tries and does not stop the stream. A restarted
+    query goes on after the last finished batch. A batch has a folder of its own number, so one that runs again, after a
+    failure half way or a restart, replaces what it wrote."""
 
     def each(batch: DataFrame, number: int) -> None:
-        try:
-            work(batch).write.mode("append").parquet(ok)
-        except Exception as why:  # a failed batch is data, not the end of the stream
-            batch.withColumns({"reason": F.lit(str(why)[:500]), "batch": F.lit(number)}).write.mode("append").parquet(failed)
+        for left in range(tries - 1, -1, -1):
+            try:
+                work(batch).write.mode("overwrite").parquet(f"{ok}/batch={number}")
+                return
+            except Exception as why:  # a failed batch is data, not the end of the stream
+                if not left:
+                    batch.withColumns({"reason": F.lit(str(why)[:500]), "tries": F.lit(tries)}).write.mode("overwrite").parquet(f"{failed}/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
