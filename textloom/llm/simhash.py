@@ -169,7 +169,8 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     named = graph.join(classes, graph.node == classes.fp).select("fp", "low", "component")
     least = named.groupBy("component").agg(F.min("low").alias("least"))
     moved = named.join(least, "component").select("fp", "least")
-    found = classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
+    # written, so that both sides of the last join are dealt out for it and a class of very many rows can be split
+    found = _scratch.written(classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id")), "simhash-found")
     text = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return table.join(found, "fp").select("doc_id", text.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -302,7 +303,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
     graph = _graph.components(runs.mapInArrow(lambda b: by_runs(b, 1, edges), "src long, dst long"))
     named = classes.select("node", "low").join(graph, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    found = named.join(least, "component").select("node", "component_id")
+    found = _scratch.written(named.join(least, "component").select("node", "component_id"), "simhash-found")
     return table.join(found, "node", "left").select(*[c for c in table.columns if c in ("doc_id", "row")], F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
