@@ -57,7 +57,7 @@ def a07(spark, sf):
     return texts(spark, sf).join(price, "text_id").where("avg_price is not null").select("text_id", "cefr_level", "level", "avg_price")
 
 
-@query("a08_schema_introspection")
+@query("a08_schema_introspection", f"SELECT column_name AS \"column\", CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' END AS type FROM (DESCRIBE WITH {FRAME} SELECT * FROM frame)")
 def a08(spark, sf):
     return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in frame(spark, sf).schema], "column string, type string")
 
@@ -191,7 +191,7 @@ def c12(spark, sf):
     return frame(spark, sf).select("text_id", S.per_hundred(F.col("accuracy__edits__total_errors"), F.col("accuracy__edits__open_errors")).alias("rate"))
 
 
-@query("c13_schema_driven_features")
+@query("c13_schema_driven_features", f"SELECT column_name AS \"column\", CASE WHEN regexp_matches(column_name, '__n_|errors$|sum_') THEN 'count' ELSE 'mean' END AS measure_type FROM (DESCRIBE WITH {FRAME} SELECT * FROM frame) WHERE len(column_name) - len(replace(column_name, '__', '')) = 4")
 def c13(spark, sf):
     names = [c for c in frame(spark, sf).columns if c.count("__") == 2]
     kind = F.when(F.col("column").rlike("__n_|errors$|sum_"), "count").otherwise("mean")

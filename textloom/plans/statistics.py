@@ -457,7 +457,22 @@ def e52(spark, sf):
     return describe.histogram(usage(spark, sf), F.col("evidence"), "status")
 
 
-@query("e54_near_duplicate_features")
+def _pruned(least: float = 0.95) -> str:
+    """A feature is kept if it is not close to one before it that is kept: feature by feature, as there are few."""
+    names = list(FEATURES)
+    close = [f"coalesce((SELECT abs(r) >= {least} FROM rank_pairs WHERE a = least('{x}', '{y}') AND b = greatest('{x}', '{y}')), false) AS c{i}_{j}" for j, y in enumerate(names) for i, x in enumerate(names[:j])]
+    kept = ["true AS k0"] + ["NOT (" + " OR ".join(f"(k{i} AND c{i}_{j})" for i in range(j)) + f") AS k{j}" for j in range(1, len(names))]
+    steps, last = [f"s_ AS (SELECT {', '.join(close)})"], "s_"
+    for j, k in enumerate(kept):
+        steps.append(f"s{j} AS (SELECT *, {k} FROM {last})")
+        last = f"s{j}"
+    return ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT '{n}' AS feature, k{j} AS kept FROM {last}" for j, n in enumerate(names))
+
+
+RANK_PAIRS = f"{LONG}, r AS (SELECT text_id, feature, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0::DOUBLE AS v FROM long WHERE value IS NOT NULL), rank_pairs AS (SELECT a.feature AS a, b.feature AS b, count(*) AS n, corr(a.v, b.v) AS r FROM r a JOIN r b ON a.text_id = b.text_id AND a.feature < b.feature GROUP BY 1, 2)"
+
+
+@query("e54_near_duplicate_features", f"WITH {RANK_PAIRS}, {_pruned()}")
 def e54(spark, sf):
     ranks = correlate.rank_values(long_frame(spark, sf))
     kept = correlate.prune_near_duplicates(correlate.pair_correlations(ranks), list(FEATURES))
@@ -600,7 +615,13 @@ def l02(spark, sf):
     return textmeasures.ratios(frame(spark, sf).select("text_id", F.col(QTY).alias("a"), F.col(OPEN).alias("b")), [("a", "b")]).select("text_id", "a_per_b")
 
 
-@query("l02_sentence_chunks")
+L02 = """WITH t AS (SELECT doc_id, regexp_replace(text, '(?m)^\\s*([-*•]|[0-9]+[.)])\\s+', chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM t),
+one AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS sentence FROM s), n AS (SELECT doc_id, sentence, len(list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '')) AS n FROM one),
+c AS (SELECT *, unnest(generate_series(0, greatest(n - 1, 0) // 45)) AS chunk FROM n) SELECT doc_id, sentence, chunk, least(45, n - 45 * chunk) AS words FROM c"""
+
+
+@query("l02_sentence_chunks", L02, n="sentence chunk words")
 def l02b(spark, sf):
     return textmeasures.chunks(table(spark, sf, "documents"))
 
