@@ -402,6 +402,27 @@ def test_op5_schedule_against_brute_force(spark):
     assert sorted((r["slot"], r["source"], r["nth"], r["release"], r["deadline"]) for r in made.collect()) == want
 
 
+def test_op5_very_many_sources(spark, monkeypatch):
+    """Beyond MOST sources the schedule has two levels, and a source stays within two blocks of its share."""
+    monkeypatch.setattr(mixing, "MOST", 10)
+    weight = {f"s{i:03}": 1.0 + i % 4 for i in range(120)} | {"hot": 150.0}
+    weights = spark.createDataFrame(list(weight.items()), "source string, weight double")
+    docs = spark.range(9000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'hot' else concat('s', lpad(cast(id % 120 as string), 3, '0')) end as source")
+    got = rows_of(mixing.mix(docs, weights, block=2))
+    assert Counter(r["doc_id"] for r in got) == Counter(range(9000))
+    slots = {}
+    for r in got:
+        assert slots.setdefault(r["slot"], (r["source"], r["block"])) == (r["source"], r["block"])
+    share = {r["source"]: r["share"] for r in mixing.shares(weights).collect() if r["source"] in {x["source"] for x in got}}
+    made = mixing.nested_schedule(spark.createDataFrame(list(share.items()), "source string, share long"), 11).collect()
+    assert sorted(r["slot"] for r in made) == list(range(sum(share.values()))) and Counter(r["source"] for r in made) == share
+    done = Counter()
+    for t, r in enumerate(sorted(made, key=lambda r: r["slot"])):
+        done[r["source"]] += 1
+        if t % 25 == 0:
+            assert all(abs(done[s] - k * (t + 1) / len(made)) < 2 for s, k in share.items())
+
+
 def check_mix(got, block, period):
     counts = Counter((r["source"], r["block"]) for r in got)
     assert all(n <= block for n in counts.values())
