@@ -13,12 +13,15 @@ from textloom.llm import _scratch, mixing, packing, quality, simhash, substring_
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier of operator 6 rejects go."""
+    """Documents that the classifier of operator 6 rejects go: by the mean of its weights or by strong single words. Its Gumbel
+    draw would take a share of the clean documents too, so it has no part here. A null text is empty and stays; rows of a null
+    or repeated doc_id are judged like any; an empty table gives no rows."""
     return quality.kept(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates by SimHash (5 words, similarity 0.8), the smallest doc_id stays."""
+    """Of each group of near duplicates by SimHash (5 words, similarity 0.8), the smallest doc_id stays. Rows of a null doc_id
+    stay; texts without words are one group; texts of one doc_id are each judged by themselves."""
     return simhash.one_of_each(docs)
 
 
@@ -29,12 +32,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the Pfair schedule of their sources' target weights."""
+    """All documents, in the order of the Pfair schedule of their sources' target weights. A null source is the source '';
+    null and repeated doc_ids are rows like any."""
     return mixing.mixed(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in packed sequences; a task packs the mix's neighbours."""
+    """The pieces of all documents in packed sequences; a task packs the mix's neighbours. A null or empty text is the end id
+    alone; null and repeated doc_ids are packed like any."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
