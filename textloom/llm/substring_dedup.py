@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.window import Window
 
 from textloom.llm import _scratch
 from textloom.llm._text import blocks, gram_hashes, gram_starts, word_hashes, words
@@ -148,6 +149,7 @@ class FingerprintIndex:
         self.spark, self.window, self.seed, self.fan_in = spark, window, seed, fan_in
         self.parts = parts or _scratch.parts_for(spark, 0, 1)
         self.runs: dict[str, list[str]] = {"seed": [], "window": []}
+        self.kept: DataFrame | None = None
 
     def _write(self, kind: str, rows: DataFrame) -> None:
         self.runs[kind].append(_scratch.bucketed(rows, f"{kind}-run", self.KEYS[kind], self.parts, placed=True))
@@ -203,22 +205,18 @@ class FingerprintIndex:
             # broadcast only a checked, small set of ids
             text = text.unionAll(history.select(*text.columns).join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, ["doc_id", "row"], "left_semi").select(*text.columns))
         need = need.groupBy("doc_id", "row").agg(F.collect_list("seed").alias("seeds"))  # as many as a text's words at most
-        found = _scratch.placed(_window_rows(text.join(need, ["doc_id", "row"]), self.window, self.seed), ["w", "v"], self.parts)
-        low = found.where("not sure").groupBy("w", "v").agg(F.min("doc_id").alias("low"))
-        least = F.col("low")
-        for k, run in enumerate(self.runs["window"]):
-            low = low.join(self.spark.table(run).select("w", "v", F.col("doc_id").alias(f"low{k}")), ["w", "v"], "left")
-            least = F.least(least, F.col(f"low{k}"))
-        low = low.select("w", "v", least.alias("low"))
-        if not last:
-            self._write("window", low.withColumnRenamed("low", "doc_id"))
-            low = self.spark.table(self.runs["window"][-1]).withColumnRenamed("doc_id", "low")
+        found = _window_rows(text.join(need, ["doc_id", "row"]), self.window, self.seed)
+        low = self._last_hits(found) if last else self._hits_and_run(found)
+        if not last:  # the windows are there, so their seeds can go
+            rows.unpersist(True)
+            _scratch.release(self.spark)
         none = F.array().cast("array<int>")
         at = F.explode(F.concat(F.when(F.col("at").isNull(), none).otherwise(F.array("at")), F.coalesce("more", none))).alias("at")
-        hit = found.join(low, ["w", "v"], "left").where("sure or doc_id > low").select("doc_id", "row", at)
-        hit = _scratch.written(hit.hint("rebalance"), "repeats")
-        rows.unpersist()
-        found.unpersist()
+        hit = _scratch.written(low.where("sure or doc_id > low").select("doc_id", "row", at).hint("rebalance"), "repeats")
+        rows.unpersist(True)
+        if self.kept is not None:
+            self.kept.unpersist(True)
+            self.kept = None
         if path:
             _scratch.drop(self.spark, path)
         if not last:
@@ -226,6 +224,28 @@ class FingerprintIndex:
             self.compact("window")
         return hit
 
+    def _with_runs(self, rows: DataFrame) -> tuple[DataFrame, list]:
+        """rows with the smallest document that each run knows of their window, and these columns."""
+        columns = []
+        for k, run in enumerate(self.runs["window"]):
+            rows = rows.join(self.spark.table(run).select("w", "v", F.col("doc_id").alias(f"low{k}")), ["w", "v"], "left")
+            columns.append(F.col(f"low{k}"))
+        return rows, columns
+
+    def _hits_and_run(self, found: DataFrame) -> DataFrame:
+        """found with low, the smallest document of its window in the batch and the index; adds the batch's run."""
+        self.kept = found = _scratch.placed(found, ["w", "v"], self.parts)
+        own, past = self._with_runs(found.where("not sure").groupBy("w", "v").agg(F.min("doc_id").alias("low")))
+        self._write("window", own.select("w", "v", (F.least("low", *past) if past else F.col("low")).alias("doc_id")))
+        low = self.spark.table(self.runs["window"][-1]).withColumnRenamed("doc_id", "low")
+        return found.join(low, ["w", "v"], "left")
+
+    def _last_hits(self, found: DataFrame) -> DataFrame:
+        """found with low, in one pass as no run is written: a window has at most a row of each block of texts."""
+        own, past = self._with_runs(found.repartition(self.parts, "w", "v"))
+        low = F.min(F.when(~F.col("sure"), F.col("doc_id"))).over(Window.partitionBy("w", "v"))
+        return own.withColumn("low", F.least(low, *past) if past else low)
+
 
 def _covered(batches: Iterator[pa.RecordBatch], window: int, rest: bool) -> Iterator[pa.RecordBatch]:
     """Removes the words that the windows at the given starts cover."""
