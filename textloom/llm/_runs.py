@@ -33,7 +33,7 @@ def by_runs(batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[pa.Tab
     for batch in batches:
         for lo in range(0, batch.num_rows, SLICE):
             part = batch.slice(lo, SLICE)
-            cols = [part.column(k).to_numpy() for k in range(keys)]
+            cols = [part.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
             new = begins(cols)
             new[0] = held_key != tuple(c[0] for c in cols)
             held_key = tuple(c[-1] for c in cols)

@@ -1,10 +1,11 @@
-"""The queries op1 to op10 over the intended tables, with production parameters, and their SQL where SQL can say it."""
+"""The queries op1 to op13 over the intended tables, with production parameters, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import fingerprints, language_id, lattice_dedup, mixing, packing, quality, simhash, substring_dedup, token_store, url_filter
+from textloom.llm import fingerprints, language_id, lattice_dedup, mixing, packing, quality, rolling_users, simhash, substring_dedup, token_store, url_filter, whitening
 
 #: The rules of op10: verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -64,6 +65,15 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), rules)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_rolling_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling_users.rolling_users(_table(spark, sf_dir, "clicks"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    every = [op1_substring_dedup, op2_language_id, op3_document_fingerprints, op4_token_ids, op5_mixing, op6_quality_classifier, op7_embedding_near_dedup, op8_simhash_near_dedup, op9_packing, op10_url_filters, pipeline]
+    every = [op1_substring_dedup, op2_language_id, op3_document_fingerprints, op4_token_ids, op5_mixing, op6_quality_classifier, op7_embedding_near_dedup, op8_simhash_near_dedup, op9_packing, op10_url_filters, op11_embedding_whitening, op13_rolling_users, pipeline]
     return {f.__name__: f for f in every}
 
 
@@ -110,5 +120,25 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 """
 
 
+OP13_SQL = """
+WITH one AS (
+  SELECT min((epoch_us(ts) // 60000000, kind, client_id)) AS c
+  FROM (SELECT *, row_number() OVER () AS r FROM clicks WHERE ts IS NOT NULL AND kind IS NOT NULL)
+  GROUP BY click_id, CASE WHEN click_id IS NULL THEN r END
+), c AS (
+  SELECT c[2] AS kind, CAST(c[1] AS BIGINT) AS minute, c[3] AS client FROM one
+), m AS (
+  SELECT DISTINCT kind, minute FROM c
+), u AS (
+  SELECT m.kind, m.minute, c.client, count(*) AS n, max(c.minute) AS latest
+  FROM m JOIN c ON m.kind = c.kind AND c.minute BETWEEN m.minute - 10079 AND m.minute
+  WHERE c.client IS NOT NULL GROUP BY ALL
+)
+SELECT m.kind, m.minute, count(*) FILTER (latest > m.minute - 5) AS users_short, count(*) FILTER (latest > m.minute - 30) AS users_middle,
+  count(client) AS users_long, count(*) FILTER (n >= 3) AS hot_users
+FROM m LEFT JOIN u ON m.kind = u.kind AND m.minute = u.minute GROUP BY m.kind, m.minute
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op10_url_filters": OP10_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op10_url_filters": OP10_SQL, "op13_rolling_users": OP13_SQL}
