@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import fingerprints, language_id, lattice_dedup, mixing, packing, quality, rolling_users, simhash, substring_dedup, token_store, url_filter, whitening
+from textloom.llm import fingerprints, language_id, lattice_dedup, mixing, packing, quality, rolling_users, simhash, substring_dedup, suffix_dedup, token_store, url_filter, whitening
 
 #: The rules of op10: verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -70,6 +70,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op13_rolling_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_users.rolling_users(_table(spark, sf_dir, "clicks"))
 
@@ -81,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    every = [op1_substring_dedup, op2_language_id, op3_document_fingerprints, op4_token_ids, op5_mixing, op6_quality_classifier, op7_embedding_near_dedup, op8_simhash_near_dedup, op9_packing, op10_url_filters, op11_embedding_whitening, op13_rolling_users, pipeline]
+    every = [op1_substring_dedup, op2_language_id, op3_document_fingerprints, op4_token_ids, op5_mixing, op6_quality_classifier, op7_embedding_near_dedup, op8_simhash_near_dedup, op9_packing, op10_url_filters, op11_embedding_whitening, op12_suffix_array_dedup, op13_rolling_users, pipeline]
     return {f.__name__: f for f in every}
 
 
@@ -120,6 +124,34 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 """
 
 
+OP12_SQL = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents
+), win AS (
+  SELECT doc_id, r, i, md5(substr(x, 2 * i + 1, 200)) AS h
+  FROM (SELECT doc_id, r, x, unnest(generate_series(0, length(x) // 2 - 100)) AS i FROM d WHERE length(x) >= 200)
+), hit AS (
+  SELECT r, i FROM (
+    SELECT doc_id, r, i, min(doc_id) OVER (PARTITION BY h) AS low, min(i) OVER (PARTITION BY h, r) AS early FROM win)
+  WHERE doc_id > low OR i > early
+), run AS (
+  SELECT r, min(i) AS a, max(i) + 100 AS z
+  FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k
+        FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM hit))
+  GROUP BY r, k
+), piece AS (
+  SELECT d.r, a, substr(x, 2 * a + 1, 2 * (z - a)) AS gone,
+    substr(x, 2 * coalesce(lag(z) OVER (PARTITION BY d.r ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(z) OVER (PARTITION BY d.r ORDER BY a), 0))) AS kept
+  FROM d JOIN run ON d.r = run.r
+), g AS (
+  SELECT r, count(*) AS spans, sum(length(gone)) // 2 AS removed, string_agg(kept, '' ORDER BY a) AS kept, sum(length(gone) + length(kept)) AS upto
+  FROM piece GROUP BY r
+)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, CAST(coalesce(upto, 0) AS BIGINT) + 1))) AS kept_sha256
+FROM d LEFT JOIN g ON d.r = g.r
+"""
+
 OP13_SQL = """
 WITH one AS (
   SELECT min((epoch_us(ts) // 60000000, kind, client_id)) AS c
@@ -141,4 +173,4 @@ FROM m LEFT JOIN u ON m.kind = u.kind AND m.minute = u.minute GROUP BY m.kind, m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op10_url_filters": OP10_SQL, "op13_rolling_users": OP13_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op10_url_filters": OP10_SQL, "op12_suffix_array_dedup": OP12_SQL, "op13_rolling_users": OP13_SQL}

@@ -24,42 +24,44 @@ from pyspark.sql.window import Window
 from textloom.llm._runs import by_runs
 
 #: Minutes of a chunk, a multiple of 64; limbs of a block of users.
-CHUNK, LIMBS = 32_768, 1 << 15
+CHUNK, LIMBS = 32_768, 1 << 14
 WINDOWS = {"users_short": 5, "users_middle": 30, "users_long": 10_080}
 _U = np.uint64
 
 
-def shifted(x: np.ndarray, by: int) -> np.ndarray:
-    """Each column's integer (little-endian limbs down the rows) times 2**by, cut to its limbs."""
+def _later(x: np.ndarray, by: int) -> tuple[int, np.ndarray]:
+    """(limbs, y): each column's integer (little-endian limbs down the rows) times 2**by is y, limbs further on."""
     limbs, bits = divmod(by, 64)
-    out = np.zeros_like(x)
-    n = len(x) - limbs
-    if n <= 0:
-        return out
     if not bits:
-        out[limbs:] = x[:n]
-        return out
-    np.left_shift(x[:n], _U(bits), out=out[limbs:])
-    out[limbs + 1 :] |= x[: n - 1] >> _U(64 - bits)
-    return out
+        return limbs, x
+    y = x << _U(bits)
+    y[1:] |= x[:-1] >> _U(64 - bits)
+    return limbs, y
 
 
 def dilated(x: np.ndarray, have: int, length: int) -> np.ndarray:
     """The minutes whose window of ``length`` holds a click, from those whose window of ``have`` minutes does."""
     while have < length:
         step = min(have, length - have)
-        x = x | shifted(x, step)
+        limbs, y = _later(x, step)
+        x = x.copy()
+        x[limbs:] |= y[: max(0, len(x) - limbs)]
         have += step
     return x
 
 
-def _joined(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
-    """Thermometer planes of two windows together, from those of each: k clicks are i in one and k - i in the other."""
-    out = []
+def _joined(a: list[np.ndarray], b: list[np.ndarray], by: int) -> list[np.ndarray]:
+    """Thermometer planes of two windows that lie end to end, from the planes of the later one and those of the older one,
+    ``by`` minutes before: k clicks are i in one and k - i in the other."""
+    out, older = [], []
     for k in range(len(a)):
-        x = a[k] | b[k]
+        limbs, y = _later(b[k], by)
+        older.append(y[: max(0, len(y) - limbs)])
+        x = a[k].copy()
+        rest = x[limbs:]
+        rest |= older[k]
         for i in range(k):
-            x |= a[i] & b[k - 1 - i]
+            rest |= a[i][limbs:] & older[k - 1 - i]
         out.append(x)
     return out
 
@@ -70,31 +72,27 @@ def thermometer(planes: list[np.ndarray], length: int) -> list[np.ndarray]:
     total, have, width = None, 0, 1
     while True:
         if length & width:
-            older = planes if not have else [shifted(p, have) for p in planes]
-            total = older if total is None else _joined(total, older)
+            total = planes if total is None else _joined(total, planes, have)
             have += width
         if have == length:
             return total
-        planes = _joined(planes, [shifted(p, width) for p in planes])
+        planes = _joined(planes, planes, width)
         width *= 2
 
 
-def _set_bits(x: np.ndarray) -> np.ndarray:
-    """The places of the set bits of all columns."""
-    limb, column = np.nonzero(x)
-    v, found = x[limb, column], []
-    while len(v):
-        found.append(limb * 64 + np.bitwise_count((v & (~v + _U(1))) - _U(1)))
-        v = v & (v - _U(1))
-        left = v != 0
-        v, limb = v[left], limb[left]
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
-
-
 def edges(own: np.ndarray) -> np.ndarray:
     """For each minute of a chunk: the columns whose runs begin there, less those whose runs ended just before."""
-    later, n = shifted(own, 1), len(own) * 64
-    return np.bincount(_set_bits(own & ~later), minlength=n) - np.bincount(_set_bits(later & ~own), minlength=n)
+    change = own ^ _later(own, 1)[1]
+    at = np.flatnonzero(change)
+    limb, v, own = at // own.shape[1], change.ravel()[at], own.ravel()[at]
+    sums = np.zeros(len(change) * 64, dtype=np.int64)
+    while len(v):
+        bit = v & (~v + _U(1))
+        sums += np.bincount(limb * 64 + np.bitwise_count(bit - _U(1)), np.where(own & bit, 1, -1), len(sums)).astype(np.int64)
+        v = v ^ bit
+        left = v != 0
+        v, limb, own = v[left], limb[left], own[left]
+    return sums
 
 
 class _Sums:
@@ -125,8 +123,11 @@ class _Sums:
         for k in np.argsort(self.windows, kind="stable"):
             x, have = dilated(x, have, self.windows[k]), self.windows[k]
             self.sums[k] += edges(x[self.halo :])
-        # users of fewer clicks than hot, here and in the window before, are never hot
-        often = np.bincount(user, weights=n) >= self.hot
+        # only users who ever have hot clicks within a window need planes
+        each = np.repeat(np.arange(len(at)), n)
+        late, early = each[self.hot - 1 :], each[: max(0, len(each) - self.hot + 1)]
+        often = np.zeros(shape[1], dtype=bool)
+        often[user[late[(user[late] == user[early]) & (at[late] - at[early] < self.hot_window)]]] = True
         if often.any():
             number = np.cumsum(often) - 1
             planes = [plane(often[user] & (n > k), number[user], int(often.sum())) for k in range(self.hot)]
