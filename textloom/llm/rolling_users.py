@@ -6,13 +6,15 @@ block of users is worked on at once:
 
 * trailing windows of L minutes: the integer is dilated, x |= x << h for h doubling up to L;
 * at least k clicks in a window: k thermometer planes (at least 1, 2, ... clicks), joined for windows that lie end to end;
+* windows of up to 64 minutes touch the limbs with clicks and those after them alone, so they are worked on in these limbs;
+  longer ones begin from them and move by whole limbs only;
 * each run of set bits counts its user from its first minute to its last one: the runs' edges, +1 and -1, are summed over the
   users of a chunk, and a prefix sum over the chunk's minutes gives the users of each. No chunk needs the sum of another one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,9 @@ WINDOWS = {"users_short": 5, "users_middle": 30, "users_long": 10_080}
 _U = np.uint64
 
 
+Later = Callable[[np.ndarray, int], tuple[int, np.ndarray]]
+
+
 def _later(x: np.ndarray, by: int) -> tuple[int, np.ndarray]:
     """(limbs, y): each column's integer (little-endian limbs down the rows) times 2**by is y, limbs further on."""
     limbs, bits = divmod(by, 64)
@@ -39,23 +44,28 @@ def _later(x: np.ndarray, by: int) -> tuple[int, np.ndarray]:
     return limbs, y
 
 
-def dilated(x: np.ndarray, have: int, length: int) -> np.ndarray:
-    """The minutes whose window of ``length`` holds a click, from those whose window of ``have`` minutes does."""
+def _limbs_later(x: np.ndarray, by: int) -> tuple[int, np.ndarray]:
+    return by, x
+
+
+def dilated(x: np.ndarray, have: int, length: int, later: Later = _later) -> np.ndarray:
+    """The minutes whose window of ``length`` holds a click, from those whose window of ``have`` minutes does. later: how
+    integers move by so many minutes, or by another unit in which have and length are given."""
     while have < length:
         step = min(have, length - have)
-        limbs, y = _later(x, step)
+        limbs, y = later(x, step)
         x = x.copy()
         x[limbs:] |= y[: max(0, len(x) - limbs)]
         have += step
     return x
 
 
-def _joined(a: list[np.ndarray], b: list[np.ndarray], by: int) -> list[np.ndarray]:
+def _joined(a: list[np.ndarray], b: list[np.ndarray], by: int, later: Later) -> list[np.ndarray]:
     """Thermometer planes of two windows that lie end to end, from the planes of the later one and those of the older one,
     ``by`` minutes before: k clicks are i in one and k - i in the other."""
     out, older = [], []
     for k in range(len(a)):
-        limbs, y = _later(b[k], by)
+        limbs, y = later(b[k], by)
         older.append(y[: max(0, len(y) - limbs)])
         x = a[k].copy()
         rest = x[limbs:]
@@ -66,26 +76,26 @@ def _joined(a: list[np.ndarray], b: list[np.ndarray], by: int) -> list[np.ndarra
     return out
 
 
-def thermometer(planes: list[np.ndarray], length: int) -> list[np.ndarray]:
+def thermometer(planes: list[np.ndarray], length: int, later: Later = _later) -> list[np.ndarray]:
     """Planes of the trailing window of ``length`` minutes, from those of single minutes; plane k - 1 is set where the window
-    has at least k clicks. Windows of powers of two are joined end to end."""
+    has at least k clicks. Windows of powers of two are joined end to end. later: as in ``dilated``."""
     total, have, width = None, 0, 1
     while True:
         if length & width:
-            total = planes if total is None else _joined(total, planes, have)
+            total = planes if total is None else _joined(total, planes, have, later)
             have += width
         if have == length:
             return total
-        planes = _joined(planes, planes, width)
+        planes = _joined(planes, planes, width, later)
         width *= 2
 
 
-def edges(own: np.ndarray) -> np.ndarray:
-    """For each minute of a chunk: the columns whose runs begin there, less those whose runs ended just before."""
-    change = own ^ _later(own, 1)[1]
-    at = np.flatnonzero(change)
-    limb, v, own = at // own.shape[1], change.ravel()[at], own.ravel()[at]
-    sums = np.zeros(len(change) * 64, dtype=np.int64)
+def _summed(limb: np.ndarray, change: np.ndarray, own: np.ndarray, limbs: int) -> np.ndarray:
+    """For each minute: how many runs begin there less how many ended just before. change: the bits of limbs of ``own`` that
+    differ from the bit before."""
+    sums = np.zeros(limbs * 64, dtype=np.int64)
+    some = change != 0
+    limb, v, own = limb[some], change[some], own[some]
     while len(v):
         bit = v & (~v + _U(1))
         sums += np.bincount(limb * 64 + np.bitwise_count(bit - _U(1)), np.where(own & bit, 1, -1), len(sums)).astype(np.int64)
@@ -95,6 +105,56 @@ def edges(own: np.ndarray) -> np.ndarray:
     return sums
 
 
+def _changes(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(limb, change, own) of the limbs of a chunk's columns in which runs begin or end."""
+    change = own ^ _later(own, 1)[1]
+    at = np.flatnonzero(change)
+    return at // own.shape[1], change.ravel()[at], own.ravel()[at]
+
+
+def edges(own: np.ndarray) -> np.ndarray:
+    """For each minute of a chunk: the columns whose runs begin there, less those whose runs ended just before."""
+    return _summed(*_changes(own), len(own))
+
+
+class _Near:
+    """The limbs of some users' integers with clicks and the limbs after them, users one after the other."""
+
+    def __init__(self, user: np.ndarray, at: np.ndarray, n: np.ndarray, planes: int, limbs: int):
+        place = user * limbs + (at >> 6)
+        new = np.concatenate([[True], place[1:] != place[:-1]])
+        own = place[new]
+        active = np.union1d(own, own[own % limbs < limbs - 1] + 1)
+        self.user, self.limb, self.limbs = active // limbs, active % limbs, limbs
+        self.follows = (np.concatenate([[-2], active[:-1]]) + 1 == active) & (self.limb > 0)
+        bit, index = _U(1) << (at & 63).astype(np.uint64), np.searchsorted(active, own)
+        self.planes = []
+        for k in range(planes):
+            x = np.zeros(len(active), dtype=np.uint64)
+            x[index] = np.bitwise_or.reduceat(np.where(n > k, bit, _U(0)), np.flatnonzero(new))
+            self.planes.append(x)
+
+    def later(self, x: np.ndarray, by: int) -> tuple[int, np.ndarray]:
+        """x moved by up to 63 minutes."""
+        y = x << _U(by)
+        y[1:] |= np.where(self.follows[1:], x[:-1] >> _U(64 - by), _U(0))
+        return 0, y
+
+    def edges(self, x: np.ndarray, halo: int) -> np.ndarray:
+        before = np.where(self.limb == halo, _U(0), self.later(x, 1)[1] & _U(1)) | x << _U(1)
+        own = self.limb >= halo
+        return _summed(self.limb[own] - halo, (x ^ before)[own], x[own], self.limbs - halo)
+
+    def spread(self, x: np.ndarray, users: np.ndarray) -> np.ndarray:
+        """The whole integers of x for ``users``, ascending, as columns."""
+        out = np.zeros((self.limbs, len(users)), dtype=np.uint64)
+        lo, hi = np.searchsorted(self.user, [users[0], users[-1] + 1])
+        column = np.searchsorted(users, self.user[lo:hi])
+        these = users[column] == self.user[lo:hi]
+        out[self.limb[lo:hi][these], column[these]] = x[lo:hi][these]
+        return out
+
+
 class _Sums:
     """Summed edges of a chunk of a kind, block by block of its users."""
 
@@ -107,31 +167,45 @@ class _Sums:
 
     def add(self, user: np.ndarray, minute: np.ndarray, n: np.ndarray) -> None:
         """user: ascending numbers from 0; minute: from the chunk's beginning, before it negative; n: clicks, up to hot."""
-        for lo in range(0, int(user[-1]) + 1, self.users):
-            a, z = np.searchsorted(user, [lo, lo + self.users])
-            self._block(user[a:z] - lo, minute[a:z] + 64 * self.halo, n[a:z])
-
-    def _block(self, user: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
-        shape = (self.halo + self.chunk // 64, int(user[-1]) + 1)
-
-        def plane(these: np.ndarray, users: np.ndarray, width: int) -> np.ndarray:
-            x = np.zeros((shape[0], width), dtype=np.uint64)
-            np.bitwise_or.at(x, (at[these] >> 6, users[these]), _U(1) << (at[these] & 63).astype(np.uint64))
-            return x
-
-        x, have = plane(np.ones(len(at), dtype=bool), user, shape[1]), 1
-        for k in np.argsort(self.windows, kind="stable"):
-            x, have = dilated(x, have, self.windows[k]), self.windows[k]
-            self.sums[k] += edges(x[self.halo :])
+        at, users = minute + 64 * self.halo, int(user[-1]) + 1
+        near = _Near(user, at, n, self.hot, self.halo + self.chunk // 64)
+        near_one = near.planes[0]
+        unit = dilated(near_one, 1, 64, near.later)
+        found: list[list] = [[] for _ in self.sums]
+        parts = [dilated(near_one, 1, w % 64, near.later) if w % 64 else None for w in self.windows]
+        for k, w in enumerate(self.windows):
+            if w < 64:
+                self.sums[k] += near.edges(parts[k], self.halo)
+        long = [k for k in np.argsort(self.windows, kind="stable") if self.windows[k] >= 64]
+        for lo in range(0, users if long else 0, self.users):
+            these = np.arange(lo, min(lo + self.users, users))
+            far, have = near.spread(unit, these), 1
+            for k in long:
+                limbs = self.windows[k] // 64
+                far, have = dilated(far, have, limbs, _limbs_later), limbs
+                x = far
+                if parts[k] is not None:
+                    x = far.copy()
+                    x[limbs:] |= near.spread(parts[k], these)[: max(0, len(far) - limbs)]
+                found[k].append(_changes(x[self.halo :]))
         # only users who ever have hot clicks within a window need planes
         each = np.repeat(np.arange(len(at)), n)
         late, early = each[self.hot - 1 :], each[: max(0, len(each) - self.hot + 1)]
-        often = np.zeros(shape[1], dtype=bool)
-        often[user[late[(user[late] == user[early]) & (at[late] - at[early] < self.hot_window)]]] = True
-        if often.any():
-            number = np.cumsum(often) - 1
-            planes = [plane(often[user] & (n > k), number[user], int(often.sum())) for k in range(self.hot)]
-            self.sums[-1] += edges(thermometer(planes, self.hot_window)[-1][self.halo :])
+        often = np.unique(user[late[(user[late] == user[early]) & (at[late] - at[early] < self.hot_window)]])
+        limbs, rest = divmod(self.hot_window, 64)
+        part = thermometer(near.planes, rest, near.later) if rest and len(often) else []
+        if not limbs and part:
+            self.sums[-1] += near.edges(part[-1], self.halo)
+        units = thermometer(near.planes, 64, near.later) if limbs and len(often) else []
+        for lo in range(0, len(often) if limbs else 0, self.users):
+            these = often[lo : lo + self.users]
+            planes = thermometer([near.spread(x, these) for x in units], limbs, _limbs_later)
+            if rest:
+                planes = _joined(planes, [near.spread(x, these) for x in part], limbs, _limbs_later)
+            found[-1].append(_changes(planes[-1][self.halo :]))
+        for k, own in enumerate(found):
+            if own:
+                self.sums[k] += _summed(*(np.concatenate(c) for c in zip(*own, strict=True)), self.chunk // 64)
 
 
 def _edge_rows(rows: DataFrame, windows: dict[str, int], hot: int, hot_window: int, chunk: int) -> DataFrame:
