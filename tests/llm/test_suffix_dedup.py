@@ -72,7 +72,7 @@ def rows_of(rng, n):
     return rows
 
 
-@pytest.mark.parametrize("length,more", [(100, {}), (40, {"gram": 40}), (12, {"gram": 3}), (30, {"hot": 2}), (17, {"hot": 1})])
+@pytest.mark.parametrize("length,more", [(100, {}), (40, {"gram": 40}), (12, {"gram": 3}), (30, {"part": 1, "hot": 2}), (17, {"part": 2, "hot": 1})])
 def test_equals_brute_force(spark, length, more):
     check(spark, rows_of(np.random.default_rng(length), 60), length, **more)
 
@@ -87,7 +87,7 @@ def test_a_passage_of_all_documents_with_borders_of_their_own(spark):
     rng = np.random.default_rng(2)
     passage = "".join(rng.choice(list("abcdefgh "), 230))
     rows = [(i, "".join(rng.choice(list("xyz "), 90)) + passage + "".join(rng.choice(list("uvw "), 90)), 1, "", "") for i in range(300)]
-    check(spark, rows, 100, hot=50)
+    check(spark, rows, 100, part=2, hot=5)
 
 
 def test_thousands_of_equal_rows_and_empty_tables(spark):

@@ -11,9 +11,9 @@ import pyarrow as pa
 SLICE = 4096
 
 
-def by_runs(batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+def by_runs(batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """work(rows, first) on tables of whole runs of equal leading ``keys`` columns, which rows are sorted by; first are the
-    places of the runs' first rows. Of the runs only one that goes on in the next rows is held over."""
+    places of the runs' first rows; a table has about ``size`` rows or one longer run. Of the runs only one that goes on in the next rows is held over."""
     held: list[pa.RecordBatch] = []
     held_key: tuple = ()
 
@@ -31,8 +31,8 @@ def by_runs(batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[pa.Tab
             yield from work(rows, np.flatnonzero(new))
 
     for batch in batches:
-        for lo in range(0, batch.num_rows, SLICE):
-            part = batch.slice(lo, SLICE)
+        for lo in range(0, batch.num_rows, size):
+            part = batch.slice(lo, size)
             cols = [part.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
             new = begins(cols)
             new[0] = held_key != tuple(c[0] for c in cols)

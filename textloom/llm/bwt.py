@@ -17,8 +17,8 @@ _U = np.uint64
 
 
 def stride_for(length: int) -> int:
-    """Bytes of a symbol: the most, up to 4, that divide the length."""
-    return next(s for s in (4, 2, 1) if length % s == 0)
+    """Bytes of a symbol: the most, up to 10, that divide the length."""
+    return next(s for s in range(10, 0, -1) if length % s == 0)
 
 
 def _symbols(data: np.ndarray, width: int) -> np.ndarray:
@@ -48,7 +48,10 @@ class Shard:
             step = min(have, length - have)  # bytes known of the place that many bytes on are added
             key, have = rank * n + np.roll(rank, -(step % n)), have + step
         self.places = order
-        self.transform = np.roll(_symbols(data, stride), stride % n)[order].astype(np.uint32)
+        #: Halves of the symbols, as whole numbers.
+        half = stride // 2
+        halves = [(stride, half), (stride - half, stride - half)] if half else [(stride, stride)]
+        self.transform = [np.roll(_symbols(data, width), back % n)[order] for back, width in halves]
 
     def __len__(self) -> int:
         return len(self.places)
@@ -66,7 +69,10 @@ def merge(shards: list[Shard], length: int) -> tuple[np.ndarray, np.ndarray]:
     before, up to length // stride: there, the ``length`` bytes are equal. The first has 0 in common."""
     rounds = length // stride_for(length)
     sizes = [len(s) for s in shards]
-    code = np.unique(np.concatenate([s.transform for s in shards]), return_inverse=True)[1]
+    code = np.zeros(sum(sizes), dtype=np.int64)
+    for halves in zip(*(s.transform for s in shards), strict=True):
+        more = np.unique(np.concatenate(halves), return_inverse=True)[1]
+        code = np.unique(code * (int(more.max(initial=0)) + 1) + more, return_inverse=True)[1] if code.any() else more
     code = code.astype(np.uint16 if code.max(initial=0) < 1 << 16 else np.uint32)
     z = np.repeat(np.arange(len(shards)), sizes).astype(np.uint8 if len(shards) < 256 else np.uint16)
     block = np.zeros(len(z), dtype=np.int32)

@@ -8,11 +8,11 @@ all equal windows come together, and a piece meets only those that it can have w
 * different pieces of an anchor: anchors are gathered into tasks, their pieces into shards; each shard's transform is built,
   and the transforms are merged by refinement of the interleave (``bwt``). Windows in one repeated interval are equal; those
   that don't start first are repeats;
-* an anchor of more than HOT different pieces, as at the edge of a passage that very many documents hold, is no anchor of one
-  task: its windows are dealt again by a longer common part, the bytes that all of 8 neighbouring windows share, and if
-  that is still as common, each window by all its bytes.
+* an anchor of very many different pieces, as at the edge of a passage that a third of all documents hold, would be too much
+  for a task: its windows are dealt one by one, each by a hash of all its bytes. Such anchors are found in a part of the
+  documents; which ones these are decides where windows meet, never the result.
 
-Anchors of a single window's document, and pieces without others of their anchor, never enter a transform.
+Pieces without others of their anchor never enter a transform.
 """
 
 from __future__ import annotations
@@ -30,10 +30,15 @@ from textloom.llm._runs import by_runs
 from textloom.llm._text import CHUNK, _byte_codes, blocks, gram_hashes, mix, powers
 
 LENGTH, GRAM = 100, 40
-#: Different pieces of an anchor that one task takes; windows dealt together by a longer common part, beyond.
-HOT, FEW = 4096, 8
+#: One of so many documents is looked at for anchors of very many different pieces; pieces there from which an anchor is one;
+#: anchors that are told to all tasks at most, those of most pieces.
+PART, HOT, MOST = 16, 64, 50_000
 #: Bytes of texts whose pieces are combined before they are dealt, of pieces to a partition, and of pieces to a shard.
-COMBINED, PER_TASK, PER_SHARD = 4 << 20, 8 << 20, 160 << 10
+COMBINED, PER_TASK, PER_SHARD = 4 << 20, 8 << 20, 64 << 10
+#: Pieces whose transforms are merged together, but for anchors of more; what a merge works on then fits a core's cache.
+TOGETHER = 1500
+#: The lead of a window that is dealt alone.
+ALONE = 4095
 _U = np.uint64
 _LOW = (1 << 16) - 1
 
@@ -78,7 +83,7 @@ def _pieces(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple
 
 def _combined(parts: list[tuple[np.ndarray, ...]], length: int) -> Iterator[pa.RecordBatch]:
     """Rows of ENTRY for (key, piece, doc_id, row, start, windows, lead) of whole documents: of equal pieces of a key only the
-    smallest document's first of each row stay; the ranges of the others are rows without a key."""
+    smallest document's first of each row stay, with upto -1; the ranges of the others, from place to upto, are dealt by their row."""
     key, piece, doc, row, start, windows, lead = (np.concatenate(c) for c in zip(*parts, strict=True))
     if not len(key):
         return
@@ -91,7 +96,7 @@ def _combined(parts: list[tuple[np.ndarray, ...]], length: int) -> Iterator[pa.R
     # a repeated row's pieces are equal to the first one's, start by start: they stay, and are told apart no further
     sure = (doc > first) | again
     kept, place = ~sure, start << 24 | lead << 12 | windows
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[kept].view(np.int64), piece[kept].view(np.int64), doc[kept], row[kept], place[kept])] + [pa.nulls(int(kept.sum()), pa.int64())], NAMES)
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[kept].view(np.int64), piece[kept].view(np.int64), doc[kept], row[kept], place[kept], np.full(int(kept.sum()), -1))], NAMES)
     if sure.any():
         d, r, a = doc[sure], row[sure], start[sure]
         z = a + windows[sure] + length - 1
@@ -101,15 +106,29 @@ def _combined(parts: list[tuple[np.ndarray, ...]], length: int) -> Iterator[pa.R
         new = np.concatenate([[True], (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (a[1:] > z[:-1])])
         at = np.flatnonzero(new)
         n = len(at)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(d[at]), pa.array(r[at]), pa.array(a[at]), pa.array(np.maximum.reduceat(z, at))], NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(r[at]), pa.array(r[at]), pa.array(d[at]), pa.array(r[at]), pa.array(a[at]), pa.array(np.maximum.reduceat(z, at))], NAMES)
 
 
 ENTRY = "key long, piece long, doc_id long, row long, place long, upto long"
 NAMES = [x.split()[0] for x in ENTRY.split(", ")]
 
 
-def _anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """ENTRY rows of all pieces of docs (doc_id, row, text)."""
+def _alone(found: tuple[np.ndarray, ...], data: np.ndarray, hot: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """``_pieces`` of which those with a hot anchor are taken apart into single windows, their own anchors."""
+    start, windows, lead, key, piece = found
+    these = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+    if not these.any():
+        return found
+    n = windows[these]
+    own = np.repeat(start[these], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    one, two = (_Prefix(data, seed).of(own, own + length) for seed in (21, 22))
+    more = (own, np.ones(len(own), np.int64), np.full(len(own), ALONE), one, two)
+    return tuple(np.concatenate([a[~these], b]) for a, b in zip(found, more, strict=True))
+
+
+def _anchored(docs: DataFrame, length: int, gram: int, hot: list[int]) -> DataFrame:
+    """ENTRY rows of all pieces of docs (doc_id, row, text); hot: anchors whose windows are dealt alone."""
+    few = np.sort(np.array(hot, dtype=np.int64).view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +140,9 @@ def _anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 owner, ends = np.repeat(np.arange(lo, hi), sizes), np.repeat(offsets[1:], sizes)
                 for at in range(0, max(0, len(data) - length + 1), CHUNK - length + 1):  # a long text is worked on part by part
                     part = data[at : at + CHUNK]
-                    start, windows, lead, key, piece = _pieces(part, ends[at : at + CHUNK] - at, length, gram)
+                    start, windows, lead, key, piece = found = _pieces(part, ends[at : at + CHUNK] - at, length, gram)
+                    if len(few):
+                        start, windows, lead, key, piece = _alone(found, part, few, length)
                     doc = owner[start + at]
                     held.append((key, piece, ids[doc], rows[doc], start + at - offsets[doc - lo], windows, lead))
                 if size >= COMBINED and held:
@@ -133,41 +154,46 @@ def _anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("doc_id", "row", "text").mapInArrow(run, ENTRY)
 
 
-def _cut(found: DataFrame, length: int, few: int, level: int) -> DataFrame:
-    """ENTRY rows of the windows of pieces ``want`` (key, place) of texts, dealt by the bytes that ``few`` neighbouring windows of
-    an anchor share."""
+FOUND = "key long, doc_id long, row long, start long, upto long, compare boolean"
+PLACES = [x.split()[0] for x in FOUND.split(", ")]
+
+
+def _settled(entries: DataFrame, length: int) -> DataFrame:
+    """FOUND rows from ENTRY rows sorted by key, piece and document: ranges that a smaller document's equal piece shows to be
+    repeats, and with ``compare`` the different pieces of a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                doc, row, text, want = (c[k] for c in batch.columns)
-                data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-                place = np.array([x["place"].as_py() for x in want])
-                start, lead, windows = place >> 24, place >> 12 & 4095, place & 4095
-                one = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-                a, anchor = np.repeat(start, windows) + one, np.repeat(start + lead, windows)
-                share = (anchor - a) // few  # windows of equal share have anchors at distances that differ by less than few
-                new = np.concatenate([[True], (share[1:] != share[:-1]) | (one[1:] == 0)])
-                at = np.flatnonzero(new)
-                n, first, anchor, share = np.diff(np.append(at, len(a))), a[at], anchor[at], share[at]
-                hashes = _Prefix(data, 20 + level)
-                core = hashes.of(anchor - share * few, anchor - share * few - few + 1 + length)
-                key = mix(core + share.astype(np.uint64))
-                yield from _combined([(key, hashes.of(first, first + n + length - 1), np.full(len(at), doc.as_py()), np.full(len(at), row.as_py()), first, n, anchor - first)], length)
-
-    return found.select("doc_id", "row", "text", "want").mapInArrow(run, ENTRY)
+        def work(table: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+            key, piece, doc, row, place, upto = (table.column(c).to_numpy() for c in NAMES)
+            sure = upto >= 0
+            head = np.zeros(len(key), dtype=bool)
+            head[first] = True
+            head[1:] |= (piece[1:] != piece[:-1]) | sure[1:] | sure[:-1]
+            later = ~sure & (doc > doc[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))])
+            rest = ~sure & ~later
+            rest[1:] &= head[1:] | (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (place[1:] != place[:-1])  # equal rows once
+            group = np.cumsum(np.isin(np.arange(len(key)), first)) - 1
+            rest &= (np.bincount(group[rest], minlength=len(first))[group] > 1) & (place >> 12 & 4095 != ALONE)
+            start = np.where(sure, place, place >> 24)
+            end = np.where(sure, upto, start + (place & 4095) + length - 1)
+            out = sure | later | rest
+            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (key, doc, row, start, end, rest)], PLACES)
+
+        return by_runs(batches, 1, work)
+
+    return entries.select(*NAMES).mapInArrow(run, FOUND)
 
 
 def _texts_of(found: DataFrame) -> DataFrame:
-    """(key, doc_id, row, start, text): the bytes of pieces ``want`` (key, place, windows) of texts."""
+    """(key, doc_id, row, start, text): the bytes of pieces ``want`` (key, start, upto) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 doc, row, text, want = (c[k].as_py() for c in batch.columns)
-                raw, out = (text or "").encode(), sorted((x["key"], x["place"] >> 24, x["bytes"]) for x in want)
+                raw, out = (text or "").encode(), sorted((x["key"], x["start"], x["upto"]) for x in want)
                 cols = [pa.array([x[0] for x in out], pa.int64()), pa.array([doc] * len(out), pa.int64()), pa.array([row] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([raw[a : a + n] for _, a, n in out], pa.binary())], ["key", "doc_id", "row", "start", "text"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([raw[a:z] for _, a, z in out], pa.binary())], ["key", "doc_id", "row", "start", "text"])
 
     return found.select("doc_id", "row", "text", "want").mapInArrow(run, "key long, doc_id long, row long, start long, text binary")
 
@@ -213,7 +239,7 @@ def _merged(pieces: DataFrame, length: int) -> DataFrame:
             owner, a, z = repeated(table.column("text").to_pylist(), doc, row, start, length)
             yield pa.RecordBatch.from_arrays([pa.array(doc[owner]), pa.array(row[owner]), pa.array(a), pa.array(z)], ["doc_id", "row", "start", "upto"])
 
-        return by_runs(batches, 1, work)
+        return by_runs(batches, 1, work, TOGETHER)
 
     return pieces.select("key", "doc_id", "row", "start", "text").mapInArrow(run, "doc_id long, row long, start long, upto long")
 
@@ -242,69 +268,28 @@ def _kept(batches: Iterator[pa.RecordBatch], bytes_out: bool) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.binary())] * bytes_out, names + ["kept"] * bytes_out)
 
 
-def _settled(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ranges of entries of whose piece a smaller document has an equal one, the others). Both sides of the join are dealt by
-    hashes that adaptive execution can split where one is hot."""
-    low = entries.groupBy("key", "piece").agg(F.min("doc_id").alias("low"))
-    both = entries.join(low, ["key", "piece"])
-    later = F.col("doc_id") > F.col("low")
-    return both.where(later), both.where(~later).drop("low", "upto")
+def _hot_anchors(docs: DataFrame, length: int, gram: int, part: int, hot: int) -> list[int]:
+    """Anchors that have ``hot`` or more different pieces in one of ``part`` of the documents, at most MOST."""
+    some = _anchored(docs.where(F.pmod("row", F.lit(part)) == 0), length, gram, []).where("upto < 0")
+    many = some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= hot)
+    return [r["key"] for r in many.orderBy(F.desc("n"), "key").limit(MOST).collect()]
 
 
-def _ranges(entries: DataFrame, length: int) -> DataFrame:
-    start = F.shiftright("place", 24)
-    return entries.select("doc_id", "row", start.alias("start"), (start + F.col("place").bitwiseAND(4095) + (length - 1)).alias("upto"))
-
-
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[list[DataFrame], list[str]]:
-    """([tables of (doc_id, row, start, upto)], [paths of what they read]): ranges of bytes of docs (doc_id, row, text) that
-    repeated windows cover."""
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int = PART, hot: int = HOT) -> DataFrame:
+    """(doc_id, row, start, upto): ranges of bytes of docs (doc_id, row, text) that repeated windows cover; they may overlap."""
     spark = docs.sparkSession
-    ranges, paths = [], []
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        path, out = _scratch.written_at(df, name)
-        paths.append(path)
-        return out
-
-    everything, entries = _scratch.written_at(_anchored(docs, length, gram), "anchors")
-    ranges.append(keep(entries.where("key is null").select("doc_id", "row", F.col("place").alias("start"), "upto"), "in-task"))
-    entries = entries.where("key is not null")
-    common = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    level, few, merging = 0, 0, None
-    while True:
-        gone, rest = _settled(entries.join(common, "key"))
-        both_path, both = _scratch.written_at(gone.select(*rest.columns, F.lit(True).alias("gone")).unionAll(rest.select("*", F.lit(False).alias("gone")).distinct()), "pieces")
-        _scratch.drop(spark, everything)
-        _scratch.release(spark)
-        ranges.append(keep(_ranges(both.where("gone"), length), "settled"))
-        rest = both.where("not gone")
-        several = rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        rest = keep(rest.join(several, "key").select("key", "doc_id", "row", "place", (F.col("n") > hot).alias("hot")), "compared")
-        _scratch.drop(spark, both_path)
-        if few != 1:  # pieces of one window and one key are equal: rows of one doc_id, which don't repeat each other
-            own = rest.where("not hot").select("key", "doc_id", "row", "place")
-            merging = own if merging is None else merging.unionAll(own)
-        rest = rest.where("hot")
-        if few == 1 or rest.isEmpty():
-            break
-        level, few = level + 1, 1 if few else FEW
-        wanted = rest.groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "place")).alias("want"))  # a text's at most
-        everything, entries = _scratch.written_at(_cut(docs.dropDuplicates(["doc_id", "row"]).join(wanted, ["doc_id", "row"]), length, few, level), "longer-parts")
-        ranges.append(keep(entries.where("key is null").select("doc_id", "row", F.col("place").alias("start"), "upto"), "in-task"))
-        entries = entries.where("key is not null")
-        common = entries.select("key").distinct()
-    wanted = merging.select("doc_id", "row", "key", "place", (F.col("place").bitwiseAND(4095) + (length - 1)).alias("bytes"))
-    n = wanted.agg(F.sum("bytes")).first()[0] or 0
-    wanted = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "place", "bytes")).alias("want"))
+    entries = _anchored(docs, length, gram, _hot_anchors(docs, length, gram, part, hot))
+    parts = _scratch.parts_for(spark, _scratch.size_of(docs), PER_TASK)
+    found = _scratch.written(_settled(entries.repartition(parts, "key").sortWithinPartitions("key", "piece", "doc_id", "row", "place"), length), "pieces")
+    _scratch.release(spark)
+    wanted = found.where("compare").groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "start", "upto")).alias("want"))  # as many as a text has at most
     pieces = _texts_of(docs.dropDuplicates(["doc_id", "row"]).join(wanted, ["doc_id", "row"]))
-    pieces = pieces.repartition(_scratch.parts_for(spark, n, PER_TASK), "key").sortWithinPartitions("key")
-    ranges.append(keep(_merged(pieces, length), "merged"))
+    merged = _scratch.written(_merged(pieces.repartition(parts, "key").sortWithinPartitions("key"), length), "merged")
     _scratch.release(spark)
-    return ranges, paths
+    return found.where("not compare").select("doc_id", "row", "start", "upto").unionAll(merged)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, bytes_out: bool = False, gram: int | None = None, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, bytes_out: bool = False, gram: int | None = None, part: int = PART, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every document, its text as UTF-8 bytes.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a document of smaller doc_id, or in the
@@ -314,17 +299,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bytes_out: bool = Fals
     other and are each judged by their own text; rows of a null doc_id are kept whole and no repeats are looked for in them; an
     empty table gives no rows; other columns are not read.
 
-    gram: bytes of an anchor, up to length. hot: different pieces of an anchor that one task takes.
+    gram: bytes of an anchor, up to length. part, hot: anchors with hot or more different pieces in one of part of the documents
+    have their windows dealt one by one.
     """
     gram = gram or min(GRAM, max(1, length * 2 // 5))
     if not 1 <= gram <= length < 2048:
         raise ValueError("length must be from 1 to 2047, gram from 1 to length")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    ranges, _ = repeated_ranges(own.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)), length, gram, hot)
-    found = ranges[0]
-    for more in ranges[1:]:
-        found = found.unionAll(more)
+    found = repeated_ranges(own.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)), length, gram, part, hot)
     found = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "upto")).alias("ranges"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * bytes_out
     return own.join(found, ["doc_id", "row"], "left").select("doc_id", "text", "ranges").mapInArrow(lambda b: _kept(b, bytes_out), schema)
