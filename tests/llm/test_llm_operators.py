@@ -828,3 +828,46 @@ def test_units_of_random_texts(sf):
         ids, offsets = tokens.with_end(*encoder.encode(texts), 2)
         for i, t in enumerate(texts):
             assert ids[offsets[i] : offsets[i + 1]].tolist() == whole(t, 2), repr(t)
+
+
+def test_op1_thousands_of_equal_rows_and_a_seed_in_every_document(spark):
+    """Equal rows are linear, whatever their number, and a passage of all documents is found in each but the first."""
+    words = " ".join(f"w{i * 7919 % 997}" for i in range(600))
+    rows = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(words).alias("text"))
+    one = spark.createDataFrame([(1, f"a {words} b")], "doc_id long, text string")
+    got = {tuple(r): n for *r, n in substring_dedup.remove_repeats(one.unionAll(rows)).groupBy("doc_id", "n_removed").count().collect()}
+    assert got == {(1, 0): 1, (7, 600): 4000}
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("x"), "id", F.lit(f" {passage} y"), "id").alias("text"))
+    assert substring_dedup.remove_repeats(docs).agg(F.sum("n_removed"), F.max("n_removed"), F.count_if(F.col("n_removed") == 0)).first() == (60 * 2999, 60, 1)
+
+
+@pytest.mark.parametrize("bins", [16, 64, 2048])
+def test_op3_densified_values_are_those_of_each_bins_own_draws(bins):
+    rng = np.random.default_rng(bins)
+    texts = ["", "one", "a b c"] + [" ".join(f"w{x}" for x in rng.integers(0, 10**6, n)) for n in (7, 20, 40, 90, 300, 2000)]
+    raw = "".join(texts).encode()
+    offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+    got = fingerprints.sketch(np.frombuffer(raw, np.uint8), offsets, bins=bins, bits=8)
+    starts, ends, first = fingerprints.words(np.frombuffer(raw, np.uint8), offsets)
+    h, doc = fingerprints.shingle_sets(fingerprints.word_hashes(np.frombuffer(raw, np.uint8), starts, ends, 11), first, 5, 11)
+    for k in range(8 if bins > 1024 else 0, len(texts)):  # more bins than a table is made for: long texts, as few full bins take long here
+        own = h[doc == k]
+        at, value = (own >> np.uint64(64 - bins.bit_length() + 1)).astype(int), fingerprints.mix(own)
+        least = {b: min(value[at == b]) for b in set(at.tolist())}
+        for b in range(bins) if k < 6 else range(0, bins, 7):
+            attempt, place = 0, b
+            while place not in least:
+                attempt += 1
+                place = int(fingerprints._draws(bins, np.array([attempt]), np.array([b]))[0])
+            with np.errstate(over="ignore"):
+                assert got[k, b] == int(fingerprints.mix(np.array([least[place]]) + np.uint64(b) * np.uint64(0xD6E8FEB86659FD93))[0]) & 255
+
+
+def test_op3_short_texts_cost_little():
+    import time
+
+    _ = fingerprints._sketches([""])
+    began = time.process_time()
+    assert len({row.tobytes() for row in fingerprints._sketches([""] * 500 + ["word"] * 500)}) == 2
+    assert time.process_time() - began < 2

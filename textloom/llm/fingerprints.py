@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,28 @@ BINS, BITS, WIDTH = 512, 4, 5
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+#: Rows of a block; full bins up to which a document's empty bins look them up in ``_met``; bins up to which there is such a table.
+ROWS, FEW, TABLE = 256, 64, 1024
+
+
+def _draws(bins: int, attempts: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The bins that the bins ``of`` draw at these attempts."""
+    shift = np.uint64(64 - int(bins).bit_length() + 1)
+    with np.errstate(over="ignore"):
+        return (mix(of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + attempts.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> shift).astype(np.int64)
+
+
+@lru_cache(maxsize=4)
+def _met(bins: int) -> np.ndarray:
+    """For each bin and each other: the attempt at which the first one's draws meet the other."""
+    first, of, at = np.full((bins, bins), np.iinfo(np.int32).max, dtype=np.int32), np.repeat(np.arange(bins), bins), 0
+    while first.max() == np.iinfo(np.int32).max:
+        attempts = np.tile(np.arange(at + 1, at + bins + 1), bins)
+        np.minimum.at(first, (of, _draws(bins, attempts, of)), attempts.astype(np.int32))
+        at += bins
+    return first
+
+
 def sketch(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, bins: int = BINS, bits: int = BITS) -> np.ndarray:
     """(n, bins) uint8: the low ``bits`` bits of each bin's least shingle hash.
 
@@ -39,11 +62,16 @@ def sketch(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, bins: int
         least[at[head]] = np.minimum.reduceat(mix(h[order]), head)
     least = least.reshape(n, bins)
     full = least != _NONE
-    rows, cols = np.nonzero(~full)
     value, attempt = least.copy(), 0
+    count = full.sum(axis=1)
+    few = (count <= FEW) & (bins <= TABLE)
+    for k in np.flatnonzero(few):
+        own = np.flatnonzero(full[k])
+        value[k] = np.where(full[k], least[k], least[k, own[_met(bins)[:, own].argmin(axis=1)]])
+    rows, cols = np.nonzero(~(full | few[:, None]))
     while len(rows):
         attempt += 1
-        draw = (mix(cols.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(attempt * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)) >> shift).astype(np.int64)
+        draw = _draws(bins, np.full(len(cols), attempt), cols)
         ok = full[rows, draw]
         value[rows[ok], cols[ok]] = least[rows[ok], draw[ok]]
         rows, cols = rows[~ok], cols[~ok]
@@ -107,7 +135,7 @@ def _paired(pairs: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 rows.append(tuple(c[k].as_py() for c in batch.columns))
                 size += len(rows[-1][1]) + len(rows[-1][2])
-                if size >= BLOCK or k == batch.num_rows - 1:
+                if size >= BLOCK or len(rows) >= ROWS or k == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays(_results(rows), NAMES)
                     rows, size = [], 0
 
@@ -142,7 +170,7 @@ def _neighbours(ranges: DataFrame) -> DataFrame:
                 if own != part:
                     part, top = own, text
                 last = doc_id, text
-                if size >= BLOCK:
+                if size >= BLOCK or len(rows) >= ROWS:
                     yield done()
                     rows, size = [], 0
         if last:

@@ -66,7 +66,9 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _seed_rows(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """(seed, doc_id, row): the distinct seeds of each document's windows."""
+    """(seed, doc_id, row, several, seeds): the seeds of the documents' windows. A block of texts has one row for a seed, of the
+    smallest document; several: others of the block have it too. What a document shares with others of its block is in one
+    row of its own, as the list ``seeds``, dealt by its row: so a seed of very many documents is a row for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,16 +78,29 @@ def _seed_rows(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 if not len(b.at):
                     continue
                 new = np.concatenate([[True], (b.seeds[1:] != b.seeds[:-1]) | (b.doc[1:] != b.doc[:-1])])
-                own, doc = b.seeds[new], b.doc[new]
-                order = np.lexsort((own, doc))
+                own, doc = b.seeds[new], lo + b.doc[new]
+                order = np.lexsort((rows[doc], ids[doc], own))
                 own, doc = own[order], doc[order]
-                new = np.concatenate([[True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])])
-                doc = lo + doc[new]
-                yield pa.RecordBatch.from_arrays([pa.array(own[new].view(np.int64)), pa.array(ids[doc]), pa.array(rows[doc])], ["seed", "doc_id", "row"])
-
-    return docs.select("doc_id", "row", "text").mapInArrow(run, "seed long, doc_id long, row long")
-
-
+                head = np.concatenate([[True], own[1:] != own[:-1]])
+                new = head.copy()  # repeats within a document, and of equal rows, go
+                new[1:] |= (rows[doc[1:]] != rows[doc[:-1]]) | (ids[doc[1:]] != ids[doc[:-1]])
+                own, doc, head = own[new], doc[new], np.flatnonzero(head[new])
+                count = np.diff(np.append(head, len(own)))
+                n = len(head)
+                yield pa.RecordBatch.from_arrays([pa.array(own[head].view(np.int64)), pa.array(ids[doc[head]]), pa.array(rows[doc[head]]), pa.array(count > 1), pa.nulls(n, pa.list_(pa.int64()))], SEEDS)
+                both = np.repeat(count > 1, count)
+                own, doc = own[both], doc[both]
+                if len(own):
+                    order = np.argsort(doc, kind="stable")
+                    own, doc = own[order], doc[order]
+                    head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(own)).astype(np.int32)), pa.array(own.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[doc[head]]), pa.array(ids[doc[head]]), pa.array(rows[doc[head]]), pa.array(np.ones(len(head), dtype=bool)), lists], SEEDS)
+
+    return docs.select("doc_id", "row", "text").mapInArrow(run, "seed long, doc_id long, row long, several boolean, seeds array<long>")
+
+
+SEEDS = ["seed", "doc_id", "row", "several", "seeds"]
 FOUND = "w long, v long, doc_id long, row long, sure boolean, at int, more array<int>"
 
 
@@ -185,7 +200,8 @@ class FingerprintIndex:
         written."""
         batch, history = _numbered(batch), None if history is None else _numbered(history)
         rows = _scratch.placed(_seed_rows(batch, self.window, self.seed), ["seed"], self.parts)
-        state = rows.groupBy("seed").agg(F.min(F.struct("doc_id", "row")).alias("low"), (F.min(F.struct("doc_id", "row")) < F.max(F.struct("doc_id", "row"))).alias("several"))
+        one = F.struct("doc_id", "row")
+        state = rows.where("seeds is null").groupBy("seed").agg(F.min(one).alias("low"), (F.max("several") | (F.min(one) < F.max(one))).alias("several"))
         first, was = F.lit(None).cast("struct<doc_id:bigint,row:bigint>"), F.lit(False)
         for k, run in enumerate(self.runs["seed"]):
             past = self.spark.table(run).select("seed", F.col("first").alias(f"first{k}"), F.col("shared").alias(f"shared{k}"))
@@ -196,7 +212,8 @@ class FingerprintIndex:
         state = state.select("seed", F.coalesce(first, "low").alias("first"), shared.alias("shared"), (first.isNotNull() & ~was).alias("alone"))
         self._write("seed", state)
         state = self.spark.table(self.runs["seed"][-1]).where("shared")
-        need = rows.join(state.select("seed"), "seed").select("doc_id", "row", "seed")
+        need = rows.where("seeds is null and not several").join(state.select("seed"), "seed").select("doc_id", "row", "seed")
+        need = need.unionAll(rows.where("seeds is not null").select("doc_id", "row", F.explode("seeds").alias("seed")))
         text, path = batch, None
         if history is not None:
             old = state.where("alone").select("first.doc_id", "first.row", "seed")
@@ -204,7 +221,7 @@ class FingerprintIndex:
             path, ids = _scratch.written_at(old.select("doc_id", "row").distinct(), "first-docs")
             # broadcast only a checked, small set of ids
             text = text.unionAll(history.select(*text.columns).join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, ["doc_id", "row"], "left_semi").select(*text.columns))
-        need = need.groupBy("doc_id", "row").agg(F.collect_list("seed").alias("seeds"))  # as many as a text's words at most
+        need = need.groupBy("doc_id", "row").agg(F.collect_set("seed").alias("seeds"))  # as many as a text's words at most
         found = _window_rows(text.join(need, ["doc_id", "row"]), self.window, self.seed)
         low = self._last_hits(found) if last else self._hits_and_run(found)
         if not last:  # the windows are there, so their seeds can go
