@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import scalars as S
-from textloom.operators import additive, correlate, describe, information, metrics, relational, resample, textmeasures
+from textloom.operators import additive, bootstrap, correlate, describe, information, metrics, relational, resample, textmeasures
 from textloom.sources import readers, writers
 from textloom.streaming import incremental
 
@@ -79,7 +79,7 @@ def test_weighted_draws_equal_repeated_rows(spark):
     rng = np.random.default_rng(3)
     rows = [(i, i // 3, int(rng.integers(1, 5)), int(rng.integers(1, 5))) for i in range(90)]
     df = frame(spark, rows, "text_id long, learner_id long, level int, predicted int")
-    w = resample.multinomial_weights(df, 3, 1)
+    w = resample.bootstrap_weights(df, 3, 1)
     cells = resample.bootstrap_cells(df, w, "level", "predicted").collect()
     weight = {(r["draw"], r["learner_id"]): r["weight"] for r in w.collect()}
     assert all(sum(v for (d, _), v in weight.items() if d == k) == 30 for k in range(3))
@@ -308,7 +308,7 @@ def test_queries_run_the_whole_operator(spark, sf, monkeypatch, name):
         return run
 
     monkeypatch.setattr(additive, "fit", noted(additive.fit))
-    monkeypatch.setattr(resample, "bootstrap_weights", noted(resample.bootstrap_weights))
+    monkeypatch.setattr(bootstrap, "run_draws", noted(bootstrap.run_draws))
     QUERIES[name](spark, sf)
     assert seen == [{"draws": 2000}] if name.startswith("e44") else seen == [{"rounds": 200, "bins": 128}]
 

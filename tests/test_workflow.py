@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from textloom import __main__ as command
 from textloom import workflow
 from textloom.functions import ranges
-from textloom.operators import context, correlate, information, metrics, relational, resample
+from textloom.operators import bootstrap, context, correlate, information, metrics, relational, resample
 from textloom.sources import files, readers, reports, writers
 
 
@@ -82,7 +82,7 @@ def test_bootstrap_equals_expanded_samples(spark):
 
 
 def test_bootstrap_blocks_are_multinomial(spark, monkeypatch):
-    monkeypatch.setattr(resample, "BLOCK", 16)
+    monkeypatch.setattr(bootstrap, "BLOCK", 16)
     ids = spark.range(200).withColumnRenamed("id", "learner_id")
     w = resample.bootstrap_weights(ids, 300).toPandas()
     assert (w.groupby("draw")["weight"].sum() == 200).all()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import scalars as S
+from textloom.operators import bootstrap
 
 
 def with_split(texts: DataFrame, learner: str = "learner_id") -> DataFrame:
@@ -72,51 +73,20 @@ def hash_sample(texts: DataFrame, n: int, key: str) -> DataFrame:
     return texts.withColumn("_digest", F.md5(F.col(key).cast("string"))).orderBy("_digest", key).limit(n).drop("_digest")
 
 
-#: Learners of a block of the bootstrap.
-BLOCK = 1024
-
-
 def bootstrap_weights(learners: DataFrame, draws: int = 2000, seed: int = 42) -> DataFrame:
-    """(draw, learner_id, weight): how often each draw has a learner: as many learners as there are, with replacement.
-
-    An exact multinomial draw in two steps: how many of a draw fall to each block of about BLOCK learners, and which of its
-    learners these are. Both come from generators seeded by the draw and the block, so every task draws the same numbers
-    for the blocks, tasks can be run again, and every model sees the same draws. Rows of weight 0 are left out."""
-    ids = learners.select(F.col("learner_id").cast("long").alias("learner_id")).distinct()
-    blocks = max(1, -(-ids.count() // BLOCK))
-    own = ids.withColumn("block", F.pmod(F.xxhash64("learner_id"), F.lit(blocks)))
-    sizes = np.zeros(blocks, dtype=np.int64)  # a number for each block
-    for r in own.groupBy("block").agg(F.count("*").alias("n")).collect():
-        sizes[r["block"]] = r["n"]
-    total = int(sizes.sum())
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        block, members = int(key[0]), np.sort(pdf["learner_id"].to_numpy())
-        out = []
-        for draw in range(draws):
-            share = int(np.random.default_rng([seed, draw]).multinomial(total, sizes / total)[block])
-            w = np.random.default_rng([seed, draw, block + 1]).multinomial(share, np.full(len(members), 1 / len(members)))
-            some = np.flatnonzero(w)
-            out.append(pd.DataFrame({"draw": draw, "learner_id": members[some], "weight": w[some]}))
-        return pd.concat(out)
-
-    return own.groupBy("block").applyInPandas(run, "draw int, learner_id long, weight long")
-
-
-def multinomial_weights(learners: DataFrame, draws: int, seed: int = 42) -> DataFrame:
-    """(draw, learner_id, weight) of exact multinomial draws, for numbers of learners that fit one task: codes in the
-    order of the ids as strings, chunks of 100 draws of one generator."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.array(sorted(pdf["learner_id"], key=str))
-        rng, out = np.random.default_rng(seed), []
-        for lo in range(0, draws, 100):
-            w = rng.multinomial(len(ids), np.full(len(ids), 1 / len(ids)), size=min(100, draws - lo))
-            draw, at = np.nonzero(w)
-            out.append(pd.DataFrame({"draw": draw + lo, "learner_id": ids[at], "weight": w[draw, at]}))
-        return pd.concat(out)
-
-    return learners.select(F.col("learner_id").cast("long").alias("learner_id")).distinct().groupBy().applyInPandas(run, "draw int, learner_id long, weight long")
+    """(draw, learner_id, weight): how often each draw of ``bootstrap.Multinomial`` has a learner, in rows; weights of 0 are
+    left out. For few learners, or to look at draws: ``bootstrap.run_draws`` makes no such rows."""
+    blocks, sizes = bootstrap.blocks_of(learners)
+    rule = bootstrap.Multinomial(sizes, draws, seed)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for block, members in zip(pdf["block"], pdf["members"], strict=True):
+                for lo, w in rule.of(int(block), np.asarray(members)):
+                    at, draw = np.nonzero(w)
+                    yield pd.DataFrame({"draw": draw, "learner_id": np.asarray(members)[lo + at], "weight": w[at, draw]})
+
+    return blocks.mapInPandas(run, "draw int, learner_id long, weight long")
 
 
 def bootstrap_cells(rows: DataFrame, weights: DataFrame, actual: str, predicted: str) -> DataFrame:

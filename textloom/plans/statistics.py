@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import scalars as S
-from textloom.operators import additive, correlate, describe, information, metrics, relational, resample, textmeasures
+from textloom.operators import additive, bootstrap, correlate, describe, information, metrics, relational, resample, textmeasures
 from textloom.plans.registry import query
 from textloom.sources.adapters import BANDS5, EDITS, FEATURES, FRAME, LONG, PREDICTED, TEXTS, edits, frame, long_frame, predictions, table, texts
 
@@ -388,36 +388,70 @@ def e42(spark, sf):
 
 @query("e44_e45_e46_bootstrap_accuracy")
 def e44(spark, sf):
-    test = predictions(spark, sf).where("split = 'test'")
-    cells = resample.bootstrap_cells(test, resample.bootstrap_weights(test), "level", "predicted_level")
-    draws = cells.groupBy("draw").agg((F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
-    return resample.interval(draws.withColumn("metric", F.lit("accuracy")), "accuracy", ["metric"])
-
-
-DRAWS = "draws AS (SELECT d.draw, m.model, 0.5 + m.k * 0.01 + CAST((d.draw * (13 + m.k)) % 97 AS DOUBLE) / 1000 AS value FROM (SELECT unnest(generate_series(0, 499)) AS draw) d CROSS JOIN (VALUES ('a', 1), ('b', 2), ('c', 8)) AS m(model, k))"
-
-
-def fixed_draws(spark):
-    m = F.explode(F.array(*[F.struct(F.lit(a).alias("model"), F.lit(k).alias("k")) for a, k in (("a", 1), ("b", 2), ("c", 8))]))
-    d = spark.range(500).select(F.col("id").alias("draw"), m.alias("m")).select("draw", "m.model", "m.k")
-    return d.select("draw", "model", (F.lit(0.5) + F.col("k") * 0.01 + ((F.col("draw") * (13 + F.col("k"))) % 97).cast("double") / 1000).alias("value"))
-
-
-@query("e45_e46_interval_of_draws", f"WITH {DRAWS} SELECT model, stddev_samp(value) AS sd, quantile_cont(value, 0.025) AS low, quantile_cont(value, 0.975) AS high FROM draws GROUP BY 1", d="sd low high")
+    test = predictions(spark, sf).where("split = 'test'").withColumn("model", F.lit("fixed"))
+    draws = bootstrap.run_draws(test, "classifier", "level", "predicted_level", LEVELS)
+    return resample.interval(draws.where("metric = 'accuracy'"), "value", ["metric"])
+
+
+#: Draws of a rule that SQL can follow, in place of random ones.
+GIVEN = 40
+MODELS = f"""{PREDICTED}, models AS (
+  SELECT model, learner_id, level, x, CAST(round_even(x, 0) AS INTEGER) AS p FROM (
+    SELECT m.model, learner_id, level, CASE m.model WHEN 'a' THEN predicted_level_continuous WHEN 'b' THEN greatest(1.0, predicted_level_continuous - 1.5) ELSE (predicted_level_continuous + 8) / 2 END AS x
+    FROM predicted CROSS JOIN (VALUES ('a'), ('b'), ('c')) AS m(model) WHERE split = 'test')
+), weights AS (
+  SELECT learner_id, draw, (learner_id * 7 + draw * 5 + (learner_id * draw) % 11) % 4 AS w FROM (SELECT DISTINCT learner_id FROM models) CROSS JOIN (SELECT unnest(generate_series(0, {GIVEN - 1})) AS draw)
+), r AS (SELECT model, draw, level, p, x, w::DOUBLE AS w FROM models JOIN weights USING (learner_id) WHERE w > 0)"""
+DRAWS = f"""{MODELS}, cell AS (SELECT model, draw, level AS i, p AS j, sum(w) AS n FROM r GROUP BY ALL),
+truth AS (SELECT model, draw, i, sum(n) AS n FROM cell GROUP BY ALL), guess AS (SELECT model, draw, j, sum(n) AS n FROM cell GROUP BY ALL),
+overall AS (SELECT model, draw, sum(n) AS n, sum(n) FILTER (i = j) AS hit, sum(abs(i - j) * n) AS gap, sum(n) FILTER (abs(i - j) <= 1) AS near, sum((i - j) * (i - j) * n) AS square FROM cell GROUP BY ALL),
+chance AS (SELECT truth.model, truth.draw, sum((i - j) * (i - j) * truth.n * guess.n) AS c FROM truth JOIN guess USING (model, draw) GROUP BY ALL),
+f AS (SELECT model, draw, sum(f) / 15 AS f FROM (SELECT model, draw, label, 2 * sum(hit) / sum(n) AS f FROM (
+  SELECT model, draw, i AS label, 0 AS hit, n FROM truth UNION ALL SELECT model, draw, j, 0, n FROM guess UNION ALL SELECT model, draw, i, n, 0 FROM cell WHERE i = j) GROUP BY ALL) GROUP BY ALL),
+sums AS (SELECT model, draw, sum(w) AS n, sum(w * abs(x - level)) AS absolute, sum(w * (x - level) * (x - level)) AS square, sum(w * level) AS t, sum(w * level * level) AS tt FROM r GROUP BY ALL),
+rx AS (SELECT model, draw, x, sum(c) OVER (PARTITION BY model, draw ORDER BY x) - c / 2 + 0.5 AS rank FROM (SELECT model, draw, x, sum(w) AS c FROM r GROUP BY ALL)),
+ry AS (SELECT model, draw, level, sum(c) OVER (PARTITION BY model, draw ORDER BY level) - c / 2 + 0.5 AS rank FROM (SELECT model, draw, level, sum(w) AS c FROM r GROUP BY ALL)),
+ranked AS (SELECT model, draw, sum(w) AS n, sum(w * rx.rank) AS a, sum(w * ry.rank) AS b, sum(w * rx.rank * rx.rank) AS aa, sum(w * ry.rank * ry.rank) AS bb, sum(w * rx.rank * ry.rank) AS ab FROM r JOIN rx USING (model, draw, x) JOIN ry USING (model, draw, level) GROUP BY ALL),
+draws AS (SELECT model, draw, 'accuracy' AS metric, hit / n AS value FROM overall UNION ALL SELECT model, draw, 'ordinal_mae', gap / n FROM overall UNION ALL SELECT model, draw, 'within_one', near / n FROM overall
+  UNION ALL SELECT model, draw, 'qwk', 1 - square * n / c FROM overall JOIN chance USING (model, draw) UNION ALL SELECT model, draw, 'macro_f1', f FROM f
+  UNION ALL SELECT model, draw, 'mae', absolute / n FROM sums UNION ALL SELECT model, draw, 'rmse', sqrt(square / n) FROM sums UNION ALL SELECT model, draw, 'r2', 1 - square / (tt - t * t / n) FROM sums
+  UNION ALL SELECT model, draw, 'spearman', (ab - a * b / n) / sqrt((aa - a * a / n) * (bb - b * b / n)) FROM ranked)"""
+
+
+def models(spark, sf):
+    """Test texts with predictions of three models by fixed rules."""
+    x = F.col("predicted_level_continuous")
+    kinds = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), c.alias("x")) for m, c in (("a", x), ("b", F.greatest(F.lit(1.0), x - 1.5)), ("c", (x + 8) / 2))]))
+    return predictions(spark, sf).where("split = 'test'").select("learner_id", "level", kinds.alias("m")).select("learner_id", "level", "m.*").withColumn("p", S.rounded_level(F.col("x")))
+
+
+def given_draws(spark, sf):
+    """All metrics of the three models in draws whose weights follow a rule."""
+    rule = bootstrap.Given(lambda ids, draws: (ids[:, None] * 7 + draws * 5 + ids[:, None] * draws % 11) % 4, GIVEN)
+    rows = models(spark, sf)
+    return bootstrap.run_draws(rows, "classifier", "level", "p", LEVELS, weights=rule).unionAll(bootstrap.run_draws(rows, "regressor", "level", "x", weights=rule))
+
+
+@query("e44_f12_p21_metrics_of_every_draw", f"WITH {DRAWS} SELECT * FROM draws", d="value", n="draw")
+def e44_draws(spark, sf):
+    return given_draws(spark, sf)
+
+
+@query("e45_e46_interval_of_draws", f"WITH {DRAWS} SELECT model, metric, stddev_samp(value) AS sd, quantile_cont(value, 0.025) AS low, quantile_cont(value, 0.975) AS high FROM draws GROUP BY ALL", d="sd low high")
 def e45(spark, sf):
-    return resample.interval(fixed_draws(spark), "value", ["model"])
+    return resample.interval(given_draws(spark, sf), "value", ["model", "metric"])
 
 
-@query("e47_paired_differences", f"WITH {DRAWS} SELECT model, avg(d) AS mean, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0 AS distinguishable FROM (SELECT a.model, b.value - a.value AS d FROM draws a JOIN draws b ON a.draw = b.draw AND b.model = 'c' AND a.model <> 'c') GROUP BY 1", d="mean low high")
+@query("e47_paired_differences", f"WITH {DRAWS} SELECT model, avg(d) AS mean, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0 AS distinguishable FROM (SELECT a.model, b.value - a.value AS d FROM draws a JOIN draws b ON a.draw = b.draw AND a.metric = 'qwk' AND b.metric = 'qwk' AND b.model = 'c' AND a.model <> 'c') GROUP BY 1", d="mean low high")
 def e47(spark, sf):
-    return resample.paired_difference(fixed_draws(spark), "c")
+    return resample.paired_difference(given_draws(spark, sf).where("metric = 'qwk'"), "c")
 
 
-@query("e48_gains_over_baseline", f"WITH {DRAWS} SELECT a.model, avg(a.value - b.value) AS gain, stddev_samp(a.value - b.value) AS sd FROM draws a JOIN draws b ON a.draw = b.draw AND b.model = 'a' WHERE a.model <> 'a' GROUP BY 1", d="gain sd")
+@query("e48_gains_over_baseline", f"WITH {DRAWS} SELECT a.model, a.metric, avg(a.value - b.value) AS gain, stddev_samp(a.value - b.value) AS sd FROM draws a JOIN draws b ON a.draw = b.draw AND a.metric = b.metric AND b.model = 'a' WHERE a.model <> 'a' GROUP BY ALL", d="gain sd")
 def e48(spark, sf):
-    d = fixed_draws(spark)
-    base = d.where("model = 'a'").select("draw", F.col("value").alias("base"))
-    return d.where("model <> 'a'").join(base, "draw").groupBy("model").agg(F.avg(F.col("value") - F.col("base")).alias("gain"), F.stddev_samp(F.col("value") - F.col("base")).alias("sd"))
+    d = given_draws(spark, sf)
+    base = d.where("model = 'a'").select("draw", "metric", F.col("value").alias("base"))
+    return d.where("model <> 'a'").join(base, ["draw", "metric"]).groupBy("model", "metric").agg(F.avg(F.col("value") - F.col("base")).alias("gain"), F.stddev_samp(F.col("value") - F.col("base")).alias("sd"))
 
 
 def fold_differences(spark, sf):
