@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import scalars as S
-from textloom.operators import additive, bootstrap, correlate, describe, information, metrics, relational, resample, textmeasures
+from textloom.operators import additive, bootstrap, correlate, describe, foldranks, information, metrics, relational, resample, textmeasures
 from textloom.plans.registry import query
 from textloom.sources.adapters import BANDS5, EDITS, FEATURES, FRAME, LONG, PREDICTED, TEXTS, edits, frame, long_frame, predictions, table, texts
 
@@ -257,6 +257,16 @@ def e25(spark, sf):
     return information.ranking(information.binned_information(long), information.information_gain(long), 3)
 
 
+SIX = "six AS (SELECT * REPLACE (round(value, 6) AS value) FROM long)"
+#: Ten separate rankings: each feature's rows once for each fold that they train, under a name of the fold's.
+FOLD_RANKS = RANKS.replace(SIX, "six AS (SELECT long.* REPLACE (fold || '#' || feature AS feature, round(value, 6) AS value) FROM long JOIN (SELECT unnest(generate_series(0, 9)) AS fold) AS f ON learner_id % 10 <> fold)").replace("OVER (ORDER BY", "OVER (PARTITION BY split_part(feature, '#', 1) ORDER BY")
+
+
+@query("j07_e22_e23_rankings_of_ten_folds", f"WITH {FOLD_RANKS} SELECT split_part(feature, '#', 1) AS fold, split_part(feature, '#', 2) AS feature, mi, ig, mi_rank, ig_rank, mi_rank <= 3 AS mi_selected, ig_rank <= 3 AS ig_selected FROM ranked", d="mi ig", n="fold mi_rank ig_rank")
+def j07_folds(spark, sf):
+    return foldranks.rankings(rounded(spark, sf).withColumn("fold", (F.col("learner_id") % 10).cast("int")), "level", 10, 3)
+
+
 MATRIX = f"""{PREDICTED}, labels AS (SELECT unnest(generate_series(1, 15)) AS x), m AS (SELECT a.x AS i, b.x AS j, coalesce(n, 0)::DOUBLE AS n FROM labels a CROSS JOIN labels b LEFT JOIN (SELECT level, predicted_level, count(*) AS n FROM predicted GROUP BY 1, 2) c ON c.level = a.x AND c.predicted_level = b.x),
 rows_ AS (SELECT i, sum(n) AS support FROM m GROUP BY 1), cols_ AS (SELECT j, sum(n) AS guess FROM m GROUP BY 1),
 per AS (SELECT rows_.i AS label, support, CASE WHEN guess > 0 THEN d.n / guess ELSE 0 END AS precision, CASE WHEN support > 0 THEN d.n / support ELSE 0 END AS recall, CASE WHEN support + guess > 0 THEN 2 * d.n / (support + guess) ELSE 0 END AS f1, CASE WHEN support > 0 THEN d.n / support END AS accuracy FROM rows_ JOIN cols_ ON rows_.i = cols_.j JOIN m d ON d.i = rows_.i AND d.j = rows_.i)"""
