@@ -162,7 +162,7 @@ def test_stored_scores_are_checked(spark, tmp_path):
 
 def test_workflow_from_data_to_sealed_test(spark, sf, tmp_path):
     out = f"{tmp_path}/run"
-    few = ["--rounds", "4", "--bins", "8", "--top-k", "2", "--folds", "2"]
+    few = ["--rounds", "4", "--bins", "8", "--top-k", "2", "--folds", "2", "--draws", "30"]
     assert command.main(["dataframe", sf, out, "--metadata-only", "--csv"]) == 0
     with pytest.raises(FileExistsError):
         command.main(["dataframe", sf, out, "--metadata-only"])
@@ -199,6 +199,54 @@ def test_cross_validation_resumes(spark, sf, tmp_path):
     assert ("length_only", "mae") in got and ("baseline", "mae") in got
 
 
+def test_experiments_keep_each_others_models(spark, sf, tmp_path):
+    run = workflow.Run(spark, sf, f"{tmp_path}/run", 3, 8, 2, 2, 20)
+    workflow.train(run, ["level"], ["combined"])
+    first = {m: n for m, n in run.read("terms-level-regressor").groupBy("model").count().collect()}
+    workflow.train(run, ["level"], ["length_only"])
+    both = {m: n for m, n in run.read("terms-level-regressor").groupBy("model").count().collect()}
+    assert set(first) == {"combined", "baseline"} and set(both) == {"combined", "baseline", "length_only"} and both["combined"] == first["combined"]
+    with pytest.raises(ValueError):
+        workflow.train(run, ["level"], ["none such"])
+    report = {(r["algorithm"], r["model"], r["metric"]): r for r in workflow.report(run).collect()}
+    assert {m for _, _, m in report} == {"accuracy", "macro_f1", "ordinal_mae", "within_one", "qwk", "mae", "rmse", "r2", "spearman"}
+    for key in (("classifier", "combined", "macro_f1"), ("regressor", "combined", "mae"), ("regressor", "combined", "spearman")):
+        r = report[key]
+        assert r["sd"] > 0 and r["low"] <= r["high"] and abs(r["value"] - (r["low"] + r["high"]) / 2) < 6 * r["sd"]
+    assert report["regressor", "baseline", "spearman"]["value"] is None
+    pairs = run.read("report-differences").collect()
+    assert {(r["algorithm"], r["other"]) for r in pairs} == {(a, o) for a in ("classifier", "regressor") for o in {"combined", "baseline", "length_only"} - {r["best"] for r in pairs if r["algorithm"] == a}}
+    assert run.read("report-labels").where("model = 'combined'").count() == 15
+    assert run.read("report-draws").where("metric = 'mae'").count() == 3 * 20
+
+
+def test_a_leaking_or_changed_split_stops_a_run(spark, sf, tmp_path, monkeypatch):
+    run = workflow.Run(spark, sf, f"{tmp_path}/run")
+    with monkeypatch.context() as m:
+        m.setattr(workflow.resample, "with_split", lambda rows: rows.withColumn("split", F.when(F.col("text_id") % 2 == 0, "train").otherwise("test")))
+        with pytest.raises(ValueError, match="learner in several splits"):
+            workflow.prepare(run)
+    assert not run.has("data")
+    rows = workflow.prepare(run)
+    changed = spark.createDataFrame(rows.withColumn("split", F.lit("train")).collect(), rows.schema)
+    run.write("data", changed)
+    with pytest.raises(ValueError, match="changed"):
+        workflow.prepare(workflow.Run(spark, sf, f"{tmp_path}/run"))
+
+
+def test_ranked_families_choose_inside_each_fold(spark, sf, tmp_path):
+    run = workflow.Run(spark, sf, f"{tmp_path}/cv", 3, 8, 2, 2)
+    jobs = workflow.cv_prepare(run, ["level"], ["training_information_gain_features"])
+    assert jobs.count() == 2 * (2 + 2)
+    for fold in range(2):
+        best = workflow.fold_sets(run, fold)["training_information_gain_features"]
+        train = workflow._job_rows(run, fold)[0].unpivot(["level"], workflow.FEATURES, "feature", "value")
+        want = [r["feature"] for r in information.information_gain(train).orderBy(F.desc("gain"), "feature").limit(2).collect()]
+        assert best == sorted(want)
+    workflow.cv_run(run)
+    assert {r["done"] for r in workflow.cv_status(run).collect()} == {4}
+
+
 def test_settings_of_a_run(spark, sf):
     with pytest.raises(ValueError):
         workflow.Run(spark, sf, "/tmp/none", folds=1)

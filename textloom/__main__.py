@@ -6,6 +6,7 @@ import argparse
 import sys
 
 from textloom import workflow
+from textloom.operators.relational import FEATURE_SETS
 from textloom.plans import files, pipelines, relational, statistics  # noqa: F401  (they register their queries)
 from textloom.plans.registry import QUERIES
 from textloom.session import session
@@ -32,6 +33,7 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("--bins", type=int, default=128)
         p.add_argument("--top-k", type=int, default=200)
         p.add_argument("--folds", type=int, default=10)
+        p.add_argument("--draws", type=int, default=2000)
         return p
 
     p = step("dataframe", "build the wide frame")
@@ -45,7 +47,9 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--task", choices=sorted(workflow.TASKS), action="append")
     p.add_argument("--experiments", nargs="+")
     step("pipeline", "all steps of an analysis")
-    step("cv", "cross-validation", "prepare", "run", "status", "summarize").add_argument("--job")
+    p = step("cv", "cross-validation", "prepare", "run", "status", "summarize")
+    p.add_argument("--job")
+    p.add_argument("--families", nargs="+", choices=sorted(FEATURE_SETS), default=["combined", "length_only"])
     step("validity", "validity checks", "topic", "length", "tasks")
     step("tables", "written summaries")
     return top
@@ -63,7 +67,7 @@ def main(args: list[str]) -> int:
     if a.command == "explain":
         QUERIES[a.name](spark, a.tables).explain("formatted")
         return 0
-    run = workflow.Run(spark, a.tables, a.out, a.rounds, a.bins, a.top_k, a.folds)
+    run = workflow.Run(spark, a.tables, a.out, a.rounds, a.bins, a.top_k, a.folds, a.draws)
     match a.command, getattr(a, "step", None):
         case "dataframe", _:
             workflow.dataframe(run, a.metadata_only, a.csv, a.csv_only, a.overwrite)
@@ -84,7 +88,7 @@ def main(args: list[str]) -> int:
         case ("workflow", "run") | ("pipeline", _):
             workflow.whole(run)
         case "cv", "prepare":
-            workflow.cv_prepare(run)
+            workflow.cv_prepare(run, families=a.families)
         case "cv", "run":
             workflow.cv_run(run, a.job)
         case "cv", "status":

@@ -85,5 +85,10 @@ def complete(path: str, config: dict) -> bool:
     return files.exists(path) and json.loads(files.get(path)).get("config") == json.loads(json.dumps(config))
 
 
+def recorded(path: str) -> dict:
+    """What is recorded of a run, {} if nothing is."""
+    return json.loads(files.get(path)) if files.exists(path) else {}
+
+
 def record(path: str, config: dict, minutes: float) -> None:
     writers.write_json({"config": config, "minutes": minutes}, path)

@@ -6,11 +6,14 @@ goes on from it, so a run can be stopped and resumed anywhere.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import scalars as S
-from textloom.operators import additive, context, correlate, describe, experiments, information, metrics, relational, resample
+from textloom.operators import additive, bootstrap, context, correlate, describe, experiments, foldranks, information, metrics, relational, resample
 from textloom.sources import adapters, files, readers, reports, writers
 
 LABELS = {"level": list(range(1, S.LEVELS + 1)), "cefr": S.BANDS[:5]}
@@ -22,11 +25,12 @@ FEATURES = list(adapters.FEATURES)
 class Run:
     """A run's folder, its tables and its settings."""
 
-    def __init__(self, spark: SparkSession, tables: str, out: str, rounds: int = additive.ROUNDS, bins: int = additive.BINS, top_k: int = 200, folds: int = 10):
+    def __init__(self, spark: SparkSession, tables: str, out: str, rounds: int = additive.ROUNDS, bins: int = additive.BINS, top_k: int = 200, folds: int = 10, draws: int = 2000):
+        self.draws, self.verified = draws, False
         self.spark, self.tables, self.out = spark, tables, out.rstrip("/")
         self.rounds, self.bins, self.top_k, self.folds = rounds, bins, top_k, folds
-        if min(rounds, bins, top_k) < 1 or folds < 2:
-            raise ValueError("rounds, bins and top_k are at least 1, folds at least 2")
+        if min(rounds, bins, top_k, draws) < 1 or folds < 2:
+            raise ValueError("rounds, bins, top_k and draws are at least 1, folds at least 2")
 
     def path(self, name: str) -> str:
         return f"{self.out}/{name}"
@@ -57,15 +61,20 @@ def dataframe(run: Run, metadata_only: bool = False, csv: bool = False, csv_only
 
 
 def prepare(run: Run) -> DataFrame:
-    """The frame with the learners' split, its checks and its manifest; done once for a run."""
+    """The frame with the learners' split and its manifest; done once for a run, and compared with the manifest, split
+    included, once for a command. A learner in several splits, a missing split or one with a label of under two texts stops
+    the run before anything is trained."""
     if not run.has("data"):
         rows = resample.with_split(adapters.frame(run.spark, run.tables))
-        problems = [r["problem"] for r in resample.split_problems(rows).where("n > 0").collect()]
+        problems = {r["problem"]: r["n"] for r in resample.split_problems(rows).where("n > 0").collect()}
+        if problems:
+            raise ValueError(f"the split can't be used: {problems}")
         run.write("data", rows)
-        writers.write_json({"problems": problems, "config": run.config()}, run.path("prepared.json"))
-        writers.write_manifest({"data": run.read("data").drop("split")}, run.path("manifest.json"))
-    elif writers.verify_manifest({"data": run.read("data").drop("split")}, run.path("manifest.json")):
+        writers.write_json({"config": run.config()}, run.path("prepared.json"))
+        writers.write_manifest({"data": run.read("data")}, run.path("manifest.json"))
+    elif not run.verified and writers.verify_manifest({"data": run.read("data")}, run.path("manifest.json")):
         raise ValueError("the prepared data changed; use another folder")
+    run.verified = True
     return run.read("data")
 
 
@@ -117,17 +126,25 @@ def sets_of(run: Run, use_ranked: bool = True) -> dict[str, list[str]]:
 
 
 def train(run: Run, tasks: list[str] = ("level", "cefr"), only: list[str] | None = None) -> None:
-    """Models of every experiment and baselines, a table of terms for each task and algorithm; a finished one stays."""
+    """Models of every experiment, or of those of ``only``, and baselines: a table for each task and algorithm with a folder
+    for each model. A finished model of the same settings and features stays, whatever else is trained later."""
     rows = prepare(run).where("split = 'train'")
     sets = {k: v for k, v in sets_of(run).items() if not only or k in only}
+    if only and set(only) - set(sets):
+        raise ValueError(f"no such experiments: {sorted(set(only) - set(sets))}")
     for task in tasks:
         label, algorithms = TASKS[task]
         for algorithm in algorithms:
-            name, config = f"terms-{task}-{algorithm}", {**run.config(), "sets": sets}
-            if run.has(name) and experiments.complete(run.path(name + ".json"), config):
+            name = f"terms-{task}-{algorithm}"
+            done = experiments.recorded(run.path(name + ".json"))
+            kept = done.get("sets", {}) if run.has(name) and done.get("config") == run.config() else {}
+            new = {k: v for k, v in sets.items() if kept.get(k) != v}
+            if not new:
                 continue
-            run.write(name, experiments.fit_all(rows, sets, label, algorithm, run.rounds, run.bins))
-            experiments.record(run.path(name + ".json"), config, 0.0)
+            terms = experiments.fit_all(rows, new, label, algorithm, run.rounds, run.bins).withColumn("set", F.col("model"))
+            mode = "dynamic" if kept else "static"  # other settings: no model of before stays
+            terms.write.mode("overwrite").option("partitionOverwriteMode", mode).option("compression", "zstd").partitionBy("set").parquet(run.path(name))
+            writers.write_json({"config": run.config(), "sets": {**kept, **new}}, run.path(name + ".json"))
 
 
 def predictions(run: Run, task: str, algorithm: str, rows: DataFrame, terms: DataFrame) -> DataFrame:
@@ -143,38 +160,92 @@ def predictions(run: Run, task: str, algorithm: str, rows: DataFrame, terms: Dat
     return out if one is None else out.unionByName(rows.select("text_id", F.lit(one["model"]).alias("model"), F.lit(one["predicted"]).alias("predicted")))
 
 
-def scores_of(run: Run, rows: DataFrame, terms_of) -> DataFrame:
-    """(task, algorithm, model, metric, value) of all models on rows. terms_of: terms of a task and algorithm, or None."""
-    every = None
+def predicted_of(run: Run, rows: DataFrame, terms_of) -> dict[tuple[str, str], DataFrame]:
+    """(model, text_id, learner_id, actual, predicted) of rows for each task and algorithm with terms. terms_of: terms of a
+    task and algorithm, or None."""
+    out = {}
     for task, (label, algorithms) in TASKS.items():
         for algorithm in algorithms:
             terms = terms_of(task, algorithm)
-            if terms is None:
-                continue
-            p = predictions(run, task, algorithm, rows, terms).join(rows.select("text_id", label), "text_id")
-            if algorithm == "regressor":
-                found = metrics.regression_scores(p, label, "predicted", ["model"])
-            else:
-                p = p.withColumns({"actual_": F.col(label).cast("string"), "predicted": F.col("predicted").cast("string")})
-                labels = [str(x) for x in LABELS[task]]
-                found = metrics.overall_scores(metrics.confusion(p, "actual_", "predicted", labels, ["model"]), len(labels), ["model"])
-            names = [c for c in found.columns if c not in ("model", "n")]
-            found = found.select("model", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["model"], names, "metric", "value")
-            found = found.select(F.lit(task).alias("task"), F.lit(algorithm).alias("algorithm"), "model", "metric", "value")
-            every = found if every is None else every.unionByName(found)
-    if every is None:
+            if terms is not None:
+                kind = "int" if algorithm == "regressor" else "string"
+                p = predictions(run, task, algorithm, rows, terms).join(rows.select("text_id", "learner_id", F.col(label).cast(kind).alias("actual")), "text_id")
+                out[task, algorithm] = p.withColumn("predicted", F.col("predicted").cast("double" if kind == "int" else "string"))
+    if not out:
         raise FileNotFoundError("no trained models; run train first")
+    return out
+
+
+def scores_of(run: Run, rows: DataFrame, terms_of) -> DataFrame:
+    """(task, algorithm, model, metric, value) of all models on rows."""
+    every = None
+    for (task, algorithm), p in predicted_of(run, rows, terms_of).items():
+        if algorithm == "regressor":
+            found = metrics.regression_scores(p, "actual", "predicted", ["model"])
+        else:
+            labels = [str(x) for x in LABELS[task]]
+            found = metrics.overall_scores(metrics.confusion(p, "actual", "predicted", labels, ["model"]), len(labels), ["model"])
+        names = [c for c in found.columns if c not in ("model", "n")]
+        found = found.select("model", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["model"], names, "metric", "value")
+        if algorithm == "regressor":
+            once = bootstrap.Given(lambda ids, draws: np.ones((len(ids), len(draws)), dtype=int), 1)
+            found = found.unionByName(bootstrap.rank_draws(p, bootstrap.blocks_of(p)[0], once, "actual", "predicted").select("model", "metric", "value"))
+        found = found.select(F.lit(task).alias("task"), F.lit(algorithm).alias("algorithm"), "model", "metric", "value")
+        every = found if every is None else every.unionByName(found)
     return every
 
 
+def draws_of(run: Run, rows: DataFrame, terms_of) -> DataFrame:
+    """(task, algorithm, model, draw, metric, value) of all models in ``draws`` draws of the learners, the same for all."""
+    every = None
+    for (task, algorithm), p in predicted_of(run, rows, terms_of).items():
+        labels = None if algorithm == "regressor" else [str(x) for x in LABELS[task]]
+        found = bootstrap.run_draws(p, algorithm, "actual", "predicted", labels, run.draws)
+        found = found.select(F.lit(task).alias("task"), F.lit(algorithm).alias("algorithm"), "model", "draw", "metric", "value")
+        every = found if every is None else every.unionByName(found)
+    return every
+
+
+#: By which metric models are told apart, and whether more is better.
+MAIN = {"classifier": ("macro_f1", True), "regressor": ("mae", False)}
+
+
+def uncertainty(run: Run, rows: DataFrame, scores: DataFrame, terms_of, name: str) -> DataFrame:
+    """scores with sd, low and high (95 %) of each metric over the draws. The tables ``name``-draws and ``name``-differences
+    hold the draws, and of each task and algorithm's best model against every other the mean difference, its interval and
+    whether that leaves out 0."""
+    draws = run.write(f"{name}-draws", draws_of(run, rows, terms_of))
+    keys = ["task", "algorithm", "model", "metric"]
+    out = scores.join(resample.interval(draws, "value", keys), keys, "left")
+    every = None
+    for task, algorithm in {(r["task"], r["algorithm"]) for r in scores.select("task", "algorithm").distinct().collect()}:
+        metric, more = MAIN[algorithm]
+        own = scores.where((F.col("task") == task) & (F.col("algorithm") == algorithm) & (F.col("metric") == metric))
+        best = own.orderBy(F.col("value").desc_nulls_last() if more else F.col("value").asc_nulls_last(), "model").first()["model"]
+        drawn = draws.where((F.col("task") == task) & (F.col("algorithm") == algorithm) & (F.col("metric") == metric)).select("draw", "model", "value")
+        found = resample.paired_difference(drawn, best).select(F.lit(task).alias("task"), F.lit(algorithm).alias("algorithm"), F.lit(metric).alias("metric"), F.lit(best).alias("best"), F.col("model").alias("other"), "mean", "low", "high", "distinguishable")
+        every = found if every is None else every.unionByName(found)
+    run.write(f"{name}-differences", every)
+    return out
+
+
 def _terms(run: Run):
-    return lambda task, algorithm: run.read(f"terms-{task}-{algorithm}") if run.has(f"terms-{task}-{algorithm}") else None
+    return lambda task, algorithm: run.read(f"terms-{task}-{algorithm}").drop("set") if run.has(f"terms-{task}-{algorithm}") else None
 
 
 def report(run: Run) -> DataFrame:
-    """Scores of all models on the validation texts, and the largest contributions of each output's features."""
+    """Scores of all models on the validation texts with their bootstrap deviations and intervals, the best models' paired
+    differences from the others, scores by label, and the largest contributions of each output's features."""
     rows = prepare(run).where("split = 'validation'")
-    out = run.write("report", scores_of(run, rows, _terms(run)))
+    out = run.write("report", uncertainty(run, rows, scores_of(run, rows, _terms(run)), _terms(run), "report"))
+    every = None
+    for (task, algorithm), p in predicted_of(run, rows, _terms(run)).items():
+        if algorithm == "classifier":
+            found = metrics.class_scores(metrics.confusion(p, "actual", "predicted", [str(x) for x in LABELS[task]], ["model"]), ["model"])
+            found = found.select(F.lit(task).alias("task"), "*")
+            every = found if every is None else every.unionByName(found)
+    if every is not None:
+        run.write("report-labels", every)
     for task in TASKS:
         terms = _terms(run)(task, "classifier")
         if terms is not None:
@@ -201,7 +272,12 @@ def final_test(run: Run) -> DataFrame:
     if not files.exists(run.path("seal.json")):
         experiments.seal(sealed, run.path("seal.json"))
     experiments.check_seal(sealed, run.path("seal.json"))
-    return run.read("final") if run.has("final") else run.write("final", scores_of(run, prepare(run).where("split = 'test'"), _terms(run)))
+    return run.read("final") if run.has("final") else _final(run)
+
+
+def _final(run: Run) -> DataFrame:
+    rows = prepare(run).where("split = 'test'")
+    return run.write("final", uncertainty(run, rows, scores_of(run, rows, _terms(run)), _terms(run), "final"))
 
 
 def whole(run: Run) -> DataFrame:
@@ -214,36 +290,57 @@ def whole(run: Run) -> DataFrame:
     return summarize(run)
 
 
-def cv_prepare(run: Run, tasks: list[str] = ("level", "cefr")) -> DataFrame:
-    """Learner-wise folds of all texts but the test's, and the table of jobs."""
+def cv_prepare(run: Run, tasks: list[str] = ("level", "cefr"), families: list[str] = ("combined", "length_only")) -> DataFrame:
+    """Learner-wise folds of all texts but the test's, the table of jobs, and both rankings inside each fold, all folds at once.
+    families: sets of features by name; the sets of a ranking take what is best in the fold's own training texts."""
     if not run.has("folds"):
         run.write("folds", resample.grouped_folds(prepare(run).where("split <> 'test'"), run.folds))
+    if not run.has("fold-rankings"):
+        rows = prepare(run).where("split <> 'test'").join(run.read("folds"), "learner_id")
+        long = rows.unpivot(["text_id", "level", "fold"], FEATURES, "feature", "value")
+        run.write("fold-rankings", foldranks.rankings(long, "level", run.folds, run.top_k))
+    if not run.has("jobs"):
         made = None
         for task in tasks:
-            one = experiments.jobs(run.spark, [task], TASKS[task][1], ["combined", "length_only"], run.folds).where("kind <> 'ranking'")
+            one = experiments.jobs(run.spark, [task], TASKS[task][1], list(families), run.folds).where("kind <> 'ranking'")
             made = one if made is None else made.unionByName(one)
         run.write("jobs", experiments.job_order(made))
     return run.read("jobs")
 
 
+def fold_sets(run: Run, fold: int) -> dict[str, list[str]]:
+    """The features of each family in a fold: those of the rules, and the best of each ranking inside the fold."""
+    best = run.read("fold-rankings").where(F.col("fold") == fold).orderBy("feature").collect()  # a row for each feature
+    ranked = {name: [r["feature"] for r in best if r[flag]] for name, flag in RANKED.items()}
+    return {**sets_of(run, False), **ranked, "": []}
+
+
+#: Families of a ranking and what chooses their features.
+RANKED = {"training_mutual_information_features": "mi_selected", "training_information_gain_features": "ig_selected"}
+
+
 def _job_rows(run: Run, fold: int) -> tuple[DataFrame, DataFrame]:
     rows = prepare(run).where("split <> 'test'").join(run.read("folds"), "learner_id")
     return rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
 
 
-def cv_run(run: Run, job: str | None = None) -> None:
-    """Fits and scores the jobs that have no result yet, or one of them; a job's result is a folder, so a stopped run goes
-    on with the next one."""
-    sets = {**sets_of(run, False), "": []}
-    for j in cv_prepare(run).orderBy("place").collect():
-        if (job and j["job_id"] != job) or run.has(f"results/job_id={j['job_id']}"):
-            continue
-        train_rows, held = _job_rows(run, j["fold"])
-        algorithm = {"majority": "classifier", "median": "regressor"}.get(j["algorithm"], j["algorithm"])
-        label = TASKS[j["task"]][0]
-        terms = additive.dummy(train_rows, label, algorithm) if j["kind"] == "baseline" else experiments.fit_all(train_rows, {j["family"]: sets[j["family"]]}, label, algorithm, run.rounds, run.bins).where("model <> 'baseline'")
-        only = lambda t, a, j=j, terms=terms, algorithm=algorithm: terms if (t, a) == (j["task"], algorithm) else None
-        run.write(f"results/job_id={j['job_id']}", scores_of(run, held, only).withColumns({"fold": F.lit(j["fold"]), "kind": F.lit(j["kind"])}))
+def _cv_job(run: Run, j: Row, features: list[str]) -> None:
+    train_rows, held = _job_rows(run, j["fold"])
+    algorithm = {"majority": "classifier", "median": "regressor"}.get(j["algorithm"], j["algorithm"])
+    label = TASKS[j["task"]][0]
+    terms = additive.dummy(train_rows, label, algorithm) if j["kind"] == "baseline" else experiments.fit_all(train_rows, {j["family"]: features}, label, algorithm, run.rounds, run.bins).where("model <> 'baseline'")
+    only = lambda t, a: terms if (t, a) == (j["task"], algorithm) else None
+    run.write(f"results/job_id={j['job_id']}", scores_of(run, held, only).withColumns({"fold": F.lit(j["fold"]), "kind": F.lit(j["kind"])}))
+
+
+def cv_run(run: Run, job: str | None = None, parallel: int = 4) -> None:
+    """Fits and scores the jobs that have no result yet, or one of them, up to ``parallel`` at once so that a job's few tasks
+    leave no executor idle; a job's result is a folder, so a stopped run goes on with those that are missing."""
+    left = [j for j in cv_prepare(run).orderBy("place").collect() if job in (None, j["job_id"]) and not run.has(f"results/job_id={j['job_id']}")]
+    sets = {k: fold_sets(run, k) for k in {j["fold"] for j in left}}
+    with ThreadPoolExecutor(parallel) as pool:
+        for done in [pool.submit(_cv_job, run, j, sets[j["fold"]][j["family"]]) for j in left]:
+            done.result()
 
 
 def cv_status(run: Run) -> DataFrame:
