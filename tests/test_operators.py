@@ -384,6 +384,11 @@ def test_streams(spark, tmp_path):
     rows.limit(3).write.mode("append").parquet(src)
     incremental.process(incremental.rows_of(spark, src, schema), lambda df: df.selectExpr("no_such"), out, out + "-failed", str(tmp_path / "cp2")).awaitTermination()
     assert spark.read.parquet(out + "-failed").count() == 23
+    bad = lambda df: df.select("id", F.when((F.col("id") == 4) & (F.col("level") == 1), F.raise_error(F.lit("four"))).otherwise(F.lit("ok")).alias("said"))
+    incremental.process(incremental.rows_of(spark, src, schema), bad, out + "3", out + "3-failed", str(tmp_path / "cp3")).awaitTermination()
+    aside = spark.read.parquet(out + "3-failed").collect()
+    assert {(r["id"], r["level"], r["tries"]) for r in aside} == {(4, 1, 3)} and all("four" in r["reason"] for r in aside)
+    assert spark.read.parquet(out + "3").count() + len(aside) == 23
     q = incremental.running_counts(incremental.rows_of(spark, src, schema), ["level"]).writeStream.outputMode("complete").format("memory").queryName("levels").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("levels").agg(F.sum("n")).first()[0] == 23

@@ -8,7 +8,7 @@ from textloom.functions import scalars as S
 from textloom.operators import experiments, relational, resample
 from textloom.plans.registry import query
 from textloom.plans.relational import SHARES, _scratch, feature_flags
-from textloom.sources import readers, writers
+from textloom.sources import files, readers, writers
 from textloom.sources.adapters import FEATURES, TEXTS, edits, frame, table, texts
 from textloom.streaming import incremental
 
@@ -96,6 +96,19 @@ def m03(spark, sf):
     return _done(spark, incremental.first_seen(s, ["user_id", "day"], "ts", "2 days"), "append").select("user_id", "day")
 
 
+@query("m04_stream_rows_set_aside", "SELECT event_id, event_id % 4001 = 7 AS failed, CASE WHEN event_id % 4001 = 7 THEN 2 END AS tries FROM events", n="tries")
+def m04(spark, sf):
+    """Work that some rows make fail: the others' results land, and each of these rows is set aside by itself."""
+    base = _scratch(spark)
+    work = lambda rows: rows.select("event_id", F.when(F.col("event_id") % 4001 == 7, F.raise_error(F.lit("bad row")).cast("double")).otherwise(F.col("value")).alias("value"))
+    incremental.process(_stream(spark, sf).select("event_id", "value"), work, f"{base}/ok", f"{base}/failed", f"{base}/checkpoint", 2).awaitTermination()
+    read = lambda name, schema: spark.read.schema(schema).option("ignoreMissingFiles", True).parquet(f"{base}/{name}")
+    done = read("ok", "event_id long").select("event_id", F.lit(False).alias("failed"), F.lit(None).cast("int").alias("tries"))
+    if not files.exists(f"{base}/failed"):  # no row failed
+        return done
+    return done.unionByName(read("failed", "event_id long, tries int").select("event_id", F.lit(True).alias("failed"), "tries"))
+
+
 @query("p22_job_status", f"WITH {TEXTS}, s AS (SELECT level, count(*) AS texts, count(*) FILTER (WHERE topic < 4) AS done FROM texts GROUP BY 1) SELECT level, texts, done, CASE WHEN done = texts THEN 'done' WHEN done > 0 THEN 'running' ELSE 'waiting' END AS status FROM s", n="level")
 def p22(spark, sf):
     s = texts(spark, sf).groupBy("level").agg(F.count("*").alias("texts"), F.count_if(F.col("topic") < 4).alias("done"))

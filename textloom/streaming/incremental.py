@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,19 +28,69 @@ def windowed(stream: DataFrame, time: str, by: list[str], size: str, late: str)
     return stream.withWatermark(time, late).groupBy(F.window(time, size), *by).agg(F.count("*").alias("n"))
 
 
-def process(stream: DataFrame, work: Callable[[DataFrame], DataFrame], ok: str, failed: str, checkpoint: str, tries: int = 3) -> StreamingQuery:
-    """Runs ``work`` on every batch and adds its result to ``ok``, trying at most ``tries`` times; a batch whose work fails
-    each time goes to ``failed`` with the last reason and the number of tries and does not stop the stream. A restarted
-    query goes on after the last finished batch. A batch has a folder of its own number, so one that runs again, after a
-    failure half way or a restart, replaces what it wrote."""
+def failing(batch: DataFrame, work: Callable[[DataFrame], DataFrame], tries: int, isolate: int) -> list[tuple[int, int, str]]:
+    """(bits, rest, reason) of the parts of batch whose work fails ``tries`` times: rows whose hash has this rest by 2**bits.
+    A part that fails is halved until its rows are all equal, so only rows that fail themselves are left, as long as there are
+    fewer than ``isolate`` parts; from then on a failing part stays whole."""
+    todo, bad = [(0, 0)], []
+
+    def reason(part: DataFrame) -> str | None:
+        try:
+            work(part).write.format("noop").mode("overwrite").save()
+        except Exception as why:  # whatever the work raises is the row's reason
+            return str(why)[:500]
+        return None
+
+    while todo:
+        bits, rest = todo.pop()
+        part = batch.where(_in_part(batch, bits, rest))
+        why = reason(part)
+        if why is None:
+            continue
+        if bits < 62 and len(bad) + len(todo) < isolate and part.distinct().limit(2).count() > 1:
+            todo += [(bits + 1, rest), (bits + 1, rest + (1 << bits))]
+            continue
+        for _ in range(tries - 1):
+            why = why and reason(part)
+        if why is not None:
+            bad.append((bits, rest, why))
+    return bad
+
+
+def _in_part(batch: DataFrame, bits: int, rest: int) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in batch.columns]), F.lit(1 << bits)) == rest
+
+
+def process(stream: DataFrame, work: Callable[[DataFrame], DataFrame], ok: str, failed: str, checkpoint: str, tries: int = 3, isolate: int = 64) -> StreamingQuery:
+    """Runs ``work``, which treats rows one by one, on every batch and adds its result to ``ok``. If a batch fails, the rows at
+    fault are found by halving it: the others' result is added, and each row that fails ``tries`` times goes to ``failed``
+    with its reason and the number of tries. Neither stops the stream. A batch of over ``isolate`` faults keeps the parts that
+    were not halved to the end together. A restarted query goes on after the last finished batch. A batch has a
+    folder of its own number, so one that runs again, after a failure half way or a restart, replaces what it wrote."""
 
     def each(batch: DataFrame, number: int) -> None:
-        for left in range(tries - 1, -1, -1):
-            try:
-                work(batch).write.mode("overwrite").parquet(f"{ok}/batch={number}")
-                return
-            except Exception as why:  # a failed batch is data, not the end of the stream
-                if not left:
-                    batch.withColumns({"reason": F.lit(str(why)[:500]), "tries": F.lit(tries)}).write.mode("overwrite").parquet(f"{failed}/batch={number}")
+        good, at = batch, f"{ok}/batch={number}"
+        try:
+            work(batch).write.mode("overwrite").parquet(at)
+            return
+        except Exception:  # which rows is found out below
+            bad = failing(batch, work, tries, isolate)
+        lost = None
+
+        def aside(part: DataFrame, why: str) -> None:
+            nonlocal lost
+            part = part.withColumns({"reason": F.lit(why), "tries": F.lit(tries)})
+            lost = part if lost is None else lost.unionAll(part)
+
+        for bits, rest, why in bad:
+            here = _in_part(batch, bits, rest)
+            good = good.where(~here)
+            aside(batch.where(here), why)
+        try:
+            work(good).write.mode("overwrite").parquet(at)
+        except Exception as why:  # work that fails by itself, whatever the rows
+            aside(good, str(why)[:500])
+        if lost is not None:
+            lost.write.mode("overwrite").parquet(f"{failed}/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
