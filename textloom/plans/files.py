@@ -10,7 +10,7 @@ from textloom.plans.registry import query
 from textloom.plans.relational import _scratch
 from textloom.plans.statistics import CORR, E03, FOLDS, GROUPED, QTY, SCORES, USAGE, _named_progression, contributions, error_statistics, fold_scores, terms, usage
 from textloom.sources import files, readers, reports, writers
-from textloom.sources.adapters import EDITS, FEATURES, FRAME, LONG, PREDICTED, TEXTS, edits, frame, long_frame, predictions, table, texts
+from textloom.sources.adapters import BANDS5, EDITS, FEATURES, FRAME, LONG, PREDICTED, TEXTS, edits, frame, long_frame, predictions, table, texts
 
 
 @query("a01_workbook", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
@@ -34,13 +34,15 @@ def a05(spark, sf):
     return readers.read_csv(spark, readers.with_fallback(path))
 
 
-@query("a11_b11_text_files_by_name", f"WITH {TEXTS} SELECT text_id || '_cefr_' || cefr_level || '_level_' || level AS filename, cefr_level, level FROM texts WHERE text_id <= 100", n="level")
+@query("a11_b11_text_files_by_name", "SELECT c_custkey || '_cefr_' || ['A1','A2','B1','B2','C1'][CAST(c_custkey % 15 // 3 + 1 AS INTEGER)] || '_level_' || (c_custkey % 15 + 1) AS filename, ['A1','A2','B1','B2','C1'][CAST(c_custkey % 15 // 3 + 1 AS INTEGER)] AS cefr_level, c_custkey % 15 + 1 AS level, c_name AS text FROM customer", n="level")
 def a11(spark, sf):
-    path = _scratch(spark) + "/texts"
-    name = F.concat_ws("_", "text_id", F.lit("cefr"), "cefr_level", F.lit("level"), "level")
-    writers.write_texts(texts(spark, sf).where("text_id <= 100").select(name.alias("name"), F.col("learner_id").cast("string").alias("text")), path, "name", "text")
+    """A text for each customer, its labels in the file's name and read back from it."""
+    path, level = _scratch(spark) + "/texts", F.col("c_custkey") % 15
+    band = F.element_at(F.array(*map(F.lit, BANDS5)), (F.floor(level / 3) + 1).cast("int"))
+    name = F.concat_ws("_", "c_custkey", F.lit("cefr"), band, F.lit("level"), level + 1)
+    writers.write_texts(table(spark, sf, "customer").select(name.alias("name"), "c_name"), path, "name", "c_name")
     n = F.col("filename")
-    return readers.read_texts(spark, path).select("filename", S.band_of_name(n).alias("cefr_level"), S.level_of_name(n).alias("level"))
+    return readers.read_texts(spark, path).select("filename", S.band_of_name(n).alias("cefr_level"), S.level_of_name(n).alias("level"), "text")
 
 
 @query("b11_texts_through_files", "SELECT CAST(item_id AS VARCHAR) AS filename, coalesce(text, '') AS text FROM benchmark")
@@ -50,11 +52,11 @@ def b11(spark, sf):
     return readers.read_texts(spark, path)
 
 
-@query("a12_decoding_with_fallback", "SELECT doc_id, replace(text, chr(0), ' ') AS text FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\x80-\\x9F]')")
+@query("a12_decoding_with_fallback", "SELECT doc_id, replace(text, chr(0), ' ') AS text FROM documents")
 def a12(spark, sf):
-    """Texts as UTF-8 with a mark, as UTF-16 with one, and in one byte a character where they can be."""
-    d = table(spark, sf, "documents").where("text is not null").where(~F.col("text").rlike("[\\x80-\\x9F]"))
-    latin = (F.col("doc_id") % 3 == 2) & F.col("text").rlike("\\A[\\x00-\\xFF]*\\z") & F.col("text").rlike("[\\xC0-\\xFF][ -~]")
+    """Texts as UTF-8 with a mark, as UTF-16 with one, and in one byte a character where they can be; nulls stay null."""
+    d = table(spark, sf, "documents")
+    latin = ~F.col("text").rlike("[\\x80-\\x9F]") & (F.col("doc_id") % 3 == 2) & F.col("text").rlike("\\A[\\x00-\\xFF]*\\z") & F.col("text").rlike("[\\xC0-\\xFF][ -~]")
     raw = F.when(latin, F.encode("text", "ISO-8859-1")).when(F.col("doc_id") % 3 == 1, F.encode("text", "UTF-16")).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
     return d.select("doc_id", readers.decoded(raw).alias("text"))
 
