@@ -90,6 +90,19 @@ def test_bootstrap_blocks_are_multinomial(spark, monkeypatch):
     assert abs(counts.mean() - 1) < 1e-9 and abs(counts.var() - (1 - 1 / 200)) < 0.03
 
 
+def test_neighbours_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "STEPS", 4)
+    rng = np.random.default_rng(8)
+    rows = [(g, float(v), i) for g in "ab" for i, v in enumerate(np.unique(np.round(rng.normal(size=300) * 10.0 ** rng.integers(-3, 4, 300), 4)))]
+    df = spark.createDataFrame(rows + [("c", 1.0, 5)], "g string, value double, c long")
+    got = {(r["g"], r["value"]): sorted((x["d"], x["c"]) for x in r["near"]) for r in ranges.neighbours(df, ["g"], "value", "c", 3).collect()}
+    for g in "abc":
+        own = [(v, c) for h, v, c in rows + [("c", 1.0, 5)] if h == g]
+        for i, (v, _) in enumerate(own):
+            assert got[g, v] == sorted((abs(v - x), c) for x, c in own[max(0, i - 3) : i] + own[i + 1 : i + 4])
+    assert len(got) == len(rows) + 1
+
+
 def test_corrected_t(spark):
     d = spark.createDataFrame([(x,) for x in (0.01, 0.02, 0.015, 0.012)], "d double")
     r = metrics.corrected_t(d, 900, 100).withColumn("p", metrics.t_p(F.col("t"), F.col("df"))).first()

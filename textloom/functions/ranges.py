@@ -45,3 +45,23 @@ def following(values: DataFrame, group: list[str], order: str, name: str) -> Dat
     least = values.withColumn("_range", range_of(F.col(order))).groupBy(*keys).agg(F.min(order).alias("_least"))
     after = least.select(*keys, F.lead("_least").over(Window.partitionBy(*group).orderBy("_range")).alias("_after"))
     return ranged.join(after, keys).withColumn(name, F.coalesce(name, "_after")).select(*values.columns, name)
+
+
+def neighbours(cells: DataFrame, group: list[str], order: str, column: str, k: int) -> DataFrame:
+    """cells, with distinct values of ``order`` in a group, with ``near``: an array of (distance, column) of the k values before
+    and the k after each in its group, in any order.
+
+    Windows cover one range of values; only the k first and k last values of each range are also looked at across ranges,
+    where all between such a value and its neighbours are of this kind."""
+    keys = [*group, "_range"]
+    inner, line = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*group).orderBy(order)
+    back = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    names = [(f"_{side}{j}{what}", move(of, j)) for side, move in (("b", F.lag), ("a", F.lead)) for j in range(1, k + 1) for what, of in (("v", order), ("c", column))]
+    ranged = cells.withColumn("_range", range_of(F.col(order)))
+    ranged = ranged.withColumns({n: f.over(inner) for n, f in names} | {"_first": F.row_number().over(inner), "_last": F.row_number().over(back)})
+    ends = ranged.where((F.col("_first") <= k) | (F.col("_last") <= k))
+    ends = ends.select(*group, order, *[f.over(line).alias(f"{n}_") for n, f in names])
+    out = ranged.join(ends, [*group, order], "left")
+    both = lambda n: F.coalesce(n, f"{n}_")
+    near = [F.struct(F.abs(F.col(order) - both(f"_{side}{j}v")).alias("d"), both(f"_{side}{j}c").alias("c")) for side in "ba" for j in range(1, k + 1)]
+    return out.select(*cells.columns, F.filter(F.array(*near), lambda x: x["d"].isNotNull()).alias("near"))

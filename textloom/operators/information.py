@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from textloom.functions import scalars as S
-from textloom.functions.ranges import following, running
+from textloom.functions.ranges import following, neighbours, running
 
 
 def entropy(df: DataFrame, target: str) -> DataFrame:
@@ -113,8 +113,8 @@ def neighbour_information(long: DataFrame, target: str = "level", k: int = 3) ->
     """(feature, n, mi, normalised) by Ross's nearest-neighbour estimator of a continuous value and a class, in nats,
     at least 0, normalised by the class's entropy and at most 1; constants score 0.
 
-    All rows count, at every size: they become distinct (value, class) counts, windows give each the distance of its k-th
-    neighbour in its class, and a running count over a feature's distinct values and ends of neighbourhoods how many rows
+    All rows count, at every size: they become distinct (value, class) counts, windows over ranges of values and over the ends of
+    ranges give each the distance of its k-th neighbour in its class, and a running count over a feature's distinct values and ends of neighbourhoods how many rows
     lie nearer. Classes of one row are left out as the estimator asks. Equal values are distances 0."""
     rows = long.where(F.col("value").isNotNull() & F.col(target).isNotNull())
     cell = rows.groupBy("feature", F.col("value").cast("double").alias("value"), F.col(target).alias("y")).agg(F.count("*").alias("c"))
@@ -123,14 +123,9 @@ def neighbour_information(long: DataFrame, target: str = "level", k: int = 3) ->
     whole = size.groupBy("feature").agg(
         F.sum("size").alias("n"), (F.log(n) - F.sum(F.col("size") * F.log(F.col("size").cast("double"))) / n).alias("h"), (F.min("low") < F.max("high")).alias("varies")
     )
-    line = Window.partitionBy("feature", "y").orderBy("value")
-    every = Window.partitionBy("feature", "y")
-    near = [F.struct(F.lit(0.0).alias("d"), (F.col("c") - 1).alias("c"))]
-    for j in range(1, k + 1):
-        near.append(F.struct((F.col("value") - F.lag("value", j).over(line)).alias("d"), F.lag("c", j).over(line).alias("c")))
-        near.append(F.struct((F.lead("value", j).over(line) - F.col("value")).alias("d"), F.lead("c", j).over(line).alias("c")))
-    used = cell.withColumn("size", F.sum("c").over(every)).withColumn("near", F.array(*near)).where("size >= 2")
-    used = used.withColumn("kk", F.least(F.lit(k).cast("long"), F.col("size") - 1)).withColumn("near", F.array_sort(F.filter("near", lambda x: x.d.isNotNull())))
+    used = neighbours(cell, ["feature", "y"], "value", "c", k).join(size.select("feature", "y", "size"), ["feature", "y"]).where("size >= 2")
+    near = F.concat(F.array(F.struct(F.lit(0.0).alias("d"), (F.col("c") - 1).alias("c"))), "near")
+    used = used.withColumn("kk", F.least(F.lit(k).cast("long"), F.col("size") - 1)).withColumn("near", F.array_sort(near))
     reached = """aggregate(near, named_struct('seen', 0L, 'd', cast(null as double)), (a, x) -> named_struct('seen', a.seen + x.c,
         'd', if(a.seen < kk and a.seen + x.c >= kk, x.d, a.d)), a -> a.d)"""
     used = used.select("feature", "y", "value", "c", "size", "kk", _reach("value", F.expr(reached)).alias("r"))
