@@ -771,7 +771,7 @@ def test_op10_nested_rules(spark):
 
 def test_sql(spark, sf):
     con = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "clicks"):
         con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
     for name, sql in queries.oracle_sql().items():
         df = queries.queries()[name](spark, sf)
