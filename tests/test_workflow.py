@@ -114,11 +114,19 @@ def test_corrected_t(spark):
     assert zero["p"] == 1.0
 
 
-def test_settings_and_trends(spark):
+def test_settings_and_trends(spark, tmp_path):
     s = context.check_settings({})
     p = spark.createDataFrame([("a", 70.0, "sustained", 1, 2, 0), ("b", 70.0, "never observed", None, None, 0), ("a", 2.0, "sustained", 1, 1, 0)], "feature string, threshold double, status string, first_common int, sustained_from int, drops int")
-    lines = "\n".join(reports.progression_summary(p, {**s, "min_texts_per_level": 1500, "comparison_thresholds": [2.0, 12.5]}))
-    assert context.settings_of(lines) == {**s, "min_texts_per_level": 1500, "comparison_thresholds": [2.0, 12.5]}
+    own = {**s, "min_texts_per_level": 1500, "comparison_thresholds": [2.0, 12.5]}
+    lines = reports.progression_summary(p, own)
+    assert "min_texts_per_level = 1500" in lines and "2%: sustained: 1" in lines
+    context.put_settings(own, f"{tmp_path}/settings.json")
+    assert context.settings_of(f"{tmp_path}/settings.json") == own
+    files.put(f"{tmp_path}/settings.json", b'{"min_later_levels": 3}')
+    assert context.settings_of(f"{tmp_path}/settings.json") == {**s, "min_later_levels": 3}
+    files.put(f"{tmp_path}/settings.json", b'{"other": 3}')
+    with pytest.raises(ValueError):
+        context.settings_of(f"{tmp_path}/settings.json")
     for bad in ({"common_usage_percent": 0}, {"comparison_thresholds": [101]}, {"min_texts_per_level": 1.5}, {"min_later_levels": 15}, {"min_feature_coverage_percent": float("nan")}):
         with pytest.raises(ValueError):
             context.check_settings(bad)

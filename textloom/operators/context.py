@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import math
-import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.sources import files
+
 #: Settings of a progression and their defaults.
 SETTINGS = {"common_usage_percent": 70.0, "comparison_thresholds": [2.0, 10.0], "min_texts_per_level": 100, "min_feature_coverage_percent": 95.0, "min_later_levels": 2}
-#: The phrases by which a written summary names its settings.
-PHRASES = {
-    "common_usage_percent": r"Main common-usage threshold:\s*([\d.]+)%", "min_texts_per_level": r"Minimum valid texts per structure and level:\s*([\d,]+)",
-    "min_feature_coverage_percent": r"Minimum feature coverage within a level:\s*([\d.]+)%", "min_later_levels": r"including at least\s+(\d+)\s+later levels", "comparison_thresholds": r"Thresholds compared:\s*([^\n]+)",
-}
 
 
 def relabel(scores: DataFrame, listed: DataFrame, score: str = "score") -> DataFrame:
@@ -44,20 +41,17 @@ def check_settings(settings: dict) -> dict:
     return out
 
 
-def settings_of(summary: str) -> dict:
-    """The settings that a written summary names, checked; defaults for the others."""
-    found: dict = {}
-    for name, phrase in PHRASES.items():
-        hit = re.search(phrase, summary)
-        if hit and name != "comparison_thresholds":
-            value = float(hit[1].replace(",", ""))
-            found[name] = int(value) if name.startswith("min_texts") or name.startswith("min_later") else value
-        elif hit:
-            found[name] = [float(x) for x in re.findall(r"([\d.]+)%", hit[1])]
-    main = found.get("common_usage_percent", SETTINGS["common_usage_percent"])
-    if "comparison_thresholds" in found:
-        found["comparison_thresholds"] = [x for x in found["comparison_thresholds"] if x != main]
-    return check_settings(found)
+def put_settings(settings: dict, path: str) -> None:
+    """Keeps settings as JSON, for the file beside a summary."""
+    files.put(path, json.dumps(check_settings(settings), indent=1).encode())
+
+
+def settings_of(path: str) -> dict:
+    """The settings kept at path, checked; defaults for those that it lacks. Unknown names raise."""
+    kept = json.loads(files.get(path))
+    if unknown := sorted(kept.keys() - SETTINGS.keys()):
+        raise ValueError(f"unknown settings: {unknown}")
+    return check_settings(kept)
 
 
 def annotated(scores: DataFrame, descriptions: DataFrame, progressions: DataFrame) -> DataFrame:

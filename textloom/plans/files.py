@@ -148,7 +148,7 @@ def b08c(spark, sf):
 
 @query("b08_progression_summary_p08_settings", f"WITH {USAGE}, {_named_progression(70, 's')} SELECT status, count(*) AS n, 70.0::DOUBLE AS threshold, 100 AS texts FROM s GROUP BY 1", n="texts")
 def b08d(spark, sf):
-    """The summary is written, its settings are read back from it and used again."""
+    """The summary is written with its settings beside it, which are read back and used again."""
     path = _scratch(spark) + "/progressions.txt"
     u, settings = usage(spark, sf), context.check_settings({})
     every = None
@@ -157,7 +157,8 @@ def b08d(spark, sf):
         every = one if every is None else every.unionByName(one)
     trends, note = context.error_trends(None)
     reports.write_lines(reports.progression_summary(every, settings, trends, note), path)
-    again = context.settings_of(files.get(path).decode())
+    context.put_settings(settings, f"{path}.settings.json")
+    again = context.settings_of(f"{path}.settings.json")
     own = describe.progression(u, again["common_usage_percent"], again["min_later_levels"])
     return own.groupBy("status").agg(F.count("*").alias("n")).withColumns({"threshold": F.lit(again["common_usage_percent"]), "texts": F.lit(again["min_texts_per_level"])})
 

@@ -48,14 +48,11 @@ def correlation_summary(tests: DataFrame, top: int = 5) -> list[str]:
 
 
 def progression_summary(progressions: DataFrame, settings: dict, trends: DataFrame | None = None, note: str = "", top: int = 20) -> list[str]:
-    """The settings in the phrases from which ``context.settings_of`` reads them, features by status and threshold, sustained
-    ones and drops, and the optional error trends. progressions: with threshold."""
+    """The settings, features by status and threshold, sustained ones and drops, and the optional error trends. The settings
+    are kept beside the summary by ``context.put_settings``. progressions: with threshold."""
     main = settings["common_usage_percent"]
     every = sorted({main, *settings["comparison_thresholds"]})
-    lines = [
-        f"Main common-usage threshold: {main:g}% of texts", "Thresholds compared: " + ", ".join(f"{x:g}%" for x in every), f"Minimum valid texts per structure and level: {settings['min_texts_per_level']:,}",
-        f"Minimum feature coverage within a level: {settings['min_feature_coverage_percent']:g}%", f"Sustained use holds at all later levels, including at least {settings['min_later_levels']} later levels.",
-    ]
+    lines = [f"{name} = {value}" for name, value in sorted(settings.items())]
     counts = small(progressions.groupBy("threshold", "status").agg(F.count("*").alias("n")).orderBy("threshold", "status"))
     by = [f"{x:g}%: " + "; ".join(f"{r['status']}: {r['n']:,}" for r in counts if r["threshold"] == x) for x in every]
     own = progressions.where(F.col("threshold") == main)
@@ -65,7 +62,7 @@ def progression_summary(progressions: DataFrame, settings: dict, trends: DataFra
     if note:
         out += ["", f"Error trends skipped: {note}"]
     if trends is not None:
-        out += _section("ERROR TRENDS", [f"{r['level']:>5} | {r['texts']:>7,} | {r['rate']:.4f}" for r in small(trends)])
+        out += _section("ERROR TRENDS", [f"level {r['level']}: {r['rate']:.4f} errors per 100 words in {r['texts']:,} texts" for r in small(trends)])
     return out
 
 
