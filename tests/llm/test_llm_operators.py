@@ -390,18 +390,36 @@ def test_op9_all_three_limits_bind(spark):
 
 
 def test_op5_schedule_against_brute_force(spark):
-    """Earliest deadline first, slot by slot, in plain Python."""
-    share = {"a": 31, "b": 7, "c": 1, "d": 1, "e": 17, "f": 3}
-    period, done, want = sum(share.values()), Counter(), []
-    for t in range(period):
-        ready = [(-(-(done[s] + 1) * period // k), s) for s, k in share.items() if done[s] < k and done[s] * period // k <= t]
+    """Earliest deadline first, slot by slot, in plain Python: from the start as far as the longest window reaches."""
+    rate = {"a": 31, "b": 7, "c": 1, "d": 1, "e": 17, "f": 3}
+    unit, done, want = sum(rate.values()), Counter(), []
+    for t in range(unit):
+        ready = [(-(-(done[s] + 1) * unit // k), s) for s, k in rate.items() if done[s] * unit // k <= t]
         due, s = min(ready)
-        want.append((t, s, done[s], done[s] * period // share[s], due))
+        want.append((t, s, done[s], done[s] * unit // rate[s], due))
         done[s] += 1
-    made = mixing.schedule(spark.createDataFrame(list(share.items()), "source string, share long"))
+    made = mixing.schedule(spark.createDataFrame(list(rate.items()), "source string, rate long"), unit)
     assert sorted((r["slot"], r["source"], r["nth"], r["release"], r["deadline"]) for r in made.collect()) == want
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_op5_deviation_is_below_one_block_over_many_stretches(spark, seed):
+    """Weights that divide no period, among them very small ones and many of one size, over 50 stretches and more."""
+    rng = np.random.default_rng(seed)
+    raw = [[0.5985, 0.4, 0.0015], [0.3, 0.3, 0.3, *[0.1 / 12] * 12], rng.random(9), rng.random(40) ** 4, rng.random(5) ** 8, [*rng.random(3), *[0.01] * 60]][seed]
+    rate = {r["source"]: r["rate"] for r in mixing.rates(spark.createDataFrame([(f"s{i:02}", float(w)) for i, w in enumerate(raw)], "source string, weight double")).collect()}
+    assert sum(rate.values()) == mixing.UNIT
+    slots = 50_000 if seed == 0 else 6_000
+    made = mixing.schedule(spark.createDataFrame(list(rate.items()), "source string, rate long"), slots, (), 100 if seed else 1000).orderBy("slot").collect()
+    done = Counter()
+    for t, r in enumerate(made):
+        assert r["slot"] == t and r["nth"] == done[r["source"]] and r["release"] <= t < r["deadline"]
+        done[r["source"]] += 1
+        if seed or t % 50 == 49:
+            assert all(abs(done[s] * mixing.UNIT - k * (t + 1)) < mixing.UNIT for s, k in rate.items())
+    assert len(made) == slots
+
+
 def test_op5_very_many_sources(spark, monkeypatch):
     """Beyond MOST sources the schedule has two levels, and a source stays within two blocks of its share."""
     monkeypatch.setattr(mixing, "MOST", 10)
@@ -413,17 +431,18 @@ def test_op5_very_many_sources(spark, monkeypatch):
     slots = {}
     for r in got:
         assert slots.setdefault(r["slot"], (r["source"], r["block"])) == (r["source"], r["block"])
-    share = {r["source"]: r["share"] for r in mixing.shares(weights).collect() if r["source"] in {x["source"] for x in got}}
-    made = mixing.nested_schedule(spark.createDataFrame(list(share.items()), "source string, share long"), 11).collect()
-    assert sorted(r["slot"] for r in made) == list(range(sum(share.values()))) and Counter(r["source"] for r in made) == share
+    rate = {r["source"]: r["rate"] for r in mixing.rates(weights).collect()}
+    made = mixing.nested_schedule(spark.createDataFrame(list(rate.items()), "source string, rate long"), 3000, 11).collect()
+    assert sorted(r["slot"] for r in made) == list(range(3000))
     done = Counter()
     for t, r in enumerate(sorted(made, key=lambda r: r["slot"])):
+        assert r["nth"] == done[r["source"]]
         done[r["source"]] += 1
         if t % 25 == 0:
-            assert all(abs(done[s] - k * (t + 1) / len(made)) < 2 for s, k in share.items())
+            assert all(abs(done[s] - k * (t + 1) / mixing.UNIT) < 2 for s, k in rate.items())
 
 
-def check_mix(got, block, period):
+def check_mix(got, block):
     counts = Counter((r["source"], r["block"]) for r in got)
     assert all(n <= block for n in counts.values())
     slots = {}
@@ -437,15 +456,15 @@ def test_op5(spark, sf01):
     docs = spark.read.parquet(f"{sf01}/documents.parquet")
     got = rows_of(mixing.mix(docs, block=4))
     assert Counter(r["doc_id"] for r in got) == Counter(d["doc_id"] for d in table(sf01, "documents"))
-    check_mix(got, 4, mixing.PERIOD)
+    check_mix(got, 4)
 
 
 def test_op5_deviation_is_below_one_block(spark):
     weights = spark.createDataFrame([("a", 5.0), ("b", 3.0), ("c", 1.3), ("d", 0.7), ("gone", 9.0)], "source string, weight double")
     docs = spark.range(4000).selectExpr("id as doc_id", "case when id < 2000 then 'a' when id < 3000 then 'b' when id < 3600 then 'c' else 'd' end as source")
     got = rows_of(mixing.mix(docs, weights, block=5, period=100))
-    slots = check_mix(got, 5, 100)
-    share = {r["source"]: r["share"] / 100 for r in mixing.shares(weights.where("source <> 'gone'"), 100).collect()}
+    slots = check_mix(got, 5)
+    share = {"a": 0.5, "b": 0.3, "c": 0.13, "d": 0.07}
     last = {s: max(k for k, v in slots.items() if v[0] == s) for s in share}
     done = Counter()
     for t in range(min(last.values())):
@@ -453,27 +472,27 @@ def test_op5_deviation_is_below_one_block(spark):
         assert all(abs(done[s] - share[s] * (t + 1)) < 1 for s in share)
 
 
-@pytest.mark.parametrize("n, period", [(20, 1000), (500, 1000), (2000, 1000), (12_000, 1000)])
-def test_op5_shares_follow_the_weights(spark, n, period):
+@pytest.mark.parametrize("n", [20, 500, 2000, 12_000])
+def test_op5_rates_follow_the_weights(spark, n):
     """A hot source of a third of the weight, and one of none."""
     weight = {f"s{i:05}": 1.0 + i % 3 for i in range(n)}
     weight["hot"] = sum(weight.values()) / 2
     weights = spark.createDataFrame([*weight.items(), ("none", 1e-12)], "source string, weight double")
-    share = {r["source"]: r["share"] for r in mixing.shares(weights, period).collect()}
-    total, whole = sum(share.values()), sum(weight.values())
-    assert share["none"] == 1 and min(share.values()) == 1
-    assert all(abs(share[s] - w / whole * (total - 1)) < 1 for s, w in weight.items())
+    rate = {r["source"]: r["rate"] for r in mixing.rates(weights).collect()}
+    least, whole = -(-mixing.UNIT // max(mixing.LONGEST, 10 * (n + 2))), sum(weight.values())
+    assert sum(rate.values()) == mixing.UNIT and rate["none"] == least
+    assert all(abs(rate[s] - w / whole * (mixing.UNIT - least)) < 1 for s, w in weight.items())
 
 
 def test_op5_deviation_from_the_weights(spark):
     weight = {f"s{i:02}": 1.0 for i in range(19)} | {"hot": 9.5}
     weights = spark.createDataFrame([*weight.items()], "source string, weight double")
     docs = spark.range(9000).selectExpr("id as doc_id", "case when id < 3000 then 'hot' else concat('s', lpad(cast(id % 19 as string), 2, '0')) end as source")
-    slots = check_mix(rows_of(mixing.mix(docs, weights, block=4)), 4, mixing.PERIOD)
+    slots = check_mix(rows_of(mixing.mix(docs, weights, block=4)), 4)
     done = Counter()
-    for t in range(1000):
+    for t in range(1500):
         done[slots[t][0]] += 1
-        assert all(abs(done[s] - w / 28.5 * (t + 1)) < 2 for s, w in weight.items())
+        assert all(abs(done[s] - w / 28.5 * (t + 1)) < 1 + t / mixing.UNIT for s, w in weight.items())
 
 
 def test_op5_hard(spark, hard):
