@@ -9,7 +9,7 @@ from textloom.operators import additive, context, correlate, describe, experimen
 from textloom.plans.registry import query
 from textloom.plans.relational import _scratch
 from textloom.plans.statistics import CORR, E03, FOLDS, GROUPED, QTY, SCORES, USAGE, _named_progression, contributions, error_statistics, fold_scores, terms, usage
-from textloom.sources import files, readers, reports, writers
+from textloom.sources import files, parts, readers, reports, writers
 from textloom.sources.adapters import BANDS5, EDITS, FEATURES, FRAME, LONG, PREDICTED, TEXTS, edits, frame, long_frame, predictions, table, texts
 
 
@@ -258,3 +258,17 @@ def p27(spark, sf):
     rows = readers.read_predictions(spark, path).withColumn("n", F.monotonically_increasing_id())
     ordered = information.running(rows.withColumn("one", F.lit(1)).withColumn("g", F.lit(0)), ["g"], "n", ["one"])
     return ordered.select("text_id", "cefr_level", "predicted_cefr", F.col("one_upto").alias("place"))
+
+
+@query("l04_torn_part_files", "SELECT doc_id, lang FROM documents WHERE doc_id % 3 = 0 OR doc_id % 3 = 1 AND lang IS NOT NULL")
+def l04_parts(spark, sf):
+    """Part files are written, one more ends within its last row, and what is whole is merged to a table that is replaced."""
+    folder = _scratch(spark)
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    d.where("doc_id % 3 = 1").write.option("header", True).csv(f"{folder}/parts")
+    cut = d.where("doc_id % 3 = 2").agg(F.coalesce(F.max("doc_id"), F.lit(2))).first()[0]
+    files.put(f"{folder}/parts/part-torn.csv", f"doc_id,lang\n{cut},e".encode())
+    parts.replace_table(d.where("doc_id % 3 = 0"), f"{folder}/merged")
+    found = parts.read_parts(spark, f"{folder}/parts/*.csv", "doc_id long, lang string", "doc_id,lang")
+    parts.replace_table(parts.salvaged(parts.current_table(spark, f"{folder}/merged"), found, "doc_id", ["lang"]), f"{folder}/merged")
+    return parts.current_table(spark, f"{folder}/merged")
