@@ -261,7 +261,7 @@ def test_ranked_families_choose_inside_each_fold(spark, sf, tmp_path):
     assert jobs.count() == 2 * (2 + 2)
     for fold in range(2):
         best = workflow.fold_sets(run, fold)["training_information_gain_features"]
-        train = workflow._job_rows(run, fold)[0].unpivot(["level"], workflow.FEATURES, "feature", "value")
+        train = workflow._job_rows(run, fold)[0].unpivot(["level"], run.features, "feature", "value")
         want = [r["feature"] for r in information.information_gain(train).orderBy(F.desc("gain"), "feature").limit(2).collect()]
         assert best == sorted(want)
     workflow.cv_run(run)

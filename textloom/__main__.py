@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import sys
 
 from textloom import workflow
@@ -10,6 +11,21 @@ from textloom.operators.relational import FEATURE_SETS
 from textloom.plans import files, pipelines, relational, statistics  # noqa: F401  (they register their queries)
 from textloom.plans.registry import QUERIES
 from textloom.session import session
+from textloom.sources import frames
+
+
+#: The tables and names of a frame of any columns.
+GIVEN = [f.name for f in dataclasses.fields(frames.Given)]
+
+
+def _given(a: argparse.Namespace) -> frames.Given | None:
+    """The frame that the arguments give, None for the bundled tables'."""
+    said = {name: getattr(a, name) for name in GIVEN if getattr(a, name) is not None}
+    if not said:
+        return None
+    if missing := {"frame", "dictionary", "learners"} - said.keys():
+        raise ValueError(f"a frame of any columns needs {sorted(missing)} too")
+    return frames.Given(**{k: v if k in ("one_source", "words") or "/" in v else f"{a.tables.rstrip('/')}/{v}" for k, v in said.items()})
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -34,6 +50,8 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("--top-k", type=int, default=200)
         p.add_argument("--folds", type=int, default=10)
         p.add_argument("--draws", type=int, default=2000)
+        for table in GIVEN:
+            p.add_argument(f"--{table.replace('_', '-')}", help="of a frame of any columns; a table by its name in the folder or its path")
         return p
 
     p = step("dataframe", "build the wide frame")
@@ -67,7 +85,7 @@ def main(args: list[str]) -> int:
     if a.command == "explain":
         QUERIES[a.name](spark, a.tables).explain("formatted")
         return 0
-    run = workflow.Run(spark, a.tables, a.out, a.rounds, a.bins, a.top_k, a.folds, a.draws)
+    run = workflow.Run(spark, a.tables, a.out, a.rounds, a.bins, a.top_k, a.folds, a.draws, _given(a))
     match a.command, getattr(a, "step", None):
         case "dataframe", _:
             workflow.dataframe(run, a.metadata_only, a.csv, a.csv_only, a.overwrite)

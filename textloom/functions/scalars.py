@@ -22,6 +22,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a.cast("double") / b.cast("double"))
 
 
+def quoted(column: str) -> str:
+    """A column's very name for select and in SQL, whatever signs it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def finite(x: Column) -> Column:
     """x where it is a finite double, else null. NaN never reaches an aggregate."""
     x = x.cast("double")

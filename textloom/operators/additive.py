@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.functions import scalars as S
+from textloom.operators import relational
+
 BINS, RATE, ROUNDS = 128, 0.04, 200
 #: Parts into which a smoothing round cuts a feature's bins.
 LEAVES = 3
@@ -74,16 +77,18 @@ def fit(jobs: DataFrame, features: list[str], label: str, kind: str, rounds: int
     """Terms of the models of all jobs: jobs has a row for each (model, text) with features and label. A model's rounds
     depend on each other, so each model is one task and jobs are what runs side by side."""
 
+    columns = [f"f{i}" for i in range(len(features))]  # a feature's own name may hold dots, which pandas functions don't take
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("text_id")
-        names = sorted(map(str, pdf[label].unique())) if kind == "classifier" else None
-        y = pdf[label].astype(str).to_numpy() if names else pdf[label].to_numpy()
-        usable = [c for c in features if pdf[c].notna().sum() >= 20 and pdf[c].nunique() > 1]
-        out = fit_arrays(pdf[usable].to_numpy(float), y, usable, names, rounds, bins=bins)
+        names = sorted(map(str, pdf["label"].unique())) if kind == "classifier" else None
+        y = pdf["label"].astype(str).to_numpy() if names else pdf["label"].to_numpy()
+        usable = {c: f for c, f in zip(columns, features, strict=True) if pdf[c].notna().sum() >= 20 and pdf[c].nunique() > 1}
+        out = fit_arrays(pdf[list(usable)].to_numpy(float), y, list(usable.values()), names, rounds, bins=bins)
         out.insert(0, "model", pdf["model"].iloc[0])
         return out
 
-    return jobs.select("model", "text_id", label, *features).groupBy("model").applyInPandas(one, TERMS)
+    return jobs.select("model", "text_id", label, *map(S.quoted, features)).toDF("model", "text_id", "label", *columns).groupBy("model").applyInPandas(one, TERMS)
 
 
 def contributions(rows: DataFrame, features: list[str], terms: DataFrame) -> DataFrame:
@@ -92,7 +97,7 @@ def contributions(rows: DataFrame, features: list[str], terms: DataFrame) -> Dat
     Terms are a few hundred rows for each feature of a model; whether they are small enough to broadcast is left to adaptive
     execution, which knows their size. A value's bin is the last whose lower edge is at or below it."""
     steps = terms.where("feature <> ''").groupBy("model", "feature", "output").agg(F.array_sort(F.collect_list(F.struct("bin", "low", "score"))).alias("bins"))
-    long = rows.unpivot(["text_id"], features, "feature", "value")
+    long = relational.long_form(rows, features, ["text_id"])
     hit = F.expr("if(value is null or isnan(value), bins[0].score, element_at(filter(bins, b -> b.bin > 0 and b.low <= value), -1).score)")
     return long.join(steps, "feature").select("text_id", "model", "feature", "output", hit.alias("score"))
 

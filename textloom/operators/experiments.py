@@ -49,7 +49,7 @@ def fit_all(rows: DataFrame, models: dict[str, list[str]], label: str, kind: str
     own = F.explode(F.array(*[F.lit(m) for m in models]))
     wide = rows.withColumn("model", own)
     use = {f: [m for m, v in models.items() if f in v] for f in every}
-    wide = wide.withColumns({f: F.when(F.col("model").isin(m), F.col(f)) for f, m in use.items()})
+    wide = wide.withColumns({f: F.when(F.col("model").isin(m), F.col(S.quoted(f))) for f, m in use.items()})
     terms = additive.fit(wide, every, label, kind, rounds, bins)
     return terms.unionByName(additive.dummy(rows, label, kind))
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.functions import scalars as S
+
 
 def unique(df: DataFrame, key: str) -> DataFrame:
     """df, after a check that its key is never null and never repeated."""
@@ -25,6 +27,14 @@ def wide(sources: list[DataFrame], key: str = "text_id") -> DataFrame:
     return reduce(lambda a, b: a.join(b, key), sources)
 
 
+def long_form(rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
+    """(keys, feature, value), nulls kept. Values go through one array with their places, and names come from a broadcast row
+    for each feature: the plan stays the same size for any number of features, where an unpivot has a projection for each."""
+    names = rows.sparkSession.createDataFrame(list(enumerate(features)), "_place int, feature string")
+    values = f"array({', '.join(f'cast({S.quoted(f)} as double)' for f in features)})"  # one text: a call for each column costs more than the plan
+    return rows.select(*keys, F.posexplode(F.expr(values)).alias("_place", "value")).join(F.broadcast(names), "_place").select(*keys, "feature", "value")
+
+
 def agreement(a: DataFrame, b: DataFrame, key: str, labels: list[str]) -> DataFrame:
     """(only_left, only_right, different, equal) of a full outer join of two tables by key, labels null-safe."""
     left, right = a.select(F.col(key).alias("_k"), F.struct(*labels).alias("x")), b.select(F.col(key).alias("_j"), F.struct(*labels).alias("y"))

@@ -13,6 +13,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions import scalars as S
 from textloom.sources import files
 
 #: Rows that a driver-side report may have.
@@ -132,7 +133,7 @@ def write_xlsx(df: DataFrame, path: str) -> str:
 
 def digest_of(df: DataFrame) -> str:
     """A digest of the rows in any order, from per-row hashes: the manifest's fingerprint of a table."""
-    h = F.xxhash64(*df.columns)
+    h = F.xxhash64(*map(S.quoted, df.columns))
     a, b, n = df.agg(F.sum(h.cast("decimal(38,0)")), F.bit_xor(h), F.count("*")).first()
     return hashlib.sha256(f"{a}:{b}:{n}:{','.join(df.columns)}".encode()).hexdigest()
 

@@ -7,6 +7,7 @@ goes on from it, so a run can be stopped and resumed anywhere.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -14,19 +15,19 @@ from pyspark.sql import functions as F
 
 from textloom.functions import scalars as S
 from textloom.operators import additive, bootstrap, context, correlate, describe, experiments, foldranks, information, metrics, relational, resample
-from textloom.sources import adapters, files, readers, reports, writers
+from textloom.sources import adapters, files, frames, readers, reports, writers
 
 LABELS = {"level": list(range(1, S.LEVELS + 1)), "cefr": S.BANDS[:5]}
 #: Of each task: the label's column and the algorithms.
 TASKS = {"level": ("level", ["classifier", "regressor"]), "cefr": ("cefr_level", ["classifier"])}
-FEATURES = list(adapters.FEATURES)
 
 
 class Run:
-    """A run's folder, its tables and its settings."""
+    """A run's folder, its tables and its settings. given: a frame of any columns with its dictionary, in place of the texts
+    and features that the adapters make of the tables."""
 
-    def __init__(self, spark: SparkSession, tables: str, out: str, rounds: int = additive.ROUNDS, bins: int = additive.BINS, top_k: int = 200, folds: int = 10, draws: int = 2000):
-        self.draws, self.verified = draws, False
+    def __init__(self, spark: SparkSession, tables: str, out: str, rounds: int = additive.ROUNDS, bins: int = additive.BINS, top_k: int = 200, folds: int = 10, draws: int = 2000, given: frames.Given | None = None):
+        self.draws, self.verified, self.given = draws, False, given
         self.spark, self.tables, self.out = spark, tables, out.rstrip("/")
         self.rounds, self.bins, self.top_k, self.folds = rounds, bins, top_k, folds
         if min(rounds, bins, top_k, draws) < 1 or folds < 2:
@@ -48,13 +49,35 @@ class Run:
     def config(self) -> dict:
         return {"rounds": self.rounds, "bins": self.bins, "top_k": self.top_k, "folds": self.folds}
 
+    @cached_property
+    def features(self) -> list[str]:
+        return list(adapters.FEATURES) if self.given is None else frames.features_of(self.spark, self.given)
+
+    def texts(self) -> DataFrame:
+        return adapters.texts(self.spark, self.tables) if self.given is None else frames.texts(self.spark, self.given)
+
+    def frame(self) -> DataFrame:
+        return adapters.frame(self.spark, self.tables) if self.given is None else frames.frame(self.spark, self.given)
+
+    def flags(self) -> DataFrame:
+        """(feature, kind, source, direct, correlated, duplicate, one_source) of the features."""
+        if self.given is not None:
+            return frames.read_features(self.spark, self.given)
+        f = F.col("feature")
+        names = self.spark.createDataFrame([(x,) for x in self.features], "feature string")
+        return names.select(f, S.column_part(f, 0).alias("kind"), S.column_part(f, 1).alias("source"), f.endswith("n_lines").alias("direct"), (f.endswith("sum_qty") | f.endswith("total_errors")).alias("correlated"), F.lit(False).alias("duplicate"), f.contains("__price__").alias("one_source"))
+
+    def dictionary(self) -> dict[str, list]:
+        """The flags as what is kept beside the prepared data: a dictionary or list that changed later is noticed."""
+        return {r["feature"]: list(r)[1:] for r in self.flags().orderBy("feature").collect()}  # a row for each feature
+
 
 def dataframe(run: Run, metadata_only: bool = False, csv: bool = False, csv_only: bool = False, overwrite: bool = False) -> DataFrame:
     """The wide frame of all texts and sources, or only the texts' labels, as Parquet, CSV or both."""
     name = "metadata" if metadata_only else "frame"
     if run.has(name) and not overwrite:
         raise FileExistsError(f"{run.path(name)}: give --overwrite")
-    df = adapters.texts(run.spark, run.tables) if metadata_only else adapters.frame(run.spark, run.tables)
+    df = run.texts() if metadata_only else run.frame()
     if csv or csv_only:
         writers.write_csv(df, run.path(f"{name}-csv"))
     return df if csv_only else run.write(name, df)
@@ -65,21 +88,24 @@ def prepare(run: Run) -> DataFrame:
     included, once for a command. A learner in several splits, a missing split or one with a label of under two texts stops
     the run before anything is trained."""
     if not run.has("data"):
-        rows = resample.with_split(adapters.frame(run.spark, run.tables))
+        rows = resample.with_split(run.frame())
         problems = {r["problem"]: r["n"] for r in resample.split_problems(rows).where("n > 0").collect()}
         if problems:
             raise ValueError(f"the split can't be used: {problems}")
         run.write("data", rows)
-        writers.write_json({"config": run.config()}, run.path("prepared.json"))
+        writers.write_json({"config": run.config(), "dictionary": run.dictionary()}, run.path("prepared.json"))
         writers.write_manifest({"data": run.read("data")}, run.path("manifest.json"))
-    elif not run.verified and writers.verify_manifest({"data": run.read("data")}, run.path("manifest.json")):
-        raise ValueError("the prepared data changed; use another folder")
+    elif not run.verified:
+        if writers.verify_manifest({"data": run.read("data")}, run.path("manifest.json")):
+            raise ValueError("the prepared data changed; use another folder")
+        if experiments.recorded(run.path("prepared.json")).get("dictionary", run.dictionary()) != run.dictionary():
+            raise ValueError("the dictionary or a list changed; use another folder")
     run.verified = True
     return run.read("data")
 
 
-def _long(rows: DataFrame) -> DataFrame:
-    return rows.unpivot(["text_id", "learner_id", "cefr_level", "level"], FEATURES, "feature", "value")
+def _long(run: Run, rows: DataFrame) -> DataFrame:
+    return relational.long_form(rows, run.features, ["text_id", "learner_id", "cefr_level", "level"])
 
 
 def score(run: Run, method: str, restart: bool = False, relabel: bool = False, listed: DataFrame | None = None) -> DataFrame:
@@ -90,12 +116,13 @@ def score(run: Run, method: str, restart: bool = False, relabel: bool = False, l
         raise FileNotFoundError(f"no stored scores in {run.path(name)}")
     if run.has(name) and not restart and not relabel:
         return readers.read_scores(run.spark, run.path(name), need)
-    listed = listed or run.spark.createDataFrame([("basic", f) for f in FEATURES if "__basic__" in f], "source string, feature string")
+    length = F.col("source") == "basic" if run.given is None else F.col("direct") | F.col("correlated")
+    listed = listed or run.flags().where(length).select("source", "feature")
     if relabel:
         stored = readers.read_scores(run.spark, run.path(name), need).collect()  # a row for each feature, replaced in place
         scores = run.spark.createDataFrame([(r["feature"], r["source"], r["score"]) for r in stored], "feature string, source string, score double")
     else:
-        long = _long(prepare(run).where("split = 'train'"))
+        long = _long(run, prepare(run).where("split = 'train'"))
         found = information.binned_information(long).select("feature", F.col("mi").alias("score")) if method == "mi" else information.information_gain(long).select("feature", F.col("gain").alias("score"))
         scores = found.select("feature", S.column_part(F.col("feature"), 1).alias("source"), "score")
     return run.write(name, context.relabel(scores, listed))
@@ -112,11 +139,10 @@ def rank(run: Run, restart: bool = False) -> DataFrame:
 
 def sets_of(run: Run, use_ranked: bool = True) -> dict[str, list[str]]:
     """The features of each experiment."""
-    f = F.col("feature")
-    flags = run.spark.createDataFrame([(x,) for x in FEATURES], "feature string").select(f, S.column_part(f, 0).alias("kind"), f.endswith("n_lines").alias("direct"), (f.endswith("sum_qty") | f.endswith("total_errors")).alias("correlated"), F.lit(False).alias("duplicate"), f.contains("__price__").alias("one_source"))
+    f, flags = F.col("feature"), run.flags()
     if use_ranked and run.has("ranking"):
         chosen = run.read("ranking").select(f, F.col("selected").isin("Both", "MI only").alias("mi"), F.col("selected").isin("Both", "IG only").alias("ig"))
-        flags = flags.join(F.broadcast(chosen), "feature")
+        flags = flags.join(F.broadcast(chosen), "feature", "left").fillna(False, ["mi", "ig"])  # a row for each feature
     else:
         flags = flags.withColumns({"mi": F.lit(False), "ig": F.lit(False)})
     out: dict[str, list[str]] = {}
@@ -149,7 +175,7 @@ def train(run: Run, tasks: list[str] = ("level", "cefr"), only: list[str] | None
 
 def predictions(run: Run, task: str, algorithm: str, rows: DataFrame, terms: DataFrame) -> DataFrame:
     """(text_id, model, predicted) of rows, the baseline included."""
-    p = additive.predict(rows, FEATURES, terms.where("model <> 'baseline'"))
+    p = additive.predict(rows, run.features, terms.where("model <> 'baseline'"))
     if algorithm == "regressor":
         out = p.select("text_id", "model", S.clamp(F.col("score"), 1.0, float(S.LEVELS)).alias("predicted"))
         base = terms.where("model = 'baseline'").select("model", F.col("score").alias("predicted"))
@@ -249,7 +275,7 @@ def report(run: Run) -> DataFrame:
     for task in TASKS:
         terms = _terms(run)(task, "classifier")
         if terms is not None:
-            parts = additive.contributions(rows, FEATURES, terms.where("model = 'combined'"))
+            parts = additive.contributions(rows, run.features, terms.where("model = 'combined'"))
             writers.write_by_output(metrics.contributions(parts), run.path(f"contributions-{task}"))
     return out
 
@@ -297,7 +323,7 @@ def cv_prepare(run: Run, tasks: list[str] = ("level", "cefr"), families: list[st
         run.write("folds", resample.grouped_folds(prepare(run).where("split <> 'test'"), run.folds))
     if not run.has("fold-rankings"):
         rows = prepare(run).where("split <> 'test'").join(run.read("folds"), "learner_id")
-        long = rows.unpivot(["text_id", "level", "fold"], FEATURES, "feature", "value")
+        long = relational.long_form(rows, run.features, ["text_id", "level", "fold"])
         run.write("fold-rankings", foldranks.rankings(long, "level", run.folds, run.top_k))
     if not run.has("jobs"):
         made = None
@@ -338,6 +364,9 @@ def cv_run(run: Run, job: str | None = None, parallel: int = 4) -> None:
     leave no executor idle; a job's result is a folder, so a stopped run goes on with those that are missing."""
     left = [j for j in cv_prepare(run).orderBy("place").collect() if job in (None, j["job_id"]) and not run.has(f"results/job_id={j['job_id']}")]
     sets = {k: fold_sets(run, k) for k in {j["fold"] for j in left}}
+    empty = sorted({j["family"] for j in left if j["kind"] == "fit" and not sets[j["fold"]].get(j["family"])})
+    if empty:
+        raise ValueError(f"no features in {empty}")
     with ThreadPoolExecutor(parallel) as pool:
         for done in [pool.submit(_cv_job, run, j, sets[j["fold"]][j["family"]]) for j in left]:
             done.result()
@@ -361,29 +390,35 @@ def validity(run: Run, check: str) -> DataFrame:
     follow the length within levels."""
     rows = prepare(run)
     if check == "length":
-        words = rows.select("text_id", F.col("complexity__basic__sum_qty").alias("words"))
-        return run.write("validity-length", correlate.length_dependence(_long(rows), words))
+        if run.given is not None and run.given.words is None:
+            raise ValueError("say which feature counts words")
+        words = rows.select("text_id", F.col(S.quoted("complexity__basic__sum_qty" if run.given is None else run.given.words)).alias("words"))
+        return run.write("validity-length", correlate.length_dependence(_long(run, rows), words))
+    if "topic" not in rows.columns:
+        raise ValueError("the texts have no topic")
     if check == "topic":
-        return run.write("validity-topic", experiments.transfer(rows, FEATURES, run.rounds, run.bins))
+        return run.write("validity-topic", experiments.transfer(rows, run.features, run.rounds, run.bins))
     folds = resample.task_folds(rows)
     every = None
     for k in range(1, 9):
         held = rows.join(F.broadcast(folds.where(F.col("fold") == k)), ["level", "topic"], "left_semi").where("split = 'validation'")
         train_rows = rows.join(F.broadcast(folds.where(F.col("fold") == k)), ["level", "topic"], "left_anti").where("split = 'train'").withColumn("model", F.lit("combined"))
-        p = additive.predict(held, FEATURES, additive.fit(train_rows, FEATURES, "level", "regressor", run.rounds, run.bins))
+        p = additive.predict(held, run.features, additive.fit(train_rows, run.features, "level", "regressor", run.rounds, run.bins))
         one = metrics.regression_scores(held.join(p.select("text_id", S.clamp(F.col("score"), 1.0, float(S.LEVELS)).alias("p")), "text_id"), "level", "p").withColumn("fold", F.lit(k))
         every = one if every is None else every.unionByName(one)
     return run.write("validity-tasks", every)
 
 
 def tables(run: Run) -> None:
-    """The written summaries of features, errors and correlations."""
+    """The written summaries of features and correlations and, of the bundled tables, which have edits, of errors."""
     rows = prepare(run)
-    long = _long(rows)
+    long = _long(run, rows)
     reports.write_lines(reports.feature_summary(describe.feature_statistics(long), describe.feature_statistics(long, "cefr_level", "level")), run.path("features.txt"))
     tests = correlate.correlations(long).withColumn("strength", S.strength(F.col("spearman")))
     tests = correlate.benjamini_hochberg(tests.withColumn("p", correlate.p_value(F.col("spearman"), F.col("n"))))
     reports.write_lines(reports.correlation_summary(tests), run.path("correlations.txt"))
+    if run.given is not None:
+        return
     r = rows.select("cefr_level", "level", F.col("accuracy__edits__total_errors").alias("errors"), F.col("complexity__basic__sum_qty").alias("words"), F.col("accuracy__edits__open_errors").alias("open")).where("words is not null")
     types = describe.error_types(adapters.edits(run.spark, run.tables), adapters.texts(run.spark, run.tables))
     reports.write_lines(reports.error_summary(describe.error_statistics(r, "errors", "words", "open"), types), run.path("errors.txt"))
