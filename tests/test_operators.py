@@ -274,6 +274,28 @@ def test_additive_model_learns_and_decomposes(spark):
     assert additive.dummy(df, "y", "classifier").where("score = 1").first()["output"] in ("hi", "lo")
 
 
+@pytest.mark.parametrize("kind", ["regressor", "classifier"])
+def test_models_from_counts_of_all_tasks_equal_those_of_one(spark, monkeypatch, kind):
+    rng = np.random.default_rng(7)
+    x, y = rng.random((900, 2)).round(2), rng.integers(0, 3, 900)
+    rows = [(f"m{i % 2}", i, float(a + t), None if i % 7 == 0 else float(b), 1.5, int(t)) for i, ((a, b), t) in enumerate(zip(x, y, strict=True))]
+    df = frame(spark, rows, "model string, text_id long, a double, `b.c` double, flat double, y long").repartition(5)
+    sets = {"both": ["a", "b.c", "flat"], "one": ["b.c"]}
+    monkeypatch.setattr(additive, "BLOCK", 50)
+
+    def terms(**more):
+        return {(r["model"], r["feature"], r["bin"], r["output"]): (r["low"], r["score"]) for r in additive.fit(df, ["a", "b.c", "flat"], "y", kind, rounds=12, bins=8, **more).collect()}
+
+    for more in ({}, {"sets": sets}):
+        monkeypatch.setattr(additive, "TASK_VALUES", 10**9)
+        want = terms(**more)
+        monkeypatch.setattr(additive, "TASK_VALUES", 0)
+        got = terms(**more)
+        assert got.keys() == want.keys() and len({m for m, *_ in got}) == 2
+        for key, (low, score) in want.items():
+            assert got[key] == (low if low is None else pytest.approx(low), pytest.approx(score, abs=1e-9)), key
+
+
 def test_smoothing_rounds_step_by_few_runs_of_bins():
     rng = np.random.default_rng(2)
     x = rng.random((500, 1))

@@ -1,19 +1,32 @@
-"""Additive boosted models: a lookup table of scores for each feature's bins, fitted one job to a task."""
+"""Additive boosted models: a lookup table of scores for each feature's bins.
+
+Models of few values are fitted one to a task. Of more, all tasks count, and only counts of bins are ever in one place: a
+regressor's rounds need nothing but how many rows two bins share and the labels' sum in each; a step of a classifier is a job
+that sums the gradients of its rows."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import scalars as S
-from textloom.operators import relational
+from textloom.operators import information, relational
 
 BINS, RATE, ROUNDS = 128, 0.04, 200
 #: Parts into which a smoothing round cuts a feature's bins.
 LEAVES = 3
+#: Values (rows times features) of a job up to which its model is fitted in one task, and bins of all features up to which
+#: the counts of pairs of bins are one matrix.
+TASK_VALUES, PAIRED_BINS = 3_000_000, 6_000
+#: Cells of a block of a classifier's rows.
+BLOCK = 1 << 15
 TERMS = "model string, feature string, bin int, low double, output string, score double"
 
 
@@ -56,15 +69,27 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, names: list[str], outputs: list[str
             g = np.stack([np.bincount(binned[j], grad[:, c], size) for c in range(k)], axis=1)
             h = np.stack([np.bincount(binned[j], hess[:, c], size) for c in range(k)], axis=1)
             if done < smoothing:
-                cuts = np.sort(rng.choice(np.arange(2, size), min(LEAVES - 1, size - 2), replace=False))
-                leaf = np.concatenate([[0], 1 + np.searchsorted(cuts, np.arange(1, size), "right")])
-                g, h = (np.stack([np.bincount(leaf, s[:, c])[leaf] for c in range(k)], axis=1) for s in (g, h))
+                g, h = _smooth(rng, g, h)
             step = rate * g / (h + 1.0)
             scores[j] += step
             z += step[binned[j]]
+    return _terms(names, edges, scores, start, outputs, [np.bincount(binned[j], minlength=len(edges[j]) + 2) for j in range(f)])
+
+
+def _smooth(rng: np.random.Generator, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of a feature's bins (bin, output), each replaced by that of its run between random cuts."""
+    size = len(g)
+    cuts = np.sort(rng.choice(np.arange(2, size), min(LEAVES - 1, size - 2), replace=False))
+    leaf = np.concatenate([[0], 1 + np.searchsorted(cuts, np.arange(1, size), "right")])
+    return tuple(np.stack([np.bincount(leaf, s[:, c])[leaf] for c in range(s.shape[1])], axis=1) for s in (g, h))
+
+
+def _terms(names: list[str], edges: list[np.ndarray], scores: list[np.ndarray], start: np.ndarray, outputs: list[str] | None, count: list[np.ndarray]) -> pd.DataFrame:
+    """A model's terms, each feature's scores less their mean over the rows, which ``count`` has by bin."""
+    k = len(start)
     rows = [("", 0, np.nan, o, float(s)) for o, s in zip(outputs or ["value"], start, strict=True)]
     for j, name in enumerate(names):
-        mean = np.average(scores[j][binned[j]], axis=0, weights=None)
+        mean = count[j] @ scores[j] / count[j].sum()
         for b in range(len(edges[j]) + 2):
             low = np.nan if b == 0 else (-np.inf if b == 1 else edges[j][b - 2])
             rows += [(name, b, low, o, float(s - m)) for o, s, m in zip(outputs or ["value"], scores[j][b], mean, strict=True)]
@@ -73,11 +98,185 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, names: list[str], outputs: list[str
     return pd.DataFrame(rows, columns=["feature", "bin", "low", "output", "score"])
 
 
-def fit(jobs: DataFrame, features: list[str], label: str, kind: str, rounds: int = ROUNDS, bins: int = BINS) -> DataFrame:
-    """Terms of the models of all jobs: jobs has a row for each (model, text) with features and label. A model's rounds
-    depend on each other, so each model is one task and jobs are what runs side by side."""
+def _binned(columns: list[pa.Array], edges: list[np.ndarray]) -> np.ndarray:
+    """(row, feature): the bins of Arrow columns of values."""
+    out = np.zeros((len(columns[0]), len(edges)), dtype=np.int16)
+    for j, (c, e) in enumerate(zip(columns, edges, strict=True)):
+        x = c.to_numpy(zero_copy_only=False).astype(float)
+        out[:, j] = np.where(np.isnan(x), 0, np.searchsorted(e, x, "right") + 1)
+    return out
+
+
+def _paired(rows: DataFrame, columns: list[str], edges: list[np.ndarray]) -> np.ndarray:
+    """(bin, bin + 1): how many rows two bins share, the bins of all features after each other, and the sums of y last."""
+    size = [len(e) + 2 for e in edges]
+    at = np.concatenate([[0], np.cumsum(size)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((at[-1], at[-1] + 1))
+        for batch in batches:
+            y = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+            code = _binned(batch.columns[1:], edges).astype(np.int64)
+            for i in range(len(edges)):
+                out[at[i] : at[i + 1], -1] += np.bincount(code[:, i], y, size[i])
+                for j in range(i, len(edges)):
+                    out[at[i] : at[i + 1], at[j] : at[j + 1]] += np.bincount(code[:, i] * size[j] + code[:, j], minlength=size[i] * size[j]).reshape(size[i], size[j])
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
+
+    add = lambda a, b: (np.frombuffer(a) + np.frombuffer(b)).tobytes()
+    own = rows.select("y", *columns).mapInArrow(count, "sums binary").rdd.map(lambda r: bytes(r["sums"]))
+    out = np.frombuffer(own.treeReduce(add, depth=3)).reshape(at[-1], at[-1] + 1).copy()
+    pair = out[:, :-1]
+    out[:, :-1] = pair + pair.T - np.diag(np.diag(pair))
+    return out
+
+
+def fit_sums(paired: np.ndarray, edges: list[np.ndarray], names: list[str], use: list[int], rounds: int, rate: float = RATE, smoothing: int | None = None) -> pd.DataFrame:
+    """What ``fit_arrays`` gives for a regressor on the features of the places ``use``, from the sums of ``_paired``: the
+    residuals' sum in a bin is the labels' less the scores of all bins by the rows that they share with it."""
+    at = np.concatenate([[0], np.cumsum([len(e) + 2 for e in edges])])
+    part = [np.arange(at[j], at[j + 1]) for j in use]
+    own = np.concatenate(part)
+    shared, label = paired[np.ix_(own, own)], paired[own, -1]
+    place = np.concatenate([[0], np.cumsum([len(p) for p in part])])
+    count = np.diag(shared)
+    first = slice(place[0], place[1])
+    start = label[first].sum() / count[first].sum()
+    score = np.zeros(len(own))
+    smoothing = min(50, rounds // 4) if smoothing is None else smoothing
+    rng = np.random.default_rng(0)
+    for done in range(rounds):
+        for j in range(len(use)):
+            mine = slice(place[j], place[j + 1])
+            g, h = (label[mine] - start * count[mine] - shared[mine] @ score)[:, None], count[mine][:, None]
+            if done < smoothing:
+                g, h = _smooth(rng, g, h)
+            score[mine] += (rate * g / (h + 1.0))[:, 0]
+    slices = [slice(place[j], place[j + 1]) for j in range(len(use))]
+    return _terms([names[j] for j in use], [edges[j] for j in use], [score[m][:, None] for m in slices], np.array([start]), None, [count[m] for m in slices])
+
+
+def _cells(rows: DataFrame, columns: list[str], edges: list[np.ndarray], sets: list[list[int]]) -> DataFrame:
+    """(model, y, cell, n): the rows of each model with equal bins and label, counted; cell: the bins, two bytes each."""
 
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = _binned(batch.columns[1:], edges)
+            for m, use in enumerate(sets):
+                raw = np.ascontiguousarray(code[:, use]).tobytes()
+                cell = pa.Array.from_buffers(pa.binary(2 * len(use)), batch.num_rows, [None, pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, m, np.int32)), batch.column(0), cell], ["model", "y", "cell"])
+
+    return rows.select("y", *columns).mapInArrow(one, "model int, y string, cell binary").groupBy("model", "y", "cell").agg(F.count("*").alias("n"))
+
+
+def fit_steps(rows: DataFrame, columns: list[str], edges: list[np.ndarray], names: list[str], sets: list[list[int]], classes: dict[str, int], rounds: int, rate: float = RATE) -> list[pd.DataFrame]:
+    """What ``fit_arrays`` gives for classifiers on the features of the places in each of ``sets``, over the same rows.
+
+    Equal rows of a model are one cell with their number. Blocks of cells stay on the executors' disks; a job takes the scores
+    so far and gives back each model's sums of gradients for the bins of its next feature, so all models step side by side."""
+    outputs = sorted(classes)
+    k, n = len(outputs), sum(classes.values())
+    weight = n / (np.array([classes[o] for o in outputs]) * float(k))
+    code_of = {o: i for i, o in enumerate(outputs)}
+    size = [[len(edges[j]) + 2 for j in use] for use in sets]
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            model = batch.column(0).to_numpy()
+            y = np.array([code_of[o] for o in batch.column(1).to_pylist()], dtype=np.int8 if k < 128 else np.int32)
+            n = batch.column(3).to_numpy().astype(float)
+            for m in np.unique(model):
+                at = np.flatnonzero(model == m)
+                cell = np.frombuffer(b"".join(batch.column(2).take(pa.array(at)).to_pylist()), np.int16).reshape(len(at), len(sets[m]))
+                yield pa.RecordBatch.from_arrays([pa.array([int(m)], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in (np.ascontiguousarray(cell.T), y[at], n[at])]], ["model", "cell", "y", "n"])
+
+    # a block of all models' cells to a batch: few, large ones, or a step would wait for their number
+    spark = rows.sparkSession
+    size_before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK))
+    try:
+        parts = max(1, spark.sparkContext.defaultParallelism)
+        dealt = _cells(rows, columns, edges, sets).repartition(parts).sortWithinPartitions("model").mapInArrow(blocks, "model int, cell binary, y binary, n binary")
+        kept = dealt.rdd.map(lambda r: (r["model"], bytes(r["cell"]), bytes(r["y"]), bytes(r["n"]))).persist(StorageLevel.DISK_ONLY)
+        kept.count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size_before)
+    kind = np.int8 if k < 128 else np.int32
+
+    def sums(scores: list[list[np.ndarray]], step: int) -> list[np.ndarray | None]:
+        """For each model with a feature of this place: gradients and their slopes, (2, bin, class)."""
+
+        def run(part: Iterator[tuple]) -> Iterator[dict]:
+            out: dict[int, np.ndarray] = {}
+            for m, cell, y, n in part:
+                if step >= len(sets[m]):
+                    continue
+                n = np.frombuffer(n)
+                code, y = np.frombuffer(cell, np.int16).reshape(len(sets[m]), len(n)), np.frombuffer(y, kind)
+                z = np.zeros((k, len(n)))
+                for j, s in enumerate(scores[m]):
+                    z += s.T[:, code[j]]
+                z -= z.max(axis=0)
+                np.exp(z, out=z)
+                z /= z.sum(axis=0)
+                w = weight[y] * n
+                own = out.setdefault(m, np.zeros((2, size[m][step], k)))
+                for c in range(k):
+                    p = z[c]
+                    own[0, :, c] += np.bincount(code[step], ((y == c) - p) * w, size[m][step])
+                    own[1, :, c] += np.bincount(code[step], p * (1 - p) * w, size[m][step])
+            yield out
+
+        found: list[np.ndarray | None] = [None] * len(sets)
+        for out in kept.mapPartitions(run).collect():
+            for m, own in out.items():
+                found[m] = own if found[m] is None else found[m] + own
+        return found
+
+    try:
+        scores = [[np.zeros((b, k)) for b in own] for own in size]
+        count = kept.mapPartitions(lambda part: [_counted(part, size)]).reduce(lambda a, b: [[x + y for x, y in zip(*own, strict=True)] for own in zip(a, b, strict=True)])
+        smoothing = min(50, rounds // 4)
+        rng = [np.random.default_rng(0) for _ in sets]
+        for done in range(rounds):
+            for step in range(max(map(len, sets), default=0)):
+                for m, own in enumerate(sums(scores, step)):
+                    if own is not None:
+                        g, h = _smooth(rng[m], *own) if done < smoothing else own
+                        scores[m][step] += rate * g / (h + 1.0)
+    finally:
+        kept.unpersist()
+    return [_terms([names[j] for j in use], [edges[j] for j in use], scores[m], np.zeros(k), outputs, count[m]) for m, use in enumerate(sets)]
+
+
+def _counted(part: Iterator[tuple], size: list[list[int]]) -> list[list[np.ndarray]]:
+    """The rows of each bin of each model's features in blocks of cells."""
+    out = [[np.zeros(b) for b in own] for own in size]
+    for m, cell, _, n in part:
+        n = np.frombuffer(n)
+        for j, code in enumerate(np.frombuffer(cell, np.int16).reshape(len(size[m]), len(n))):
+            out[m][j] += np.bincount(code, n, size[m][j])
+    return out
+
+
+def fit(jobs: DataFrame, features: list[str], label: str, kind: str, rounds: int = ROUNDS, bins: int = BINS, sets: dict[str, list[str]] | None = None) -> DataFrame:
+    """Terms of the models of all jobs: jobs has a row for each (model, text) with features and label. sets: jobs has a row for
+    each text instead, which every model of sets has, on its own features.
+
+    A model's rounds depend on each other. Up to TASK_VALUES values a model is one task and jobs are what runs side by side;
+    beyond, counts of bins are summed by all tasks and the rounds done from them. Both do the same steps. Features of over
+    PAIRED_BINS bins are one task a model at any size."""
     columns = [f"f{i}" for i in range(len(features))]  # a feature's own name may hold dots, which pandas functions don't take
+    model = F.lit("") if sets is not None else F.col("model")
+    rows = jobs.select(model.alias("model"), "text_id", label, *map(S.quoted, features)).toDF("model", "text_id", "label", *columns)
+    most = max((r["n"] for r in rows.groupBy("model").agg(F.count("*").alias("n")).collect()), default=0) * len(features)
+    if most > TASK_VALUES and len(features) * (bins + 2) <= PAIRED_BINS:
+        return _fit_counts(rows, columns, features, kind, rounds, bins, sets)
+    if sets is not None:
+        use = {c: [m for m, own in sets.items() if f in own] for c, f in zip(columns, features, strict=True)}
+        rows = rows.withColumn("model", F.explode(F.array(*[F.lit(m) for m in sets])))
+        rows = rows.withColumns({c: F.when(F.col("model").isin(m), F.col(c)) for c, m in use.items()})
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("text_id")
@@ -88,7 +287,41 @@ def fit(jobs: DataFrame, features: list[str], label: str, kind: str, rounds: int
         out.insert(0, "model", pdf["model"].iloc[0])
         return out
 
-    return jobs.select("model", "text_id", label, *map(S.quoted, features)).toDF("model", "text_id", "label", *columns).groupBy("model").applyInPandas(one, TERMS)
+    return rows.groupBy("model").applyInPandas(one, TERMS)
+
+
+def _fit_counts(rows: DataFrame, columns: list[str], features: list[str], kind: str, rounds: int, bins: int, sets: dict[str, list[str]] | None) -> DataFrame:
+    """``fit`` for rows of (model, label, columns) that no single task holds."""
+    spark = rows.sparkSession
+    y = F.col("label").cast("double" if kind == "regressor" else "string")
+    values = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]
+    rows = rows.select("model", y.alias("y"), *values).where("y is not null").persist(StorageLevel.DISK_ONLY)
+    try:
+        cuts: dict[tuple, list[tuple]] = {}
+        for r in information.quantiles(relational.long_form(rows, columns, ["model"]), bins, ("model", "feature")).collect():
+            cuts.setdefault((r["model"], r["feature"]), []).append((r["k"], r["cut"], r["n"]))
+        every = []
+        for (m,) in sorted(rows.select("model").distinct().collect()):
+            mine = rows.where(F.col("model") == m)
+            line = {c: sorted(cuts.get((m, c), [])) for c in columns}
+            usable = [c for c in columns if line[c] and line[c][0][2] >= 20 and line[c][0][1] < line[c][-1][1]]
+            names = [features[columns.index(c)] for c in usable]
+            edges = [np.unique([x for _, x, _ in line[c][1:-1]]) for c in usable]
+            models = {m: names} if sets is None else sets
+            use = [[j for j, f in enumerate(names) if f in own] for own in models.values()]
+            if kind == "classifier":
+                classes = {r["y"]: r["n"] for r in mine.groupBy("y").agg(F.count("*").alias("n")).collect()}
+                found = fit_steps(mine, usable, edges, names, use, classes, rounds)
+            else:
+                paired = _paired(mine, usable, edges)
+                found = [fit_sums(paired, edges, names, own, rounds) for own in use]
+            for name, out in zip(models, found, strict=True):
+                out.insert(0, "model", name)
+                every.append(out)
+    finally:
+        rows.unpersist()
+    lines = pd.concat(every)
+    return spark.createDataFrame([(r[0], r[1], int(r[2]), None if np.isnan(r[3]) else float(r[3]), r[4], float(r[5])) for r in lines.itertuples(index=False)], TERMS)
 
 
 def contributions(rows: DataFrame, features: list[str], terms: DataFrame) -> DataFrame:

@@ -43,14 +43,10 @@ def job_order(table: DataFrame, first: list[str] = ()) -> DataFrame:
 
 
 def fit_all(rows: DataFrame, models: dict[str, list[str]], label: str, kind: str, rounds: int = additive.ROUNDS, bins: int = additive.BINS) -> DataFrame:
-    """Terms of a model for each set of features and of its baseline. Rows of all models meet in one shuffle by model;
-    each model is one task, so the jobs run side by side and a lost one is run again by Spark."""
+    """Terms of a model for each set of features and of its baseline. All models have the same rows, of which few are copied
+    to a task for each model and many are counted once for all models; a lost task is run again by Spark."""
     every = list(dict.fromkeys(f for v in models.values() for f in v))
-    own = F.explode(F.array(*[F.lit(m) for m in models]))
-    wide = rows.withColumn("model", own)
-    use = {f: [m for m, v in models.items() if f in v] for f in every}
-    wide = wide.withColumns({f: F.when(F.col("model").isin(m), F.col(S.quoted(f))) for f, m in use.items()})
-    terms = additive.fit(wide, every, label, kind, rounds, bins)
+    terms = additive.fit(rows, every, label, kind, rounds, bins, models)
     return terms.unionByName(additive.dummy(rows, label, kind))
 
 

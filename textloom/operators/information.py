@@ -52,20 +52,30 @@ def information_gain(long: DataFrame, target: str = "level", fraction: float = 0
     return every.join(best, "feature", "left").fillna(0.0, ["gain", "normalised"])
 
 
+def quantiles(long: DataFrame, bins: int, by: tuple[str, ...] = ("feature",)) -> DataFrame:
+    """(by, n, k, cut): the exact quantiles k / bins, k from 0 to bins, of each group's values, found by running counts over
+    ranges of its distinct values; n values are there."""
+    cells = long.where("value is not null").groupBy(*by, F.col("value").cast("double").alias("value")).agg(F.count("*").alias("c"))
+    cells = running(cells, [*by], "value", ["c"])
+    # the k-th of bins cuts lies at place k / bins (n - 1) of the sorted values, between two of them
+    place = lambda k: k.cast("double") / bins * (F.col("c_all") - 1)
+    last = F.greatest(F.col("c_all") - 1, F.lit(1))
+    # only cuts near a value's places are looked at, and of these kept that touch it
+    near = F.sequence(F.greatest(F.floor((F.col("c_upto") - F.col("c") - 1) * bins / last) - 1, F.lit(0)), F.least(F.ceil(F.col("c_upto") * bins / last) + 1, F.lit(bins)))
+    touches = lambda at: (at < F.col("c_upto")) & (at >= F.col("c_upto") - F.col("c"))
+    mine = F.filter(F.when(F.col("c_all") > 1, near).otherwise(F.sequence(F.lit(0).cast("long"), F.lit(bins).cast("long"))), lambda k: touches(F.floor(place(k))) | touches(F.ceil(place(k))))
+    found = cells.select(*by, "value", "c_all", F.explode(mine).alias("k")).groupBy(*by, "k").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.first("c_all").alias("n"))
+    at = F.col("k").cast("double") / bins * (F.col("n") - 1)
+    cut = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((F.ceil(at) - at) * F.col("low") + (at - F.floor(at)) * F.col("high"))
+    return found.select(*by, "n", F.col("k").cast("int").alias("k"), cut.alias("cut"))
+
+
 def quantile_bins(long: DataFrame, bins: int = 20) -> DataFrame:
     """long with ``bin``: 0 for a null value, else 1 plus the number of distinct quantile edges at or below the value. The
-    edges are exact quantiles, found by running counts over ranges of a feature's distinct values."""
-    cells = long.where("value is not null").groupBy("feature", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("c"))
-    cells = running(cells, ["feature"], "value", ["c"])
-    # the k-th of bins cuts lies at place k / bins (n - 1) of the sorted values, between two of them
-    place = lambda k: (k if isinstance(k, Column) else F.lit(k)).cast("double") / bins * (F.col("c_all") - 1)
-    ends = [F.struct(F.lit(k).alias("k"), end(place(k)).cast("long").alias("at")) for k in range(bins + 1) for end in (F.floor, F.ceil)]
-    mine = F.filter(F.array(*ends), lambda x: (x["at"] < F.col("c_upto")) & (x["at"] >= F.col("c_upto") - F.col("c")))
-    found = cells.select("feature", "value", "c_all", F.explode(mine).alias("x")).groupBy("feature", "x.k").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.max(place(F.col("x.k"))).alias("place"))
-    cut = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((F.ceil("place") - F.col("place")) * F.col("low") + (F.col("place") - F.floor("place")) * F.col("high"))
-    edges = found.groupBy("feature").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("k", cut.alias("cut")))), lambda x: x["cut"])).alias("edges"))
+    edges are exact quantiles, a few for each feature, which every task gets."""
+    edges = quantiles(long, bins).groupBy("feature").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("k", "cut"))), lambda x: x["cut"])).alias("edges"))
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    joined = long.join(edges, "feature", "left")
+    joined = long.join(F.broadcast(edges), "feature", "left")
     count = F.size(F.filter(F.coalesce(inner, F.array().cast("array<double>")), lambda e: e <= F.col("value"))) + 1
     return joined.withColumn("bin", F.when(F.col("value").isNull(), 0).otherwise(count)).drop("edges")
 
