@@ -255,8 +255,9 @@ def p20(spark, sf):
 def p27(spark, sf):
     path = _scratch(spark) + "/predictions"
     predictions(spark, sf).select("text_id", "cefr_level", "predicted_cefr").repartition(5).write.parquet(path)
-    rows = readers.read_predictions(spark, path).withColumn("n", F.monotonically_increasing_id())
-    ordered = information.running(rows.withColumn("one", F.lit(1)).withColumn("g", F.lit(0)), ["g"], "n", ["one"])
+    # numbered by the ids themselves: a row's number in a sorted frame depends on how each of its uses is cut to ranges
+    rows = readers.read_predictions(spark, path).withColumns({"one": F.lit(1), "g": F.lit(0)})
+    ordered = information.running(rows, ["g"], "text_id", ["one"])
     return ordered.select("text_id", "cefr_level", "predicted_cefr", F.col("one_upto").alias("place"))
 
 
