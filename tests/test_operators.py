@@ -414,3 +414,34 @@ def test_streams(spark, tmp_path):
     q = incremental.running_counts(incremental.rows_of(spark, src, schema), ["level"]).writeStream.outputMode("complete").format("memory").queryName("levels").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("levels").agg(F.sum("n")).first()[0] == 23
+
+
+def test_any_number_of_failing_rows_are_set_aside_one_by_one(spark, tmp_path):
+    """More faults than ``process`` looks for one by one."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(2000).selectExpr("id", "if(id % 3 = 0, null, id / 2) as half").write.parquet(src)
+
+    def work(rows):
+        if (rows["id"] % 10 == 7).any():
+            raise ValueError("seven")
+        return rows
+
+    incremental.process_rows(incremental.rows_of(spark, src, "id long, half double"), work, "id long, half double", out, out + "-failed", str(tmp_path / "cp"), 2).awaitTermination()
+    done, lost = spark.read.parquet(out), spark.read.parquet(out + "-failed")
+    assert sorted(values(done, "id")) == [i for i in range(2000) if i % 10 != 7]
+    assert done.where("half <=> if(id % 3 = 0, null, id / 2)").count() == 1800
+    assert sorted(values(lost, "id")) == list(range(7, 2000, 10))
+    assert {(r["tries"], r["reason"]) for r in lost.collect()} == {(2, "seven")}
+
+
+def test_places_of_predictions_hold_however_frames_are_cut(spark, monkeypatch):
+    """Each use of a sorted frame may be cut to ranges of its own."""
+    from textloom.plans import files as plans
+    from textloom.sources import readers
+
+    rows = frame(spark, [(i, "A1", "A1") for i in range(1, 400)], "text_id long, cefr_level string, predicted_cefr string")
+    monkeypatch.setattr(plans, "predictions", lambda spark, sf: rows)
+    real = readers.read_predictions
+    monkeypatch.setattr(readers, "read_predictions", lambda spark, path: real(spark, path).repartition(7))
+    got = {r["text_id"]: r["place"] for r in plans.p27(spark, "").collect()}
+    assert got == {i: i for i in range(1, 400)}

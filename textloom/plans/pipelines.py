@@ -100,8 +100,13 @@ def m03(spark, sf):
 def m04(spark, sf):
     """Work that some rows make fail: the others' results land, and each of these rows is set aside by itself."""
     base = _scratch(spark)
-    work = lambda rows: rows.select("event_id", F.when(F.col("event_id") % 4001 == 7, F.raise_error(F.lit("bad row")).cast("double")).otherwise(F.col("value")).alias("value"))
-    incremental.process(_stream(spark, sf).select("event_id", "value"), work, f"{base}/ok", f"{base}/failed", f"{base}/checkpoint", 2).awaitTermination()
+
+    def work(rows):
+        if (rows["event_id"] % 4001 == 7).any():
+            raise ValueError("bad row")
+        return rows[["event_id", "value"]]
+
+    incremental.process_rows(_stream(spark, sf).select("event_id", "value"), work, "event_id long, value double", f"{base}/ok", f"{base}/failed", f"{base}/checkpoint", 2).awaitTermination()
     read = lambda name, schema: spark.read.schema(schema).option("ignoreMissingFiles", True).parquet(f"{base}/{name}")
     done = read("ok", "event_id long").select("event_id", F.lit(False).alias("failed"), F.lit(None).cast("int").alias("tries"))
     if not files.exists(f"{base}/failed"):  # no row failed

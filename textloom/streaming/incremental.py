@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -94,3 +95,46 @@ def process(stream: DataFrame, work: Callable[[DataFrame], DataFrame], ok: str,
             lost.write.mode("overwrite").parquet(f"{failed}/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _tried(rows: pd.DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], tries: int) -> Iterator[tuple[pd.DataFrame, str | None]]:
+    """(result, None) of parts of rows that work, and (row, reason) of each row that fails by itself ``tries`` times."""
+    todo = [rows]
+    while todo:
+        part = todo.pop()
+        for left in range(tries if len(part) == 1 else 1, 0, -1):
+            try:
+                yield work(part), None
+                break
+            except Exception as why:  # whatever the work raises is the row's reason
+                if len(part) > 1:
+                    todo += [part[len(part) // 2 :], part[: len(part) // 2]]
+                elif left == 1:
+                    yield part, str(why)[:500]
+
+
+def process_rows(stream: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, ok: str, failed: str, checkpoint: str, tries: int = 3) -> StreamingQuery:
+    """``process`` for work in Python that treats the rows of a frame one by one and gives rows of ``schema``. A task halves the
+    frames that fail, so any number of faults are each set aside by themselves in one pass over a batch."""
+    given = stream.schema
+    out = f"done struct<{schema}>, row {given.simpleString()}, reason string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            for part, why in _tried(rows, work, tries):
+                lines, none = part.astype(object).where(part.notna(), None).to_dict("records"), [None] * len(part)
+                yield pd.DataFrame({"done": lines if why is None else none, "row": none if why is None else lines, "reason": [why] * len(part)}, dtype=object)
+
+    def each(batch: DataFrame, number: int) -> None:
+        every = batch.mapInPandas(run, out)
+        at = f"{ok}/batch={number}", f"{failed}/batch={number}"
+        # one pass runs the work, and both tables are read from what it wrote
+        whole = f"{checkpoint}-work/batch={number}"
+        every.write.mode("overwrite").parquet(whole)
+        every = batch.sparkSession.read.schema(every.schema).parquet(whole)
+        every.where("reason is null").select("done.*").write.mode("overwrite").parquet(at[0])
+        lost = every.where("reason is not null")
+        if not lost.isEmpty():
+            lost.select("row.*", "reason", F.lit(tries).alias("tries")).write.mode("overwrite").parquet(at[1])
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
