@@ -8,7 +8,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +76,10 @@ def chunks(df: DataFrame, text: str = "text", most: int = 45) -> DataFrame:
     return rows.withColumn("w", w).select("doc_id", "sentence", F.posexplode(cut).alias("chunk", "c")).select("doc_id", "sentence", "chunk", F.size("c").alias("words"))
 
 
+#: Texts that a task has as Python objects at a time.
+ALIGNED = 64
+
+
 class _Matcher(difflib.SequenceMatcher):
     """difflib's alignment, without junk, where words that occur often don't make its steps quadratic."""
 
@@ -127,14 +131,19 @@ def align(pairs: DataFrame) -> DataFrame:
     The alignment is Python in Arrow batches; the roll-up of edits is plain expressions (describe.text_rollup)."""
     schema = "text_id long, edits array<struct<operation string, start long, stop long, corrected_start long, corrected_stop long, original string, corrected string>>"
     names = {"insert": "M", "delete": "U", "replace": "R"}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for a, b in zip(pdf["original"], pdf["corrected"], strict=True):
-                x, y = (a or "").split(), (b or "").split()
-                ops = _Matcher(None, x, y, autojunk=False).get_opcodes() if a != b else []
-                out.append([(names[op], i, j, k, m, " ".join(x[i:j]), " ".join(y[k:m])) for op, i, j, k, m in ops if op != "equal"])
-            yield pd.DataFrame({"text_id": pdf["text_id"], "edits": out})
-
-    return pairs.select("text_id", "original", "corrected").mapInPandas(run, schema)
+    fields = ["operation", "start", "stop", "corrected_start", "corrected_stop", "original", "corrected"]
+    kind = pa.list_(pa.struct([(f, pa.int64() if "st" in f else pa.string()) for f in fields]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ALIGNED):
+                part, out = batch.slice(lo, ALIGNED).to_pydict(), []
+                for a, b in zip(part["original"], part["corrected"], strict=True):
+                    x, y = (a or "").split(), (b or "").split()
+                    ops = _Matcher(None, x, y, autojunk=False).get_opcodes() if a != b else []
+                    line = (op for op in ops if op[0] != "equal")
+                    out.append([(names[op], i, j, k, m, " ".join(x[i:j]), " ".join(y[k:m])) for op, i, j, k, m in line])
+                edits = [[dict(zip(fields, e, strict=True)) for e in own] for own in out]
+                yield pa.RecordBatch.from_arrays([pa.array(part["text_id"], pa.int64()), pa.array(edits, kind)], ["text_id", "edits"])
+
+    return pairs.select("text_id", "original", "corrected").mapInArrow(run, schema)
