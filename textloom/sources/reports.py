@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,14 @@ def error_summary(statistics: DataFrame, types: DataFrame, top: int = 20) -> lis
 def correlation_summary(tests: DataFrame, top: int = 5) -> list[str]:
     """Counts of each strength, of results that stay after false-discovery control, and the strongest each way.
     tests: (feature, spearman, strength, q)."""
-    counts = {r["strength"]: r["n"] for r in small(tests.groupBy(F.coalesce("strength", F.lit("not calculable")).alias("strength")).agg(F.count("*").alias("n")))}
+    rows = small(tests.select("feature", "spearman", "strength", "q"))  # once: each use would make the correlations anew
+    counts = Counter(r["strength"] or "not calculable" for r in rows)
     order = ["very strong", "strong", "moderate", "weak", "very weak", "not calculable"]
-    up = small(tests.where("spearman > 0").orderBy(F.col("spearman").desc(), "feature").limit(top))
-    down = small(tests.where("spearman < 0").orderBy("spearman", "feature").limit(top))
+    some = sorted((r for r in rows if r["spearman"] is not None), key=lambda r: r["feature"])
+    up = sorted((r for r in some if r["spearman"] > 0), key=lambda r: -r["spearman"])[:top]
+    down = sorted((r for r in some if r["spearman"] < 0), key=lambda r: r["spearman"])[:top]
     show = lambda rows: [f"{i}. {r['feature']}: {r['spearman']:.4f}" for i, r in enumerate(rows, 1)]
-    significant = tests.where("q < 0.05").count()
+    significant = sum(r["q"] is not None and r["q"] < 0.05 for r in rows)
     return ["CORRELATIONS WITH THE LEVEL", "=" * 72, f"Features: {sum(counts.values()):,}", *_section("STRENGTH (SPEARMAN)", [f"{k}: {counts.get(k, 0):,}" for k in order] + [f"significant: {significant:,}"]), *_section("POSITIVE", show(up)), *_section("NEGATIVE", show(down))]
 
 
