@@ -445,3 +445,36 @@ def test_places_of_predictions_hold_however_frames_are_cut(spark, monkeypatch):
     monkeypatch.setattr(readers, "read_predictions", lambda spark, path: real(spark, path).repartition(7))
     got = {r["text_id"]: r["place"] for r in plans.p27(spark, "").collect()}
     assert got == {i: i for i in range(1, 400)}
+
+
+def test_gain_has_no_row_for_each_value_and_class(spark):
+    long = frame(spark, [("f", float(i), i % 5) for i in range(60)], "feature string, value double, level int")
+    gain = information.information_gain(long)
+    assert gain._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 4
+    assert gain.first()["n"] == 60
+
+
+def test_correlation_summary_reads_its_tests_once(spark, monkeypatch):
+    from textloom.sources import reports
+
+    calls, real = [], reports.small
+    monkeypatch.setattr(reports, "small", lambda df: calls.append(1) or real(df))
+    rows = frame(spark, [("b", 0.9, "very strong", 0.01), ("a", 0.9, "very strong", 0.2), ("c", -0.3, "weak", 0.01), ("d", None, None, None)], "feature string, spearman double, strength string, q double")
+    lines = reports.correlation_summary(rows)
+    assert len(calls) == 1
+    assert [x for x in lines if ". " in x] == ["1. a: 0.9000", "2. b: 0.9000", "1. c: -0.3000"]
+    assert {"very strong: 2", "weak: 1", "not calculable: 1", "significant: 2"} <= set(lines)
+
+
+def test_a_range_holds_a_thousandth_of_a_power_of_two(spark):
+    from textloom.functions.ranges import range_of
+
+    n = spark.range(1 << 15, 1 << 16).groupBy(range_of(F.col("id").cast("double"))).count()
+    assert n.count() == 1024 and n.agg(F.max("count")).first()[0] == 32
+
+
+def test_alignment_takes_few_texts_at_a_time(spark, monkeypatch):
+    pairs = frame(spark, [(i, f"a b{i % 3} c", "a b1 c d") for i in range(7)] + [(7, None, "x")], "text_id long, original string, corrected string").coalesce(1)
+    want = textmeasures.align(pairs).collect()
+    monkeypatch.setattr(textmeasures, "ALIGNED", 2)
+    assert textmeasures.align(pairs).collect() == want and [len(r["edits"]) for r in want] == [2, 1, 2, 2, 1, 2, 2, 1]

@@ -29,15 +29,19 @@ def information_gain(long: DataFrame, target: str = "level", fraction: float = 0
     """(feature, n, gain, normalised, threshold, low_mean, high_mean) of the best binary split of each feature, by
     entropy in bits; both sides hold at least max(2, ceil(fraction n)) rows; ties go to the lowest threshold.
 
-    Values first become distinct (value, class) counts; cumulative counts, summed over ranges of values, give both sides of
-    every split. Needs as many rows as a feature has distinct values times classes."""
+    Values first become distinct values with a count for each class; cumulative counts, summed over ranges of values, give
+    both sides of every split. There are as many rows as distinct values; classes are few and their names are read first."""
     rows = long.where(F.col("value").isNotNull() & F.col(target).isNotNull()).withColumn("y", F.col(target).cast("double"))
-    cell = rows.groupBy("feature", "value", "y").agg(F.count("*").alias("c"))
-    classes = cell.select("feature", "y").distinct()
-    grid = cell.select("feature", "value").distinct().join(classes, "feature").join(cell, ["feature", "value", "y"], "left").fillna(0, ["c"])
-    grid = running(grid, ["feature", "y"], "value", ["c"]).withColumnsRenamed({"c_upto": "l", "c_all": "t"}).withColumn("r", F.col("t") - F.col("l"))
-    xlx = lambda c: F.sum(F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c).cast("double"))).otherwise(F.lit(0.0)))
-    side = grid.groupBy("feature", "value").agg(*[F.sum(c).alias(f"n{c}") for c in "ltr"], *[xlx(c).alias(f"x{c}") for c in "ltr"], *[F.sum(F.col(c) * F.col("y")).alias(f"s{c}") for c in "lr"])
+    classes = [r["y"] for r in rows.select("y").distinct().orderBy("y").collect()]
+    at = range(len(classes))
+    cell = rows.groupBy("feature", "value").agg(*[F.count_if(F.col("y") == y).alias(f"c{i}") for i, y in enumerate(classes)])
+    grid = running(cell, ["feature"], "value", [f"c{i}" for i in at])
+    left, whole = [F.col(f"c{i}_upto") for i in at], [F.col(f"c{i}_all") for i in at]
+    right = [t - l for l, t in zip(left, whole, strict=True)]
+    total = lambda parts: sum(parts, F.lit(0))
+    xlx = lambda parts: sum((F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0)) for c in parts), F.lit(0.0))
+    sides = {"l": left, "t": whole, "r": right}
+    side = grid.select("feature", "value", *[total(c).alias(f"n{k}") for k, c in sides.items()], *[xlx(c).alias(f"x{k}") for k, c in sides.items()], *[sum((c * y for c, y in zip(sides[k], classes, strict=True)), F.lit(0.0)).alias(f"s{k}") for k in "lr"])
     side = following(side, ["feature"], "value", "next")
     n = F.col("nt").cast("double")
     side = side.withColumn("h", _h(F.col("nt"), F.col("xt")))
