@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Ranges between two powers of two.
-STEPS = 1024
+STEPS = 256
 
 
 def range_of(value: Column) -> Column:
