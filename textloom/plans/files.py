@@ -39,7 +39,7 @@ def a11(spark, sf):
     """A text for each customer, its labels in the file's name and read back from it."""
     path, level = _scratch(spark) + "/texts", F.col("c_custkey") % 15
     band = F.element_at(F.array(*map(F.lit, BANDS5)), (F.floor(level / 3) + 1).cast("int"))
-    name = F.concat_ws("_", "c_custkey", F.lit("cefr"), band, F.lit("level"), level + 1)
+    name = F.concat(F.col("c_custkey").cast("string"), F.lit("_cefr_"), band, F.lit("_level_"), (level + 1).cast("string"))
     writers.write_texts(table(spark, sf, "customer").select(name.alias("name"), "c_name"), path, "name", "c_name")
     n = F.col("filename")
     return readers.read_texts(spark, path).select("filename", S.band_of_name(n).alias("cefr_level"), S.level_of_name(n).alias("level"), "text")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions import scalars as S
-from textloom.sources import files
+from textloom.sources import files, textfiles
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, short_rows: str = "pad") -> DataFrame:
@@ -171,9 +171,8 @@ def read_json(path: str) -> dict:
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, text) of a folder that ``writers.write_texts`` wrote."""
-    out = spark.read.schema("value string, filename string").text(path, wholetext=True)
-    return out.select("filename", F.regexp_replace("value", "\n\\z", "").alias("text"))
+    """(filename, text) of a folder that ``writers.write_texts`` wrote; every task lists and reads its own folder of files."""
+    return spark.read.format(textfiles.registered(spark)).load(path)
 
 
 def read_scores(spark: SparkSession, path: str, required: dict[str, str], sources: list[str] | None = None) -> DataFrame:

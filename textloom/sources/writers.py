@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import scalars as S
-from textloom.sources import files
+from textloom.sources import files, textfiles
 
 #: Rows that a driver-side report may have.
 REPORT_ROWS = 100_000
@@ -35,8 +35,10 @@ def write_csv_chunks(df: DataFrame, path: str, rows: int = 50_000) -> None:
 
 
 def write_texts(df: DataFrame, path: str, name: str, text: str) -> None:
-    """One file for each text below a folder of its name; every task writes those of its rows."""
-    df.select(F.col(name).cast("string").alias("filename"), F.coalesce(F.col(text), F.lit("")).alias("value")).write.mode("overwrite").partitionBy("filename").text(path)
+    """A file <name>.txt for each text, a null as an empty one; tasks write those of their rows, in folders of some thousands."""
+    rows = df.select(F.col(name).cast("string").alias("filename"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(parts, "filename").sortWithinPartitions("filename").write.format(textfiles.registered(df.sparkSession)).mode("overwrite").save(path)
 
 
 def with_deviations(df: DataFrame, metrics: list[str]) -> DataFrame:
