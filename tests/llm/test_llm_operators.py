@@ -442,6 +442,26 @@ def test_op5_very_many_sources(spark, monkeypatch):
             assert all(abs(done[s] - k * (t + 1) / mixing.UNIT) < 2 for s, k in rate.items())
 
 
+def test_op5_rows_depend_on_no_size(spark, monkeypatch):
+    """The same rows below and beyond MOST sources and for any number of buckets, and less than one block from the rates."""
+    weight = {f"s{i:03}": 1.0 + i % 4 for i in range(120)} | {"hot": 150.0}
+    weights = spark.createDataFrame(list(weight.items()), "source string, weight double")
+    docs = spark.range(9000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'hot' else concat('s', lpad(cast(id % 120 as string), 3, '0')) end as source")
+    columns = ("doc_id", "source", "block", "slot", "release", "deadline", "offset")
+    got = []
+    for most, bucket in ((2_000, 2_000), (10, 2_000), (2_000, 70)):
+        monkeypatch.setattr(mixing, "MOST", most)
+        monkeypatch.setattr(mixing, "BUCKET", bucket)
+        got.append(sorted(tuple(r[c] for c in columns) for r in rows_of(mixing.mix(docs, weights, block=2))))
+    assert len(got[0]) == 9000 and got[0] == got[1] == got[2]
+    slots, weight = {r[3]: r[1] for r in got[1]}, {s: w for s, w in weight.items() if s == "hot" or int(s[1:]) % 3}
+    first, done, whole = next(t for t in range(9000) if t not in slots), Counter(), sum(weight.values())
+    assert first > 100
+    for t in range(first):
+        done[slots[t]] += 1
+        assert all(abs(done[s] - w / whole * (t + 1)) < 1 + t / mixing.UNIT for s, w in weight.items())
+
+
 def check_mix(got, block):
     counts = Counter((r["source"], r["block"]) for r in got)
     assert all(n <= block for n in counts.values())

@@ -14,7 +14,7 @@ BLOCK, PERIOD, BUCKET = 16, 1000, 2_000
 UNIT, LONGEST = 1_000_000_000, 100_000
 #: Slots whose choices are folded into one array at a time.
 FOLD = 500
-#: Sources up to which one schedule has all of them; beyond, groups of sources and the sources of each are scheduled.
+#: Sources up to which their ranks are broadcast; it changes no result.
 MOST = 2_000
 
 
@@ -52,18 +52,30 @@ def _begun(t: str) -> str:
     return f"transform(array({last}), last -> transform(s, (x, i) -> {whole} + if({part} and {key} <= last, 1L, 0L)))[0]"
 
 
-def _earliest(done: str, ready: str = "true") -> str:
-    """SQL of the index of the released block of the earliest deadline, of equal ones the first source's."""
-    free = f"{ready} and {_release(f'{done}[i]')} <= t"
-    return f"array_min(transform(s, (x, i) -> struct(if({free}, {_deadline(f'{done}[i]')}, 9223372036854775807L) as due, i as i))).i"
+def _parted(state: str) -> str:
+    """SQL of a state of ``_step``: the blocks done of each source, as many sources to a part as there are parts about."""
+    return f"""transform(sequence(0L, (size({state}) - 1L) div width), j -> struct(slice({state}, cast(j * width as int) + 1, cast(width as int)) as done,
+        9223372036854775807L as due, -1 as i, -1L as wake))"""
+
+
+def _step(a: str, most: str = "9223372036854775807L") -> str:
+    """SQL of the state after slot t, whose ``i`` of part ``k`` is the source of its block: of the released blocks that of the
+    earliest deadline, of equal ones the first source's. A part is looked through only where it gave the slot before or a
+    block of it is released; so a slot takes the sum of two parts' sources and of the parts, not of all sources."""
+    x = "s[cast(j * width as int) + i]"
+    release, deadline = _release("d", f"{x}.rate"), _deadline("d", f"{x}.rate")
+    ready = f"d < {most.replace('#', 'cast(j * width as int) + i')}"
+    look = f"transform(g.done, (d, i) -> if({ready}, if({release} <= t, struct({deadline} as due, i as i, 9223372036854775807L as wake), struct(9223372036854775807L as due, i as i, {release} as wake)), struct(9223372036854775807L as due, i as i, 9223372036854775807L as wake)))"
+    fresh = f"transform({a}, (g, j) -> if(g.wake <= t, transform(array({look}), l -> transform(array(array_min(l)), b -> struct(g.done as done, b.due as due, b.i as i, array_min(transform(l, y -> y.wake)) as wake))[0])[0], g))"
+    return f"""transform(array({fresh}), f -> transform(array(array_min(transform(f, (g, j) -> struct(g.due as due, j as j, g.i as i)))), b -> struct(b.j as j, b.i as i,
+        transform(f, (g, j) -> if(j = b.j, struct(transform(g.done, (d, i) -> if(i = b.i, d + 1, d)) as done, g.due as due, g.i as i, -1L as wake), g)) as parts, f[b.j].done[b.i] as nth))[0])[0]"""
 
 
 def _edge(t: str) -> str:
     """SQL of the blocks of each source before slot t: earliest deadline first over the longest window before t."""
     since = f"greatest(0L, {t} - longest)"
     steps = f"if({t} > {since}, sequence({since}, {t} - 1), cast(array() as array<bigint>))"
-    return f"""aggregate({steps}, {_begun(since)}, (a, t) -> aggregate(array({_earliest('a')}), a, (b, k) ->
-        transform(b, (d, i) -> if(i = k, d + 1, d))))"""
+    return f"aggregate({steps}, {_parted(_begun(since))}, (a, t) -> {_step('a')}.parts, a -> flatten(transform(a, g -> g.done)))"
 
 
 def schedule(rate: DataFrame, slots: int | str, by: tuple[str, ...] = (), period: int = PERIOD) -> DataFrame:
@@ -82,15 +94,16 @@ def schedule(rate: DataFrame, slots: int | str, by: tuple[str, ...] = (), period
     own = rate.withColumn("slots", F.lit(slots).cast("long") if isinstance(slots, int) else F.col(slots).cast("long"))
     row = own.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("source", "rate"))).alias("s"), F.sum("rate").alias("unit"), F.min("rate").alias("least"), F.max("slots").alias("slots"))
     row = row.where("slots > 0").withColumn("longest", F.expr("(unit + least - 1) div least + 1")).withColumn("length", F.greatest(F.lit(period).cast("long"), "longest"))
+    row = row.withColumn("width", F.ceil(F.sqrt(F.size("s"))))
     each = row.withColumn("p", F.explode(F.expr("sequence(0L, (slots - 1) div length)"))).withColumn("low", F.expr("p * length")).withColumn("high", F.expr("least((p + 1) * length, slots)"))
     each = each.drop("p", "least", "slots").repartition(parts)
     chosen = f"""transform(array(struct({_edge('low')} as done, {_edge('high')} as upto)), v -> aggregate(sequence(low, high - 1, {FOLD}L),
-          struct(v.done as done, cast(array() as array<struct<k: int, nth: bigint>>) as out),
-          (c, t0) -> aggregate(array(aggregate(sequence(t0, least(t0 + {FOLD}L, high) - 1),
-            struct(c.done as done, cast(array() as array<struct<k: int, nth: bigint>>) as out),
-            (a, t) -> aggregate(array({_earliest('a.done', 'a.done[i] < v.upto[i]')}), a, (b, k) -> struct(
-              transform(b.done, (d, i) -> if(i = k, d + 1, d)) as done, concat(b.out, array(struct(k as k, b.done[k] as nth))) as out)))),
-            c, (e, f) -> struct(f.done as done, concat(e.out, f.out) as out)),
+          struct({_parted('v.done')} as parts, cast(array() as array<struct<k: int, nth: bigint>>) as out),
+          (c, t0) -> transform(array(aggregate(sequence(t0, least(t0 + {FOLD}L, high) - 1),
+            struct(c.parts as parts, cast(array() as array<struct<k: int, nth: bigint>>) as out),
+            (a, t) -> transform(array({_step('a.parts', 'v.upto[#]')}), b -> struct(b.parts as parts,
+              concat(a.out, array(struct(cast(b.j * width as int) + b.i as k, b.nth as nth))) as out))[0])),
+            f -> struct(f.parts as parts, concat(c.out, f.out) as out))[0],
           c -> c.out))[0]"""
     out = each.select(*by, "s", "unit", "low", F.posexplode(F.expr(chosen)).alias("pos", "it"))
     out = out.select(*by, (F.col("low") + F.col("pos")).alias("slot"), F.expr("s[it.k]").alias("x"), "unit", F.col("it.nth").alias("nth"))
@@ -98,7 +111,7 @@ def schedule(rate: DataFrame, slots: int | str, by: tuple[str, ...] = (), period
 
 
 def nested_schedule(rate: DataFrame, slots: int, groups: int, period: int = PERIOD) -> DataFrame:
-    """(slot, source, nth) for very many sources, in two levels: sources are dealt to groups by a hash, the groups' rates
+    """(slot, source, nth) in two levels, for callers that want a cheaper slot than ``schedule``'s; ``mix`` doesn't: sources are dealt to groups by a hash, the groups' rates
     are scheduled like sources', and so are each group's sources over the slots that it got. A source is less than two
     blocks from its weight."""
     own = rate.withColumn("group", F.pmod(F.xxhash64("source"), F.lit(groups)).cast("string"))
@@ -119,15 +132,16 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, p
 
     A source's documents, in the order of a hash of their ids, form blocks of ``block``, scheduled by the weights' parts of
     their sum. Every document has exactly one place: nothing is dropped or repeated. Until the first source runs out, every
-    source's blocks before any slot t differ from t times its rate by less than one (two beyond MOST sources), and a rate
+    source's blocks before any slot t differ from t times its rate by less than one, for any number of sources, and a rate
     from its weight by less than a part of UNIT, which is a block in a thousand million slots; blocks
     after that go by their deadlines, with room for all sources between two deadlines, so
     that slots of sources that ran out stay empty. A null source is the source ''; rows of a null doc_id go in the order of
     a hash of their number; repeated rows are rows; weights of sources without documents don't count, a source without a
     positive weight gets one block in LONGEST slots; an empty table gives no rows.
 
-    Rows are numbered within buckets of about BUCKET documents of a source, and the buckets by their counts, so that a
-    source with most of the rows is spread over many tasks. Only ids and sources are shuffled.
+    Rows are numbered within buckets of about BUCKET documents of a source, which are ranges of the hash, and the buckets by
+    their counts, so that a source with most of the rows is spread over many tasks and the order is the hash's, however
+    many buckets there are. Only ids and sources are shuffled.
     """
     rows = docs.select(F.col("doc_id"), F.col("source"), F.monotonically_increasing_id().alias("row"))
     return _placed(_scratch.written(rows, "mix-ids"), weights, block, period)
@@ -140,7 +154,7 @@ def _placed(docs: DataFrame, weights: DataFrame | None, block: int, period: int)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "row")
     buckets = max(1, -(-own.count() // BUCKET))
     # rows without an id are told apart by their number, else they would all have one hash
-    own = own.withColumn("order", F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")))).withColumn("bucket", F.pmod(F.shiftright("order", 7), F.lit(buckets)))
+    own = own.withColumn("order", F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")))).withColumn("bucket", F.shiftright((F.shiftright("order", 32) + (1 << 31)) * buckets, 32))
     counts = own.groupBy("source", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("source", "bucket", before.alias("start"))
@@ -150,15 +164,13 @@ def _placed(docs: DataFrame, weights: DataFrame | None, block: int, period: int)
     rate = _scratch.written(rates(there).join(there.select("source", "blocks"), "source"), "mix-rates")
     # slots until the first source runs out: at most as many as there are blocks
     sources, after = rate.select(F.count("*"), F.coalesce(F.min(F.expr(f"(blocks * {UNIT} + rate - 1) div rate")), F.lit(0))).first()
-    few = sources <= MOST
-    plan = schedule(rate, after, (), period) if few else nested_schedule(rate, after, int(sources**0.5) + 1, period)
-    plan = plan.select("source", F.col("nth").alias("block"), "slot")
+    plan = schedule(rate, after, (), period).select("source", F.col("nth").alias("block"), "slot")
     numbered = own.withColumn("i", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "row")) - 1)
     numbered = numbered.join(F.broadcast(starts) if buckets * sources <= LONGEST else starts, ["source", "bucket"])
     nth = F.col("start") + F.col("i")
     numbered = numbered.select("doc_id", "row", "source", F.floor(nth / block).cast("long").alias("block"), F.pmod(nth, F.lit(block)).cast("int").alias("offset"))
     named = rate.select("source", "rate", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("source")) - 1).alias("rank"))
-    placed = numbered.join(F.broadcast(named) if few else named, "source").join(plan, ["source", "block"], "left").withColumn("unit", F.lit(UNIT).cast("long"))
+    placed = numbered.join(F.broadcast(named) if sources <= MOST else named, "source").join(plan, ["source", "block"], "left").withColumn("unit", F.lit(UNIT).cast("long"))
     placed = placed.withColumn("release", F.expr(_release("block", "rate"))).withColumn("deadline", F.expr(_deadline("block", "rate")))
     # what comes later, by deadline and source, in slots of its own
     late, wide = F.col("slot").isNull(), F.lit(int(sources)).cast("long")
