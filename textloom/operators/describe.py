@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from textloom.functions import scalars as S
 
+#: Edits of a task that counts those of each text.
+TASK_EDITS = 500_000
+
 
 def feature_statistics(long: DataFrame, *by: str) -> DataFrame:
     """Count, mean, sample deviation, least and largest value of each feature (within ``by``); all-null features go."""
@@ -36,11 +39,20 @@ def error_statistics(frame: DataFrame, errors: str, words: str, equal: str) -> D
     return out.select(kind.alias("group_type"), "cefr_level", "level", "texts", "errors", S.per_hundred(F.col("errors"), F.col("words")).alias("pooled_rate"), "mean_rate", (100.0 * F.col("error_free") / F.col("texts")).alias("error_free_percent"), accuracy.alias("accuracy"))
 
 
+def _edits_and_texts(edits: DataFrame, texts: DataFrame, keys: list[str], labels: list[str], name: str) -> DataFrame:
+    """(labels, keys, n, name): edits, and distinct texts with one, of each combination. A text's edits are counted by keys
+    before they meet its labels, so a distinct text is a row there and is exchanged once; tasks have about TASK_EDITS edits,
+    however many there are. A text_id of several rows counts its edits with each, and once among the texts of equal labels."""
+    parts = max(int(edits.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-edits.count() // TASK_EDITS))
+    own = edits.select("text_id", *keys).repartition(parts, "text_id").groupBy("text_id", *keys).agg(F.count("*").alias("_n"))
+    rows = texts.select("text_id", *labels).repartition(parts, "text_id").groupBy("text_id", *labels).agg(F.count("*").alias("_rows"))
+    return own.join(rows, "text_id").groupBy(*labels, *keys).agg(F.sum(F.col("_n") * F.col("_rows")).alias("n"), F.count("*").alias(name))
+
+
 def error_types(edits: DataFrame, texts: DataFrame) -> DataFrame:
     """For each band and error type: edits, texts with it, their share of the band's texts and of its edits, and two
     row ranks, by number and by share of texts."""
-    band = edits.join(texts.select("text_id", "cefr_level"), "text_id")
-    out = band.groupBy("cefr_level", "error_type").agg(F.count("*").alias("edits"), F.countDistinct("text_id").alias("texts_with"))
+    out = _edits_and_texts(edits, texts, ["error_type"], ["cefr_level"], "texts_with").withColumnRenamed("n", "edits")
     total = texts.groupBy("cefr_level").agg(F.count("*").alias("texts"))
     out = out.join(total, "cefr_level").withColumn("text_percent", 100.0 * F.col("texts_with") / F.col("texts"))
     group = Window.partitionBy("cefr_level")
@@ -49,9 +61,10 @@ def error_types(edits: DataFrame, texts: DataFrame) -> DataFrame:
     return out.withColumn("percent_rank", F.row_number().over(group.orderBy(F.col("text_percent").desc(), "error_type")))
 
 
-def patterns(rows: DataFrame, keys: list[str], within: list[str], text: str) -> DataFrame:
-    """Number of rows and distinct texts of each combination of ``keys`` and its share of the rows of ``within``."""
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct(text).alias("texts"))
+def patterns(edits: DataFrame, texts: DataFrame, keys: list[str], labels: list[str], within: list[str]) -> DataFrame:
+    """Edits and distinct texts of each combination of the texts' ``labels`` and the edits' ``keys``, and its share of the edits
+    of ``within``."""
+    out = _edits_and_texts(edits, texts, keys, labels, "texts")
     return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*within)).cast("double"))
 
 

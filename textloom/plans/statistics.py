@@ -72,8 +72,8 @@ def e06(spark, sf):
 
 @query("e07_f02_patterns_with_shares", f"WITH {TEXTS}, {EDITS}, p AS (SELECT cefr_level, level, error_type, stop - start AS width, count(*) AS n, count(DISTINCT text_id) AS texts FROM edits JOIN texts USING (text_id) GROUP BY ALL) SELECT *, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY cefr_level, level, error_type) AS share FROM p", d="share", n="level width")
 def e07(spark, sf):
-    rows = edits(spark, sf).join(texts(spark, sf), "text_id").withColumn("width", F.col("stop") - F.col("start"))
-    return describe.patterns(rows, ["cefr_level", "level", "error_type", "width"], ["cefr_level", "level", "error_type"], "text_id")
+    rows = edits(spark, sf).withColumn("width", F.col("stop") - F.col("start"))
+    return describe.patterns(rows, texts(spark, sf), ["error_type", "width"], ["cefr_level", "level"], ["cefr_level", "level", "error_type"])
 
 
 @query("e08_counts_with_subtotals", f"WITH {TEXTS} SELECT cefr_level, level, count(*) AS n, GROUPING(cefr_level) * 2 + GROUPING(level) AS subtotal FROM texts GROUP BY ROLLUP (cefr_level, level)", n="level subtotal")
