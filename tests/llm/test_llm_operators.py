@@ -774,6 +774,35 @@ def test_op8_stage_keeps_links_of_large_buckets(spark, monkeypatch):
     assert got == {i: i if i < len(f) else i - len(f) for i in range(len(every))}
 
 
+@pytest.mark.parametrize("chunk", [65_536, 150])
+def test_op8_stage_leaves_no_link_out(spark, monkeypatch, chunk):
+    """Pairs at and just within the distance of a similarity of 0.8 (42 bits), most of which share no five segments; of those
+    one bit beyond, none; a chain of links and a group of near copies."""
+    rng = np.random.default_rng(21)
+    f = rng.integers(0, 1 << 63, (300, 4), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (300, 4), dtype=np.uint64)
+
+    def moved(x, n, spread):
+        x = x.copy()
+        for b in np.linspace(0, 255, n).astype(int) if spread else rng.choice(256, n, replace=False):
+            x[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        return x
+
+    other = [moved(f[i], 42 if i < 40 else 41 if i < 80 else 43, i % 2) for i in range(120)]
+    far = [moved(moved(f[200], 42, True), 40, False)]
+    every = np.concatenate([f, np.array(other), np.array(far), np.array([moved(f[250], 2, False) for _ in range(60)])])
+    near = [(i, j) for i in range(len(every)) for j in np.flatnonzero(np.bitwise_count(every ^ every[i]).sum(axis=1, dtype=int) <= 42) if j < i]
+    keys = simhash._chain_keys(every)
+    assert sum(not set(keys[i]) & set(keys[j]) for i, j in near) > 20
+    want = list(range(len(every)))
+    for _ in range(5):
+        for i, j in near:
+            want[i] = want[j] = min(want[i], want[j])
+    made = spark.createDataFrame([(i, 0, *x) for i, x in enumerate(every.view(np.int64).tolist())], "doc_id long, row long, f0 long, f1 long, f2 long, f3 long")
+    monkeypatch.setattr(simhash, "wide_fingerprints", lambda docs, width: made)
+    monkeypatch.setattr(simhash, "CHUNK", chunk, raising=False)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(None).collect()} == dict(enumerate(want))
+
+
 # --- 10
 
 

@@ -269,12 +269,130 @@ def _whole_run(label: np.ndarray, f: np.ndarray, most: int) -> np.ndarray:
     return label
 
 
+#: Classes of a chunk: a task compares those of two chunks. Pairs that are looked at at once.
+CHUNK, LOOK = 65_536, 1 << 18
+
+
+def _pieces(f: np.ndarray, most: int) -> list[np.ndarray]:
+    """Pieces of the 256 bits, as few differing bits to be in one of them as makes the least work: by the pigeonhole one of m
+    pieces of fingerprints at Hamming distance up to most differs in most // m bits or fewer."""
+    bits = np.unpackbits(f.astype(">u8").view(np.uint8).reshape(len(f), 32), axis=1)
+    edge = np.linspace(0, WIDE_BITS, _pieces_of(most) + 1).round().astype(int)
+    return [bits[:, a:b].astype(np.int32) @ (np.int32(1) << np.arange(b - a, dtype=np.int32)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def _pieces_of(most: int) -> int:
+    """As many pieces as leave at most 2 bits to each, but of at least 16 bits (then more bits to each)."""
+    return min(max(most // 3 + 1, 1), WIDE_BITS // 16)
+
+
+def _masks(bits: int, errors: int) -> np.ndarray:
+    """Every value of up to ``errors`` set bits."""
+    out, last = [np.zeros(1, np.int32)], np.zeros(1, np.int32)
+    for _ in range(min(errors, bits)):
+        last = np.unique(np.concatenate([last | np.int32(1 << b) for b in range(bits)]))
+        last = last[~np.isin(last, np.concatenate(out))]
+        out.append(last)
+    return np.concatenate(out)
+
+
+def _cross_links(a: tuple, b: tuple, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between the components of a and b (each: fingerprints, component): every pair of
+    distance up to most is looked at but those within a component. Some m-th of the bits differs in most // m at most, and
+    with the next of the ring in 2 * most // m."""
+    (fa, ca), (fb, cb) = a, b
+    names = np.unique(np.concatenate([ca, cb]))
+    ia, ib = (np.searchsorted(names, c).astype(np.int32) for c in (ca, cb))
+    label, m, same, met = np.arange(len(names)), _pieces_of(most), a is b, False
+    pa_, pb = _pieces(fa, most), _pieces(fb, most)
+    for k in range(m):
+        # rows of b by piece and component; a run of equal ones is passed over or looked at as a whole
+        order = np.lexsort((ib, pb[k]))
+        key, comp, then, mine = pb[k][order], ib[order], pb[(k + 1) % m][order], pa_[(k + 1) % m]
+        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])])).astype(np.int32)
+        length, key, comp = np.diff(np.append(start, len(order))), key[start], comp[start]
+        at = np.searchsorted(key, np.arange((1 << -(-WIDE_BITS // m)) + 1)).astype(np.int32)
+        for mask in _masks(-(-WIDE_BITS // m), most // m):
+            left = 2 * most // m - int(mask).bit_count()
+            near = pa_[k] ^ mask
+            lo, n = at[near], at[near + 1] - at[near]
+            for rows in _slices(np.flatnonzero(n), n[n > 0]):
+                i = np.repeat(rows, n[rows])
+                run = np.arange(len(i)) + np.repeat(lo[rows] - np.cumsum(n[rows]) + n[rows], n[rows])
+                ok = np.flatnonzero(ia[i] < comp[run] if same else ia[i] != comp[run])
+                i, run = i[ok], run[ok]
+                for pick in _slices(np.arange(len(i)), length[run]):
+                    if met:  # what has met since is passed over
+                        pick = pick[label[ia[i[pick]]] != label[comp[run[pick]]]]
+                    x, y, size = i[pick], start[run[pick]], length[run[pick]]
+                    if len(size) and size.max() > 1:
+                        x, y = np.repeat(x, size), np.arange(size.sum()) + np.repeat(y - np.cumsum(size) + size, size)
+                    near_too = np.bitwise_count(mine[x] ^ then[y]) <= left
+                    x, y = x[near_too], order[y[near_too]]
+                    hit = np.bitwise_count(fa[x] ^ fb[y]).sum(axis=1, dtype=np.int32) <= most
+                    if hit.any():
+                        label, met = joined(label, ia[x[hit]], ib[y[hit]]), True
+        # what has met is one component from the next piece on
+        ia, ib = label[ia].astype(np.int32), label[ib].astype(np.int32)
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return names[moved], names[label[moved]]
+
+
+def _slices(rows: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """rows in slices whose sizes sum to about LOOK, or of one larger row."""
+    part = np.cumsum(sizes, dtype=np.int64) // LOOK
+    yield from np.split(rows, np.flatnonzero(part[1:] != part[:-1]) + 1) if len(rows) else ()
+
+
+def _rest(classes: DataFrame, most: int, chunk: int) -> DataFrame:
+    """(src, dst): links between components of classes (f0..f3, component) at Hamming distance up to most that no shared chain
+    showed. All pairs are covered: classes are dealt to chunks, a task compares two chunks, and memory is that of two."""
+    chunks = max(1, -(-classes.count() // chunk))
+    f = ["f0", "f1", "f2", "f3"]
+    own = classes.withColumn("c", F.pmod(F.xxhash64(*f, F.lit(7)), F.lit(chunks)))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
+    cells = own.withColumn("o", other).select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), (F.col("c") > F.col("o")).alias("side"), *f, "component")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _cells(batches):
+            x = np.stack([rows.column(k).to_numpy().view(np.uint64) for k in range(3, 7)], axis=1)
+            comp, side = rows.column(7).to_numpy(), rows.column(2).to_numpy()
+            one = (x[~side], comp[~side])
+            two = (x[side], comp[side]) if rows.column(0)[0] != rows.column(1)[0] else one
+            if len(one[0]) and len(two[0]):
+                src, dst = _cross_links(one, two, most)
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+
+    # more parts than cells, so that few tasks have two
+    parts = min(2 * chunks * (chunks + 1), 100_000)
+    return cells.repartition(parts, "a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "src long, dst long")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (a, b), which batches are sorted by."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = np.stack([batch.column(k).to_numpy() for k in (0, 1)], axis=1)
+        edge = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        for lo, hi in zip([0, *edge], [*edge, len(key)], strict=True):
+            part = batch.slice(lo, hi - lo)
+            if held and (held[0].column(0)[0], held[0].column(1)[0]) != (part.column(0)[0], part.column(1)[0]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, row, component_id) by links at a Jaccard similarity of about ``similarity`` or more of width-word shingles.
 
     A similarity J of two sets of shingles means an angle of acos(2J / (1 + J)) between their vectors, and so that share
-    of 256 SimHash bits differs. Fingerprints that share the bits of CHAIN consecutive segments, anywhere on the ring
-    of 64, meet in a bucket and get the full Hamming check there. Equal fingerprints are one class from the start.
+    of 256 SimHash bits differs, which sets the Hamming distance of a link. Every pair within it is linked. Fingerprints that
+    share the bits of CHAIN consecutive segments, anywhere on the ring of 64, meet in a bucket and get the full Hamming check
+    there; that finds most links at a cost that is linear but for the buckets' sizes. What it leaves can only lie between the
+    components so found: ``_rest`` looks for it among all pairs of classes, by pieces that differ in few bits, in tasks of two
+    chunks; its work is quadratic. Equal fingerprints are one class from the start.
     Buckets are sorted runs of any size, all of whose pairs count; within a run only a spanning forest leaves a task.
     """
     most = int(WIDE_BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.5) + 3
@@ -301,7 +419,11 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
         yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
     graph = _graph.components(runs.mapInArrow(lambda b: by_runs(b, 1, edges), "src long, dst long"))
-    named = classes.select("node", "low").join(graph, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
+    named = classes.join(graph, "node", "left").select("node", "low", *f, F.coalesce("component", "node").alias("component"))
+    named = _scratch.written(named, "simhash-named")
+    # links that no chain showed lie between these components
+    again = _graph.components(_rest(named.select(*f, "component"), most, CHUNK)).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    named = named.join(again, "component", "left").select("node", "low", F.coalesce("joined", "component").alias("component"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
     found = _scratch.written(named.join(least, "component").select("node", "component_id"), "simhash-found")
     return table.join(found, "node", "left").select(*[c for c in table.columns if c in ("doc_id", "row")], F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
