@@ -4,6 +4,7 @@ import difflib
 import inspect
 import json
 import math
+import random
 import re
 import zipfile
 from collections import Counter
@@ -132,6 +133,22 @@ def test_spearman_with_ties_and_nulls(spark):
     assert r["c"]["pearson"] is None and r["c"]["spearman"] is None and r["c"]["n"] == 9
 
 
+def unsettled(spark):
+    """Values whose last digit is another one each time they are made, like sums of doubles on several executors."""
+    last = F.udf(lambda x: x + random.random() * 1e-9, "double").asNondeterministic()
+    rows = spark.range(600).select(F.col("id").alias("text_id"), (F.col("id") % 7).cast("int").alias("level"), last(F.col("id").cast("double")).alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    return rows.unpivot(["text_id", "level"], ["a", "b"], "feature", "value")
+
+
+def test_correlations_of_values_that_differ_when_made_again_keep_all_rows(spark):
+    import pandas as pd
+
+    r = {x["feature"]: x for x in correlate.correlations(unsettled(spark)).collect()}
+    p = pd.DataFrame({"a": np.arange(600.0), "level": np.arange(600) % 7})
+    assert r["a"]["n"] == r["b"]["n"] == 600
+    assert math.isclose(r["a"]["pearson"], p["a"].corr(p["level"]), abs_tol=1e-9) and math.isclose(r["a"]["spearman"], p["a"].rank().corr(p["level"].rank()), abs_tol=1e-9)
+
+
 def test_false_discovery(spark):
     p = [0.01, 0.04, 0.03, 0.2, None, 0.03]
     got = {r["i"]: r["q"] for r in correlate.benjamini_hochberg(frame(spark, list(enumerate(p)), "i int, p double")).collect()}

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions import scalars as S
 from textloom.functions.ranges import running
+from textloom.sources import files
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -36,9 +37,10 @@ def correlations(long: DataFrame, target: str = "level") -> DataFrame:
     target is ranked anew on these rows.
 
     Ranks come from distinct values, summed over ranges of them: a window never holds more than the distinct values of
-    one range of a feature, and ties need no pass of their own."""
+    one range of a feature, and ties need no pass of their own. The distinct values are written first, as the ranks are
+    joined to them by value."""
     rows = long.where(F.col("value").isNotNull() & F.col(target).isNotNull())
-    cells = rows.groupBy("feature", "value", target).agg(F.count("*").alias("c"))
+    cells = files.settled(rows.groupBy("feature", "value", target).agg(F.count("*").alias("c")), "cells")
 
     def ranks(column: str) -> DataFrame:
         n = cells.groupBy("feature", column).agg(F.sum("c").alias("k"))

@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,21 +9,12 @@ from pyspark.sql.window import Window
 from textloom.functions import scalars as S
 from textloom.operators import describe, relational, resample
 from textloom.plans.registry import query
-from textloom.sources import readers, writers
+from textloom.sources import files, readers, writers
 from textloom.sources.adapters import EDITS, FEATURES, FRAME, LONG, PREDICTED, TEXTS, edits, frame, long_frame, measurements, predictions, table, texts
 
 
-@lru_cache(maxsize=1)
-def _own() -> str:
-    path = tempfile.mkdtemp(prefix="textloom-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
-
-
 def _scratch(spark: SparkSession) -> str:
-    """A new folder name where all executors can write: below spark.checkpoint.dir, or a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own()
-    return f"{base.rstrip('/')}/plans-{uuid.uuid4().hex}"
+    return files.scratch(spark, "plans")
 
 
 @query("a03_csv_scan_strings", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_brand, CAST(p_size AS VARCHAR) AS p_size FROM part")

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import shutil
+import tempfile
+import uuid
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _at(path: str):
@@ -35,3 +41,24 @@ def get(path: str) -> bytes:
     """A file's bytes, for files that the driver can hold."""
     _, _, spark = _at(path)
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
+
+
+@lru_cache(maxsize=1)
+def _own() -> str:
+    path = tempfile.mkdtemp(prefix="textloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name where all executors can write: below spark.checkpoint.dir, or a temporary one where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df as a table that is written once. A sum of doubles that is made twice may differ in its last digit, as its terms
+    come in the order in which executors send them: a join of two such results by it would lose rows."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
