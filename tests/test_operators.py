@@ -149,6 +149,11 @@ def test_correlations_of_values_that_differ_when_made_again_keep_all_rows(spark)
     assert math.isclose(r["a"]["pearson"], p["a"].corr(p["level"]), abs_tol=1e-9) and math.isclose(r["a"]["spearman"], p["a"].rank().corr(p["level"].rank()), abs_tol=1e-9)
 
 
+def test_ranks_of_values_that_differ_when_made_again_are_of_all_rows(spark):
+    got = {(r["feature"], r["text_id"]): r["value"] for r in correlate.rank_values(unsettled(spark)).collect()}
+    assert got == {("a", i): i + 1.0 for i in range(600)} | {("b", i): i % 5 * 120 + 60.5 for i in range(600)}
+
+
 def test_false_discovery(spark):
     p = [0.01, 0.04, 0.03, 0.2, None, 0.03]
     got = {r["i"]: r["q"] for r in correlate.benjamini_hochberg(frame(spark, list(enumerate(p)), "i int, p double")).collect()}

@@ -127,8 +127,9 @@ def pair_correlations(long: DataFrame, key: str = "text_id") -> DataFrame:
 
 
 def rank_values(long: DataFrame) -> DataFrame:
-    """long with value replaced by its average rank within the feature; nulls go."""
-    rows = long.where("value is not null")
+    """long with value replaced by its average rank within the feature; nulls go. The rows are written first, as the ranks
+    are joined to them by value."""
+    rows = files.settled(long.where("value is not null"), "values")
     n = running(rows.groupBy("feature", "value").agg(F.count("*").alias("k")), ["feature"], "value", ["k"])
     rank = (F.col("k_upto") - F.col("k") + (F.col("k") + 1) / 2.0).alias("rank")
     return rows.join(n.select("feature", "value", rank), ["feature", "value"]).drop("value").withColumnRenamed("rank", "value")
