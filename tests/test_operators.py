@@ -318,6 +318,31 @@ def test_models_from_counts_of_all_tasks_equal_those_of_one(spark, monkeypatch,
             assert got[key] == (low if low is None else pytest.approx(low), pytest.approx(score, abs=1e-9)), key
 
 
+@pytest.mark.parametrize("way", ["together", "jobs"])
+def test_a_classifier_of_many_rows_by_tasks_that_hold_their_cells(spark, monkeypatch, way):
+    """Several tasks and stages give the steps of one task; the number of jobs doesn't grow with the rounds."""
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), None if i % 5 == 0 else float(b), "abc"[int(t)]) for i, (a, b, t) in enumerate(zip(rng.random(700).round(2), rng.random(700), rng.integers(0, 3, 700), strict=True))]
+    df = frame(spark, rows, "text_id long, a double, b double, y string").repartition(3)
+    sets = {"both": ["a", "b"], "one": ["b"], "none": []}
+
+    def fitted(rounds):
+        name = f"{way}-{rounds}-{additive.TASK_VALUES}"
+        spark.sparkContext.setJobGroup(name, name)
+        found = additive.fit(df, ["a", "b"], "y", "classifier", rounds, 8, sets).collect()
+        return {(r["model"], r["feature"], r["bin"], r["output"]): r["score"] for r in found}, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    want, _ = fitted(10)
+    for name, value in (("TASK_VALUES", 0), ("TASK_CELLS", 100), ("STATE", 1), ("BLOCK", 64)):
+        monkeypatch.setattr(additive, name, value)
+    if way == "jobs":
+        monkeypatch.setattr(additive.files, "mounted", lambda *_: None)
+    got, jobs = fitted(10)
+    assert got.keys() == want.keys() and {m for m, *_ in got} == set(sets)
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+    assert way == "jobs" or jobs == fitted(4)[1]
+
+
 def test_smoothing_rounds_step_by_few_runs_of_bins():
     rng = np.random.default_rng(2)
     x = rng.random((500, 1))

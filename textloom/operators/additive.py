@@ -1,23 +1,28 @@
 """Additive boosted models: a lookup table of scores for each feature's bins.
 
 Models of few values are fitted one to a task. Of more, all tasks count, and only counts of bins are ever in one place: a
-regressor's rounds need nothing but how many rows two bins share and the labels' sum in each; a step of a classifier is a job
-that sums the gradients of its rows."""
+regressor's rounds need nothing but how many rows two bins share and the labels' sum in each; in a step of a classifier
+tasks that hold its rows give each other their sums of gradients."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+import time
+import uuid
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import BarrierTaskContext, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import scalars as S
 from textloom.operators import information, relational
+from textloom.sources import files
 
 BINS, RATE, ROUNDS = 128, 0.04, 200
 #: Parts into which a smoothing round cuts a feature's bins.
@@ -27,6 +32,9 @@ LEAVES = 3
 TASK_VALUES, PAIRED_BINS = 6_000_000, 6_000
 #: Cells of a block of a classifier's rows.
 BLOCK = 1 << 15
+#: Cells for which another task is worth what tasks tell each other, which grows with the square of their number; the most
+#: tasks; and bytes that a task holds through a classifier's rounds.
+TASK_CELLS, MOST_TASKS, STATE = 1 << 18, 64, 1 << 29
 TERMS = "model string, feature string, bin int, low double, output string, score double"
 
 
@@ -157,7 +165,7 @@ def fit_sums(paired: np.ndarray, edges: list[np.ndarray], names: list[str], use:
 
 
 def _cells(rows: DataFrame, columns: list[str], edges: list[np.ndarray], sets: list[list[int]]) -> DataFrame:
-    """(model, y, cell, n): the rows of each model with equal bins and label, counted; cell: the bins, two bytes each."""
+    """(model, y, cell): a row of each model for each row; cell: its bins, two bytes each."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,19 +175,154 @@ def _cells(rows: DataFrame, columns: list[str], edges: list[np.ndarray], sets: l
                 cell = pa.Array.from_buffers(pa.binary(2 * len(use)), batch.num_rows, [None, pa.py_buffer(raw)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, m, np.int32)), batch.column(0), cell], ["model", "y", "cell"])
 
-    return rows.select("y", *columns).mapInArrow(one, "model int, y string, cell binary").groupBy("model", "y", "cell").agg(F.count("*").alias("n"))
+    return rows.select("y", *columns).mapInArrow(one, "model int, y string, cell binary")
 
 
 def fit_steps(rows: DataFrame, columns: list[str], edges: list[np.ndarray], names: list[str], sets: list[list[int]], classes: dict[str, int], rounds: int, rate: float = RATE) -> list[pd.DataFrame]:
-    """What ``fit_arrays`` gives for classifiers on the features of the places in each of ``sets``, over the same rows.
-
-    Equal rows of a model are one cell with their number. Blocks of cells stay on the executors' disks; a job takes the scores
-    so far and gives back each model's sums of gradients for the bins of its next feature, so all models step side by side."""
+    """What ``fit_arrays`` gives for classifiers on the features of the places in each of ``sets``, over the same rows: all
+    models step side by side. Tasks of one stage give each other their sums in a mounted folder that they share; where there
+    is none, or executors come and go (dynamic allocation), which such a stage does not allow, each step is a job."""
     outputs = sorted(classes)
-    k, n = len(outputs), sum(classes.values())
-    weight = n / (np.array([classes[o] for o in outputs]) * float(k))
+    weight = sum(classes.values()) / (np.array([classes[o] for o in outputs]) * float(len(outputs)))
+    cells, size = _cells(rows, columns, edges, sets), [[len(edges[j]) + 2 for j in use] for use in sets]
+    context = rows.sparkSession.sparkContext
+    moving = context.getConf().get("spark.dynamicAllocation.enabled", "false") == "true"
+    folder = None if moving else files.mounted(rows.sparkSession, "sums")
+    if folder is None:
+        found = _steps_as_jobs(cells, size, outputs, weight, rounds, rate)
+    else:
+        try:
+            found = _steps_together(cells, size, outputs, weight, rounds, rate, folder)
+        finally:
+            files.drop(folder)
+    return [_terms([names[j] for j in use], [edges[j] for j in use], scores, np.zeros(len(outputs)), outputs, count) for use, (scores, count) in zip(sets, found, strict=True)]
+
+
+def _steps_together(cells: DataFrame, size: list[list[int]], outputs: list[str], weight: np.ndarray, rounds: int, rate: float, folder: str) -> list[tuple]:
+    """For each model the scores (bin, class) and the numbers of rows of its features' bins.
+
+    Equal rows of a model are one cell with a count for each class. A task holds its cells with their scores so far through
+    all rounds of a barrier stage; in a step each task sums the gradients for the bins of each model's next feature, and
+    gets those of the others from their files in folder (a gather of the stage's own waits for a whole second). Models that
+    would take more than STATE together follow each other in stages of their own."""
+    spark = cells.sparkSession
+    k, most = len(outputs), max(map(len, size), default=0)
+    smoothing = min(50, rounds // 4)
+    context = spark.sparkContext._jsc.sc()
+    slots = min(MOST_TASKS, context.maxNumConcurrentTasks(context.resourceProfileManager().resourceProfileFromId(0)))
+
+    def run(group: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here = BarrierTaskContext.get()
+            parts: dict[int, list[tuple]] = {m: [] for m in group}
+            for batch in batches:
+                model = batch.column(0).to_numpy()
+                n = np.stack([c.to_numpy() for c in batch.columns[2:]]).astype(float)
+                for m in np.unique(model):
+                    at = np.flatnonzero(model == m)
+                    cell = np.frombuffer(b"".join(batch.column(1).take(pa.array(at)).to_pylist()), np.int16).reshape(len(at), len(size[m]))
+                    parts[m].append((np.ascontiguousarray(cell.T), n[:, at]))
+
+            told = here.allGather(uuid.uuid4().hex)
+            name, count_of_tasks, turn = f"{folder}/{told[0]}", len(told), 0  # another name if the stage runs again
+
+            def total(own: list[np.ndarray]) -> list[np.ndarray]:
+                """The sums of these arrays over all tasks, in the same order in each of them. A file is written over two
+                turns later, when all tasks have read it; one that is not of this turn or not whole is read again."""
+                nonlocal turn
+                turn += 1
+                flat = np.concatenate([a.ravel() for a in own])
+                if count_of_tasks > 1:
+                    body = flat.tobytes()
+                    with open(f"{name}-{here.partitionId()}-{turn % 2}", "wb") as out:
+                        out.write(struct.pack("<qq", turn, zlib.crc32(body)) + body)
+                    flat = np.zeros(len(flat))
+                    for other in range(count_of_tasks):
+                        while (told := _of_turn(f"{name}-{other}-{turn % 2}", turn)) is None:
+                            time.sleep(0.001)
+                        flat += told
+                return [x.reshape(a.shape) for a, x in zip(own, np.split(flat, np.cumsum([a.size for a in own])[:-1]), strict=True)]
+
+            code, w, z, own = {}, {}, {}, []
+            for m in group:
+                if parts[m]:
+                    code[m], n = (np.concatenate(x, axis=1) for x in zip(*parts.pop(m), strict=True))
+                    w[m], z[m] = weight @ n, np.zeros((k, n.shape[1]))
+                for j, bins in enumerate(size[m]):
+                    own.append(np.stack([np.bincount(code[m][j], c, bins) for c in n], axis=1) if m in code else np.zeros((bins, k)))
+            every = iter(total(own))
+            counts = {m: [next(every) for _ in size[m]] for m in group}
+            scores = {m: [np.zeros((bins, k)) for bins in size[m]] for m in group}
+            rng = {m: np.random.default_rng(0) for m in group}
+            for done in range(rounds):
+                for step in range(most):
+                    mine = [m for m in group if step < len(size[m])]
+                    if not mine:
+                        break
+                    own = [np.zeros((2, k, size[m][step])) for m in mine]
+                    for m, sums in zip(mine, own, strict=True):
+                        for lo in range(0, len(w[m]) if m in w else 0, BLOCK):
+                            p, at = z[m][:, lo : lo + BLOCK], code[m][step, lo : lo + BLOCK].astype(np.intp)
+                            p = np.exp(p - p.max(axis=0))
+                            p /= p.sum(axis=0)
+                            pw = p * w[m][lo : lo + BLOCK]
+                            for c in range(k):
+                                sums[0, c] += np.bincount(at, pw[c], size[m][step])
+                                sums[1, c] += np.bincount(at, pw[c] * (1 - p[c]), size[m][step])
+                    for m, (p, h) in zip(mine, total(own), strict=True):
+                        g, h = counts[m][step] * weight - p.T, h.T
+                        g, h = _smooth(rng[m], g, h) if done < smoothing else (g, h)
+                        new = rate * g / (h + 1.0)
+                        scores[m][step] += new
+                        for lo in range(0, len(w[m]) if m in w else 0, BLOCK):
+                            at = code[m][step, lo : lo + BLOCK].astype(np.intp)
+                            for c in range(k):
+                                z[m][c, lo : lo + BLOCK] += new[:, c].take(at)
+            if here.partitionId() == 0:
+                lines = [(m, j, s.tobytes(), c.sum(axis=1).tobytes()) for m in group for j, (s, c) in enumerate(zip(scores[m], counts[m], strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*lines, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["model", "place", "scores", "counts"])
+
+        return task
+
+    used = [m for m, own in enumerate(size) if own]
+    counted = cells.where(F.col("model").isin(used)).groupBy("model", "cell").agg(*[F.count_if(F.col("y") == o).alias(f"n{i}") for i, o in enumerate(outputs)]).persist(StorageLevel.DISK_ONLY)
+    try:
+        number = {r["model"]: r["n"] for r in counted.groupBy("model").agg(F.count("*").alias("n")).collect()}
+        groups, room = [], 0
+        for m in used:
+            need = number.get(m, 0) * (8 * (k + 1) + 2 * len(size[m]))
+            if not groups or need > room:
+                groups, room = [*groups, []], STATE * slots
+            groups[-1].append(m)
+            room -= need
+        found = {}
+        for group in groups:
+            parts = max(1, min(slots, -(-sum(number.get(m, 0) for m in group) // TASK_CELLS)))
+            dealt = counted.where(F.col("model").isin(group)).repartition(parts).sortWithinPartitions("model")
+            lines = dealt.mapInArrow(run(group), "model int, place int, scores binary, counts binary", barrier=True)
+            for r in lines.repartition(1).collect():  # only a stage before an exchange is run again if a task is lost
+                found[r["model"], r["place"]] = np.frombuffer(r["scores"]).reshape(-1, k), np.frombuffer(r["counts"])
+    finally:
+        counted.unpersist()
+    return [tuple([found[m, j][i] for j in range(len(own))] for i in (0, 1)) for m, own in enumerate(size)]
+
+
+def _of_turn(path: str, turn: int) -> np.ndarray | None:
+    """What a task's file has for a turn, None if that is not there as a whole."""
+    try:
+        with open(path, "rb") as f:
+            raw = f.read()
+    except FileNotFoundError:
+        return None
+    whole = len(raw) >= 16 and struct.unpack("<qq", raw[:16]) == (turn, zlib.crc32(raw[16:]))
+    return np.frombuffer(raw, offset=16) if whole else None
+
+
+def _steps_as_jobs(cells: DataFrame, size: list[list[int]], outputs: list[str], weight: np.ndarray, rounds: int, rate: float) -> list[tuple]:
+    """``_steps_together`` by jobs: blocks of cells stay on the executors' disks; a job takes the scores so far and gives
+    back each model's sums of gradients for the bins of its next feature."""
+    k = len(outputs)
     code_of = {o: i for i, o in enumerate(outputs)}
-    size = [[len(edges[j]) + 2 for j in use] for use in sets]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,16 +331,17 @@ def fit_steps(rows: DataFrame, columns: list[str], edges: list[np.ndarray], name
             n = batch.column(3).to_numpy().astype(float)
             for m in np.unique(model):
                 at = np.flatnonzero(model == m)
-                cell = np.frombuffer(b"".join(batch.column(2).take(pa.array(at)).to_pylist()), np.int16).reshape(len(at), len(sets[m]))
+                cell = np.frombuffer(b"".join(batch.column(2).take(pa.array(at)).to_pylist()), np.int16).reshape(len(at), len(size[m]))
                 yield pa.RecordBatch.from_arrays([pa.array([int(m)], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in (np.ascontiguousarray(cell.T), y[at], n[at])]], ["model", "cell", "y", "n"])
 
     # a block of all models' cells to a batch: few, large ones, or a step would wait for their number
-    spark = rows.sparkSession
+    spark = cells.sparkSession
     size_before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK))
     try:
         parts = max(1, spark.sparkContext.defaultParallelism)
-        dealt = _cells(rows, columns, edges, sets).repartition(parts).sortWithinPartitions("model").mapInArrow(blocks, "model int, cell binary, y binary, n binary")
+        counted = cells.groupBy("model", "y", "cell").agg(F.count("*").alias("n"))
+        dealt = counted.repartition(parts).sortWithinPartitions("model").mapInArrow(blocks, "model int, cell binary, y binary, n binary")
         kept = dealt.rdd.map(lambda r: (r["model"], bytes(r["cell"]), bytes(r["y"]), bytes(r["n"]))).persist(StorageLevel.DISK_ONLY)
         kept.count()
     finally:
@@ -210,10 +354,10 @@ def fit_steps(rows: DataFrame, columns: list[str], edges: list[np.ndarray], name
         def run(part: Iterator[tuple]) -> Iterator[dict]:
             out: dict[int, np.ndarray] = {}
             for m, cell, y, n in part:
-                if step >= len(sets[m]):
+                if step >= len(size[m]):
                     continue
                 n = np.frombuffer(n)
-                code, y = np.frombuffer(cell, np.int16).reshape(len(sets[m]), len(n)), np.frombuffer(y, kind)
+                code, y = np.frombuffer(cell, np.int16).reshape(len(size[m]), len(n)), np.frombuffer(y, kind)
                 z = np.zeros((k, len(n)))
                 for j, s in enumerate(scores[m]):
                     z += s.T[:, code[j]]
@@ -228,7 +372,7 @@ def fit_steps(rows: DataFrame, columns: list[str], edges: list[np.ndarray], name
                     own[1, :, c] += np.bincount(code[step], p * (1 - p) * w, size[m][step])
             yield out
 
-        found: list[np.ndarray | None] = [None] * len(sets)
+        found: list[np.ndarray | None] = [None] * len(size)
         for out in kept.mapPartitions(run).collect():
             for m, own in out.items():
                 found[m] = own if found[m] is None else found[m] + own
@@ -238,16 +382,16 @@ def fit_steps(rows: DataFrame, columns: list[str], edges: list[np.ndarray], name
         scores = [[np.zeros((b, k)) for b in own] for own in size]
         count = kept.mapPartitions(lambda part: [_counted(part, size)]).reduce(lambda a, b: [[x + y for x, y in zip(*own, strict=True)] for own in zip(a, b, strict=True)])
         smoothing = min(50, rounds // 4)
-        rng = [np.random.default_rng(0) for _ in sets]
+        rng = [np.random.default_rng(0) for _ in size]
         for done in range(rounds):
-            for step in range(max(map(len, sets), default=0)):
+            for step in range(max(map(len, size), default=0)):
                 for m, own in enumerate(sums(scores, step)):
                     if own is not None:
                         g, h = _smooth(rng[m], *own) if done < smoothing else own
                         scores[m][step] += rate * g / (h + 1.0)
     finally:
         kept.unpersist()
-    return [_terms([names[j] for j in use], [edges[j] for j in use], scores[m], np.zeros(k), outputs, count[m]) for m, use in enumerate(sets)]
+    return list(zip(scores, count, strict=True))
 
 
 def _counted(part: Iterator[tuple], size: list[list[int]]) -> list[list[np.ndarray]]:
@@ -264,14 +408,14 @@ def fit(jobs: DataFrame, features: list[str], label: str, kind: str, rounds: int
     """Terms of the models of all jobs: jobs has a row for each (model, text) with features and label. sets: jobs has a row for
     each text instead, which every model of sets has, on its own features.
 
-    A model's rounds depend on each other. Up to TASK_VALUES values a model is one task and jobs are what runs side by side;
-    beyond, counts of bins are summed by all tasks and the rounds done from them. Both do the same steps. Features of over
-    PAIRED_BINS bins are one task a model at any size."""
+    A model's rounds depend on each other. Up to TASK_VALUES values (a classifier up to a quarter of these, as each of its
+    steps goes over all rows) a model is one task and jobs are what runs side by side; beyond, all tasks sum counts or
+    gradients of bins. All do the same steps. Features of over PAIRED_BINS bins are one task a model at any size."""
     columns = [f"f{i}" for i in range(len(features))]  # a feature's own name may hold dots, which pandas functions don't take
     model = F.lit("") if sets is not None else F.col("model")
     rows = jobs.select(model.alias("model"), "text_id", label, *map(S.quoted, features)).toDF("model", "text_id", "label", *columns)
     most = max((r["n"] for r in rows.groupBy("model").agg(F.count("*").alias("n")).collect()), default=0) * len(features)
-    if most > TASK_VALUES and len(features) * (bins + 2) <= PAIRED_BINS:
+    if most > (TASK_VALUES if kind == "regressor" else TASK_VALUES // 4) and len(features) * (bins + 2) <= PAIRED_BINS:
         return _fit_counts(rows, columns, features, kind, rounds, bins, sets)
     if sets is not None:
         use = {c: [m for m, own in sets.items() if f in own] for c, f in zip(columns, features, strict=True)}

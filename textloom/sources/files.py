@@ -62,3 +62,20 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mounted(spark: SparkSession, name: str) -> str | None:
+    """A new folder below spark.checkpoint.dir as tasks open it without Spark; None if that is on no mounted file system, or
+    unset where executors are not in the driver's process."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local["):
+        return None
+    fs, p, _ = _at(scratch(spark, name))
+    if fs.getUri().getScheme() != "file":
+        return None
+    fs.mkdirs(p)
+    return p.toUri().getPath()
+
+
+def drop(path: str) -> None:
+    """Deletes a folder of ``mounted``."""
+    shutil.rmtree(path, ignore_errors=True)
